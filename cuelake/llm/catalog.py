@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, media
+from . import language, media, quality_classifier
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_media": media.op3_media,
         "op4_language": language.op4_language,
+        "op10_quality": quality_classifier.op10_quality,
     }
 
 
