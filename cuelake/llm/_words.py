@@ -84,9 +84,14 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each word; the same bytes hash alike in every process."""
-    up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[: len(data)], out=total[1:])
+    return span_hashes(_TABLE[data], starts, ends)
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of an array of mixed 64-bit values, alike wherever the span stands."""
+    up, down = _power(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
