@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, media, quality_classifier, toxicity
+from . import language, media, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_media": media.op3_media,
         "op4_language": language.op4_language,
+        "op5_rules": quality_rules.op5_rules,
         "op8_toxicity": toxicity.op8_toxicity,
         "op10_quality": quality_classifier.op10_quality,
     }

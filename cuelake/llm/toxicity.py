@@ -1,8 +1,8 @@
 """Toxicity after noisy-channel deobfuscation.
 
 A disguised word ("1d10t", "i d i o t", "idiooot", "id*ot") is a word sent through a noisy channel. Its characters span a
-lattice: a character may stand for itself, for a letter that it resembles, be a separator that was put in, or repeat
-the letter before. A Viterbi search finds the cheapest path under a character trigram model, and the restored text is
+lattice: a character may stand for itself, for a letter that it resembles, be a separator that was put in, or (in a
+run of three or more) repeat the letter before. A Viterbi search finds the cheapest path under a character trigram model, and the restored text is
 scored. The trigram model counts the characters of all documents, with the words of the lexicon mixed in; the lexicon
 (words that mark toxic rows) and the final logistic curve come from a bounded sample of labelled rows.
 
@@ -36,9 +36,9 @@ LEXICON_WORDS = 4096
 LEAST_ROWS = 3
 LEAST_WEIGHT = 2.0
 #: Share of the trigram model's counts that the lexicon's words make up.
-LEXICON_SHARE = 0.02
+LEXICON_SHARE = 0.5
 #: Costs (in nats) of the channel's moves.
-LOOKALIKE_COST, WILDCARD_COST, SEPARATOR_COST, REPEAT_COST = 1.0, 1.5, 0.5, 1.5
+LOOKALIKE_COST, WILDCARD_COST, SEPARATOR_COST, REPEAT_COST = 1.0, 1.5, 0.5, 0.5
 THRESHOLD = 0.3
 
 # Letters that a character may stand for.
@@ -158,7 +158,10 @@ def restore_word(token: str, trigrams: np.ndarray) -> str:
     token = _TRIM.sub("", token)
     kinds = {c: i + 1 for i, c in enumerate(ALPHABET)}
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for c in token:
+    drawn = [False] * len(token)  # inside a run of three or more of one letter
+    for run in re.finditer(r"(.)\1{2,}", token):
+        drawn[run.start() : run.end()] = [True] * (run.end() - run.start())
+    for c, long in zip(token, drawn, strict=True):
         moves: list[tuple[str, float]] = []
         if c.isalpha():
             moves.append((c, 0.0))
@@ -178,7 +181,7 @@ def restore_word(token: str, trigrams: np.ndarray) -> str:
             for x, price in moves:
                 k = kinds.get(x, OTHER) if x.isalpha() else 0
                 offer((b, k), cost + price - float(trigrams[a, b, k]), word + x)
-                if word and word[-1] == x:
+                if long and word and word[-1] == x:
                     offer((a, b), cost + price + REPEAT_COST, word)
             if drop is not None:
                 offer((a, b), cost + drop, word)
