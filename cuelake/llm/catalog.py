@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, media, quality_classifier, quality_rules, toxicity
+from . import language, media, mixing, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language": language.op4_language,
         "op5_rules": quality_rules.op5_rules,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_mixing": mixing.op9_mixing,
         "op10_quality": quality_classifier.op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_mixing": mixing.OP9_SQL,
+    }
