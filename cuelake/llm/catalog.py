@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, media, mixing, quality_classifier, quality_rules, toxicity
+from . import bpe, language, media, mixing, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_bpe": bpe.op2_bpe,
         "op3_media": media.op3_media,
         "op4_language": language.op4_language,
         "op5_rules": quality_rules.op5_rules,
