@@ -31,7 +31,7 @@ from ._words import ascii_lower, chunks, gram_hashes, row_bounds, spans, utf8, w
 SHINGLE = 4
 PERCENT = 85
 #: Bits of a signature.
-BITS = 1024
+BITS = 2048
 #: Common shingles, at most, that go last in the order (any choice gives the same links).
 COMMON = 100_000
 #: Shingles that a task looks over at once for common ones, and the sets among them that make one common.
@@ -69,10 +69,10 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _sketch(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """One row a document (_id, _tx, node, n), and the sorted hashes of the most common shingles."""
+    """One row a document (_id, _tx, node, n, signature), and the sorted hashes of the most common shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_id", "_tx", "node", "n", "shingle"]
+        names = ["_id", "_tx", "node", "n", "signature", "shingle"]
         held: list[np.ndarray] = []
 
         def common() -> pa.RecordBatch:
@@ -80,29 +80,30 @@ def _sketch(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
             held.clear()
             often = found[sets >= COMMON_SETS].view(np.int64)
             none = pa.nulls(len(often), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, pa.array(sets[sets >= COMMON_SETS]), pa.array(often)], names)
+            columns = [none, none, none, pa.array(sets[sets >= COMMON_SETS]), pa.nulls(len(often), pa.binary()), pa.array(often)]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         size, seen = 0, set()
         for b in batches:
             for c in chunks(b):
-                nodes, sizes = [], []
+                nodes, sizes, bits = [], [], []
                 for s in shingle_sets(c, k):
                     nodes.append(node_of(s))
                     sizes.append(len(s))
+                    bits.append(signature(s))
                     if nodes[-1] not in seen:  # equal sets count once
                         seen.add(nodes[-1])
                         held.append(s)
                         size += len(s)
-                yield pa.RecordBatch.from_arrays(
-                    [c.column("_id"), c.column("_tx"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(c.num_rows, pa.int64())], names
-                )
+                columns = [c.column("_id"), c.column("_tx"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(c.num_rows, pa.int64())], names)
                 if size > LOOK_OVER:
                     yield common()
                     size = 0
                     seen.clear()
         yield common()
 
-    both = staged(docs.select(*row_key(), "text").mapInArrow(run, "_id long, _tx long, node long, n long, shingle long"), "sketch")
+    both = staged(docs.select(*row_key(), "text").mapInArrow(run, "_id long, _tx long, node long, n long, signature binary, shingle long"), "sketch")
     counted = both.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"))
     last = [r.shingle for r in counted.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()]  # bounded by COMMON
     return both.where("shingle is null").drop("shingle"), np.sort(np.array(last, np.int64).view(np.uint64))
@@ -172,9 +173,15 @@ def _tiles(prefixes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "shingle long, node long, n long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, sketch: DataFrame, k: int) -> DataFrame:
-    """(node, n, signature, shingles) of the wanted nodes, each read from one of its documents. Texts are packed before they
-    are shuffled."""
+def _nodes(sketch: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(node, n, signature, _id, _tx) of the nodes in tiles, with one document of each."""
+    one = F.min(F.struct("_id", "_tx")).alias("d")
+    grouped = sketch.join(tiles.select("node").distinct(), "node", "left_semi").groupBy("node")
+    return grouped.agg(F.first("n").alias("n"), F.first("signature").alias("signature"), one).select("node", "n", "signature", "d._id", "d._tx")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of the wanted (node, _id, _tx). Texts are packed before they are shuffled."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -192,20 +199,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, sketch: DataFrame, k: int) -> Data
             texts = pa.array([unsqueeze(p).decode("utf-8", "surrogatepass") for p in b.column("packed").to_pylist()], pa.string())
             whole = pa.RecordBatch.from_arrays([b.column("node"), texts], ["node", "text"])
             for c in chunks(whole):
-                sets = list(shingle_sets(c, k))
-                columns = [c.column("node"), pa.array([len(s) for s in sets]), pa.array(map(signature, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "signature", "shingles"])
+                yield pa.RecordBatch.from_arrays([c.column("node"), pa.array([s.tobytes() for s in shingle_sets(c, k)], pa.binary())], ["node", "shingles"])
 
-    one = sketch.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_id", "_tx")).alias("d"))
-    one = one.select("node", "d._id", "d._tx")
     texts = docs.where(F.col("text").isNotNull()).select(*row_key(), "text").mapInArrow(pack, "_id long, _tx long, packed binary")
-    found = texts.join(one, ["_id", "_tx"]).mapInArrow(unpack, "node long, n long, signature binary, shingles binary")
-    return found.dropDuplicates(["node"])  # rows that repeat doc_id and text
+    found = texts.join(wanted, ["_id", "_tx"]).select("node", "packed").mapInArrow(unpack, "node long, shingles binary")
+    return staged(found, "sets").dropDuplicates(["node"])  # rows that repeat doc_id and text
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets are similar."""
-    bits, arrays = sets.select("node", "n", "signature"), sets.select("node", "shingles")
+def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets are similar. Only sets that pass the bound of the signatures are read."""
 
     def ends(what: DataFrame, end: str) -> DataFrame:
         return what.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in what.columns if c != "node"))
@@ -227,8 +229,13 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    likely = pairs.join(ends(bits, "u"), "u").join(ends(bits, "v"), "v").mapInArrow(bound, "u long, v long")
-    return likely.join(ends(arrays, "u"), "u").join(ends(arrays, "v"), "v").mapInArrow(decide, "u long, v long")
+    bits = nodes.select("node", "n", "signature")
+    likely = staged(pairs.join(ends(bits, "u"), "u").join(ends(bits, "v"), "v").mapInArrow(bound, "u long, v long"), "likely")
+    if not likely.head(1):
+        return likely
+    wanted = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
+    sets = _sets(docs, nodes.select("node", "_id", "_tx").join(wanted, "node"), k)
+    return staged(likely.join(ends(sets, "u"), "u").join(ends(sets, "v"), "v").mapInArrow(decide, "u long, v long"), "links")
 
 
 def _fits(small: str | Column, large: str | Column, percent: int) -> Column:
@@ -243,12 +250,12 @@ def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     docs = docs.select("doc_id", "text")
     sketch, common = _sketch(docs, k)
     tiles = staged(_tiles(_prefixes(docs, common, k, percent)), "tiles")
-    sets = staged(_sets(docs, tiles.select("node").distinct(), sketch, k), "sets")
+    nodes = staged(_nodes(sketch, tiles), "nodes")
 
     near = Window.partitionBy("shingle").orderBy("n", "node")
     beside = tiles.select(F.lag("node").over(near).alias("u"), F.lag("n").over(near).alias("nu"), F.col("node").alias("v"), "n")
     beside = beside.where(F.col("u").isNotNull() & _fits("nu", "n", percent)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    first = staged(_links(beside, sets, percent), "links")
+    first = _links(beside, nodes, docs, k, percent)
     roots = components(first)
 
     # The second round: pairs of one tile that lie in different components.
@@ -258,7 +265,7 @@ def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     u, v = left.alias("x"), left.alias("y")
     meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.struct("x.n", "x.node") < F.struct("y.n", "y.node")) & (F.col("x.root") != F.col("y.root"))
     pairs = u.join(v, meet & _fits("x.n", "y.n", percent)).select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
-    second = staged(_links(pairs, sets, percent), "links")
+    second = _links(pairs, nodes, docs, k, percent)
     if second.head(1):
         roots = components(first.unionAll(second))
 
