@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import documents, shared_dir, small_batches
+from ._base import documents, shared_dir, small_batches, staged
 from ._words import chunks
 
 #: Words of the lexicon, at most (the most frequent ones), and the occurrences that a word needs.
@@ -36,6 +36,8 @@ LEXICON_WORDS = 65_536
 LEAST_COUNT = 3
 #: Words whose ids a worker keeps at hand.
 KEPT_WORDS = 150_000
+#: Pairs of a pre-token from which on equal pairs are merged together.
+LONG_WORD = 256
 
 
 def vocabulary_path() -> str:
@@ -83,19 +85,27 @@ class Vocabulary:
             return [self.added[word]]
         parts = [self.stand_in[b] for b in word.encode()]
         parts[-1] += self.end
-        while len(parts) > 1:
-            rank, pair = min((self.ranks.get(p, 1 << 30), p) for p in set(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 30:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+        rank, none = self.ranks.get, len(self.ranks)
+        ranks = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) < none:
+            if len(ranks) > LONG_WORD:  # merge all places of the pair in one go
+                i, out = 0, []
+                while i < len(parts):
+                    if i < len(ranks) and ranks[i] == least:
+                        out.append(parts[i] + parts[i + 1])
+                        i += 2
+                    else:
+                        out.append(parts[i])
+                        i += 1
+                parts, ranks = out, [rank(p, none) for p in zip(out, out[1:], strict=False)]
+                continue
+            i = ranks.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), none)
         return [self.ids[p] for p in parts]
 
 
@@ -205,10 +215,18 @@ def mapped(name: str) -> Lexicon:
 
 
 def frequent_words(df: DataFrame, text: str = "text", words: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent runs of letters in all texts, lower-cased; at most `words` come to the driver."""
+    """The most frequent runs of letters in all texts, lower-cased: as many as fit into `words`, frequencies being told
+    apart by sixteenths of a power of two."""
     every = df.select(F.explode(F.expr(f"regexp_extract_all(lower(`{text}`), '\\\\p{{L}}+', 0)")).alias("word"))
     counted = every.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT)
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(words).collect()]
+    counted = staged(counted.withColumn("level", F.floor(16 * F.log2("n")).cast("int")), "words")
+    levels = counted.groupBy("level").agg(F.count("*").alias("words")).collect()  # under 1024 rows
+    least, room = 1024, words
+    for r in sorted(levels, key=lambda r: -r.level):
+        if (room := room - r.words) < 0:
+            break
+        least = r.level
+    return [r.word for r in counted.where(F.col("level") >= least).select("word").collect()]  # at most `words`
 
 
 def build_lexicon(df: DataFrame, text: str = "text", path: str | None = None) -> str:
