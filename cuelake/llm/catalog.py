@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, media, mixing, ngram_join, quality_classifier, quality_rules, toxicity
+from . import bpe, language, media, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_media": media.op3_media,
         "op4_language": language.op4_language,
         "op5_rules": quality_rules.op5_rules,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_mixing": mixing.op9_mixing,
