@@ -1,12 +1,66 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+toxicity drops the documents that it rejects; near_duplicates keeps one document of each group; substrings cuts repeated
+passages out of the texts; mixing gives each document as many rows as the mix takes copies of it; tokens encodes the
+texts, and checks the ids by decoding them.
+
+No SQL states the rows of run(): the toxicity score is a fitted model and the ids come from a vocabulary file. The
+stages are tested against brute-force versions instead.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cuelake.llm import bpe, mixing, ngram_join, substring_dedup, toxicity
+from cuelake.llm._base import crc_mod, documents, staged
 
-STAGES: list = []
 ORACLE_SQL = None
 
+#: Near-duplicates: words of a shingle, and the similarity in percent from which on documents are near copies.
+SHINGLE_WORDS, NEAR_PERCENT = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.where(crc_mod(4) != 2))
+    scored = toxicity.score(docs, model, names=("_score", "_restored"))
+    return scored.where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs, SHINGLE_WORDS, NEAR_PERCENT)
+
+
+def cut_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(mixing.with_size(docs))
+    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).cast("int")
+    return mixed.where("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.build_lexicon(docs)).drop("text")
+    out = bpe.decode(encoded).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    return out.select("doc_id", "lang", "source", bpe.n_tokens().alias("n_tokens"), "ids", "decoded_sha256")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("substrings", cut_substrings),
+    ("mixing", mix_sources),
+    ("tokens", encode_tokens),
+]
+
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

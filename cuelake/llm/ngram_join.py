@@ -23,9 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._base import NULL_ID, documents, row_key, small_batches, staged
 from ._graph import components
+from ._packed import packed, unpacked
 from ._words import ascii_lower, chunks, gram_hashes, row_bounds, spans, utf8, word_hashes
 
 SHINGLE = 4
@@ -183,26 +185,12 @@ def _nodes(sketch: DataFrame, tiles: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, shingles) of the wanted (node, _id, _tx). Texts are packed before they are shuffled."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
-            packed = [squeeze(t.encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_tx"), pa.array(packed, pa.binary())], ["_id", "_tx", "packed"])
-
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unsqueeze = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            texts = pa.array([unsqueeze(p).decode("utf-8", "surrogatepass") for p in b.column("packed").to_pylist()], pa.string())
-            whole = pa.RecordBatch.from_arrays([b.column("node"), texts], ["node", "text"])
-            for c in chunks(whole):
+            for c in chunks(unpacked(b)):
                 yield pa.RecordBatch.from_arrays([c.column("node"), pa.array([s.tobytes() for s in shingle_sets(c, k)], pa.binary())], ["node", "shingles"])
 
-    texts = docs.where(F.col("text").isNotNull()).select(*row_key(), "text").mapInArrow(pack, "_id long, _tx long, packed binary")
-    found = texts.join(wanted, ["_id", "_tx"]).select("node", "packed").mapInArrow(unpack, "node long, shingles binary")
+    found = packed(docs).join(wanted, ["_id", "_tx"]).select("node", "packed").mapInArrow(unpack, "node long, shingles binary")
     return staged(found, "sets").dropDuplicates(["node"])  # rows that repeat doc_id and text
 
 
@@ -281,5 +269,20 @@ def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     )
 
 
+def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """docs without the documents that another of their component leads: one row of each component."""
+    small_batches(docs.sparkSession)
+    rest = [c for c in docs.columns if c != "text"]
+    leads = similar(docs, k, percent).where("leads").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), "_tx").distinct()
+    kept = packed(docs, *rest).join(leads, ["_id", "_tx"]).dropDuplicates(["_id", "_tx"])
+    schema = T.StructType([*(docs.schema[c] for c in rest), docs.schema["text"]])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield unpacked(b)
+
+    return kept.select(*rest, "packed").mapInArrow(unpack, schema).select(*docs.columns)
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")

@@ -379,9 +379,9 @@ def _added(df: DataFrame, model: Model, text: str, added: str, fn) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with `score` (0 to 1) and `n_restored` (disguised words of the lexicon)."""
-    return _added(df, model, text, "score double, n_restored long", lambda s, texts: s.score(texts))
+def score(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("score", "n_restored")) -> DataFrame:
+    """df with the score (0 to 1) and the number of disguised words of the lexicon, in columns of these names."""
+    return _added(df, model, text, f"`{names[0]}` double, `{names[1]}` long", lambda s, texts: s.score(texts))
 
 
 def restore(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
