@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, media, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, toxicity
+from . import bpe, language, license_scan, media, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license": license_scan.op1_license,
         "op2_bpe": bpe.op2_bpe,
         "op3_media": media.op3_media,
         "op4_language": language.op4_language,
@@ -25,5 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license": license_scan.OP1_SQL,
         "op9_mixing": mixing.OP9_SQL,
     }
