@@ -57,3 +57,15 @@ def row_key() -> list[Column]:
 def crc_mod(n: int) -> Column:
     """crc32 of doc_id as text, modulo n (a null doc_id counts as empty text)."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def most_frequent(counted: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows of a written table with the largest counts: as many as fit into `limit`, counts being told apart by
+    sixteenths of a power of two. Only the sizes of the levels, under 1024 rows, come to the driver."""
+    levelled = counted.withColumn("_level", F.floor(16 * F.log2(count)).cast("int"))
+    least, room = 1024, limit
+    for r in sorted(levelled.groupBy("_level").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["_level"]):
+        if (room := room - r.n) < 0:
+            break
+        least = r["_level"]
+    return levelled.where(F.col("_level") >= least).drop("_level")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import documents, shared_dir, small_batches, staged
+from ._base import documents, most_frequent, shared_dir, small_batches, staged
 from ._words import chunks
 
 #: Words of the lexicon, at most (the most frequent ones), and the occurrences that a word needs.
@@ -215,18 +215,10 @@ def mapped(name: str) -> Lexicon:
 
 
 def frequent_words(df: DataFrame, text: str = "text", words: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent runs of letters in all texts, lower-cased: as many as fit into `words`, frequencies being told
-    apart by sixteenths of a power of two."""
+    """The most frequent runs of letters in all texts, lower-cased; at most `words`."""
     every = df.select(F.explode(F.expr(f"regexp_extract_all(lower(`{text}`), '\\\\p{{L}}+', 0)")).alias("word"))
     counted = every.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT)
-    counted = staged(counted.withColumn("level", F.floor(16 * F.log2("n")).cast("int")), "words")
-    levels = counted.groupBy("level").agg(F.count("*").alias("words")).collect()  # under 1024 rows
-    least, room = 1024, words
-    for r in sorted(levels, key=lambda r: -r.level):
-        if (room := room - r.words) < 0:
-            break
-        least = r.level
-    return [r.word for r in counted.where(F.col("level") >= least).select("word").collect()]  # at most `words`
+    return [r.word for r in most_frequent(staged(counted, "words"), "n", words).collect()]  # at most `words`
 
 
 def build_lexicon(df: DataFrame, text: str = "text", path: str | None = None) -> str:

@@ -2,8 +2,9 @@
 
 Documents with equal sets are one node. A node joins the tiles of its prefix: of its shingles in one global order, so
 many that two similar sets must share one of them. The order puts the most common shingles last, so tiles stay small.
-Within a tile only nodes of fitting size bands meet. For a pair of nodes, the bits that are set in one signature and not
-in the other bound the overlap from above; pairs that pass are decided by the exact intersection of their sorted arrays.
+Tiles are cut into size bands, and nodes meet those of their own band and of the next. For a pair of nodes, the bits that
+are set in one signature and not in the other bound the overlap from above; pairs that pass are decided by the exact
+intersection of their sorted arrays.
 
 Two rounds keep pairs few where a group has many members: the first tests neighbours in each tile only and joins what
 it finds into components; the second tests every pair of a tile whose nodes lie in different components still. No pair
@@ -17,6 +18,7 @@ sets are told apart by 64-bit hashes; columns other than doc_id and text are not
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,19 +27,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import NULL_ID, documents, row_key, small_batches, staged
+from ._base import NULL_ID, documents, most_frequent, row_key, small_batches, staged
 from ._graph import components
 from ._packed import packed, unpacked
 from ._words import ascii_lower, chunks, gram_hashes, row_bounds, spans, utf8, word_hashes
 
 SHINGLE = 4
 PERCENT = 85
-#: Bits of a signature.
-BITS = 2048
+#: Bits of a signature: the power of two from a set's size on, between these.
+LEAST_BITS, MOST_BITS = 64, 2048
 #: Common shingles, at most, that go last in the order (any choice gives the same links).
-COMMON = 100_000
+COMMON = 300_000
 #: Shingles that a task looks over at once for common ones, and the sets among them that make one common.
-LOOK_OVER, COMMON_SETS = 2_000_000, 8
+LOOK_OVER, COMMON_SETS = 4_000_000, 4
+#: Nodes of a tile that are compared with the tile at once.
+BLOCK = 256
 
 
 def shingle_sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
@@ -60,9 +64,26 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(shingles >> np.uint64(7)) % np.uint64(BITS)] = 1
-    return np.packbits(bits).tobytes()
+    size = min(max(1 << max(len(shingles) - 1, 0).bit_length(), LEAST_BITS), MOST_BITS)
+    bits = np.zeros(size, np.uint8)
+    bits[(shingles >> np.uint64(7)) % np.uint64(size)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(signatures: list[bytes]) -> np.ndarray:
+    """Signatures in the length of the shortest: bits that fall together are joined."""
+    least = min(map(len, signatures))
+    out = np.zeros((len(signatures), least), np.uint8)
+    for i, s in enumerate(signatures):
+        whole = np.frombuffer(s, np.uint8)
+        out[i] = whole if len(whole) == least else np.bitwise_or.reduce(whole.reshape(-1, least))
+    return out
+
+
+def may_be_similar(nu: np.ndarray, nv: np.ndarray, only_u: np.ndarray, only_v: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and the bits in one signature only leave enough overlap."""
+    most = np.minimum(nu - only_u, nv - only_v)
+    return 100 * most >= percent * (nu + nv - most)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -107,7 +128,7 @@ def _sketch(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
 
     both = staged(docs.select(*row_key(), "text").mapInArrow(run, "_id long, _tx long, node long, n long, signature binary, shingle long"), "sketch")
     counted = both.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"))
-    last = [r.shingle for r in counted.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()]  # bounded by COMMON
+    last = [r.shingle for r in most_frequent(staged(counted, "common"), "n", COMMON).collect()]  # at most COMMON
     return both.where("shingle is null").drop("shingle"), np.sort(np.array(last, np.int64).view(np.uint64))
 
 
@@ -194,19 +215,64 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return staged(found, "sets").dropDuplicates(["node"])  # rows that repeat doc_id and text
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets are similar. Only sets that pass the bound of the signatures are read."""
+def _ends(what: DataFrame, end: str) -> DataFrame:
+    return what.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in what.columns if c != "node"))
 
-    def ends(what: DataFrame, end: str) -> DataFrame:
-        return what.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in what.columns if c != "node"))
+
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that their signatures allow to be similar."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nu, nv = b.column("n_u").to_numpy(), b.column("n_v").to_numpy()
-            su, sv = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("signature_u", "signature_v"))
-            only_u, only_v = (np.bitwise_count(x & ~y).sum(1, dtype=np.int64) for x, y in ((su, sv), (sv, su)))
-            most = np.minimum(nu - only_u, nv - only_v)
-            yield b.select(["u", "v"]).filter(pa.array(100 * most >= percent * (nu + nv - most)))
+            keep = []
+            for nu, nv, su, sv in zip(*(b.column(c).to_pylist() for c in ("n_u", "n_v", "signature_u", "signature_v")), strict=True):
+                x, y = folded([su, sv])
+                keep.append(bool(may_be_similar(nu, nv, np.bitwise_count(x & ~y).sum(dtype=int), np.bitwise_count(y & ~x).sum(dtype=int), percent)))
+            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    bits = nodes.select("node", "n", "signature")
+    return pairs.join(_ends(bits, "u"), "u").join(_ends(bits, "v"), "v").mapInArrow(bound, "u long, v long")
+
+
+def _met(tiles: DataFrame, percent: int) -> DataFrame:
+    """From rows (shingle, band, home, node, n, root, signature), the pairs of nodes of one tile and band that lie in different
+    components and that their signatures allow to be similar. Guests, from the band below, meet only those at home."""
+
+    def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, n, root, home = (rows[c].to_numpy() for c in ("node", "n", "root", "home"))
+        bits = folded(rows["signature"].to_pylist())
+        for at in range(0, len(n), BLOCK):
+            x = slice(at, at + BLOCK)
+            fit = home[None, :] & (root[x, None] != root[None, :]) & (100 * n[x, None] >= percent * n[None, :])
+            fit &= np.where(home[x, None], np.arange(len(n))[x, None] < np.arange(len(n))[None, :], True)
+            i, j = np.nonzero(fit)
+            for k in range(0, len(i), 20_000):
+                u, v = i[k : k + 20_000] + at, j[k : k + 20_000]
+                only_u, only_v = (np.bitwise_count(a & ~b).sum(1, dtype=np.int64) for a, b in ((bits[u], bits[v]), (bits[v], bits[u])))
+                ok = may_be_similar(n[u], n[v], only_u, only_v, percent)
+                if ok.any():
+                    a, b = node[u[ok]], node[v[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            table = table if held is None else pa.concat_tables([held, table])
+            key = table["shingle"].to_numpy() * 31 + table["band"].to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                yield from pairs_of(table.slice(x, y - x))
+            held = table.slice(cuts[-1])
+        if held is not None and held.num_rows:
+            yield from pairs_of(held)
+
+    dealt = tiles.repartition("shingle", "band").sortWithinPartitions("shingle", "band", "n", "node")
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def _links(likely: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets are similar, by exact intersection."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -217,13 +283,12 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    bits = nodes.select("node", "n", "signature")
-    likely = staged(pairs.join(ends(bits, "u"), "u").join(ends(bits, "v"), "v").mapInArrow(bound, "u long, v long"), "likely")
+    likely = staged(likely.distinct(), "likely")
     if not likely.head(1):
         return likely
     wanted = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
     sets = _sets(docs, nodes.select("node", "_id", "_tx").join(wanted, "node"), k)
-    return staged(likely.join(ends(sets, "u"), "u").join(ends(sets, "v"), "v").mapInArrow(decide, "u long, v long"), "links")
+    return staged(likely.join(_ends(sets, "u"), "u").join(_ends(sets, "v"), "v").mapInArrow(decide, "u long, v long"), "links")
 
 
 def _fits(small: str | Column, large: str | Column, percent: int) -> Column:
@@ -243,17 +308,18 @@ def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     near = Window.partitionBy("shingle").orderBy("n", "node")
     beside = tiles.select(F.lag("node").over(near).alias("u"), F.lag("n").over(near).alias("nu"), F.col("node").alias("v"), "n")
     beside = beside.where(F.col("u").isNotNull() & _fits("nu", "n", percent)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    first = _links(beside, nodes, docs, k, percent)
+    first = _links(_likely(beside, nodes, percent), nodes, docs, k, percent)
     roots = components(first)
 
-    # The second round: pairs of one tile that lie in different components.
+    # The second round: in each tile, nodes of fitting sizes that lie in different components.
     placed = tiles.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_tiles = placed.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("shingle")
-    left = staged(placed.join(open_tiles, "shingle", "left_semi"), "open")
-    u, v = left.alias("x"), left.alias("y")
-    meet = (F.col("x.shingle") == F.col("y.shingle")) & (F.struct("x.n", "x.node") < F.struct("y.n", "y.node")) & (F.col("x.root") != F.col("y.root"))
-    pairs = u.join(v, meet & _fits("x.n", "y.n", percent)).select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
-    second = _links(pairs, nodes, docs, k, percent)
+    band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
+    banded = placed.select("*", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))).alias("b"))
+    banded = banded.select("shingle", "node", "n", "root", "b.band", "b.home")
+    several = (F.min("root") != F.max("root")) & F.bool_or("home")
+    open_tiles = banded.groupBy("shingle", "band").agg(several.alias("open")).where("open").drop("open")
+    rows = banded.join(open_tiles, ["shingle", "band"], "left_semi").join(nodes.select("node", "signature"), "node")
+    second = _links(_met(rows, percent), nodes, docs, k, percent)
     if second.head(1):
         roots = components(first.unionAll(second))
 
