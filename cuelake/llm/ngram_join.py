@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +34,11 @@ from ._words import ascii_lower, chunks, gram_hashes, row_bounds, spans, utf8, w
 
 SHINGLE = 4
 PERCENT = 85
-#: Bits of a signature: the power of two from a set's size on, between these.
-LEAST_BITS, MOST_BITS = 64, 2048
+#: Bits of a signature: the power of two from twice a set's size on, between these; tiles take the first with at most
+#: TILE_BITS, folded.
+LEAST_BITS, MOST_BITS, TILE_BITS = 64, 8192, 1024
+#: Nodes whose sets are to be read, up to which their keys are broadcast to the scan (they are counted first).
+BROADCAST_NODES = 200_000
 #: Common shingles, at most, that go last in the order (any choice gives the same links).
 COMMON = 300_000
 #: Shingles that a task looks over at once for common ones, and the sets among them that make one common.
@@ -64,15 +67,15 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    size = min(max(1 << max(len(shingles) - 1, 0).bit_length(), LEAST_BITS), MOST_BITS)
+    size = min(max(2 << max(len(shingles) - 1, 0).bit_length(), LEAST_BITS), MOST_BITS)
     bits = np.zeros(size, np.uint8)
     bits[(shingles >> np.uint64(7)) % np.uint64(size)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def folded(signatures: list[bytes]) -> np.ndarray:
-    """Signatures in the length of the shortest: bits that fall together are joined."""
-    least = min(map(len, signatures))
+def folded(signatures: list[bytes], least: int = 0) -> np.ndarray:
+    """Signatures in the length of the shortest (or a shorter one): bits that fall together are joined."""
+    least = least or min(map(len, signatures))
     out = np.zeros((len(signatures), least), np.uint8)
     for i, s in enumerate(signatures):
         whole = np.frombuffer(s, np.uint8)
@@ -196,22 +199,39 @@ def _tiles(prefixes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "shingle long, node long, n long")
 
 
+def short(bits: bytes) -> bytes:
+    """A signature of half the bits, and of TILE_BITS at most."""
+    return folded([bits], min(max(len(bits) // 2, LEAST_BITS // 8), TILE_BITS // 8)).tobytes()
+
+
 def _nodes(sketch: DataFrame, tiles: DataFrame) -> DataFrame:
-    """(node, n, signature, _id, _tx) of the nodes in tiles, with one document of each."""
+    """(node, n, signature, _id, _tx, short) of the nodes in tiles, with one document of each."""
     one = F.min(F.struct("_id", "_tx")).alias("d")
     grouped = sketch.join(tiles.select("node").distinct(), "node", "left_semi").groupBy("node")
-    return grouped.agg(F.first("n").alias("n"), F.first("signature").alias("signature"), one).select("node", "n", "signature", "d._id", "d._tx")
+    found = grouped.agg(F.first("n").alias("n"), F.first("signature").alias("signature"), one).select("node", "n", "signature", "d._id", "d._tx")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("short", pa.array(map(short, b.column("signature").to_pylist()), pa.binary()))
+
+    return found.mapInArrow(run, T.StructType([*found.schema.fields, T.StructField("short", T.BinaryType())]))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of the wanted (node, _id, _tx). Texts are packed before they are shuffled."""
+    """(node, shingles) of the wanted (node, _id, _tx). Few wanted keys are broadcast, so no text is shuffled; else texts are
+    packed before they are."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in chunks(unpacked(b)):
+            for c in chunks(unpacked(b) if "packed" in b.schema.names else b):
                 yield pa.RecordBatch.from_arrays([c.column("node"), pa.array([s.tobytes() for s in shingle_sets(c, k)], pa.binary())], ["node", "shingles"])
 
-    found = packed(docs).join(wanted, ["_id", "_tx"]).select("node", "packed").mapInArrow(unpack, "node long, shingles binary")
+    wanted = staged(wanted, "wanted")
+    if wanted.count() <= BROADCAST_NODES:
+        found = docs.select(*row_key(), "text").join(F.broadcast(wanted), ["_id", "_tx"]).select("node", "text")
+    else:
+        found = packed(docs).join(wanted, ["_id", "_tx"]).select("node", "packed")
+    found = found.mapInArrow(unpack, "node long, shingles binary")
     return staged(found, "sets").dropDuplicates(["node"])  # rows that repeat doc_id and text
 
 
@@ -291,11 +311,6 @@ def _links(likely: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent
     return staged(likely.join(_ends(sets, "u"), "u").join(_ends(sets, "v"), "v").mapInArrow(decide, "u long, v long"), "links")
 
 
-def _fits(small: str | Column, large: str | Column, percent: int) -> Column:
-    """Sets of these sizes, the first not the larger, can be similar."""
-    return F.lit(100) * F.col(small) >= F.lit(percent) * F.col(large)
-
-
 def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, and `leads` (the document with the component's
     smallest doc_id)."""
@@ -305,10 +320,14 @@ def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     tiles = staged(_tiles(_prefixes(docs, common, k, percent)), "tiles")
     nodes = staged(_nodes(sketch, tiles), "nodes")
 
-    near = Window.partitionBy("shingle").orderBy("n", "node")
-    beside = tiles.select(F.lag("node").over(near).alias("u"), F.lag("n").over(near).alias("nu"), F.col("node").alias("v"), "n")
-    beside = beside.where(F.col("u").isNotNull() & _fits("nu", "n", percent)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    first = _links(_likely(beside, nodes, percent), nodes, docs, k, percent)
+    # The first round: in each tile, each node with the hub, the node of whose prefix the largest share lies in tiles (an
+    # original has more in common with its copies than they have with each other).
+    share = tiles.groupBy("node", "n").agg(F.count("*").alias("met")).select("node", (F.col("met") / F.col("n")).alias("share"))
+    hub = tiles.join(share, "node").groupBy("shingle").agg(F.max(F.struct("share", "node", "n")).alias("h"))
+    starred = tiles.join(hub, "shingle").select(F.col("h.node").alias("u"), F.col("h.n").alias("nu"), F.col("node").alias("v"), F.col("n").alias("nv"))
+    fit = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
+    pairs = starred.where((F.col("u") != F.col("v")) & fit).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    first = _links(_likely(pairs, nodes, percent), nodes, docs, k, percent)
     roots = components(first)
 
     # The second round: in each tile, nodes of fitting sizes that lie in different components.
@@ -318,8 +337,8 @@ def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     banded = banded.select("shingle", "node", "n", "root", "b.band", "b.home")
     several = (F.min("root") != F.max("root")) & F.bool_or("home")
     open_tiles = banded.groupBy("shingle", "band").agg(several.alias("open")).where("open").drop("open")
-    rows = banded.join(open_tiles, ["shingle", "band"], "left_semi").join(nodes.select("node", "signature"), "node")
-    second = _links(_met(rows, percent), nodes, docs, k, percent)
+    rows = banded.join(open_tiles, ["shingle", "band"], "left_semi").join(nodes.select("node", F.col("short").alias("signature")), "node")
+    second = _links(_likely(_met(rows, percent).distinct(), nodes, percent), nodes, docs, k, percent)
     if second.head(1):
         roots = components(first.unionAll(second))
 
