@@ -52,9 +52,10 @@ def vocalization(normalized: Column) -> Column:
     return normalized.isin(*VOCALIZATIONS) | same
 
 
-def compact_repetition(text: Column) -> Column:
-    """A text of low diversity shortened to its repeated unit, thrice, or to its first three characters."""
-    clean = meaningful(text)
+def compact_repetition(text: Column, clean: Column | None = None) -> Column:
+    """A text of low diversity shortened to its repeated unit, thrice, or to its first three characters. clean: its
+    meaningful text, where that is a column already."""
+    clean = meaningful(text) if clean is None else clean
     n = F.length(clean)
 
     def matches(unit: Column) -> Column:

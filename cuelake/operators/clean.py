@@ -14,9 +14,9 @@ from .quality import by_time, severe, with_islands
 def row_rules(cues: DataFrame) -> DataFrame:
     """cues with clean text and end, without those that no rule can save, and with `compacted`."""
     d = F.col("end_ms") - F.col("start_ms")
-    text = cues.withColumn("text", X.clean_spaces(F.col("text")))
-    good = (F.length("text") > 0) & (d > 100) & (d <= 30000) & ~((F.length(X.meaningful(F.col("text"))) <= 3) & (d > 8000))
-    short = text.where(good).withColumn("short", X.compact_repetition(F.col("text")))
+    text = cues.withColumn("text", X.clean_spaces(F.col("text"))).withColumn("clean", X.meaningful(F.col("text")))
+    good = (F.length("text") > 0) & (d > 100) & (d <= 30000) & ~((F.length("clean") <= 3) & (d > 8000))
+    short = text.where(good).withColumn("short", X.compact_repetition(F.col("text"), F.col("clean")))
     changed = F.col("short") != F.col("text")
     end = F.when(changed, F.least("end_ms", F.col("start_ms") + 4000)).otherwise(F.col("end_ms"))
     out = short.select(*[c for c in cues.columns if c not in ("text", "end_ms")], end.alias("end_ms"), F.col("short").alias("text"), changed.alias("compacted"))

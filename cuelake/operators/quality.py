@@ -90,32 +90,44 @@ def all_issues(cues: DataFrame) -> DataFrame:
     return single.unionByName(twice).unionByName(many)
 
 
-def report(cues: DataFrame) -> DataFrame:
-    """One row a medium: counts, the longest cue (the first of equals), suspicious cues and whether no error was found."""
+def flagged(cues: DataFrame) -> DataFrame:
+    """cues with one boolean a rule. One exchange by medium serves all windows."""
+    w = by_time()
+    island = Window.partitionBy("media_id", "island")
+    d, n = F.col("duration_ms"), F.length("clean")
+    rows = with_islands(with_measures(cues)).select(
+        "*", (F.lag("end_ms").over(w) - F.col("start_ms") > C.OVERLAP_MS).alias("late"), (F.col("end_ms") - F.lead("start_ms").over(w) > C.OVERLAP_MS).alias("overlapped"),
+        F.count("*").over(island).alias("island_n"), F.min("start_ms").over(island).alias("island_from"),
+        F.last("end_ms").over(island.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("island_to"),
+        F.row_number().over(island.orderBy(*ORDER)).alias("island_i"),
+    )
+    vocal = X.vocalization(F.col("norm"))
+    low_information = (n <= 3) & (d > 8000)
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return rows.withColumns({
+        "invalid": d <= 0, "over": d > 30000, "low_information": low_information, "short_text": ~low_information & (n <= 15) & (d > 15000),
+        "late": no(F.col("late")), "overlapped": no(F.col("overlapped")), "vocal": vocal, "cluster": F.col("island_n") >= C.CLUSTER_CUES,
+        "bad_cluster": severe(F.col("island_n"), F.col("island_to") - F.col("island_from"), vocal),
+    })
+
+
+def report(cues: DataFrame, *more: Column) -> DataFrame:
+    """One row a medium: counts, the longest cue (the first of equals), suspicious cues and whether no error was found;
+    and more aggregates of cues' columns."""
     d = F.col("duration_ms")
-    counts = with_measures(cues).groupBy("media_id").agg(
+    error = F.col("invalid") | F.col("over") | F.col("low_information") | F.col("low") | F.col("late") | F.col("bad_cluster")
+    any_issue = error | F.col("short_text") | F.col("overlapped") | F.col("cluster")
+    head = F.col("cluster") & (F.col("island_i") == 1)
+    out = flagged(cues).groupBy("media_id").agg(
         F.count("*").alias("cue_count"),
         F.max(F.struct(d.alias("d"), (-F.col("start_ms")).alias("s"), (-F.col("end_ms")).alias("e"), (-F.col("pos")).alias("p"), "cue_id")).alias("m"),
         *(F.count_if(d > s * 1000).alias(f"over_{s}") for s in (10, 20, 30, 60)),
-        F.count_if(d <= 0).alias("invalid_duration"),
-        F.count_if((F.length("clean") <= 3) & (d > 8000)).alias("low_information_long"),
-        F.count_if("low").alias("low_diversity"),
-    )
-    issues = all_issues(cues)
-    kinds = issues.groupBy("media_id").agg(
-        F.count_if(F.col("kind") == "timeline-overlap").alias("n_overlaps"),
-        F.count_if(F.col("kind").like("repeated-%")).alias("repeated_clusters"),
-        F.count_if(F.col("kind") == "repeated-vocalization-cluster").alias("repeated_vocalizations"),
-        F.count_if(F.col("severity") == "error").alias("errors"),
-    )
-    suspicious = issues.select("media_id", F.explode("cue_ids").alias("id")).groupBy("media_id").agg(F.count_distinct("id").alias("suspicious"))
-    joined = counts.join(kinds, "media_id", "left").join(suspicious, "media_id", "left")
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_overlaps", "repeated_clusters", "repeated_vocalizations", "suspicious")]
-    longest = F.when(F.col("m.d") > 0, F.col("m.cue_id")).otherwise(0).alias("longest_id")
-    return joined.select(
-        "media_id", "cue_count", F.greatest(F.col("m.d"), F.lit(0)).alias("longest_ms"), longest, "over_10", "over_20", "over_30", "over_60",
-        "invalid_duration", "low_information_long", "low_diversity", *zero, (F.coalesce("errors", F.lit(0)) == 0).alias("passed"),
+        F.count_if("invalid").alias("invalid_duration"), F.count_if("low_information").alias("low_information_long"), F.count_if("low").alias("low_diversity"),
+        F.count_if("late").alias("n_overlaps"), F.count_if(head).alias("repeated_clusters"), F.count_if(head & F.col("vocal")).alias("repeated_vocalizations"),
+        F.count_if(any_issue).alias("suspicious"), (F.count_if(error) == 0).alias("passed"), *more,
     )
+    longest = F.when(F.col("m.d") > 0, F.col("m.cue_id")).otherwise(0)
+    return out.withColumns({"longest_ms": F.greatest(F.col("m.d"), F.lit(0)), "longest_id": longest}).drop("m")
 
 
 def gate(reports: DataFrame) -> DataFrame:

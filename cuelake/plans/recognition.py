@@ -11,11 +11,10 @@ from cuelake.operators import clean, quality
 def clean_and_gate(cues: DataFrame) -> DataFrame:
     """One row a medium: the report of the cleaned cues, how many cues cleaning removed and compacted, and the gate's
     decision. A medium of which nothing is left has no row."""
-    cleaned = clean.sanitize(cues)
     before = cues.groupBy("media_id").agg(F.count("*").alias("initial_count"))
-    after = cleaned.groupBy("media_id").agg(F.count("*").alias("kept"), F.count_if("compacted").alias("compacted"))
-    counts = before.join(after, "media_id").withColumn("removed", F.col("initial_count") - F.col("kept")).drop("kept")
-    return quality.gate(quality.report(cleaned.drop("compacted")).join(counts, "media_id"))
+    reported = quality.report(clean.sanitize(cues), F.count_if("compacted").alias("compacted"))
+    counted = reported.join(before, "media_id").withColumn("removed", F.col("initial_count") - F.col("cue_count"))
+    return quality.gate(counted)
 
 
 def trusted(cues: DataFrame) -> DataFrame:
