@@ -43,6 +43,8 @@ BROADCAST_NODES = 200_000
 COMMON = 300_000
 #: Shingles that a task looks over at once for common ones, and the sets among them that make one common.
 LOOK_OVER, COMMON_SETS = 4_000_000, 4
+#: Least shingles of a node's tiles by which a pair is left to the first tile that both nodes are known to share.
+LEADING = 8
 #: Nodes of a tile that are compared with the tile at once.
 BLOCK = 256
 
@@ -205,16 +207,23 @@ def short(bits: bytes) -> bytes:
 
 
 def _nodes(sketch: DataFrame, tiles: DataFrame) -> DataFrame:
-    """(node, n, signature, _id, _tx, short) of the nodes in tiles, with one document of each."""
+    """(node, n, signature, _id, _tx, short, leading) of the nodes in tiles, with one document of each and the least
+    shingles of its tiles."""
+    least = F.slice(F.array_sort(F.collect_set("shingle")), 1, LEADING).alias("least")  # of one set's prefix
+    listed = tiles.groupBy("node").agg(least)
     one = F.min(F.struct("_id", "_tx")).alias("d")
-    grouped = sketch.join(tiles.select("node").distinct(), "node", "left_semi").groupBy("node")
-    found = grouped.agg(F.first("n").alias("n"), F.first("signature").alias("signature"), one).select("node", "n", "signature", "d._id", "d._tx")
+    grouped = sketch.join(listed.select("node"), "node", "left_semi").groupBy("node")
+    found = grouped.agg(F.first("n").alias("n"), F.first("signature").alias("signature"), one).join(listed, "node")
+    found = found.select("node", "n", "signature", "d._id", "d._tx", "least")
+    schema = T.StructType([*found.schema.fields[:-1], T.StructField("short", T.BinaryType()), T.StructField("leading", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.append_column("short", pa.array(map(short, b.column("signature").to_pylist()), pa.binary()))
+            padded = [np.array((x + [2**63 - 1] * LEADING)[:LEADING], np.int64).tobytes() for x in b.column("least").to_pylist()]
+            more = [pa.array(map(short, b.column("signature").to_pylist()), pa.binary()), pa.array(padded, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], schema.names)
 
-    return found.mapInArrow(run, T.StructType([*found.schema.fields, T.StructField("short", T.BinaryType())]))
+    return found.mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -255,12 +264,15 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _met(tiles: DataFrame, percent: int) -> DataFrame:
-    """From rows (shingle, band, home, node, n, root, signature), the pairs of nodes of one tile and band that lie in different
-    components and that their signatures allow to be similar. Guests, from the band below, meet only those at home."""
+    """From rows (shingle, band, home, node, n, root, signature, leading), the pairs of nodes of one tile and band that lie in different
+    components and that their signatures allow to be similar. Guests, from the band below, meet only those at home. A pair that
+    meets in an earlier tile, as both nodes' leading shingles tell, is left to that tile."""
 
     def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         node, n, root, home = (rows[c].to_numpy() for c in ("node", "n", "root", "home"))
         bits = folded(rows["signature"].to_pylist())
+        leading = np.frombuffer(b"".join(rows["leading"].to_pylist()), np.int64).reshape(len(n), LEADING)
+        early = np.where(leading < rows["shingle"][0].as_py(), leading, -(2**63))  # later ones equal nothing
         for at in range(0, len(n), BLOCK):
             x = slice(at, at + BLOCK)
             fit = home[None, :] & (root[x, None] != root[None, :]) & (100 * n[x, None] >= percent * n[None, :])
@@ -270,6 +282,8 @@ def _met(tiles: DataFrame, percent: int) -> DataFrame:
                 u, v = i[k : k + 20_000] + at, j[k : k + 20_000]
                 only_u, only_v = (np.bitwise_count(a & ~b).sum(1, dtype=np.int64) for a, b in ((bits[u], bits[v]), (bits[v], bits[u])))
                 ok = may_be_similar(n[u], n[v], only_u, only_v, percent)
+                u, v = u[ok], v[ok]
+                ok = ~((early[u][:, :, None] == early[v][:, None, :]) & (early[u][:, :, None] > -(2**63))).any((1, 2))
                 if ok.any():
                     a, b = node[u[ok]], node[v[ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
@@ -337,7 +351,7 @@ def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     banded = banded.select("shingle", "node", "n", "root", "b.band", "b.home")
     several = (F.min("root") != F.max("root")) & F.bool_or("home")
     open_tiles = banded.groupBy("shingle", "band").agg(several.alias("open")).where("open").drop("open")
-    rows = banded.join(open_tiles, ["shingle", "band"], "left_semi").join(nodes.select("node", F.col("short").alias("signature")), "node")
+    rows = banded.join(open_tiles, ["shingle", "band"], "left_semi").join(nodes.select("node", F.col("short").alias("signature"), "leading"), "node")
     second = _links(_likely(_met(rows, percent).distinct(), nodes, percent), nodes, docs, k, percent)
     if second.head(1):
         roots = components(first.unionAll(second))
