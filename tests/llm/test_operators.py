@@ -1,0 +1,263 @@
+from __future__ import annotations
+
+import struct
+import zlib
+
+import numpy as np
+import pytest
+from test_contracts import removed, similar_by_pairs
+
+from cuelake.llm import bpe, language, license_scan, media, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, toxicity
+
+DOCS = "doc_id long, text string"
+
+
+def docs(spark, rows, schema=DOCS):
+    return spark.createDataFrame(rows, schema)
+
+
+# Media
+
+
+def gif() -> bytes:
+    return b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + bytes(6) + b"," + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x4c\x01\x00;"
+
+
+def jpeg() -> bytes:
+    part = lambda k, b: b"\xff" + bytes([k]) + struct.pack(">H", len(b) + 2) + b
+    return b"\xff\xd8" + part(0xE0, b"JFIF\0") + part(0xC0, bytes(9)) + part(0xDA, bytes(6)) + b"scan" + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("kind", ["wav", "bmp", "png"])
+def test_media_round_trip(kind):
+    for text in ("", "x", "é" * 100, "z" * 64):
+        _, payload = media.payload_of(text)
+        blob = media.WRITERS[kind](payload)
+        assert media.type_of(blob, media.media_in(blob)) == kind and media.samples(blob, kind) == payload
+
+
+def test_carving_and_broken_media(spark):
+    png, wav = media.WRITERS["png"](bytes(64)), media.WRITERS["wav"](bytes(64))
+    mixed = b"junk BM RIFF" + png + b"GIF8" + gif() + jpeg() + wav + b"\x89PNG"
+    assert [(k, n) for _, n, k in media.media_in(mixed)] == [("png", len(png)), ("gif", len(gif())), ("jpeg", len(jpeg())), ("wav", len(wav))]
+    broken = bytearray(png)
+    broken[40] ^= 1
+    assert media.media_in(bytes(broken)) == [] and media.media_in(None) == [] and media.media_in(wav[:-1]) == []
+    df = spark.createDataFrame([(1, mixed, "image/png", "a"), (2, png, "image/png", "b"), (3, None, None, "c"), (4, wav, "image/png", "d")], "id long, media binary, declared_type string, found string")
+    sniffed = media.sniff(df)
+    assert {r.id: (r.media_type, r.type_wrong) for r in sniffed.collect()} == {1: ("mixed", True), 2: ("png", False), 3: ("unknown", False), 4: ("wav", True)}
+    assert [(bytes(r.carved), r.carved_type) for r in media.carve(sniffed).collect()][0] == (png, "png") and media.carve(sniffed).count() == 4
+
+
+# Language
+
+
+def test_language_without_training_and_margin(spark):
+    df = docs(spark, [(1, "hello there"), (2, None), (3, "123"), (4, "")])
+    assert {r.lang_pred for r in language.identify(df, {}).collect()} == {"und"}
+    content = {"a": b"the and of with that " * 50, "b": b"der die das und nicht " * 50}
+    got = {r.doc_id: r for r in language.identify(docs(spark, [(1, "THE and of WITH that the and of with"), (2, "der die das und nicht der die"), (3, "1 2")]), content).collect()}
+    assert (got[1].lang_pred, got[2].lang_pred, got[3].lang_pred) == ("a", "b", "und") and not got[1].rejected and got[3].rejected
+
+
+# Quality rules
+
+
+def test_distance_bounds():
+    p = np.array([[1.0, 0], [0, 4], [2, 2], [0, 0]])
+    got = quality_rules.distance(p, np.array([3.0, 0]))
+    assert got[0] == 0 and got[1] == 1 and 0 < got[2] < 1
+
+
+def test_short_texts_are_not_judged(spark):
+    m = quality_rules.measure(docs(spark, [(1, "a b c d e f g h i j k")]).selectExpr("*", "'en' as lang"))
+    out = quality_rules.judge(m, quality_rules.references(m)).first()
+    assert out.char_distance is None and out.kept
+
+
+# Toxicity
+
+
+def model(words):
+    return toxicity._model(toxicity._log_probabilities(np.zeros((toxicity.CLASSES,) * 3), words), dict.fromkeys(words, 3.0), (-3.0, 1.0, 1.0, 1.0))
+
+
+@pytest.mark.parametrize("hidden", ["m0r0n", "M0R0N", "m o r o n", "m.o.r.o.n", "moooron", "m*ron", "mor0n!", "w0r+hle55", "w-o-r-t-h-l-e-s-s"])
+def test_hidden_words_are_restored(hidden):
+    s = toxicity.Scorer(model(["moron", "worthless"]))
+    plain, found = s.score([f"and the {hidden} was", "and the moon was", "", None])
+    assert found[0] == 1 and found[1] == 0 and plain[0] > plain[1] == plain[2]
+    assert ("moron" in s.restore(f"and the {hidden} was")) or ("worthless" in s.restore(f"and the {hidden} was"))
+    assert s.restore("and the moon was") == "and the moon was" and s.restore(None) is None
+
+
+def test_one_kind_of_labels(spark):
+    d = docs(spark, [(i, f"text number {i}") for i in range(5)])
+    labels = spark.createDataFrame([(i, 0) for i in range(5)], "doc_id long, toxic int")
+    assert {r.score for r in toxicity.score(d, toxicity.fit(d, labels)).collect()} == {0.0}
+
+
+# Quality classifier
+
+
+def test_no_labels_mean_half(spark):
+    d = docs(spark, [(1, "a"), (2, None)])
+    m = quality_classifier.fit(d, spark.createDataFrame([], "doc_id long, quality int"))
+    assert [r.score for r in quality_classifier.score(d, m).collect()] == [0.5, 0.5]
+
+
+def test_votes_equal_brute_force():
+    rng = np.random.default_rng(3)
+    m = quality_classifier.Model(np.eye(quality_classifier.FEATURES, 8, dtype=np.float32), quality_classifier.unit(rng.normal(size=(60, 8)).astype(np.float32)), (rng.random(60) > 0.4).astype(np.float32), 0.5)
+    x = np.zeros((20, quality_classifier.FEATURES), np.float32)
+    x[:, :8] = rng.normal(size=(20, 8))
+    cosine = quality_classifier.unit(x @ m.projection) @ m.vectors.T
+    for row, got in zip(cosine, quality_classifier.vote(m, x), strict=True):
+        near = np.argsort(-row)[: quality_classifier.NEIGHBOURS]
+        w = np.maximum(row[near], 0)
+        assert got == pytest.approx((w * m.labels[near]).sum() / w.sum(), abs=1e-5)
+
+
+# BPE
+
+
+def test_transducer_finds_its_words_and_no_other(tmp_path):
+    rng = np.random.default_rng(1)
+    words = {"".join(rng.choice(list("abcé"), rng.integers(1, 7))): [int(i) for i in rng.integers(0, 9, rng.integers(1, 4))] for _ in range(400)}
+    arrays = bpe.compile_lexicon(words)
+    (tmp_path / "x").write_bytes(bpe.pack(arrays))
+    lexicon = bpe.Lexicon(str(tmp_path / "x"))
+    others = ["".join(rng.choice(list("abcéd"), rng.integers(1, 8))) for _ in range(400)] + [""]
+    for w, found in zip([*words, *others], lexicon.find([*words, *others]), strict=True):
+        assert (None if found is None else np.frombuffer(found, np.uint32).tolist()) == words.get(w)
+    plain = sum(len(w.encode()) for w in words)
+    assert len(arrays["final"]) < plain / 4  # states are shared
+
+
+def test_long_pretokens_merge_alike():
+    v = bpe.vocabulary(bpe.vocabulary_path())
+    for w in ("a" * 700, "ab" * 400, "%" * 513, "the" * 200):
+        short = bpe.LONG_WORD
+        try:
+            bpe.LONG_WORD = 10**9
+            one_by_one = v.merge(w)
+        finally:
+            bpe.LONG_WORD = short
+        assert v.merge(w) == one_by_one
+
+
+# Near duplicates and substrings
+
+
+def words(rng, n, vocabulary=40):
+    return " ".join(f"w{i}" for i in rng.integers(0, vocabulary, n))
+
+
+def near_copies(seed=2, bases=6, copies=12):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for _ in range(bases):
+        base = words(rng, int(rng.integers(20, 160)), 400).split()
+        for _ in range(copies):
+            one = list(base)
+            for _ in range(int(rng.integers(0, 5))):
+                one[int(rng.integers(0, len(one)))] = f"x{rng.integers(0, 5)}"
+            rows.append((len(rows), " ".join(one)))
+    return rows
+
+
+@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80), (2, 60)])
+def test_similar_equals_all_pairs(spark, k, percent):
+    rows = near_copies()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar(docs(spark, rows).repartition(5), k, percent).collect()}
+    assert got == similar_by_pairs(dict(rows), k, percent)
+
+
+def test_similar_with_common_shingles_last(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COMMON_SETS", 2)
+    monkeypatch.setattr(ngram_join, "BROADCAST_NODES", 0)
+    rows = near_copies(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar(docs(spark, rows), 4, 85).collect()}
+    assert got == similar_by_pairs(dict(rows), 4, 85)
+
+
+def test_one_of_each_keeps_all_columns(spark):
+    rows = [(3, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "other words are in here", None), (4, None, "z"), (1, "a b c d e f", "y")]
+    out = ngram_join.one_of_each(docs(spark, rows, "doc_id long, text string, label string"), 5, 80)
+    assert sorted((r.doc_id, r.label) for r in out.collect()) == [(1, "y"), (2, None), (4, "z")]
+
+
+def test_signature_bound_is_safe():
+    rng = np.random.default_rng(4)
+    for n in (3, 60, 900, 9000):
+        x, y = (np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for _ in range(2))
+        y = np.unique(np.concatenate((x[: int(n * 0.9)], y[: n // 10])))
+        a, b = (np.unpackbits(v) for v in ngram_join.folded([ngram_join.signature(x), ngram_join.signature(y)]))
+        assert (a > b).sum() <= len(np.setdiff1d(x, y)) and (b > a).sum() <= len(np.setdiff1d(y, x))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_substrings_equal_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SEGMENT", 300)  # many segments
+    rng = np.random.default_rng(seed)
+    passages = [words(rng, int(rng.integers(18, 60)), 30) for _ in range(5)]
+    rows = []
+    for d in range(50):
+        parts = [passages[int(rng.integers(0, 5))] if rng.random() < 0.4 else words(rng, int(rng.integers(0, 40)), 30) for _ in range(4)]
+        rows.append((d, " ".join(parts)))
+    rows += [(100, "a " * 100), (101, None), (102, ""), (103, rows[3][1])]
+    out = {r.doc_id: r for r in substring_dedup.remove(docs(spark, rows).repartition(4)).collect()}
+    for d, (w, kept) in removed(dict(rows)).items():
+        assert (out[d].n_words, out[d].n_removed) == (len(w), len(w) - len(kept))
+        if out[d].n_removed:
+            assert out[d].text == " ".join(kept)
+
+
+def test_factors_point_at_equal_words(spark):
+    rng = np.random.default_rng(9)
+    shared = words(rng, 50, 10_000)
+    rows = [(1, f"x y {shared} z"), (2, f"q {shared}"), (3, words(rng, 60, 10_000))]
+    text = {d: t.split() for d, t in rows}
+    for r in substring_dedup.spans(docs(spark, rows)).collect():
+        for f in r.factors:
+            assert text[r.doc_id][f.start : f.start + f.words] == text[f.ref_id][f.ref_pos : f.ref_pos + f.words] and f.words >= 20
+    assert [(f.start, f.words, f.ref_id, f.ref_pos) for f in substring_dedup.spans(docs(spark, rows)).where("doc_id = 2").first().factors] == [(1, 50, 1, 2)]
+
+
+# Mixing
+
+
+def test_targets_are_filled_by_weight():
+    t = mixing.targets_of({"a": 100, "b": 10, "c": 10, None: 0}, mixing.weights_of(["a", "b", "c", None]))
+    assert t[None] == 0 and t["b"] == 30 and t["a"] + t["b"] + t["c"] == pytest.approx(120) and all(t[s] <= 3 * n + 1e-9 for s, n in (("a", 100), ("b", 10), ("c", 10)))
+
+
+def test_flow_prefers_first_copies():
+    flow = mixing.route([(("a",), 10), (("a", "b"), 10), (("b",), 10)], {"a": 12.0, "b": 18.0})
+    passed = {p: sum(f for (q, _), f in flow.items() if q == p) for p in [("a",), ("a", "b"), ("b",)]}
+    assert passed == {("a",): 10, ("a", "b"): 10, ("b",): 10}
+
+
+def test_mix_overlapping_sources(spark):
+    rows = [(i, "w " * (5 + i % 3), [["a"], ["a", "b"], ["b", None]][i % 3]) for i in range(60)]
+    df = docs(spark, rows, "doc_id long, text string, tags array<string>")
+    out = mixing.mix(mixing.with_size(df), "tags").collect()
+    assert len(out) == 60 and sum(r.taken for r in out) == pytest.approx(sum(r["size"] for r in out), rel=0.1)
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mix(mixing.with_size(df), "tags").collect()))
+
+
+# Licenses
+
+
+def test_license_with_words_put_in_and_left_out(spark):
+    text = license_scan.TEMPLATES[3].text.split()
+    changed = [*text[:8], "really", *text[8:14], *text[15:]]
+    rows = [(1, " ".join(text)), (2, "x y " + " ".join(changed)), (3, " ".join(text[:6])), (4, "the MIT\nLicense. MIT license"), (5, None)]
+    got = {r.doc_id: r for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert (got[1].labels, got[1].score, got[1].n_base) == ("mit", 1.0, 0)
+    assert got[2].labels == "mit" and 0.6 < got[2].score < 1 and got[2].n_spans == 1
+    assert got[3].labels == "" and (got[4].n_base, got[4].first_word, got[4].last_word) == (2, 1, 3) and got[5].n_words == 0
+
+
+def test_checksums_of_payload():
+    assert zlib.crc32(media.payload_of(None)[1]) == zlib.crc32(bytes(64))
