@@ -42,7 +42,7 @@ BROADCAST_NODES = 200_000
 #: Common shingles, at most, that go last in the order (any choice gives the same links).
 COMMON = 300_000
 #: Shingles that a task looks over at once for common ones, and the sets among them that make one common.
-LOOK_OVER, COMMON_SETS = 4_000_000, 4
+LOOK_OVER, COMMON_SETS = 1_500_000, 2
 #: Least shingles of a node's tiles by which a pair is left to the first tile that both nodes are known to share.
 LEADING = 8
 #: Nodes of a tile that are compared with the tile at once.

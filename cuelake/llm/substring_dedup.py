@@ -37,7 +37,7 @@ from ._words import spans as word_spans
 WINDOW = 20
 ANCHOR = 5
 #: Words that a task holds before it settles its repeats.
-SEGMENT = 2_000_000
+SEGMENT = 400_000
 
 #: Kinds of rows: a block by anchor, a window, a copy that is settled, and a block whose windows are to be looked up.
 BLOCK, LOOKUP, COPY, CHECK = 0, 1, 2, 3
