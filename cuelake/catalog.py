@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as X
-from cuelake.operators import clean, identity, intervals, quality, review, scenes, sinks, targets, terms
-from cuelake.plans import recognition
+from cuelake import providers
+from cuelake.operators import clean, identity, intervals, playback, quality, review, scenes, sinks, targets, terms
+from cuelake.plans import recognition, translation
+from cuelake.sources import files
 from cuelake.sources import fixtures as fx
 from cuelake.sources import srt
 from cuelake.streaming import live
@@ -370,3 +372,63 @@ def launch_policy(spark: SparkSession, d: str) -> DataFrame:
     players = F.when(F.col("event_type") == "view", F.array(F.col("event_type"))).when(F.col("event_type") == "click", F.array(F.col("event_type"), F.lit("other"))).otherwise(F.array().cast("array<string>"))
     snapshots = rows.select(F.col("run_id").alias("key"), F.floor(F.col("at_ms") / 3600).alias("at_ms"), "seq", players.alias("players"), (F.col("event_type") == "purchase").alias("running"), (F.col("seq") % 4 == 0).alias("starts"))
     return live.launches(snapshots)
+
+
+@query
+def repair_ledger(spark: SparkSession, d: str) -> DataFrame:
+    return translation.repair(fx.targets(spark, d), providers.Echo()).select("media_id", "cue_id", "seq", "after", "accepted", "reason")
+
+
+@query
+def repaired_targets(spark: SparkSession, d: str) -> DataFrame:
+    pairs = fx.targets(spark, d)
+    return translation.apply(pairs, translation.repair(pairs, providers.Echo())).select("media_id", "cue_id", "target")
+
+
+@query
+def pending_scenes(spark: SparkSession, d: str) -> DataFrame:
+    work = _scenes(spark, d).withColumn("key", F.col("media_id") * 1000 + F.col("scene_idx"))
+    return providers.unfinished(work, work.where("scene_idx % 3 = 0"), "key").select("media_id", "scene_idx")
+
+
+@query
+def title_resolution(spark: SparkSession, d: str) -> DataFrame:
+    rows = _ledger(spark, d)
+    path = F.concat(F.lit("C:/v/"), "event_type", F.lit(".mkv"))
+    known = rows.where("event_type in ('view', 'click')").groupBy(F.col("run_id").alias("key"), path.alias("path")).agg(F.max("seq").alias("last_seq"))
+    current = rows.select(F.col("run_id").alias("key")).distinct().withColumn("path", F.lit("C:/v/purchase.mkv"))
+    links = rows.where("event_type = 'error'").select(F.col("run_id").alias("key"), F.lit("C:/v/link.mkv").alias("path")).distinct()
+    titles = rows.select(F.col("run_id").alias("key"), playback.display_name(F.concat(F.upper("event_type"), F.lit(".mkv 1080p - Player")), " - Player").alias("shown")).distinct()
+    return playback.resolve(titles, known, current, links)
+
+
+@query
+def command_line_media(spark: SparkSession, d: str) -> DataFrame:
+    rows = _ledger(spark, d)
+    line = F.concat(F.lit('player.exe /new "C:/my v/'), "event_type", F.lit('.MKV" -x file:///D:/'), "event_type", F.lit(".mp4 notes.txt"))
+    return playback.command_line_media(rows.select(F.col("run_id").alias("pid"), "seq", line.alias("line")))
+
+
+@query
+def next_request(spark: SparkSession, d: str) -> DataFrame:
+    path = F.when(F.col("seq") % 3 == 1, "  ").otherwise(F.concat(F.lit("C:/v/"), "event_type"))
+    rows = _ledger(spark, d).select(F.col("run_id").alias("key"), F.col("event_id").cast("string").alias("name"), F.col("at_ms").alias("modified_ms"), path.alias("path"))
+    return files.next_request(rows)
+
+
+@query
+def inbox(spark: SparkSession, d: str) -> DataFrame:
+    slots = _ledger(spark, d).groupBy("run_id").agg(F.max("at_ms").alias("at_ms")).withColumn("at_ms", F.floor(F.col("at_ms") / 1000))
+    return live.take_inbox(slots, 2_500_000)
+
+
+@query
+def source_choice(spark: SparkSession, d: str) -> DataFrame:
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("media_id"), "source")
+    options = F.array(
+        F.when(F.col("media_id") % 3 == 0, F.struct(F.lit(0).alias("rank"), F.lit("file").alias("kind"))),
+        F.when(F.col("media_id") % 2 == 0, F.struct(F.lit(1).alias("rank"), F.lit("track").alias("kind"))),
+        F.struct(F.lit(2).alias("rank"), F.lit("recognised").alias("kind")),
+    )
+    rows = docs.select("media_id", F.explode(F.array_compact(options)).alias("o"), F.col("source").alias("path"))
+    return identity.source_choice(rows.select("media_id", "o.rank", F.col("o.kind").alias("kind"), "path"))

@@ -321,3 +321,20 @@ SQL: dict[str, str] = {
       l AS (SELECT key, lower(path) AS f, max(seq) AS last_seq, arg_max(path, seq) AS path FROM p GROUP BY 1, 2) SELECT key, path, last_seq, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY last_seq DESC) AS rank FROM l) WHERE rank <= {C.RECENT_PATHS}""",
 }
 SQL["media_changes"] = SQL["media_changes"].replace("SELECT * FROM (SELECT *, lag", "SELECT session, seq, path FROM (SELECT *, lag")
+
+REPAIRS = f"""asked AS (SELECT *, CASE WHEN contains(source, 'fail') THEN NULL ELSE '[' || source || ']' END AS after FROM pairs WHERE ({defect("target")}) IS NOT NULL),
+judged AS (SELECT *, CASE WHEN after IS NULL THEN 'missing-candidate' WHEN target IS NOT DISTINCT FROM after THEN 'unchanged' WHEN ({defect("after")}) IS NOT NULL THEN 'deterministic-defect' END AS why FROM asked)"""
+
+SQL |= {
+    "repair_ledger": f"""WITH {PAIRS}, {REPAIRS} SELECT media_id, cue_id, row_number() OVER (PARTITION BY media_id ORDER BY cue_id) AS seq, after, why IS NULL AS accepted, coalesce(why, 'rule-repair') AS reason FROM judged""",
+    "repaired_targets": f"WITH {PAIRS}, {REPAIRS} SELECT p.media_id, p.cue_id, CASE WHEN j.media_id IS NOT NULL THEN j.after ELSE p.target END AS target FROM pairs p LEFT JOIN judged j ON j.media_id = p.media_id AND j.cue_id = p.cue_id AND j.why IS NULL",
+    "pending_scenes": f"WITH RECURSIVE {CUES}, {scenes('cues')} SELECT media_id, scene_idx FROM scenes WHERE scene_idx % 3 <> 0",
+    "title_resolution": f"""WITH {LEDGER}, t AS (SELECT DISTINCT run_id AS key, event_type, upper(event_type) || '.mkv 1080p' AS shown FROM ledger), e AS (SELECT DISTINCT run_id FROM ledger WHERE failed)
+      SELECT key, shown, CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'C:/v/' || event_type || '.mkv' WHEN e.run_id IS NOT NULL THEN 'C:/v/link.mkv' END AS path FROM t LEFT JOIN e ON e.run_id = t.key""",
+    "command_line_media": f"""WITH {LEDGER}, f AS (SELECT run_id AS pid, arg_min(event_type, seq) AS x FROM ledger GROUP BY 1) SELECT pid, 'C:/my v/' || x || '.MKV' AS path FROM f UNION ALL SELECT pid, 'D:/' || x || '.mp4' FROM f""",
+    "next_request": f"""WITH {LEDGER} SELECT key, name, modified_ms, path FROM (SELECT run_id AS key, CAST(event_id AS VARCHAR) AS name, at_ms AS modified_ms, 'C:/v/' || event_type AS path,
+      row_number() OVER (PARTITION BY run_id ORDER BY at_ms, CAST(event_id AS VARCHAR)) AS r FROM ledger WHERE seq % 3 <> 1) WHERE r = 1""",
+    "inbox": f"WITH {LEDGER}, s AS (SELECT run_id, max(at_ms) // 1000 AS at_ms FROM ledger GROUP BY 1) SELECT run_id, at_ms FROM s WHERE 2500000 - at_ms <= {C.INBOX_TTL_MS}",
+    "source_choice": """SELECT doc_id AS media_id, CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS rank,
+      CASE WHEN doc_id % 3 = 0 THEN 'file' WHEN doc_id % 2 = 0 THEN 'track' ELSE 'recognised' END AS kind, source AS path FROM documents""",
+}
