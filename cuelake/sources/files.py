@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SECONDS_KEPT = 600
 
@@ -37,7 +38,7 @@ def wav_length(raw: bytes | None) -> float | None:
     return None
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def wav_seconds(content: pd.Series) -> pd.Series:
     return content.map(wav_length)
 
