@@ -13,8 +13,10 @@ SECONDS_KEPT = 600
 
 
 def parse_json(text: Column, schema: str, fallback: Column) -> Column:
-    """The document, or the fallback where the text is missing or malformed."""
-    return F.coalesce(F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_none"}), fallback)
+    """The document (a struct by DDL), or the fallback where the text is missing or malformed."""
+    marked = f"{schema.rstrip().removesuffix('>')}, _corrupt:string>"
+    parsed = F.from_json(text, marked, {"columnNameOfCorruptRecord": "_corrupt"})
+    return F.when(parsed.isNotNull() & parsed["_corrupt"].isNull(), parsed.dropFields("_corrupt")).otherwise(fallback)
 
 
 def read_json(spark: SparkSession, paths: str | list[str], schema: str, fallback: Column) -> DataFrame:
