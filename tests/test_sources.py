@@ -26,7 +26,7 @@ def test_wav_files(spark, tmp_path):
 
 
 def test_json_files_fall_back(spark, tmp_path):
-    for name, text in (("a", json.dumps({"n": 3})), ("b", "{broken"), ("c", "")):
+    for name, text in (("a", json.dumps({"n": 3})), ("b", "{broken"), ("c", "[1")):
         (tmp_path / f"{name}.json").write_text(text)
     out = files.read_json(spark, str(tmp_path), "struct<n:int>", F.struct(F.lit(7).alias("n")))
     assert sorted((r.path[-6:], r.document.n) for r in out.collect()) == [("a.json", 3), ("b.json", 7), ("c.json", 7)]
