@@ -385,3 +385,17 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+OP7_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(list_transform(range(greatest(len(w) - {SHINGLE - 1}, least(len(w), 1))), lambda p: array_to_string(w[p + 1:p + {SHINGLE}], ' '))) AS s FROM d),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+l AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= {PERCENT} * b.n AND 100 * b.n >= {PERCENT} * a.n
+      GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+b AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT u, u AS v FROM b UNION SELECT r.u, b.v FROM r JOIN b ON r.v = b.u)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(m, s.doc_id) AS component_id
+FROM s LEFT JOIN (SELECT u, min(v) AS m FROM r GROUP BY u) q ON q.u = s.doc_id
+"""

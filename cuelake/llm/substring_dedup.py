@@ -333,3 +333,16 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return _per_document(docs, ["doc_id"], "n_words long, n_removed long, kept_sha256 string", one)
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, p, array_to_string(w[p + 1:p + {WINDOW}], ' ') AS k FROM d, unnest(range(len(w) - {WINDOW} + 1)) AS r(p)),
+c AS (SELECT doc_id, list_distinct(flatten(list(range(p, p + {WINDOW})))) AS gone
+      FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM x) WHERE n > 1 GROUP BY doc_id),
+g AS (SELECT c.doc_id, i FROM c, unnest(gone) AS u(i)),
+k AS (SELECT d.doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY i) AS rest
+      FROM (SELECT doc_id, p AS i, w[p + 1] AS word FROM d, unnest(range(len(w))) AS r(p)) d ANTI JOIN g USING (doc_id, i) GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
