@@ -35,11 +35,11 @@ MARGIN = 0.02
 
 def train(df: DataFrame, lang: str = "lang", text: str = "text", rows: int = TRAIN_ROWS) -> dict[str, bytes]:
     """A dictionary's content for each language: pieces of at most `rows` rows, chosen by a hash of the text."""
-    labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"),
-        F.xxhash64(text).alias("h"),
-        F.substring(text, 1, TRAIN_CHARS_PER_ROW).alias("piece"),
-    )
+    labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    # Of many rows only those with small hashes are looked at: about four times as many as are taken, in one task a language.
+    share = labelled.groupBy("lang").agg((F.lit(4.0 * rows * 2**30) / F.count("*")).alias("least"))
+    few = labelled.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(2**30)) < F.col("least"))  # a row a language
+    labelled = few.select("lang", "h", F.substring("text", 1, TRAIN_CHARS_PER_ROW).alias("piece"))
     first = Window.partitionBy("lang").orderBy("h", "piece")
     chosen = labelled.withColumn("i", F.row_number().over(first)).where(F.col("i") <= rows)
     joined = chosen.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "piece"))).alias("p"))
