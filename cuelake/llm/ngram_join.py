@@ -34,8 +34,8 @@ from ._words import ascii_lower, chunks, gram_hashes, row_bounds, spans, utf8, w
 
 SHINGLE = 4
 PERCENT = 85
-#: Bits of a signature: the power of two from twice a set's size on, between these; tiles take the first with at most
-#: TILE_BITS, folded.
+#: Bits of a signature: the power of two from twice a set's size on, between these. In tiles they are folded to TILE_BITS
+#: at most.
 LEAST_BITS, MOST_BITS, TILE_BITS = 64, 8192, 1024
 #: Nodes whose sets are to be read, up to which their keys are broadcast to the scan (they are counted first).
 BROADCAST_NODES = 200_000
@@ -202,8 +202,8 @@ def _tiles(prefixes: DataFrame) -> DataFrame:
 
 
 def short(bits: bytes) -> bytes:
-    """A signature of half the bits, and of TILE_BITS at most."""
-    return folded([bits], min(max(len(bits) // 2, LEAST_BITS // 8), TILE_BITS // 8)).tobytes()
+    """A signature of TILE_BITS at most."""
+    return folded([bits], min(len(bits), TILE_BITS // 8)).tobytes()
 
 
 def _nodes(sketch: DataFrame, tiles: DataFrame) -> DataFrame:
