@@ -39,9 +39,10 @@ def cut_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(mixing.with_size(docs))
-    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).cast("int")
-    return mixed.where("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))  # other columns can't clash
+    mixed = mixing.mix(mixing.with_size(rows)).where("taken > 0")
+    copies = (F.col("taken") / F.col("size")).cast("int")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select("_row.*")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

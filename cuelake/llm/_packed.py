@@ -12,9 +12,9 @@ from ._base import row_key
 
 
 def packed(docs: DataFrame, *keep: str) -> DataFrame:
-    """(_id, _tx, packed) of each row of docs (a null text is empty), and the columns to keep."""
+    """(_id, _tx, _packed) of each row of docs (a null text is empty), and the columns to keep."""
     rows = docs.select(*row_key(), *keep, "text")
-    schema = T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("packed", T.BinaryType())])
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("_packed", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -28,10 +28,10 @@ def packed(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The batch with `text` in place of `packed`."""
+    """The batch with `text` in place of `_packed`."""
     import zstandard
 
     unsqueeze = zstandard.ZstdDecompressor().decompress
-    texts = [unsqueeze(p).decode("utf-8", "surrogatepass") for p in batch.column("packed").to_pylist()]
-    rest = [n for n in batch.schema.names if n != "packed"]
+    texts = [unsqueeze(p).decode("utf-8", "surrogatepass") for p in batch.column("_packed").to_pylist()]
+    rest = [n for n in batch.schema.names if n != "_packed"]
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(texts, pa.string())], [*rest, "text"])

@@ -7,8 +7,8 @@ MOST_COPIES. The flow says how many words each pattern gives to each source. A p
 documents as long as they fit, and the rest goes to documents in the order of a seeded hash.
 
 Defined results: a null source is a source of its own, ordered last; null and empty texts have size 0 and give nothing;
-with no words at all every target is 0; ties of the seeded hash go by doc_id, then by the text's hash; rows that repeat a doc_id and
-text are told apart by nothing, so they are taken together; extra columns pass through `mix`.
+with no words at all every target is 0; ties of the seeded hash go by doc_id, then by the text's hash; nothing tells rows
+apart that repeat a doc_id and text, so they are taken together; extra columns pass through `mix`.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from ._base import NULL_ID, documents, staged
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 SEED = 17
-#: Hash prefixes by which the last copy's documents are found in two steps, so that no window holds a whole source.
-BUCKETS = 4096
+#: Hex digits of the hash that make a bucket: the last copy's documents are found in two steps, so that no window holds a
+#: whole source.
+BUCKET_DIGITS = 3
 
 
 def size_of(text: Column) -> Column:
@@ -133,13 +134,13 @@ def mix(sized: DataFrame, source: str = "source", weights: tuple[float, ...] = W
     pattern = F.array_sort(F.array_distinct(F.col(source))) if plain.startswith("array") else F.array(F.col(source))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     keyed = sized.withColumns({"_pattern": pattern, "_order": F.struct(order.alias("h"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("i"), F.col("_tx").alias("t"))})
-    keyed = keyed.withColumn("_bucket", F.conv(F.substring("_order.h", 1, 3), 16, 10).cast("int"))  # 16 ** 3 are BUCKETS
+    keyed = keyed.withColumn("_bucket", F.conv(F.substring("_order.h", 1, BUCKET_DIGITS), 16, 10).cast("int"))
     buckets = staged(keyed.groupBy("_pattern", "_bucket").agg(F.sum("size").alias("words")), "mix")
     plan = plan_of(buckets, plain if plain.startswith("array") else f"array<{plain}>", weights, most)
     same = F.col("_pattern").eqNullSafe(F.col("_p"))
     # The bucket in which a pattern's last words lie, and how many of them.
     below = Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    at = buckets.withColumn("_below", F.coalesce(F.sum("words").over(below), F.lit(0)))  # at most BUCKETS rows a pattern
+    at = buckets.withColumn("_below", F.coalesce(F.sum("words").over(below), F.lit(0)))  # at most 16 ** BUCKET_DIGITS rows a pattern
     cuts = at.join(F.broadcast(plan), same).where("_below < _rest and _rest <= _below + words")
     cuts = staged(cuts.select("_p", F.col("_bucket").alias("_cut"), (F.col("_rest") - F.col("_below")).alias("_into")), "mix-cut")
     # Within that bucket, the last document taken: the one after it would miss the target by more than it helps.

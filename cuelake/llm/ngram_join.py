@@ -232,14 +232,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in chunks(unpacked(b) if "packed" in b.schema.names else b):
+            for c in chunks(unpacked(b) if "_packed" in b.schema.names else b):
                 yield pa.RecordBatch.from_arrays([c.column("node"), pa.array([s.tobytes() for s in shingle_sets(c, k)], pa.binary())], ["node", "shingles"])
 
     wanted = staged(wanted, "wanted")
     if wanted.count() <= BROADCAST_NODES:
         found = docs.select(*row_key(), "text").join(F.broadcast(wanted), ["_id", "_tx"]).select("node", "text")
     else:
-        found = packed(docs).join(wanted, ["_id", "_tx"]).select("node", "packed")
+        found = packed(docs).join(wanted, ["_id", "_tx"]).select("node", "_packed")
     found = found.mapInArrow(unpack, "node long, shingles binary")
     return staged(found, "sets").dropDuplicates(["node"])  # rows that repeat doc_id and text
 
@@ -380,7 +380,7 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
         for b in batches:
             yield unpacked(b)
 
-    return kept.select(*rest, "packed").mapInArrow(unpack, schema).select(*docs.columns)
+    return kept.select(*rest, "_packed").mapInArrow(unpack, schema).select(*docs.columns)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
