@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.conf.get("cuelake.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cuelake-")
+        own = tempfile.mkdtemp(prefix="cuelake-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set("cuelake.checkpoint.dir", found)
     return found.rstrip("/")
 
