@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._base import row_key
+from ._base import lean, row_key
 
 
 def packed(docs: DataFrame, *keep: str) -> DataFrame:
@@ -16,6 +16,7 @@ def packed(docs: DataFrame, *keep: str) -> DataFrame:
     rows = docs.select(*row_key(), *keep, "text")
     schema = T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("_packed", T.BinaryType())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 

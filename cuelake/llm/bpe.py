@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import documents, most_frequent, shared_dir, small_batches, staged
+from ._base import documents, lean, most_frequent, shared_dir, small_batches, staged
 from ._words import chunks
 
 #: Words of the lexicon, at most (the most frequent ones), and the occurrences that a word needs.
@@ -241,6 +241,7 @@ def _added(df: DataFrame, source: str, added: T.StructField, maker) -> DataFrame
     keep = [f for f in df.schema.fields if f.name != added.name]
     schema = T.StructType([*keep, added])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import crc_mod, documents, small_batches
+from ._base import crc_mod, documents, lean, small_batches
 
 UNKNOWN = "und"
 #: Labelled rows of each language that may train its dictionary, characters taken of each and bytes in all.
@@ -88,6 +88,7 @@ def identify(df: DataFrame, content: dict[str, bytes], text: str = "text") -> Da
     schema = T.StructType(keep + added.fields)
     letters: Column = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import documents, small_batches
+from ._base import documents, lean, small_batches
 
 #: Samples in a row of a stored image; payloads are padded to a multiple of it.
 UNIT = 64
@@ -227,6 +227,7 @@ def _with_columns(df: DataFrame, fn: Callable[[dict], dict], source: list[str],
     keep = [f for f in df.schema.fields if f.name not in added.fieldNames()]
     schema = T.StructType(keep + added.fields)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import NULL_ID, documents, most_frequent, row_key, small_batches, staged
+from ._base import NULL_ID, documents, lean, most_frequent, row_key, small_batches, staged
 from ._graph import components
 from ._packed import packed, unpacked
 from ._words import ascii_lower, chunks, gram_hashes, row_bounds, spans, utf8, word_hashes
@@ -99,6 +99,7 @@ def prefix_length(n: int, percent: int) -> int:
 def _sketch(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     """One row a document (_id, _tx, node, n, signature), and the sorted hashes of the most common shingles."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_id", "_tx", "node", "n", "signature", "shingle"]
         held: list[np.ndarray] = []
@@ -141,6 +142,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> Data
     """(shingle, node, n) for the shingles of each set's prefix; a task writes equal sets once."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, seen = shared.value, set()
         for b in batches:
@@ -172,6 +174,7 @@ def _tiles(prefixes: DataFrame) -> DataFrame:
     """The prefix rows whose shingle has two nodes or more, each (shingle, node) once. Each task streams through its sorted
     rows, so a tile may be of any size."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row so far, not yet written
         held_with = False  # whether the row before it had the same shingle
@@ -217,6 +220,7 @@ def _nodes(sketch: DataFrame, tiles: DataFrame) -> DataFrame:
     found = found.select("node", "n", "signature", "d._id", "d._tx", "least")
     schema = T.StructType([*found.schema.fields[:-1], T.StructField("short", T.BinaryType()), T.StructField("leading", T.BinaryType())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             padded = [np.array((x + [2**63 - 1] * LEADING)[:LEADING], np.int64).tobytes() for x in b.column("least").to_pylist()]
@@ -230,6 +234,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, shingles) of the wanted (node, _id, _tx). Few wanted keys are broadcast, so no text is shuffled; else texts are
     packed before they are."""
 
+    @lean
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in chunks(unpacked(b) if "_packed" in b.schema.names else b):
@@ -251,6 +256,7 @@ def _ends(what: DataFrame, end: str) -> DataFrame:
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that their signatures allow to be similar."""
 
+    @lean
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -288,6 +294,7 @@ def _met(tiles: DataFrame, percent: int) -> DataFrame:
                     a, b = node[u[ok]], node[v[ok]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for b in batches:
@@ -308,6 +315,7 @@ def _met(tiles: DataFrame, percent: int) -> DataFrame:
 def _links(likely: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) of nodes whose sets are similar, by exact intersection."""
 
+    @lean
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -376,6 +384,7 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     kept = packed(docs, *rest).join(leads, ["_id", "_tx"]).dropDuplicates(["_id", "_tx"])
     schema = T.StructType([*(docs.schema[c] for c in rest), docs.schema["text"]])
 
+    @lean
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield unpacked(b)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import crc_mod, documents, small_batches
+from ._base import crc_mod, documents, lean, small_batches
 from ._words import chunks, utf8
 
 #: Labelled rows that are fitted, at most: those with the smallest hashes of doc_id.
@@ -83,6 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     """docs: doc_id, text; labels: doc_id and a 0/1 label. At most `rows` labelled rows are used."""
     small_batches(docs.sparkSession)
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in chunks(b):
@@ -125,6 +126,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     keep = [f for f in df.schema.fields if f.name != "score"]
     schema = T.StructType([*keep, T.StructField("score", T.DoubleType())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import documents, small_batches, staged
+from ._base import documents, lean, small_batches, staged
 
 WINDOW = 5
 LEAST_WORDS = 10
@@ -121,6 +121,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     keep = [f for f in df.schema.fields if f.name not in added.fieldNames()]
     schema = T.StructType(keep + added.fields)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -166,6 +167,7 @@ def judge(measured: DataFrame, known: dict[str, tuple[list[int], list[int]]]) ->
     chars = [np.array(known[x][0], float) for x in names]
     words = [np.array(known[x][1], float) for x in names]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 

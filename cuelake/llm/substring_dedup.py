@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import documents, row_key, small_batches, staged
+from ._base import documents, lean, row_key, small_batches, staged
 from ._packed import packed, unpacked
 from ._words import chunks, gram_hashes, mix, row_bounds, span_hashes, utf8, word_hashes
 from ._words import spans as word_spans
@@ -37,7 +37,7 @@ from ._words import spans as word_spans
 WINDOW = 20
 ANCHOR = 5
 #: Words that a task holds before it settles its repeats.
-SEGMENT = 400_000
+SEGMENT = 250_000
 
 #: Kinds of rows: a block by anchor, a window, a copy that is settled, and a block whose windows are to be looked up.
 BLOCK, LOOKUP, COPY, CHECK = 0, 1, 2, 3
@@ -135,6 +135,7 @@ def _hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, wide = Segment(), WINDOW - ANCHOR + 1
         for b in batches:
@@ -169,6 +170,7 @@ def _resolve(dealt: DataFrame) -> DataFrame:
     the first of each block that shares its anchor with another, and LOOKUP rows for the first of each window. COPY rows
     pass."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for b in batches:
@@ -219,6 +221,7 @@ def _resolve(dealt: DataFrame) -> DataFrame:
 def _looked_up(docs: DataFrame, checks: DataFrame) -> DataFrame:
     """LOOKUP and COPY rows for the windows of the blocks to be checked."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
         held = 0
@@ -279,6 +282,7 @@ def _per_document(docs: DataFrame, keep: list[str], added: str, fn) -> DataFrame
     new = T.StructType.fromDDL(added)
     schema = T.StructType([f for f in joined.schema.fields if f.name in keep] + new.fields)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import crc_mod, documents, small_batches
+from ._base import crc_mod, documents, lean, small_batches
 from ._words import chunks, mix, span_hashes
 
 #: Labelled rows that are fitted, at most: those with the smallest hashes of doc_id.
@@ -248,6 +248,7 @@ def character_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Counts of the character trigrams in the words of all texts; each task adds up its own first."""
     small_batches(docs.sparkSession)
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**3, np.int64)
         for b in batches:
@@ -335,6 +336,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
         trigrams = _log_probabilities(character_trigrams(corpus or docs), list(both))
         trial = spark.sparkContext.broadcast(_model(trigrams, half or both, ()))
 
+        @lean
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(trial.value)
             for b in batches:
@@ -366,6 +368,7 @@ def _added(df: DataFrame, model: Model, text: str, added: str, fn) -> DataFrame:
     keep = [f for f in df.schema.fields if f.name not in new.fieldNames()]
     schema = T.StructType(keep + new.fields)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
