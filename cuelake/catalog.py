@@ -432,3 +432,12 @@ def source_choice(spark: SparkSession, d: str) -> DataFrame:
     )
     rows = docs.select("media_id", F.explode(F.array_compact(options)).alias("o"), F.col("source").alias("path"))
     return identity.source_choice(rows.select("media_id", "o.rank", F.col("o.kind").alias("kind"), "path"))
+
+
+@query
+def clip_cues(spark: SparkSession, d: str) -> DataFrame:
+    cues = fx.event_cues(spark, d)
+    ranges = intervals.retry_ranges(quality.all_issues(cues), _durations(cues))
+    found = ranges.select("media_id", "piece", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
+    found = found.select("media_id", "piece", (F.col("i").cast("long") * 9000 - 2000).alias("start_ms"), (F.col("i").cast("long") * 9000 + 3000).alias("end_ms"))
+    return intervals.recognized_in(ranges, found)

@@ -1,0 +1,32 @@
+"""JSON objects inside free text, such as a model's answer with prose around it."""
+
+from __future__ import annotations
+
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_FENCE = re.compile(r"\A```[^\n]*\n(.*)```", re.S)
+
+
+def first_object(text: str | None) -> str | None:
+    """The text of its JSON object: the whole text (without a fence), or what begins at the first brace."""
+    bare = (text or "").strip()
+    if found := _FENCE.match(bare):
+        bare = found[1].strip()
+    start = bare.find("{")
+    if start < 0:
+        return None
+    try:
+        value, length = json.JSONDecoder().raw_decode(bare[start:])
+    except ValueError:
+        return None
+    return bare[start : start + length] if isinstance(value, dict) else None
+
+
+@F.pandas_udf(T.StringType())
+def json_object(text: pd.Series) -> pd.Series:
+    return text.map(first_object, na_action=None)

@@ -13,7 +13,7 @@ def fingerprint(content: Column, tag: str = "cue-content-v1") -> Column:
     offset."""
     n = F.octet_length(content)
     raw = content.cast("binary")
-    le = lambda v: F.unhex(F.regexp_replace(F.reverse(F.regexp_replace(F.lpad(F.hex(v), 16, "0"), "(..)", "$1")), "(.)(.)", "$2$1"))
+    le = lambda v: F.unhex(F.regexp_replace(F.reverse(F.lpad(F.hex(v), 16, "0")), "(.)(.)", "$2$1"))
     head = F.concat(F.lit(tag).cast("binary"), le(n.cast("long")))
     offsets = [((n - SEGMENT) * i / (SEGMENTS - 1)).cast("long") for i in range(SEGMENTS)]
     parts = [F.concat(le(o), F.substring(raw, (o + 1).cast("int"), F.lit(SEGMENT))) for o in offsets]

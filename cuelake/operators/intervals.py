@@ -56,3 +56,20 @@ def owning_segment(cues: DataFrame, durations: DataFrame) -> DataFrame:
     last = F.greatest(F.ceil(F.col("audio_ms") / C.SEGMENT_MS).cast("int") - 1, F.lit(0))
     at = F.floor((F.col("start_ms") + F.col("end_ms")) / (2 * C.SEGMENT_MS)).cast("int")
     return cues.join(durations, "media_id").withColumn("segment", F.least(F.greatest(at, F.lit(0)), last)).drop("audio_ms")
+
+
+def recognized_in(ranges: DataFrame, found: DataFrame) -> DataFrame:
+    """Cues that were recognised in clips of ranges, at their place in the whole: shifted by the range's start, and kept if
+    their midpoint lies in the range. ranges: media_id, piece, start_ms, end_ms; found: media_id, piece and cues."""
+    at = ranges.select("media_id", "piece", F.col("start_ms").alias("from_ms"), F.col("end_ms").alias("to_ms"))
+    placed = found.join(at, ["media_id", "piece"])
+    placed = placed.withColumn("start_ms", F.col("start_ms") + F.col("from_ms")).withColumn("end_ms", F.col("end_ms") + F.col("from_ms"))
+    mid = F.col("start_ms") + F.col("end_ms")
+    return placed.where((mid >= 2 * F.col("from_ms")) & (mid < 2 * F.col("to_ms"))).drop("from_ms", "to_ms", "piece")
+
+
+def retry(cues: DataFrame, ranges: DataFrame, found: DataFrame) -> DataFrame:
+    """cues with the ranges' cues replaced by those that were recognised anew, where a range gave any."""
+    new = recognized_in(ranges, found)
+    hit = found.select("media_id", "piece").distinct()
+    return replace_ranges(cues, ranges.join(hit, ["media_id", "piece"], "left_semi"), new)

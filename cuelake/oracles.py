@@ -338,3 +338,7 @@ SQL |= {
     "source_choice": """SELECT doc_id AS media_id, CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS rank,
       CASE WHEN doc_id % 3 = 0 THEN 'file' WHEN doc_id % 2 = 0 THEN 'track' ELSE 'recognised' END AS kind, source AS path FROM documents""",
 }
+
+SQL["content_fingerprint"] = """SELECT doc_id, sha256(encode('cue-content-v1') || unhex(array_to_string(list_reverse(regexp_extract_all(printf('%016X', octet_length(encode(text))), '..')), '')) || encode(text)) AS fingerprint FROM documents"""
+SQL["clip_cues"] = f"""WITH {CUES}, {ISSUES}, {CLUSTERS}, {ALL_ISSUES}, {RANGES}, f AS (SELECT r.media_id, r.piece, r.start_ms AS f, r.end_ms AS t, i * 9000 - 2000 AS s, i * 9000 + 3000 AS e FROM ranges r, unnest(range(5)) AS u(i))
+  SELECT media_id, s + f AS start_ms, e + f AS end_ms FROM f WHERE s + e + 2 * f >= 2 * f AND s + e + 2 * f < 2 * t"""

@@ -6,6 +6,7 @@ import struct
 from pyspark.sql import functions as F
 
 from cuelake import providers
+from cuelake.functions.json_text import json_object
 from cuelake.operators import playback
 from cuelake.plans import translation
 from cuelake.sources import files, srt
@@ -60,3 +61,10 @@ def test_repair_and_revert(spark):
     new = translation.apply(pairs, ledger)
     assert {r.cue_id: r.target for r in new.collect()} == {1: "[a]", 2: " ", 3: "好"}
     assert {r.cue_id: r.target for r in translation.revert(new, ledger).collect()} == {1: None, 2: " ", 3: "好"}
+
+
+def test_objects_in_prose(spark):
+    rows = [('{"a": 1}', '{"a": 1}'), ('```json\n{"a": "}"}\n```', '{"a": "}"}'), ('so: {"a": {"b": "{\\""}} and {more', '{"a": {"b": "{\\""}}'), ("[1]", None), ("{broken", None), (None, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    got = [r.o for r in df.select("i", json_object("t").alias("o")).orderBy("i").collect()]
+    assert got == [o for _, o in rows]
