@@ -342,3 +342,16 @@ SQL |= {
 SQL["content_fingerprint"] = """SELECT doc_id, sha256(encode('cue-content-v1') || unhex(array_to_string(list_reverse(regexp_extract_all(printf('%016X', octet_length(encode(text))), '..')), '')) || encode(text)) AS fingerprint FROM documents"""
 SQL["clip_cues"] = f"""WITH {CUES}, {ISSUES}, {CLUSTERS}, {ALL_ISSUES}, {RANGES}, f AS (SELECT r.media_id, r.piece, r.start_ms AS f, r.end_ms AS t, i * 9000 - 2000 AS s, i * 9000 + 3000 AS e FROM ranges r, unnest(range(5)) AS u(i))
   SELECT media_id, s + f AS start_ms, e + f AS end_ms FROM f WHERE s + e + 2 * f >= 2 * f AND s + e + 2 * f < 2 * t"""
+
+SQL["launch_policy"] = f"""WITH RECURSIVE {LEDGER},
+  l AS (SELECT run_id AS key, at_ms // 3600 AS at_ms, row_number() OVER (PARTITION BY run_id ORDER BY at_ms // 3600, seq) AS i, event_type = 'purchase' AS running, seq % 4 = 0 AS starts,
+    CASE event_type WHEN 'view' THEN ['view'] WHEN 'click' THEN ['click', 'other'] ELSE CAST([] AS VARCHAR[]) END AS players FROM ledger),
+  s AS (
+    SELECT DISTINCT key, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS at_ms, CAST([] AS VARCHAR[]) AS pending, CAST([] AS VARCHAR[]) AS known, CAST(0 AS BIGINT) AS attempts, CAST(0 AS BIGINT) AS later, false AS launched FROM l
+    UNION ALL
+    SELECT key, i, at_ms, CASE WHEN running OR (tried AND (starts OR tries + 1 >= {C.LAUNCH_ATTEMPTS})) THEN CAST([] AS VARCHAR[]) ELSE pend END, players,
+      CASE WHEN running THEN 0 WHEN tried THEN tries + 1 ELSE tries END, CASE WHEN tried THEN at_ms + {C.COOLDOWN_MS} ELSE later END, tried
+    FROM (SELECT *, NOT running AND len(pend) > 0 AND at_ms >= later AS tried FROM (
+      SELECT l.*, s.later, list_distinct(list_concat(list_filter(s.pending, lambda x: list_contains(l.players, x)), list_filter(l.players, lambda x: NOT list_contains(s.known, x)))) AS pend,
+        CASE WHEN len(list_filter(l.players, lambda x: NOT list_contains(s.known, x))) > 0 THEN 0 ELSE s.attempts END AS tries FROM s JOIN l ON l.key = s.key AND l.i = s.i + 1)))
+  SELECT key, at_ms, launched, CAST(len(pending) AS INT) AS pending, CAST(attempts AS INT) AS attempts FROM s WHERE i > 0"""
