@@ -46,9 +46,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.build_lexicon(docs)).drop("text")
-    out = bpe.decode(encoded).withColumn("decoded_sha256", F.sha2("decoded", 256))
-    return out.select("doc_id", "lang", "source", bpe.n_tokens().alias("n_tokens"), "ids", "decoded_sha256")
+    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.build_lexicon(docs), decoded="_decoded")
+    return out.select("doc_id", "lang", "source", bpe.n_tokens().alias("n_tokens"), "ids", F.sha2("_decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

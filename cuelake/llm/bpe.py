@@ -35,7 +35,7 @@ from ._words import chunks
 LEXICON_WORDS = 65_536
 LEAST_COUNT = 3
 #: Words whose ids a worker keeps at hand.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 60_000
 #: Pairs of a pre-token from which on equal pairs are merged together.
 LONG_WORD = 256
 
@@ -236,10 +236,10 @@ def build_lexicon(df: DataFrame, text: str = "text", path: str | None = None) ->
     return name
 
 
-def _added(df: DataFrame, source: str, added: T.StructField, maker) -> DataFrame:
-    """df with one more column, made of the source column by maker()'s function of a list of values."""
-    keep = [f for f in df.schema.fields if f.name != added.name]
-    schema = T.StructType([*keep, added])
+def _added(df: DataFrame, source: str, added: list[T.StructField], maker) -> DataFrame:
+    """df with more columns, made of the source column by maker()'s function from a list of values to a list a column."""
+    keep = [f for f in df.schema.fields if f.name not in {a.name for a in added}]
+    schema = T.StructType([*keep, *added])
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,33 +249,42 @@ def _added(df: DataFrame, source: str, added: T.StructField, maker) -> DataFrame
         for b in batches:
             for c in chunks(b, source):
                 columns = [c.column(c.schema.get_field_index(f.name)) for f in keep]
-                columns.append(pa.array(fn(c.column(c.schema.get_field_index(source)).to_pylist()), arrow.field(added.name).type))
+                made = fn(c.column(c.schema.get_field_index(source)).to_pylist())
+                columns += [pa.array(v, arrow.field(a.name).type) for v, a in zip(made, added, strict=True)]
                 yield pa.RecordBatch.from_arrays([x.cast(t.type) for x, t in zip(columns, arrow, strict=True)], schema=arrow)
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, lexicon: str, text: str = "text", path: str | None = None) -> DataFrame:
-    """df with `ids`: the text's token ids as little-endian unsigned 32-bit integers."""
+def _decoder(vocab: Vocabulary):
+    token = vocab.tokens.__getitem__
+    return lambda values: [" ".join(map(token, np.frombuffer(v or b"", np.uint32).tolist())) for v in values]
+
+
+def encode(df: DataFrame, lexicon: str, text: str = "text", path: str | None = None, decoded: str | None = None) -> DataFrame:
+    """df with `ids`: the text's token ids as little-endian unsigned 32-bit integers. With the name of a column for it, the
+    ids are decoded again in the same pass, which spares a second worker with a vocabulary of its own."""
     path = path or vocabulary_path()
+    added = [T.StructField("ids", T.BinaryType()), *([T.StructField(decoded, T.StringType())] if decoded else [])]
 
     def maker():
         vocab, known = vocabulary(path), mapped(lexicon)
         ids: dict[str, bytes] = {}
 
-        def encoded(texts: list[str | None]) -> list[bytes]:
+        def encoded(texts: list[str | None]) -> list[list]:
             split = [vocab.words(t) for t in texts]
             if len(ids) > KEPT_WORDS:
                 ids.clear()
             new = list(set(chain.from_iterable(split)) - ids.keys())
             for word, found in zip(new, known.find(new), strict=True):
                 ids[word] = np.array(vocab.merge(word), np.uint32).tobytes() if found is None else found
-            return [b"".join(map(ids.__getitem__, words)) for words in split]
+            out = [b"".join(map(ids.__getitem__, words)) for words in split]
+            return [out, _decoder(vocab)(out)] if decoded else [out]
 
         return encoded
 
-    return _added(df, text, T.StructField("ids", T.BinaryType()), maker)
+    return _added(df, text, added, maker)
 
 
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -283,10 +292,10 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFram
     path = path or vocabulary_path()
 
     def maker():
-        token = vocabulary(path).tokens.__getitem__
-        return lambda values: [" ".join(map(token, np.frombuffer(v or b"", np.uint32).tolist())) for v in values]
+        decoded = _decoder(vocabulary(path))
+        return lambda values: [decoded(values)]
 
-    return _added(df, ids, T.StructField("decoded", T.StringType()), maker)
+    return _added(df, ids, [T.StructField("decoded", T.StringType())], maker)
 
 
 def n_tokens(ids: str = "ids"):
@@ -295,6 +304,5 @@ def n_tokens(ids: str = "ids"):
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    encoded = encode(docs, build_lexicon(docs)).drop("text")
-    out = decode(encoded)
+    out = encode(docs, build_lexicon(docs), decoded="decoded")
     return out.select("doc_id", n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -261,3 +261,10 @@ def test_license_with_words_put_in_and_left_out(spark):
 
 def test_checksums_of_payload():
     assert zlib.crc32(media.payload_of(None)[1]) == zlib.crc32(bytes(64))
+
+
+def test_decode_equals_decoding_while_encoding(spark):
+    df = docs(spark, [(1, "Hello, the world's 42 <|endoftext|>"), (2, None), (3, "naïve café")])
+    name = bpe.build_lexicon(df)
+    both = bpe.encode(df, name, decoded="again")
+    assert {r.doc_id: r.again for r in both.collect()} == {r.doc_id: r.decoded for r in bpe.decode(bpe.encode(df, name)).collect()}
