@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from cuelake.streaming import live
 
@@ -33,6 +34,7 @@ def test_launch_stream_equals_batch(spark, tmp_path):
     for part in range(4):  # each file is a later slice of time
         lines = [dict(zip(("key", "at_ms", "seq", "players", "running", "starts"), r, strict=True)) for r in rows()[part * 10 : part * 10 + 10]]
         (source / f"{part}.json").write_text("\n".join(map(json.dumps, lines)))
+        os.utime(source / f"{part}.json", (1_700_000_000 + part, 1_700_000_000 + part))  # files are read in the order of their times
     stream = spark.readStream.schema(SNAPSHOTS).option("maxFilesPerTrigger", 1).json(str(source))
     run = live.launch_stream(stream).writeStream.format("memory").queryName("launches").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination(120)
@@ -46,6 +48,7 @@ def test_change_stream_equals_batch(spark, tmp_path):
     data = [(i % 2, i, "A.mkv" if i % 6 < 3 else "b.mkv" if i % 4 else "a.MKV") for i in range(30)]
     for part in range(3):
         (source / f"{part}.json").write_text("\n".join(json.dumps({"session": s, "seq": q, "path": p}) for s, q, p in data[part * 10 : part * 10 + 10]))
+        os.utime(source / f"{part}.json", (1_700_000_000 + part, 1_700_000_000 + part))
     stream = spark.readStream.schema("session long, seq long, path string").option("maxFilesPerTrigger", 1).json(str(source))
     run = live.change_stream(stream).writeStream.format("memory").queryName("changes").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination(120)
