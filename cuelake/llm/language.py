@@ -6,7 +6,7 @@ smallest sum names the language; where the next best is nearly as small, `reject
 
 Defined results: a null text, or one without letters, is `und` with score 0 (and rejected); equal sizes go to the
 first language by code point; rows with a null lang train nothing; with no training rows every text is `und`;
-repeated rows give repeated results; extra columns pass through `identify`.
+copies of a text train once; repeated rows give repeated results; extra columns pass through `identify`.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 from ._base import crc_mod, documents, lean, small_batches
 
 UNKNOWN = "und"
-#: Labelled rows of each language that may train its dictionary, characters taken of each and bytes in all.
+#: Distinct labelled texts of each language that may train its dictionary, characters taken of each (more where there are
+#: fewer texts) and bytes in all.
 TRAIN_ROWS = 256
 TRAIN_CHARS_PER_ROW = 512
 DICTIONARY_BYTES = 112_640
@@ -34,14 +35,18 @@ MARGIN = 0.02
 
 
 def train(df: DataFrame, lang: str = "lang", text: str = "text", rows: int = TRAIN_ROWS) -> dict[str, bytes]:
-    """A dictionary's content for each language: pieces of at most `rows` rows, chosen by a hash of the text."""
+    """A dictionary's content for each language: pieces of at most `rows` distinct texts, chosen by their hashes; of fewer
+    texts, longer pieces are taken."""
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    # Of many rows only those with small hashes are looked at: about four times as many as are taken, in one task a language.
-    share = labelled.groupBy("lang").agg((F.lit(4.0 * rows * 2**30) / F.count("*")).alias("least"))
-    few = labelled.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(2**30)) < F.col("least"))  # a row a language
-    labelled = few.select("lang", "h", F.substring("text", 1, TRAIN_CHARS_PER_ROW).alias("piece"))
-    first = Window.partitionBy("lang").orderBy("h", "piece")
-    chosen = labelled.withColumn("i", F.row_number().over(first)).where(F.col("i") <= rows)
+    # Copies count once. Of many texts only those with small hashes are ranked: about four times as many as are taken, in one
+    # task a language. Hashes of distinct texts are independent, so that too few pass has a chance of about exp(-1.6 * rows).
+    distinct = labelled.select("lang", "h").distinct()
+    share = distinct.groupBy("lang").agg((F.lit(4.0 * rows * 2**30) / F.count("*")).alias("least"), F.least(F.count("*"), F.lit(rows)).alias("taken"))
+    few = distinct.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(2**30)) < F.col("least"))  # a row a language
+    ranked = few.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("i") <= rows)
+    length = F.greatest(F.lit(TRAIN_CHARS_PER_ROW), F.floor(F.lit(DICTIONARY_BYTES) / F.col("taken")).cast("int"))
+    found = labelled.join(F.broadcast(ranked), ["lang", "h"])  # `rows` rows a language
+    chosen = found.groupBy("lang", "i").agg(F.min(F.col("text").substr(F.lit(1), length)).alias("piece"))
     joined = chosen.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "piece"))).alias("p"))
     taken = joined.select("lang", F.array_join(F.col("p.piece"), "\n").alias("content")).collect()
     return {r.lang: r.content.lower().encode()[-DICTIONARY_BYTES:] for r in sorted(taken)}

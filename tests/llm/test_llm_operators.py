@@ -60,6 +60,17 @@ def test_language_without_training_and_margin(spark):
     assert (got[1].lang_pred, got[2].lang_pred, got[3].lang_pred) == ("a", "b", "und") and not got[1].rejected and got[3].rejected
 
 
+def test_copies_train_once_and_lose_no_language(spark):
+    rows = [("a", f"copied words {k}") for k in range(3) for _ in range(2000)]
+    rows += [("b", "one text with many copies")] * 2500 + [("b", f"text of number {k}") for k in range(300)]
+    rows += [("c", "Longer " * 200)]
+    got = language.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert sorted(got["a"].decode().split("\n")) == [f"copied words {k}" for k in range(3)]
+    lines = got["b"].decode().split("\n")
+    assert len(lines) == len(set(lines)) == language.TRAIN_ROWS
+    assert got["c"].decode() == "longer " * 200
+
+
 # Quality rules
 
 
