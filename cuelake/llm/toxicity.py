@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -101,46 +103,71 @@ def hash_word(word: str) -> int:
     return int(words_of(points, tables()[0][points])[2][0])
 
 
-def disguised(joined: str, points: np.ndarray, kinds: np.ndarray) -> list[tuple[int, int]]:
-    """Spans that may hold a disguised word: start and end in the joined text."""
+def disguised(joined: str, points: np.ndarray, kinds: np.ndarray) -> tuple[list[tuple[int, int]], list[list[tuple[int, int]]]]:
+    """What may hide words: tokens (start and end in the joined text), and chains of tokens of one character each.
+
+    A token is flagged that holds a letter and a lookalike or wildcard anywhere, a separator inside, or a letter three times
+    in a row. A chain is three or more tokens with nothing but blanks between them and one letter, with punctuation, or one
+    symbol of the channel each."""
     _, odd, space = tables()
-    n = len(points)
-    letter, other, blank = kinds > 0, odd[points], space[points]
-    flag = np.zeros(n, bool)
-    if n < 3:
-        return []
-    before, here, after = letter[:-2], other[1:-1], letter[2:]
-    flag[1:-1] |= before & here & after
-    flag[1:-1] |= blank[:-2] & here & after
-    ends_in = here & np.isin(points[1:-1], [ord(c) for c in "0123456789@$"])
-    flag[1:-1] |= before & ends_in & blank[2:]
-    pair = other[:-1] & other[1:]
-    flag[1:-2] |= letter[:-3] & pair[1:-1] & letter[3:]
-    flag[1:-1] |= letter[1:-1] & (points[1:-1] == points[:-2]) & (points[1:-1] == points[2:])
-    alone = np.zeros(n, bool)
-    alone[1:-1] = letter[1:-1] & ~before & ~after
-    alone[0] = letter[0] & ~letter[1]
-    spaced = np.zeros(n, bool)
-    if n > 5:
-        three = alone[:-4] & alone[2:-2] & alone[4:] & (points[1:-3] == points[3:-1]) & (points[1:-3] != 10)
-        at = np.flatnonzero(three)
-        for k in range(5):
-            spaced[at + k] = True
-    out: list[tuple[int, int]] = []
-    flagged = np.flatnonzero(flag | spaced)
-    if not len(flagged):
-        return out
-    solid = np.concatenate(([False], ~blank | spaced, [False]))
-    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    letter, blank = kinds > 0, space[points]
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True]))))
     starts, ends = edges[::2], edges[1::2]
-    for i in np.unique(np.searchsorted(starts, flagged, "right") - 1):
-        out.append((int(starts[i]), int(ends[i])))
-    return out
-
-
-# Runs of one symbol and usual punctuation around a word belong to no word.
-_EDGE = r"(?:([^\w\s])\1+|[.,;:?\"'()\[\]{}%&~_\-<>=/\\])+"
-_TRIM = re.compile(rf"^{_EDGE}|(?:([^\w\s])\2+|[.,;:!?\"'()\[\]{{}}%&~_\-<>=/\\|*#])+$")
+    soft = np.isin(points, [ord(c) for c in SEPARATORS if c not in WILDCARDS + " "])
+    hard = odd[points] & ~soft
+
+    def before(mask: np.ndarray) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(mask)))
+
+    body, letters, drawn = before(letter | hard), before(letter), np.zeros(len(points), bool)
+    drawn[1:-1] = letter[1:-1] & (points[1:-1] == points[:-2]) & (points[1:-1] == points[2:])
+    at = np.flatnonzero(soft)
+    token = np.searchsorted(starts, at, "right") - 1
+    inside = np.bincount(token[(body[at] > body[starts[token]]) & (body[ends[token]] > body[at])], minlength=len(starts))
+    odds, n_letters = before(hard | drawn), letters[ends] - letters[starts]
+    flagged = (n_letters > 0) & ((odds[ends] > odds[starts]) | (inside > 0))
+    tokens = [(int(starts[i]), int(ends[i])) for i in np.flatnonzero(flagged)]
+
+    told = before(letter | ((points >= 48) & (points <= 57)))
+    single = ((n_letters == 1) & (told[ends] - told[starts] == 1)) | ((ends - starts == 1) & odd[points[starts]])
+    breaks = before(blank & (points != 32))
+    linked = single[1:] & single[:-1] & (breaks[starts[1:]] == breaks[ends[:-1]])
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], linked, [False]))))
+    chains = []
+    for i, j in zip(edges[::2], edges[1::2] + 1, strict=True):
+        if j - i >= 3 and letters[ends[j - 1]] > letters[starts[i]]:
+            chains.append([(int(starts[k]), int(ends[k])) for k in range(i, j)])
+    return tokens, chains
+
+
+# Usual punctuation before and after a word. A run of one symbol may belong to no word either.
+LEADING, TRAILING = ".,;:?\"'()[]{}%&~_-<>=/\\", ".,;:!?\"'()[]{}%&~_-<>=/\\|*#"
+#: A longer run of one character is not told from one of this length.
+LONGEST_RUN = 32
+_LETTERS = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(rf"(.)\1{{{LONGEST_RUN},}}")
+
+
+def _edge(chars: str, usual: str) -> int:
+    """How many characters at the beginning are usual punctuation or in runs of one symbol."""
+    n = 0
+    for c, run in groupby(chars):
+        k = sum(1 for _ in run)
+        if c not in usual and (k < 2 or c.isalnum()):
+            break
+        n += k
+    return n
+
+
+def cores(token: str) -> list[str]:
+    """The token without what may be mere punctuation at its ends, shortest first; the last keeps all that may be a letter."""
+    bare = [i for i, c in enumerate(token) if c.isalpha() or c in LOOKALIKES or c in WILDCARDS]
+    if not bare:
+        return []
+    lefts = {_edge(token, LEADING), bare[0]}
+    rights = {len(token) - _edge(token[::-1], TRAILING), len(token.rstrip(LEADING + "!")), bare[-1] + 1}
+    spans = sorted({(i, j) for i in lefts for j in rights if i < j}, key=lambda x: (x[1] - x[0], x))
+    return [token[i:j] for i, j in spans]
 
 
 @dataclass(frozen=True)
@@ -153,15 +180,19 @@ class Model:
     names: tuple[str, ...] = field(default=())
 
 
+def drawn_out(token: str) -> list[bool]:
+    """Whether each character is inside a run of three or more of one letter. Wildcards hide a letter each."""
+    drawn = [False] * len(token)
+    for run in re.finditer(r"(.)\1{2,}", token):
+        drawn[run.start() : run.end()] = [run[1] not in WILDCARDS] * (run.end() - run.start())
+    return drawn
+
+
 def restore_word(token: str, trigrams: np.ndarray) -> str:
     """The most likely word behind a token: Viterbi over its character lattice."""
-    token = _TRIM.sub("", token)
     kinds = {c: i + 1 for i, c in enumerate(ALPHABET)}
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    drawn = [False] * len(token)  # inside a run of three or more of one letter
-    for run in re.finditer(r"(.)\1{2,}", token):
-        drawn[run.start() : run.end()] = [True] * (run.end() - run.start())
-    for c, long in zip(token, drawn, strict=True):
+    for c, long in zip(token, drawn_out(token), strict=True):
         moves: list[tuple[str, float]] = []
         if c.isalpha():
             moves.append((c, 0.0))
@@ -190,12 +221,89 @@ def restore_word(token: str, trigrams: np.ndarray) -> str:
     return min(ends, key=lambda e: e[0])[1] if ends else token
 
 
+class Lexicon:
+    """The lexicon's words as a tree, which tells cheaply whether the channel can make one of them of a token at all: all
+    other tokens need no search."""
+
+    def __init__(self, words: tuple[str, ...]):
+        self.words, self.next = set(words), {}
+        for w in words:
+            for i in range(len(w)):
+                self.next.setdefault(w[:i], set()).add(w[i])
+
+    def ends(self, text: str, start: int = 0, stop: int | None = None) -> list[int]:
+        """Where in text[start:stop] may end a word of the lexicon that begins at its start."""
+        states, out, stop = {""}, [], len(text) if stop is None else stop
+        for i in range(start, stop):
+            c = text[i]
+            moves = (c if c.isalpha() else "") + LOOKALIKES.get(c, "") + (ALPHABET[:26] if c in WILDCARDS else "")
+            step = set(states) if c in SEPARATORS else set()
+            long = c not in WILDCARDS and c * 3 in text[max(start, i - 2) : min(stop, i + 3)]
+            for s in states:
+                if after := self.next.get(s):
+                    step.update(s + x for x in moves if x in after)
+                if long and s and s[-1] in moves:
+                    step.add(s)
+            if not step:
+                break
+            if moves and not step.isdisjoint(self.words):
+                out.append(i + 1)
+            states = step
+        return out
+
+
 class Scorer:
     """Restores and scores lists of texts with a model; keeps what it has restored."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.restored = lru_cache(maxsize=200_000)(lambda token: restore_word(token, model.trigrams))
+        self.lexicon = Lexicon(model.names)
+        self.kept = lru_cache(maxsize=200_000)(self.restored)
+
+    def search(self, token: str) -> str:
+        """The word behind the whole token, if it is one of the lexicon."""
+        token = _RUN.sub(lambda m: m[1] * LONGEST_RUN, token)
+        if self.lexicon.ends(token)[-1:] != [len(token)]:
+            return ""
+        word = restore_word(token, self.model.trigrams)
+        return word if word in self.lexicon.words else ""
+
+    def restored(self, token: str) -> str:
+        """The word of the lexicon behind a token, or an empty text. The shortest core that gives one is taken."""
+        return next((w for c in cores(token) if (w := self.search(c))), "")
+
+    def mended(self, joined: str, points: np.ndarray, kinds: np.ndarray) -> list[tuple[int, int, str]]:
+        """The disguised words of the lexicon: start, end and word, in order."""
+        tokens, chains = disguised(joined, points, kinds)
+        out: list[tuple[int, int, str]] = []
+        for chain in chains:
+            k = 0
+            while k < len(chain) - 2:
+                n, word = self.spaced(joined, chain, k)
+                if n:
+                    out.append((chain[k][0], chain[k + n - 1][1], word))
+                k += max(n, 1)
+        firsts = [a for a, _, _ in out]
+        for a, b in tokens:
+            i = bisect_right(firsts, a)
+            if i and a < out[i - 1][1]:
+                continue
+            word = (self.kept if b - a <= 100 else self.restored)(joined[a:b])
+            if word and word not in _LETTERS.findall(joined[a:b]):  # those stand there plainly
+                out.append((a, b, word))
+        return sorted(out)
+
+    def spaced(self, joined: str, chain: list[tuple[int, int]], k: int) -> tuple[int, str]:
+        """The longest word of the lexicon that begins with token k of a chain, and how many of its tokens it takes (or 0)."""
+        a, b = chain[k]
+        first = next((i for i in range(a, b) if joined[i].isalpha() or b - a == 1), a)
+        if joined[first] in SEPARATORS and joined[first] not in WILDCARDS:
+            return 0, ""
+        for end in reversed(self.lexicon.ends(joined, first, chain[-1][1])):
+            n = bisect_right(chain, end - 1, key=lambda x: x[0]) - k
+            if n >= 3 and any(c.isalpha() for c in joined[first:end]) and (word := self.search(joined[first:end])):
+                return n, word
+        return 0, ""
 
     def weights_of(self, hashes: np.ndarray) -> np.ndarray:
         words = self.model.words
@@ -213,13 +321,11 @@ class Scorer:
         n = len(texts)
         total, hits = np.bincount(row, weight, n), np.bincount(row, weight > 0, n)
         words, mended = np.bincount(row, minlength=n), np.zeros(n, np.int64)
-        for a, b in disguised(joined, points, kinds):
-            word = self.restored(joined[a:b])
-            if word and word.isalpha() and word not in joined[a:b] and (w := self.weights_of(np.array([hash_word(word)], np.uint64))[0]):
-                i = int(np.searchsorted(begins, a, "right") - 1)
-                total[i] += w
-                hits[i] += 1
-                mended[i] += 1
+        for a, _, word in self.mended(joined, points, kinds):
+            i = int(np.searchsorted(begins, a, "right") - 1)
+            total[i] += self.weights_of(np.array([hash_word(word)], np.uint64))[0]
+            hits[i] += 1
+            mended[i] += 1
         return np.stack([np.log1p(total), np.minimum(hits, 5), total / np.sqrt(words + 1)], 1), mended
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -236,11 +342,9 @@ class Scorer:
         if len(joined) != len(text) + 1:  # lower-casing has changed lengths, so places differ
             text = text.lower()
         out, at = [], 0
-        for a, b in disguised(joined, points, tables()[0][points]):
-            word = self.restored(joined[a:b])
-            if word.isalpha() and self.weights_of(np.array([hash_word(word)], np.uint64))[0]:
-                out += [text[at:a], word]
-                at = b
+        for a, b, word in self.mended(joined, points, tables()[0][points]):
+            out += [text[at:a], word]
+            at = b
         return "".join([*out, text[at:]])
 
 

@@ -102,6 +102,21 @@ def test_hidden_words_are_restored(hidden):
     assert s.restore("and the moon was") == "and the moon was" and s.restore(None) is None
 
 
+@pytest.mark.parametrize(
+    "hidden",
+    ["a$$|ass", "(a$$!)|ass", "idi07|idiot", "idi0+|idiot", "idio+|idiot", "idio*|idiot", "$#!t|shit", "455wipe|asswipe", "i***t|idiot", "as***pe|asswipe", "b1663r|bigger", "i  d  i  o  t|idiot",
+     "a i d i o t|idiot", "y o u  i d i o t|idiot", "i d i o t s o|idiot", "i d 1 0 t|idiot", "i. d. i. o. t.|idiot", "i d i o t!|idiot", "iiidiot|idiot", "1diot|idiot"],
+)
+def test_families_of_disguise_reach_the_search(hidden):
+    hidden, word = hidden.split("|")
+    s = toxicity.Scorer(model(["idiot", "ass", "shit", "asswipe", "bigger"]))
+    for text in (hidden, f"and\n{hidden}\nwas", f"and all {hidden}"):
+        assert s.score([text, "an ass! idiot."])[1].tolist() == [1, 0], text
+        assert word in s.restore(text)
+    plain = "it is (his) idiot! 'ass' a b c - d e. f* #g 10% x" + "=" * 5000 + "y1"
+    assert s.restore(plain) == plain
+
+
 def test_one_kind_of_labels(spark):
     d = docs(spark, [(i, f"text number {i}") for i in range(5)])
     labels = spark.createDataFrame([(i, 0) for i in range(5)], "doc_id long, toxic int")
