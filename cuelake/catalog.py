@@ -239,7 +239,8 @@ def repair_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _responses(spark: SparkSession, d: str) -> DataFrame:
-    """A review response a turn, with missing, empty and uncertain parts by its number."""
+    """A review response a turn, with missing, empty and uncertain parts by its number. Both columns make its key, as from 100
+    turns on numbers meet."""
     turns = fx.table(spark, d, "conversations")
     number = F.col("conv_id") * 100 + F.col("turn")
     kind = number % 6
@@ -248,13 +249,15 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
         F.when(kind == 0, "").otherwise(F.substring("text", 1, 40)).alias("suggestion"), F.when(kind == 2, F.lit(None)).when(kind == 3, True).otherwise(False).alias("needs_source_check"),
     )
     body = F.to_json(F.struct(F.array(issue).alias("issues")))
-    return turns.select(number.alias("response_id"), F.col("conv_id").alias("media_id"), F.col("turn").cast("int").alias("cue_id"), F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("content"))
+    key = F.when(number.isNotNull(), F.struct("conv_id", "turn"))
+    return turns.select(key.alias("response_id"), F.col("conv_id").alias("media_id"), F.col("turn").cast("int").alias("cue_id"), F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("content"))
 
 
 @query
 def review_parse(spark: SparkSession, d: str) -> DataFrame:
     r = _responses(spark, d)
-    return review.review_rows(r.select("response_id", "content"), r.select("response_id", "cue_id")).drop("ord")
+    rows = review.review_rows(r.select("response_id", "content"), r.select("response_id", "cue_id")).drop("ord")
+    return rows.withColumn("response_id", F.col("response_id.conv_id") * 100 + F.col("response_id.turn"))
 
 
 @query
@@ -387,8 +390,8 @@ def repaired_targets(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pending_scenes(spark: SparkSession, d: str) -> DataFrame:
-    work = _scenes(spark, d).withColumn("key", F.col("media_id") * 1000 + F.col("scene_idx"))
-    return providers.unfinished(work, work.where("scene_idx % 3 = 0"), "key").select("media_id", "scene_idx")
+    work = _scenes(spark, d)
+    return providers.unfinished(work, work.where("scene_idx % 3 = 0"), "media_id", "scene_idx").select("media_id", "scene_idx")
 
 
 @query

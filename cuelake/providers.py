@@ -64,9 +64,9 @@ def call(requests: DataFrame, provider: Provider) -> DataFrame:
     return requests.select("request_id", "body").mapInPandas(run, "request_id long, answer string, status string, tries int")
 
 
-def unfinished(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """The work whose key is not done yet: what a rerun has to do."""
-    return work.join(done.select(key).distinct(), key, "left_anti")
+def unfinished(work: DataFrame, done: DataFrame, *key: str) -> DataFrame:
+    """The work whose key (of one or more columns) is not done yet: what a rerun has to do."""
+    return work.join(done.select(*key).distinct(), list(key), "left_anti")
 
 
 def request_bodies(lines: DataFrame) -> DataFrame:

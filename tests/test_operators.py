@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cuelake import catalog, model
 from cuelake import config as C
-from cuelake import model
 from cuelake.operators import clean, identity, intervals, quality, review, scenes, sinks, targets, terms
 from cuelake.plans import recognition
 from cuelake.sources import srt
@@ -189,3 +189,13 @@ def test_target_defects(spark):
 
 def test_config():
     assert C.Config(" JA ", "best", 5, 10, -1, 40, 0).normalized() == C.Config("ja", "fast", 35, 150, 4, 16, 3)
+
+
+def test_keys_of_large_groups_do_not_meet(spark, tmp_path, monkeypatch):
+    scenes_of = spark.createDataFrame([(5, 1001), (5, 1002), (6, 2)], "media_id long, scene_idx int")
+    monkeypatch.setattr(catalog, "_scenes", lambda *_: scenes_of)
+    assert sorted(map(tuple, catalog.pending_scenes(spark, "").collect())) == [(5, 1001), (6, 2)]
+    turns = spark.createDataFrame([(1, 102, ""), (2, 2, "better")], "conv_id long, turn int, text string")
+    monkeypatch.setattr(catalog.fx, "table", lambda *_: turns)
+    assert [(r.response_id, r.cue_id) for r in catalog.review_parse(spark, "").collect()] == [(202, 2)]
+    assert [tuple(r) for r in catalog.suggestion_first(spark, "").collect()] == [(2, 2, "better")]
