@@ -352,6 +352,12 @@ def tier_compare(spark: SparkSession, d: str) -> DataFrame:
     return recognition.compare(cues, clean.sanitize(cues))
 
 
+@query
+def tier_summary(spark: SparkSession, d: str) -> DataFrame:
+    cues = fx.event_cues(spark, d)
+    return recognition.summary(cues, clean.sanitize(cues), cues)
+
+
 @query
 def media_changes(spark: SparkSession, d: str) -> DataFrame:
     path = F.concat(F.when(F.col("seq") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")), F.lit(".mkv"))

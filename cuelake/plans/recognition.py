@@ -30,3 +30,18 @@ def compare(fast: DataFrame, careful: DataFrame) -> DataFrame:
         return totals.select(F.expr("stack(3, 'cues', cues, 'speech_ms', speech_ms, 'longest_ms', longest_ms) as (measure, value)"))
 
     return wide(fast).withColumnRenamed("value", "fast").join(wide(careful).withColumnRenamed("value", "quality"), "measure")
+
+
+def summary(fast: DataFrame, careful: DataFrame, initial: DataFrame) -> DataFrame:
+    """(measure, fast, quality): the seven measures of the comparison of two sets of cues that were made of the initial
+    ones, over all media."""
+    before = initial.agg(F.count("*").alias("initial"))
+    counted = ("cue_count", "suspicious", "over_10", "over_20", "over_30")
+
+    def tall(cues: DataFrame, name: str) -> DataFrame:
+        totals = (*(F.sum(c).alias(c) for c in counted), F.max("longest_ms").alias("longest_ms"))
+        wide = quality.report(cues).agg(*totals).na.fill(0).crossJoin(before)  # a row each
+        wide = wide.withColumn("removed", F.col("initial") - F.col("cue_count")).drop("initial")
+        return wide.select(*(F.col(c).cast("long") for c in wide.columns)).unpivot([], list(wide.columns), "measure", name)
+
+    return tall(fast, "fast").join(tall(careful, "quality"), "measure")

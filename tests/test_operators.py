@@ -199,3 +199,11 @@ def test_keys_of_large_groups_do_not_meet(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(catalog.fx, "table", lambda *_: turns)
     assert [(r.response_id, r.cue_id) for r in catalog.review_parse(spark, "").collect()] == [(202, 2)]
     assert [tuple(r) for r in catalog.suggestion_first(spark, "").collect()] == [(2, 2, "better")]
+
+
+def test_tiers_are_compared_by_seven_measures(spark):
+    raw = cues(spark, [(0, 11000, "a line of some length, long enough"), (12000, 33500, "another line of some length here"), (40000, 71000, "a third line of some length here"), (80000, 80050, "short one")])
+    got = {r.measure: (r.fast, r.quality) for r in recognition.summary(raw, clean.sanitize(raw), raw).collect()}
+    assert got == {"cue_count": (4, 2), "suspicious": (1, 0), "removed": (0, 2), "over_10": (3, 2), "over_20": (2, 1), "over_30": (1, 0), "longest_ms": (31000, 21500)}
+    none = raw.limit(0)
+    assert {(r.fast, r.quality) for r in recognition.summary(none, none, none).collect()} == {(0, 0)}
