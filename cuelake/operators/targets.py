@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelake import config as C
 from cuelake.functions import text as X
+from cuelake.operators.terms import _small
 
 
 def defect(target: Column) -> Column:
@@ -47,7 +48,7 @@ def new_conflicts(proposals: DataFrame, terms: DataFrame) -> DataFrame:
     """(media_id, cue_id) where some term in the source is rendered by the original and not by the proposal."""
     here = X.contains_term(F.col("source"), F.col("term"))
     lost = ~F.contains("proposed", "rendering") & (F.contains(F.coalesce("original", F.lit("")), "rendering") | (F.length(F.trim(F.coalesce("original", F.lit("")))) == 0))
-    return proposals.join(F.broadcast(terms.limit(10_000)), here & lost, "left_semi").select("media_id", "cue_id")
+    return proposals.join(_small(terms), here & lost, "left_semi").select("media_id", "cue_id")
 
 
 def completeness(pairs: DataFrame) -> DataFrame:

@@ -207,3 +207,10 @@ def test_tiers_are_compared_by_seven_measures(spark):
     assert got == {"cue_count": (4, 2), "suspicious": (1, 0), "removed": (0, 2), "over_10": (3, 2), "over_20": (2, 1), "over_30": (1, 0), "longest_ms": (31000, 21500)}
     none = raw.limit(0)
     assert {(r.fast, r.quality) for r in recognition.summary(none, none, none).collect()} == {(0, 0)}
+
+
+def test_conflicts_with_a_long_term_list(spark):
+    listed = spark.range(10_050).select(F.format_string("t%05d", "id").alias("term"), F.format_string("r%05d", "id").alias("rendering"))
+    wanted = [*range(60), *range(9_990, 10_050)]
+    pairs = spark.createDataFrame([(1, i, f"a t{i:05d} b", f"r{i:05d}", "none") for i in wanted], "media_id long, cue_id int, source string, original string, proposed string")
+    assert sorted(r.cue_id for r in targets.new_conflicts(pairs, listed).collect()) == wanted
