@@ -10,6 +10,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,14 +61,71 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts lineage and survives lost executors."""
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+def staged(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: cuts lineage and survives lost executors. Inside of
+    `scratch`, the table goes with its block, or with the block around that if it outlives its own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if scopes := _scopes.get()[: -1 if outlives else None]:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged in this block are deleted at its end."""
+    paths: list[str] = []
+    token = _scopes.set((*_scopes.get(), paths))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in paths:
+            _delete(spark, path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    for file in table.inputFiles()[:1]:
+        _delete(table.sparkSession, file.rsplit("/", 1)[0])
+
+
+#: Rows that are broadcast, at most; they are counted first.
+BROADCAST_ROWS = 100_000
+
+
+def small(counted: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, broadcast if it has few rows, as counted; otherwise left to the planner."""
+    return F.broadcast(counted) if counted.count() <= rows else counted
+
+
+#: A key with more than this share of a table's rows is joined by itself.
+HOT_SHARE = 1 / 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+    """left join right, which has one row a key, without any task that gets all of a hot key's rows. `counts` (key, n) has the
+    left rows of each key. Fewer than 1 / HOT_SHARE keys are hot, so their rows of right are broadcast."""
+    keys = [key] if isinstance(key, str) else key
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    least = max((total or 0) * HOT_SHARE, 2)
+    rows = counts.where(F.col("n") > least).select(*keys).collect() if (most or 0) > least else []
+    if not rows:
+        return left.join(right, keys, how)
+    hot = F.broadcast(left.sparkSession.createDataFrame(rows, counts.select(*keys).schema))
+    apart = left.join(hot, keys, "left_semi").join(F.broadcast(right.join(hot, keys, "left_semi")), keys, how)
+    return left.join(hot, keys, "left_anti").join(right, keys, how).unionByName(apart)
+
+
 def row_key() -> list[Column]:
     """Identity of a row of documents: its doc_id (null: NULL_ID) and the hash of its whole text.
 

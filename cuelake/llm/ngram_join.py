@@ -6,9 +6,10 @@ Tiles are cut into size bands, and nodes meet those of their own band and of the
 are set in one signature and not in the other bound the overlap from above; pairs that pass are decided by the exact
 intersection of their sorted arrays.
 
-Two rounds keep pairs few where a group has many members: the first tests neighbours in each tile only and joins what
-it finds into components; the second tests every pair of a tile whose nodes lie in different components still. No pair
-that could join two components is left out.
+Two rounds keep pairs few where a group has many members: the first tests each node of a tile with the tile's hub and
+joins what it finds into components; the second tests every pair of a tile whose nodes lie in different components
+still. No pair that could join two components is left out. A tile of many nodes is cut into blocks, and each pair of
+blocks is a task's group of its own. Nodes, tiles and components with many rows are joined by themselves.
 
 Defined results: a text with fewer words than a shingle has one shingle, its whole sequence; a null, empty or blank text
 has none and links with nothing; a null doc_id ranks before all others, and a component led by it has a null
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import NULL_ID, documents, lean, most_frequent, row_key, small_batches, staged
+from ._base import NULL_ID, documents, join_hot, lean, most_frequent, row_key, scratch, small_batches, staged
 from ._graph import components
 from ._packed import packed, unpacked
 from ._words import ascii_lower, chunks, gram_hashes, row_bounds, spans, utf8, word_hashes
@@ -45,8 +46,10 @@ COMMON = 300_000
 LOOK_OVER, COMMON_SETS = 1_500_000, 2
 #: Least shingles of a node's tiles by which a pair is left to the first tile that both nodes are known to share.
 LEADING = 8
-#: Nodes of a tile that are compared with the tile at once.
-BLOCK = 256
+#: Nodes of a tile that are compared with the tile at once, and nodes of a block of a tile.
+BLOCK = TILE_BLOCK = 256
+#: Sets that a task remembers, so as not to write their prefixes again.
+REMEMBERED = 200_000
 
 
 def shingle_sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
@@ -151,6 +154,8 @@ def _prefixes(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> Data
                 for s in shingle_sets(c, k):
                     node = node_of(s)
                     if len(s) and node not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
                         seen.add(node)
                         at = np.minimum(np.searchsorted(late, s), max(len(late) - 1, 0))
                         is_late = late[at] == s if len(late) else np.zeros(len(s), bool)
@@ -215,8 +220,7 @@ def _nodes(sketch: DataFrame, tiles: DataFrame) -> DataFrame:
     least = F.slice(F.array_sort(F.collect_set("shingle")), 1, LEADING).alias("least")  # of one set's prefix
     listed = tiles.groupBy("node").agg(least)
     one = F.min(F.struct("_id", "_tx")).alias("d")
-    grouped = sketch.join(listed.select("node"), "node", "left_semi").groupBy("node")
-    found = grouped.agg(F.first("n").alias("n"), F.first("signature").alias("signature"), one).join(listed, "node")
+    found = sketch.groupBy("node").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), one).join(listed, "node")
     found = found.select("node", "n", "signature", "d._id", "d._tx", "least")
     schema = T.StructType([*found.schema.fields[:-1], T.StructField("short", T.BinaryType()), T.StructField("leading", T.BinaryType())])
 
@@ -246,13 +250,21 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     else:
         found = packed(docs).join(wanted, ["_id", "_tx"]).select("node", "_packed")
     found = found.mapInArrow(unpack, "node long, shingles binary")
-    return staged(found, "sets").dropDuplicates(["node"])  # rows that repeat doc_id and text
+    return staged(found.dropDuplicates(["node"]), "sets")  # rows that repeat doc_id and text
 
 
 def _ends(what: DataFrame, end: str) -> DataFrame:
     return what.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in what.columns if c != "node"))
 
 
+def _both_ends(pairs: DataFrame, what: DataFrame) -> DataFrame:
+    """The written pairs (u, v) with the columns of `what` for both nodes; a hub has many pairs."""
+    for end in ("u", "v"):
+        counts = pairs.groupBy(end).agg(F.count("*").alias("n"))
+        pairs = join_hot(pairs, _ends(what, end), end, counts)
+    return pairs
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that their signatures allow to be similar."""
 
@@ -265,17 +277,21 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 keep.append(bool(may_be_similar(nu, nv, np.bitwise_count(x & ~y).sum(dtype=int), np.bitwise_count(y & ~x).sum(dtype=int), percent)))
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    bits = nodes.select("node", "n", "signature")
-    return pairs.join(_ends(bits, "u"), "u").join(_ends(bits, "v"), "v").mapInArrow(bound, "u long, v long")
+    return _both_ends(staged(pairs, "pairs"), nodes.select("node", "n", "signature")).mapInArrow(bound, "u long, v long")
+
+
+TILE = ["shingle", "band", "lo", "hi"]
 
 
 def _met(tiles: DataFrame, percent: int) -> DataFrame:
-    """From rows (shingle, band, home, node, n, root, signature, leading), the pairs of nodes of one tile and band that lie in different
-    components and that their signatures allow to be similar. Guests, from the band below, meet only those at home. A pair that
-    meets in an earlier tile, as both nodes' leading shingles tell, is left to that tile."""
+    """From rows (shingle, band, lo, hi, block, home, node, n, root, signature, leading), the pairs of nodes of one tile, band and
+    pair of blocks that lie in different components and that their signatures allow to be similar. Guests, from the band
+    below, meet only those at home. A pair that meets in an earlier tile, as both nodes' leading shingles tell, is left to
+    that tile."""
 
     def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, n, root, home = (rows[c].to_numpy() for c in ("node", "n", "root", "home"))
+        node, n, root, home, block = (rows[c].to_numpy() for c in ("node", "n", "root", "home", "block"))
+        lo, hi = rows["lo"][0].as_py(), rows["hi"][0].as_py()
         bits = folded(rows["signature"].to_pylist())
         leading = np.frombuffer(b"".join(rows["leading"].to_pylist()), np.int64).reshape(len(n), LEADING)
         early = np.where(leading < rows["shingle"][0].as_py(), leading, -(2**63))  # later ones equal nothing
@@ -283,6 +299,8 @@ def _met(tiles: DataFrame, percent: int) -> DataFrame:
             x = slice(at, at + BLOCK)
             fit = home[None, :] & (root[x, None] != root[None, :]) & (100 * n[x, None] >= percent * n[None, :])
             fit &= np.where(home[x, None], np.arange(len(n))[x, None] < np.arange(len(n))[None, :], True)
+            if lo != hi:
+                fit &= block[x, None] != block[None, :]
             i, j = np.nonzero(fit)
             for k in range(0, len(i), 20_000):
                 u, v = i[k : k + 20_000] + at, j[k : k + 20_000]
@@ -296,19 +314,22 @@ def _met(tiles: DataFrame, percent: int) -> DataFrame:
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: pa.Table | None = None  # the group that may go on: two blocks of a tile
         for b in batches:
             table = pa.Table.from_batches([b])
             table = table if held is None else pa.concat_tables([held, table])
-            key = table["shingle"].to_numpy() * 31 + table["band"].to_numpy()
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1)]
+            change = np.zeros(max(table.num_rows - 1, 0), bool)
+            for c in TILE:
+                value = table[c].to_numpy()
+                change |= value[1:] != value[:-1]
+            cuts = [0, *(np.flatnonzero(change) + 1)]
             for x, y in zip(cuts, cuts[1:], strict=False):
                 yield from pairs_of(table.slice(x, y - x))
             held = table.slice(cuts[-1])
         if held is not None and held.num_rows:
             yield from pairs_of(held)
 
-    dealt = tiles.repartition("shingle", "band").sortWithinPartitions("shingle", "band", "n", "node")
+    dealt = tiles.repartition(*TILE).sortWithinPartitions(*TILE, "n", "node")
     return dealt.mapInArrow(run, "u long, v long")
 
 
@@ -330,14 +351,18 @@ def _links(likely: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent
         return likely
     wanted = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
     sets = _sets(docs, nodes.select("node", "_id", "_tx").join(wanted, "node"), k)
-    return staged(likely.join(_ends(sets, "u"), "u").join(_ends(sets, "v"), "v").mapInArrow(decide, "u long, v long"), "links")
+    return staged(_both_ends(likely, sets).mapInArrow(decide, "u long, v long"), "links")
 
 
 def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, and `leads` (the document with the component's
     smallest doc_id)."""
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    with scratch(docs.sparkSession):
+        return _similar(docs.select("doc_id", "text"), k, percent)
+
+
+def _similar(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sketch, common = _sketch(docs, k)
     tiles = staged(_tiles(_prefixes(docs, common, k, percent)), "tiles")
     nodes = staged(_nodes(sketch, tiles), "nodes")
@@ -345,8 +370,9 @@ def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     # The first round: in each tile, each node with the hub, the node of whose prefix the largest share lies in tiles (an
     # original has more in common with its copies than they have with each other).
     share = tiles.groupBy("node", "n").agg(F.count("*").alias("met")).select("node", (F.col("met") / F.col("n")).alias("share"))
-    hub = tiles.join(share, "node").groupBy("shingle").agg(F.max(F.struct("share", "node", "n")).alias("h"))
-    starred = tiles.join(hub, "shingle").select(F.col("h.node").alias("u"), F.col("h.n").alias("nu"), F.col("node").alias("v"), F.col("n").alias("nv"))
+    hub = staged(tiles.join(share, "node").groupBy("shingle").agg(F.max(F.struct("share", "node", "n")).alias("h"), F.count("*").alias("n")), "hubs")
+    starred = join_hot(tiles, hub.select("shingle", "h"), "shingle", hub.select("shingle", "n"))
+    starred = starred.select(F.col("h.node").alias("u"), F.col("h.n").alias("nu"), F.col("node").alias("v"), F.col("n").alias("nv"))
     fit = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
     pairs = starred.where((F.col("u") != F.col("v")) & fit).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     first = _links(_likely(pairs, nodes, percent), nodes, docs, k, percent)
@@ -358,30 +384,52 @@ def similar(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFr
     banded = placed.select("*", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))).alias("b"))
     banded = banded.select("shingle", "node", "n", "root", "b.band", "b.home")
     several = (F.min("root") != F.max("root")) & F.bool_or("home")
-    open_tiles = banded.groupBy("shingle", "band").agg(several.alias("open")).where("open").drop("open")
-    rows = banded.join(open_tiles, ["shingle", "band"], "left_semi").join(nodes.select("node", F.col("short").alias("signature"), "leading"), "node")
+    open_tiles = staged(banded.groupBy("shingle", "band").agg(several.alias("open"), F.count("*").alias("members")).where("open").drop("open"), "open")
+    rows = join_hot(banded, open_tiles, ["shingle", "band"], open_tiles.withColumnRenamed("members", "n"))
+    blocks = F.ceil(F.col("members") / TILE_BLOCK).cast("int")
+    rows = rows.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node", "shingle"), blocks).cast("int")})
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("blocks", "other", "members")
+    rows = rows.join(nodes.select("node", F.col("short").alias("signature"), "leading"), "node")
     second = _links(_likely(_met(rows, percent).distinct(), nodes, percent), nodes, docs, k, percent)
     if second.head(1):
         roots = components(first.unionAll(second))
 
-    known = sketch.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = staged(known.select("_id", "_tx", "n", "root"), "placed")
-    leader = known.where("n > 0").groupBy("root").agg(F.min(F.struct("_id", "_tx")).alias("lead"))
-    out = known.join(leader, "root", "left")
-    own = F.struct("_id", "_tx")
-    lead = F.when(F.col("n") > 0, F.col("lead")).otherwise(own)
+    # Leads are found by nodes, then handed to their documents; only nodes that have company need one.
+    own = sketch.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_tx")).alias("own"))
+    counted = staged(own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "counted")
+    leader = counted.groupBy("root").agg(F.min("own").alias("lead"), F.count("*").alias("members"), F.sum("n").alias("rows")).where("rows > 1")
+    leader = staged(leader, "leaders")
+    led = join_hot(counted.select("node", "root"), leader.select("root", "lead"), "root", leader.select("root", F.col("members").alias("n")))
+    led = staged(led.select("node", "lead"), "led")
+    out = join_hot(sketch.select("_id", "_tx", "n", "node"), led, "node", counted.select("node", "n"), "left")
+    own_key = F.struct("_id", "_tx")
+    lead = F.when(F.col("n") > 0, F.coalesce("lead", own_key)).otherwise(own_key)
+    out = staged(out.select("_id", "_tx", "n", lead.alias("lead")), "placed", outlives=True)
     value = lambda c: F.when(c != NULL_ID, c)
     return out.select(
-        value(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), value(lead["_id"]).alias("component_id"), (lead == own).alias("leads"), "_tx"
-    )
+        value(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), value(F.col("lead._id")).alias("component_id"),
+        (F.col("lead") == own_key).alias("leads"), "_tx",
+    )
+
+
+def _can_be_ordered(t: T.DataType) -> bool:
+    if isinstance(t, T.ArrayType):
+        return _can_be_ordered(t.elementType)
+    if isinstance(t, T.StructType):
+        return all(_can_be_ordered(f.dataType) for f in t.fields)
+    return not isinstance(t, T.MapType | T.VariantType)
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs without the documents that another of their component leads: one row of each component."""
+    """docs without the documents that another of their component leads: one row of each component. Of rows that repeat a
+    doc_id and text, the one with the smallest other columns (those that can be ordered) stays."""
     small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != "text"]
     leads = similar(docs, k, percent).where("leads").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), "_tx").distinct()
-    kept = packed(docs, *rest).join(leads, ["_id", "_tx"]).dropDuplicates(["_id", "_tx"])
+    row = F.struct(*(F.col(f"`{c}`") for c in rest), "_packed")
+    order = F.struct(*(F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != "text" and _can_be_ordered(f.dataType)))
+    kept = packed(docs, *rest).join(leads, ["_id", "_tx"]).groupBy("_id", "_tx").agg(F.min_by(row, order).alias("_row")).select("_row.*")
     schema = T.StructType([*(docs.schema[c] for c in rest), docs.schema["text"]])
 
     @lean
@@ -389,7 +437,7 @@ def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
         for b in batches:
             yield unpacked(b)
 
-    return kept.select(*rest, "_packed").mapInArrow(unpack, schema).select(*docs.columns)
+    return kept.select(*(f"`{c}`" for c in rest), "_packed").mapInArrow(unpack, schema).select(*docs.columns)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
