@@ -2,14 +2,16 @@
 
 A disguised word ("1d10t", "i d i o t", "idiooot", "id*ot") is a word sent through a noisy channel. Its characters span a
 lattice: a character may stand for itself, for a letter that it resembles, be a separator that was put in, or (in a
-run of three or more) repeat the letter before. A Viterbi search finds the cheapest path under a character trigram model, and the restored text is
-scored. The trigram model counts the characters of all documents, with the words of the lexicon mixed in; the lexicon
-(words that mark toxic rows) and the final logistic curve come from a bounded sample of labelled rows.
+run of three or more) repeat the letter before. A Viterbi search finds the cheapest path under a character trigram
+model. The restored words are written into the text, and the restored text is split into words and scored. The trigram
+model counts the characters of all documents, with the words of the lexicon mixed in; the lexicon (words that mark toxic
+rows) and the final logistic curve come from a bounded sample of labelled rows.
 
 Defined results: null and empty texts hold no words and get the curve's value at zero; with labels of one kind only, the
-score is the share of toxic rows in the sample (0 with no labels); rows with a null label teach nothing; among equally
-cheap paths the first in the order of the channel's tables is taken; repeated rows get repeated results; extra
-columns pass through.
+score is the share of toxic rows in the sample (0 with no labels); rows with a null label teach nothing; rows of one text
+teach once, as toxic if half of them or more are; among equally cheap paths the first in the order of the channel's tables
+is taken; repeated rows get repeated results; extra columns pass through, but one that has the name of a result is
+replaced by it.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import crc_mod, documents, lean, small_batches
+from ._base import crc_mod, documents, lean, scratch, small_batches, staged
 from ._words import chunks, mix, span_hashes
 
 #: Labelled rows that are fitted, at most: those with the smallest hashes of doc_id.
@@ -80,11 +82,16 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _KIND[0], _KIND[1], _KIND[2]
 
 
+def points_of(text: str) -> np.ndarray:
+    """Code points (above 65535: 65535)."""
+    return np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 65535)
+
+
 def code_points(texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray]:
-    """The lower-cased texts joined by line feeds, their code points (above 65535: 65535), and each text's start."""
+    """The lower-cased texts joined by line feeds, their code points, and each text's start."""
     low = [(t or "").lower() for t in texts]
     joined = "\n".join(low) + "\n"
-    points = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 65535)
+    points = points_of(joined)
     starts = np.zeros(len(low), np.int64)
     np.cumsum([len(t) + 1 for t in low[:-1]], out=starts[1:])
     return joined, points, starts
@@ -175,7 +182,7 @@ class Model:
     trigrams: np.ndarray  # log probability of each class after each two
     words: np.ndarray  # sorted hashes of the lexicon's words
     weights: np.ndarray
-    curve: tuple[float, ...]  # of bias, weight per text, hits, weight per word
+    curve: tuple[float, ...]  # of bias, weight per text, hits, weight per word; only the bias may be negative
     prior: float = 0.0
     names: tuple[str, ...] = field(default=())
 
@@ -188,37 +195,47 @@ def drawn_out(token: str) -> list[bool]:
     return drawn
 
 
+def channel(c: str) -> tuple[list[tuple[str, float]], float | None]:
+    """What a character may stand for, at which costs, and the cost of its being a mere separator (or None)."""
+    moves = [(c, 0.0)] if c.isalpha() else []
+    moves += [(x, LOOKALIKE_COST) for x in LOOKALIKES.get(c, "")]
+    if c in WILDCARDS:
+        moves += [(x, WILDCARD_COST) for x in ALPHABET[:26]]
+    drop = (4 * WILDCARD_COST if c in WILDCARDS else SEPARATOR_COST) if c in SEPARATORS else None
+    return moves if moves or drop is not None else [(c, 0.0)], drop
+
+
+_CLASS = {c: i + 1 for i, c in enumerate(ALPHABET)}
+
+
 def restore_word(token: str, trigrams: np.ndarray) -> str:
-    """The most likely word behind a token: Viterbi over its character lattice."""
-    kinds = {c: i + 1 for i, c in enumerate(ALPHABET)}
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The most likely word behind a token: Viterbi over its character lattice. A state is the classes of the last two letters;
+    each layer keeps, by state, its cost, last letter, the state before, and the letter that led here."""
+    layers: list[dict[tuple[int, int], tuple]] = [{(0, 0): (0.0, "", None, "")}]
     for c, long in zip(token, drawn_out(token), strict=True):
-        moves: list[tuple[str, float]] = []
-        if c.isalpha():
-            moves.append((c, 0.0))
-        moves += [(x, LOOKALIKE_COST) for x in LOOKALIKES.get(c, "")]
-        if c in WILDCARDS:
-            moves += [(x, WILDCARD_COST) for x in ALPHABET[:26]]
-        drop = (4 * WILDCARD_COST if c in WILDCARDS else SEPARATOR_COST) if c in SEPARATORS else None
-        if not moves and drop is None:
-            moves.append((c, 0.0))
-        step: dict[tuple[int, int], tuple[float, str]] = {}
-
-        def offer(state, cost, word, step=step):
+        moves, drop = channel(c)
+        step: dict[tuple[int, int], tuple] = {}
+
+        def offer(state, cost, last, before, letter, step=step):
             if state not in step or cost < step[state][0]:
-                step[state] = (cost, word)
+                step[state] = (cost, last, before, letter)
 
-        for (a, b), (cost, word) in best.items():
+        for (a, b), (cost, last, _, _) in layers[-1].items():
             for x, price in moves:
-                k = kinds.get(x, OTHER) if x.isalpha() else 0
-                offer((b, k), cost + price - float(trigrams[a, b, k]), word + x)
-                if long and word and word[-1] == x:
-                    offer((a, b), cost + price + REPEAT_COST, word)
+                k = _CLASS.get(x, OTHER) if x.isalpha() else 0
+                offer((b, k), cost + price - float(trigrams[a, b, k]), x, (a, b), x)
+                if long and last == x:
+                    offer((a, b), cost + price + REPEAT_COST, last, (a, b), "")
             if drop is not None:
-                offer((a, b), cost + drop, word)
-        best = step
-    ends = [(cost - float(trigrams[a, b, 0]), word) for (a, b), (cost, word) in best.items()]
-    return min(ends, key=lambda e: e[0])[1] if ends else token
+                offer((a, b), cost + drop, last, (a, b), "")
+        layers.append(step)
+    at = min(layers[-1], key=lambda s: layers[-1][s][0] - float(trigrams[s[0], s[1], 0]))
+    out = []
+    for layer in reversed(layers[1:]):
+        _, _, before, letter = layer[at]
+        out.append(letter)
+        at = before
+    return "".join(reversed(out))
 
 
 class Lexicon:
@@ -252,6 +269,15 @@ class Lexicon:
         return out
 
 
+def written(text: str, mended: list[tuple[int, int, str]]) -> str:
+    """The text with its mended words written plainly."""
+    out, at = [], 0
+    for a, b, word in mended:
+        out += [text[at:a], word]
+        at = b
+    return "".join([*out, text[at:]])
+
+
 class Scorer:
     """Restores and scores lists of texts with a model; keeps what it has restored."""
 
@@ -313,20 +339,24 @@ class Scorer:
         return np.where(words[at] == hashes, self.model.weights[at], 0.0)
 
     def features(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """For each text (weight, hits, weight per word), and how many words were restored to words of the lexicon."""
+        """For each restored text (weight, hits, weight per word), and how many words were restored to words of the lexicon."""
         joined, points, begins = code_points(texts)
-        kinds = tables()[0][points]
+        kinds, n = tables()[0][points], len(texts)
+        mended = self.mended(joined, points, kinds)
+        at = np.array([a for a, _, _ in mended], np.int64)
+        if mended:
+            points = points_of(written(joined, mended))
+            kinds = tables()[0][points]
+            grown = np.concatenate(([0], np.cumsum([len(w) - (b - a) for a, b, w in mended])))
+            places, begins = begins, begins + grown[np.searchsorted(at, begins)]
+            n_mended = np.bincount(np.searchsorted(places, at, "right") - 1, minlength=n)
+        else:
+            n_mended = np.zeros(n, np.int64)
         starts, _, hashes = words_of(points, kinds)
         row, weight = np.searchsorted(begins, starts, "right") - 1, self.weights_of(hashes)
-        n = len(texts)
         total, hits = np.bincount(row, weight, n), np.bincount(row, weight > 0, n)
-        words, mended = np.bincount(row, minlength=n), np.zeros(n, np.int64)
-        for a, _, word in self.mended(joined, points, kinds):
-            i = int(np.searchsorted(begins, a, "right") - 1)
-            total[i] += self.weights_of(np.array([hash_word(word)], np.uint64))[0]
-            hits[i] += 1
-            mended[i] += 1
-        return np.stack([np.log1p(total), np.minimum(hits, 5), total / np.sqrt(words + 1)], 1), mended
+        words = np.bincount(row, minlength=n)
+        return np.stack([np.log1p(total), np.minimum(hits, 5), total / np.sqrt(words + 1)], 1), n_mended
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         x, mended = self.features(texts)
@@ -341,11 +371,7 @@ class Scorer:
         joined, points, _ = code_points([text])
         if len(joined) != len(text) + 1:  # lower-casing has changed lengths, so places differ
             text = text.lower()
-        out, at = [], 0
-        for a, b, word in self.mended(joined, points, tables()[0][points]):
-            out += [text[at:a], word]
-            at = b
-        return "".join([*out, text[at:]])
+        return written(text, self.mended(joined, points, tables()[0][points]))
 
 
 def character_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -389,14 +415,21 @@ def _log_probabilities(counts: np.ndarray, lexicon: list[str]) -> np.ndarray:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Coefficients of a ridge-regularised logistic curve by Newton's method."""
-    x = np.concatenate([np.ones((len(x), 1)), x], 1)
-    c = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
-        h = x.T @ (x * (p * (1 - p))[:, None]) + 0.05 * np.eye(len(c))
-        c = c - np.linalg.solve(h, x.T @ (p - y) + 0.05 * c)
-    return tuple(float(v) for v in c)
+    """Coefficients of a ridge-regularised logistic curve by Newton's method. More bad words never lower the score: while a
+    feature's coefficient is negative (the features overlap), the one with the least is left out."""
+    used = list(range(x.shape[1]))
+    while True:
+        z = np.concatenate([np.ones((len(x), 1)), x[:, used]], 1)
+        c = np.zeros(z.shape[1])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(z @ c, -30, 30)))
+            h = z.T @ (z * (p * (1 - p))[:, None]) + 0.05 * np.eye(len(c))
+            c = c - np.linalg.solve(h, z.T @ (p - y) + 0.05 * c)
+        if not used or c[1:].min() >= 0:
+            out = np.zeros(x.shape[1] + 1)
+            out[[0, *(i + 1 for i in used)]] = c
+            return tuple(float(v) for v in out)
+        del used[int(c[1:].argmin())]
 
 
 def _lexicon(counted: list, toxic: int, clean: int) -> dict[str, float]:
@@ -417,8 +450,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded: `rows` pairs of numbers
-    sample = found.select("label", "text", (F.xxhash64("text") % 2 != 0).alias("second")).dropDuplicates(["text"]).persist()
-    try:
+    by_text = found.where("text is not null").groupBy("text").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
+    with scratch(spark):
+        sample = staged(by_text.select("label", "text", (F.xxhash64("text") % 2 != 0).alias("second")), "labelled")
         n = {(r.second, r.label): r.n for r in sample.groupBy("second", "label").agg(F.count("*").alias("n")).collect()}
         toxic, clean = (sum(v for (_, x), v in n.items() if x == k) for k in (1, 0))
         if not toxic or not clean:
@@ -453,8 +487,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
         got.sort()  # sums of floats depend on their order
         curve = _logistic(np.array([r[1:] for r in got]), np.array([r[0] for r in got], float))
         return _model(trigrams, both, curve)
-    finally:
-        sample.unpersist()
 
 
 def _model(trigrams: np.ndarray, lexicon: dict[str, float], curve: tuple[float, ...]) -> Model:
