@@ -1,12 +1,15 @@
 """Media columns: payloads stored as 8-bit media, told apart by their signatures and read back.
 
 `store` writes texts as media blobs, `sniff` finds what a blob really is and what media lie inside it,
-`carve` cuts those out. Signatures are located by an Aho-Corasick automaton over the whole blob; a hit counts
-only if its format's validator follows the structure and lengths to the end.
-
-Defined results: a null or empty blob has the type 'unknown' and nothing embedded; a blob whose first medium does not
-fill it has the type 'mixed' if any medium was found; equal hits at one place keep the longest; other columns,
-whatever their names, pass through; repeated rows give repeated results; an empty table gives an empty table.
+`carve` cuts those out, `features` reads the samples back. `stored_and_read` does all of it in one pass. Signatures are
+located by an Aho-Corasick automaton over the whole blob, inside of media too; a hit counts only if its format's
+validator follows the structure and lengths to the end.
+
+Defined results: a null or empty blob has the type 'unknown' and nothing embedded; a blob that no single medium fills has
+the type 'mixed' if any medium was found; of two media that overlap, and neither lies within the other, the left one
+counts; samples are read from the first medium that is within no other, and are null where that is none, or a gif or
+jpeg; extra columns pass through, but one that has the name of a result is replaced by it; repeated rows give
+repeated results; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._base import documents, lean, small_batches
+from ._words import chunks
 
 #: Samples in a row of a stored image; payloads are padded to a multiple of it.
 UNIT = 64
@@ -43,9 +47,10 @@ MIME = {"png": "image/png", "wav": "audio/wav", "bmp": "image/bmp", "gif": "imag
 # Writers: a padded payload as 8-bit samples.
 
 
-def _write_wav(payload: bytes) -> bytes:
+def _write_wav(payload: bytes, picture: bytes = b"") -> bytes:
     head = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8)
-    body = b"WAVE" + head + struct.pack("<4sI", b"data", len(payload)) + payload
+    extra = struct.pack("<4sI", b"PICT", len(picture)) + picture + b"\0" * (len(picture) % 2) if picture else b""
+    body = b"WAVE" + head + extra + struct.pack("<4sI", b"data", len(payload)) + payload
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
@@ -68,7 +73,23 @@ def _write_png(payload: bytes) -> bytes:
     return MAGIC["png"] + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines, 1)) + _chunk(b"IEND", b"")
 
 
-WRITERS: dict[str, Callable[[bytes], bytes]] = {"wav": _write_wav, "bmp": _write_bmp, "png": _write_png}
+def _write_pictured(payload: bytes) -> bytes:
+    """A sound with a picture inside: its first samples as one row."""
+    return _write_wav(payload, _write_bmp(payload[:UNIT]))
+
+
+def _write_part(payload: bytes) -> bytes:
+    """A picture as a crawler keeps a part of a message, with its header before it."""
+    return b"Content-Type: audio/wav\r\nContent-Transfer-Encoding: binary\r\n\r\n" + _write_png(payload)
+
+
+WRITERS: dict[str, Callable[[bytes], bytes]] = {
+    "wav": _write_wav,
+    "bmp": _write_bmp,
+    "png": _write_png,
+    "pictured": _write_pictured,
+    "part": _write_part,
+}
 
 
 # Validators: the length of the medium that starts at `at`, or 0.
@@ -174,26 +195,34 @@ def _automaton():
     return found
 
 
-def media_in(blob: bytes | None) -> list[tuple[int, int, str]]:
-    """(offset, length, type) of each medium in the blob, left to right; media inside media are not listed."""
-    found: list[tuple[int, int, str]] = []
-    free = 0
+def media_in(blob: bytes | None) -> list[tuple[int, int, str, int]]:
+    """(offset, length, type, depth) of each medium in the blob, left to right; media inside of a medium are one deeper."""
+    found: list[tuple[int, int, str, int]] = []
+    around: list[int] = []  # ends of the media that the place lies in
     for end, (kind, n) in _automaton().iter((blob or b"").decode("latin-1")):
         at = end - n + 1
-        if at >= free and (length := VALIDATORS[kind](blob, at)):
-            found.append((at, length, kind))
-            free = at + length
+        if length := VALIDATORS[kind](blob, at):
+            while around and around[-1] <= at:
+                around.pop()
+            if not around or at + length <= around[-1]:
+                found.append((at, length, kind, len(around)))
+                around.append(at + length)
     return found
 
 
-def type_of(blob: bytes | None, found: list[tuple[int, int, str]]) -> str:
-    if len(found) == 1 and found[0][:2] == (0, len(blob)):
+def type_of(blob: bytes | None, found: list[tuple[int, int, str, int]]) -> str:
+    if found and found[0][:2] == (0, len(blob)):
         return found[0][2]
     return "mixed" if found else "unknown"
 
 
+def carved(blob: bytes | None, found: list[tuple[int, int, str, int]]) -> list[tuple[str, bytes]]:
+    """The media that lie inside the blob and don't fill it: type and bytes."""
+    return [(kind, blob[at : at + n]) for at, n, kind, _ in found if n < len(blob)]
+
+
 def samples(blob: bytes, kind: str) -> bytes:
-    """The 8-bit samples of a whole stored medium, as `store` wrote them."""
+    """The 8-bit samples of a whole medium, as `store` wrote them."""
     if kind == "wav":
         i = 12
         while blob[i : i + 4] != b"data":
@@ -222,7 +251,7 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b"\0" * (max(1, -(-len(raw) // UNIT)) * UNIT - len(raw))
 
 
-def _with_columns(df: DataFrame, fn: Callable[[dict], dict], source: list[str], added: T.StructType) -> DataFrame:
+def _with_columns(df: DataFrame, fn: Callable[..., dict], source: list[str], added: T.StructType) -> DataFrame:
     """df with the added columns, which fn makes from the values of the source columns, row by row in Arrow batches."""
     keep = [f for f in df.schema.fields if f.name not in added.fieldNames()]
     schema = T.StructType(keep + added.fields)
@@ -232,74 +261,93 @@ def _with_columns(df: DataFrame, fn: Callable[[dict], dict], source: list[str],
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for b in batches:
-            values = [b.column(b.schema.get_field_index(s)).to_pylist() for s in source]
-            rows = [fn(*v) for v in zip(*values, strict=True)]
-            columns = [b.column(b.schema.get_field_index(f.name)) for f in keep]
-            columns += [pa.array([r[f.name] for r in rows], arrow.field(f.name).type) for f in added.fields]
-            yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(columns, arrow, strict=True)], schema=arrow)
+        for batch in batches:
+            for b in chunks(batch, source[0]):
+                values = [b.column(b.schema.get_field_index(s)).to_pylist() for s in source]
+                rows = [fn(*v) for v in zip(*values, strict=True)]
+                columns = [b.column(b.schema.get_field_index(f.name)) for f in keep]
+                columns += [pa.array([r[f.name] for r in rows], arrow.field(f.name).type) for f in added.fields]
+                yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(columns, arrow, strict=True)], schema=arrow)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def store(df: DataFrame, text: str = "text", declared: str = "audio/wav") -> DataFrame:
-    """df with `media` (the text's padded payload as an 8-bit wav, bmp or png, by its checksum), `declared_type`
-    (one type for all, as a careless crawler declares it) and `n_bytes` (of the text)."""
+STORED = "n_bytes long, declared_type string, media binary"
+SNIFFED = "media_type string, type_wrong boolean, found array<struct<at:long,length:long,kind:string,depth:int>>"
+READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
 
-    def one(value: str | None) -> dict:
-        n, payload = payload_of(value)
-        kind = ("wav", "bmp", "png")[zlib.crc32(payload) % 3]
-        return {"n_bytes": n, "declared_type": declared, "media": WRITERS[kind](payload)}
 
-    small_batches(df.sparkSession)
-    return _with_columns(df, one, [text], T.StructType.fromDDL("n_bytes long, declared_type string, media binary"))
+def _stored(value: str | None, declared: str) -> dict:
+    n, payload = payload_of(value)
+    kind = list(WRITERS)[zlib.crc32(payload) % len(WRITERS)]
+    return {"n_bytes": n, "declared_type": declared, "media": WRITERS[kind](payload)}
 
 
-def sniff(df: DataFrame, media: str = "media", declared: str = "declared_type") -> DataFrame:
-    """df with `media_type` (what the bytes are), `type_wrong` (the declared type differs) and `found`, the media in
-    each blob as an array of structs (at, length, kind)."""
+def _sniffed(blob: bytes | None, said: str | None) -> dict:
+    found = media_in(blob)
+    kind = type_of(blob, found)
+    places = [{"at": a, "length": n, "kind": k, "depth": d} for a, n, k, d in found]
+    return {"media_type": kind, "type_wrong": said != MIME.get(kind), "found": places}
 
-    def one(blob: bytes | None, said: str | None) -> dict:
-        found = media_in(blob)
-        kind = type_of(blob, found)
-        places = [{"at": a, "length": n, "kind": k} for a, n, k in found]
-        return {"media_type": kind, "type_wrong": said != MIME.get(kind), "found": places}
 
-    schema = T.StructType.fromDDL("media_type string, type_wrong boolean, found array<struct<at:long,length:long,kind:string>>")
-    small_batches(df.sparkSession)
-    return _with_columns(df, one, [media, declared], schema)
+def _read(blob: bytes | None, found: list[dict] | None) -> dict:
+    first = next(iter(found or []), None)
+    back = samples(blob[first["at"] : first["at"] + first["length"]], first["kind"]) if first and first["kind"] in ("wav", "bmp", "png") else None
+    return {
+        "payload_bytes": None if back is None else len(back),
+        "payload_sha256": None if back is None else hashlib.sha256(back).hexdigest(),
+        "tail_crc32": None if back is None else zlib.crc32(back[-UNIT:]),
+        "media_bytes": None if blob is None else len(blob),
+        "media_sha256": None if blob is None else hashlib.sha256(blob).hexdigest(),
+    }
+
+
+def store(df: DataFrame, text: str = "text", declared: str = "audio/wav") -> DataFrame:
+    """df with `media` (the text's padded payload as 8-bit samples in one of the forms of WRITERS, by its checksum),
+    `declared_type` (one type for all, as a careless crawler declares it) and `n_bytes` (of the text)."""
+    return _with_columns(df, lambda value: _stored(value, declared), [text], T.StructType.fromDDL(STORED))
+
+
+def sniff(df: DataFrame, media: str = "media", declared: str = "declared_type") -> DataFrame:
+    """df with `media_type` (what the bytes are), `type_wrong` (the declared type differs) and `found`, the media in
+    each blob as an array of structs (at, length, kind, depth)."""
+    return _with_columns(df, _sniffed, [media, declared], T.StructType.fromDDL(SNIFFED))
 
 
 def carve(sniffed: DataFrame, media: str = "media") -> DataFrame:
-    """One row for each medium that lies in a mixed blob: the row's columns, its place and its bytes (`carved`)."""
-    place = F.explode("found").alias("_place")
+    """One row for each medium that lies inside a blob and doesn't fill it: the row's columns, its type and its bytes (`carved`)."""
+    inside = F.filter("found", lambda m: m["length"] < F.octet_length(media))
     cut: Column = F.expr(f"substring(`{media}`, cast(_place.at + 1 as int), cast(_place.length as int))")
-    mixed = sniffed.where("media_type = 'mixed'").select("*", place)
-    return mixed.withColumn("carved", cut).withColumn("carved_type", F.col("_place.kind")).drop("_place", "found")
+    placed = sniffed.withColumn("_place", F.explode(inside))
+    return placed.withColumn("carved", cut).withColumn("carved_type", F.col("_place.kind")).drop("_place", "found")
 
 
-def features(df: DataFrame, media: str = "media", kind: str = "media_type") -> DataFrame:
-    """Digests of the stored bytes as read back, for whole media that `store` wrote."""
+def features(df: DataFrame, media: str = "media", found: str = "found") -> DataFrame:
+    """sniffed df with digests of each blob and of the samples as read back."""
+    return _with_columns(df, _read, [media, found], T.StructType.fromDDL(READ))
 
-    def one(blob: bytes, what: str) -> dict:
-        back = samples(blob, what)
-        return {
-            "payload_bytes": len(back),
-            "payload_sha256": hashlib.sha256(back).hexdigest(),
-            "tail_crc32": zlib.crc32(back[-UNIT:]),
-            "media_bytes": len(blob),
-            "media_sha256": hashlib.sha256(blob).hexdigest(),
-        }
 
-    schema = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
-    return _with_columns(df, one, [media, kind], T.StructType.fromDDL(schema))
+def stored_and_read(df: DataFrame, text: str = "text", declared: str = "audio/wav") -> DataFrame:
+    """df without its text, with all that `store`, `sniff` and `features` tell, and n_carved and carved_crc32 of the media that
+    `carve` cuts out: one pass, which hands no blob on."""
+
+    def one(value: str | None) -> dict:
+        stored = _stored(value, declared)
+        blob = stored.pop("media")
+        sniffed = _sniffed(blob, declared)
+        inside = carved(blob, [(m["at"], m["length"], m["kind"], m["depth"]) for m in sniffed["found"]])
+        return stored | sniffed | _read(blob, sniffed["found"]) | {"n_carved": len(inside), "carved_crc32": zlib.crc32(b"".join(b for _, b in inside))}
+
+    added = f"{STORED.removesuffix(', media binary')}, {SNIFFED}, {READ}, n_carved int, carved_crc32 long"
+    return _with_columns(df, one, [text], T.StructType.fromDDL(added)).drop(text)
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = store(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
-    out = features(sniff(stored))
-    feature = F.concat_ws(";", F.col("media_type"), F.when(F.col("type_wrong"), "corrected").otherwise("declared"), F.size("found"))
+    out = stored_and_read(documents(spark, sf_dir).select("doc_id", "text"))
+    corrected = F.when(F.col("type_wrong"), "corrected").otherwise("declared")
+    feature = F.concat_ws(";", "media_type", corrected, F.size("found"), "n_carved", "carved_crc32")
     return out.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
-        feature.alias("feature"), "declared_type", "media_type",
+        feature.alias("feature"), "declared_type", "media_type", "n_carved",
     )
