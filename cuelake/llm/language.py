@@ -6,7 +6,8 @@ smallest sum names the language; where the next best is nearly as small, `reject
 
 Defined results: a null text, or one without letters, is `und` with score 0 (and rejected); equal sizes go to the
 first language by code point; rows with a null lang train nothing; with no training rows every text is `und`;
-copies of a text train once; repeated rows give repeated results; extra columns pass through `identify`.
+copies of a text train once; repeated rows give repeated results; extra columns pass through `identify`, but one that
+has the name of a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -19,14 +20,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import crc_mod, documents, lean, small_batches
+from ._base import crc_mod, documents, lean, small_batches, staged
+from ._words import chunks
 
 UNKNOWN = "und"
-#: Distinct labelled texts of each language that may train its dictionary, characters taken of each (more where there are
-#: fewer texts) and bytes in all.
+#: Distinct labelled texts of each language that may train its dictionary, and how long the pieces are that whole texts are
+#: cut into.
 TRAIN_ROWS = 256
-TRAIN_CHARS_PER_ROW = 512
+PIECE_CHARS = 256
+#: Bytes of a dictionary, and of all of them together (more languages than 600 share those).
 DICTIONARY_BYTES = 112_640
+ALL_DICTIONARY_BYTES = 600 * DICTIONARY_BYTES
 #: Bytes compressed at once. Shorter blocks lean more on the dictionary than on the text itself.
 BLOCK = 1024
 LEVEL = 6
@@ -35,21 +39,32 @@ MARGIN = 0.02
 
 
 def train(df: DataFrame, lang: str = "lang", text: str = "text", rows: int = TRAIN_ROWS) -> dict[str, bytes]:
-    """A dictionary's content for each language: pieces of at most `rows` distinct texts, chosen by their hashes; of fewer
-    texts, longer pieces are taken."""
+    """A dictionary's content for each language. At most `rows` distinct texts, chosen by their hashes, are cut into pieces from
+    beginning to end; if these are more than a dictionary holds, it takes pieces at even distances over all of them."""
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     # Copies count once. Of many texts only those with small hashes are ranked: about four times as many as are taken, in one
     # task a language. Hashes of distinct texts are independent, so that too few pass has a chance of about exp(-1.6 * rows).
     distinct = labelled.select("lang", "h").distinct()
-    share = distinct.groupBy("lang").agg((F.lit(4.0 * rows * 2**30) / F.count("*")).alias("least"), F.least(F.count("*"), F.lit(rows)).alias("taken"))
+    share = distinct.groupBy("lang").agg((F.lit(4.0 * rows * 2**30) / F.count("*")).alias("least"))
     few = distinct.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(2**30)) < F.col("least"))  # a row a language
     ranked = few.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("i") <= rows)
-    length = F.greatest(F.lit(TRAIN_CHARS_PER_ROW), F.floor(F.lit(DICTIONARY_BYTES) / F.col("taken")).cast("int"))
     found = labelled.join(F.broadcast(ranked), ["lang", "h"])  # `rows` rows a language
-    chosen = found.groupBy("lang", "i").agg(F.min(F.col("text").substr(F.lit(1), length)).alias("piece"))
-    joined = chosen.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "piece"))).alias("p"))
-    taken = joined.select("lang", F.array_join(F.col("p.piece"), "\n").alias("content")).collect()
-    return {r.lang: r.content.lower().encode()[-DICTIONARY_BYTES:] for r in sorted(taken)}
+    whole = found.groupBy("lang", "i").agg(F.min("text").alias("text"))
+    at = F.posexplode(F.sequence(F.lit(1), F.greatest(F.char_length("text"), F.lit(1)), F.lit(PIECE_CHARS))).alias("k", "at")
+    pieces = whole.select("lang", "i", "text", at).select("lang", "i", "k", F.lower(F.substring("text", F.col("at"), F.lit(PIECE_CHARS))).alias("piece"))
+    pieces = staged(pieces.withColumn("bytes", F.octet_length("piece")), "pieces")
+    each = min(DICTIONARY_BYTES, ALL_DICTIONARY_BYTES // max(pieces.select("lang").distinct().count(), 1))
+    of = Window.partitionBy("lang")  # the pieces of `rows` texts
+    until = F.sum("bytes").over(of.orderBy("i", "k"))
+    # A dictionary's bytes are dealt evenly over all the pieces' bytes: one is taken where its share reaches a whole one.
+    step = F.greatest(F.sum("bytes").over(of) / F.lit(each), F.lit(1.0))
+    filled = lambda upto: F.floor(upto / F.col("step") / F.col("mean"))
+    taken = pieces.withColumns({"until": until, "step": step, "mean": F.avg("bytes").over(of)})
+    taken = taken.where((F.col("step") == 1) | (filled(F.col("until")) > filled(F.col("until") - F.col("bytes"))))
+    texts = taken.groupBy("lang", "i").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "").alias("piece"))
+    joined = texts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "piece"))).alias("p"))
+    content = joined.select("lang", F.array_join(F.col("p.piece"), "\n").alias("content")).collect()  # `each` bytes a language
+    return {r.lang: r.content.encode() for r in sorted(content)}
 
 
 def blocks_of(text: str) -> list[bytes]:
@@ -87,7 +102,7 @@ def identify(df: DataFrame, content: dict[str, bytes], text: str = "text") -> Da
     """df with lang_pred, score (the margin) and rejected (the margin is narrow, or nothing could be told)."""
     spark = df.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(content)  # bounded: DICTIONARY_BYTES for each language
+    shared = spark.sparkContext.broadcast(content)  # bounded: ALL_DICTIONARY_BYTES
     added = T.StructType.fromDDL("lang_pred string, score double, rejected boolean")
     keep = [f for f in df.schema.fields if f.name not in added.fieldNames()]
     schema = T.StructType(keep + added.fields)
@@ -98,7 +113,7 @@ def identify(df: DataFrame, content: dict[str, bytes], text: str = "text") -> Da
         from pyspark.sql.pandas.types import to_arrow_schema
 
         sizer, arrow = Sizer(shared.value), to_arrow_schema(schema)
-        for b in batches:
+        for b in (c for batch in batches for c in chunks(batch, text)):
             texts, told = b.column(b.schema.get_field_index(text)).to_pylist(), b.column(b.num_columns - 1).to_pylist()
             out = [sizer.best(t) if ok and sizer.languages else (UNKNOWN, 0.0) for t, ok in zip(texts, told, strict=True)]
             columns = [b.column(b.schema.get_field_index(f.name)) for f in keep]
