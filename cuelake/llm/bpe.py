@@ -4,14 +4,20 @@ The corpus' frequent words are encoded once, and compiled into a minimal acyclic
 suffixes, and each arc's output adds up to the word's number, which leads to its token ids. The compiled arrays are one
 file that every worker maps into memory. Words that it lacks are merged exactly by the vocabulary's ranks.
 
+What is a letter and what its lower case differs between versions of Unicode. Texts whose characters were all there in
+version 3.2 are alike to every later one and are split here; others are normalised and split by the vocabulary
+file's own rules, as the tokenizers library carries them out.
+
 Defined results: null and empty texts have no ids, and decode to the empty string; strings of added tokens in a text
 become those tokens, as the tokenizers library does by default; an empty table makes an empty lexicon; a null list
-of ids decodes to the empty string; repeated rows give repeated results; extra columns pass through.
+of ids decodes to the empty string; repeated rows give repeated results; extra columns pass through, but one that has
+the name of a result is replaced by it.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import re
 import unicodedata
@@ -34,6 +40,8 @@ from ._words import chunks
 #: Words of the lexicon, at most (the most frequent ones), and the occurrences that a word needs.
 LEXICON_WORDS = 65_536
 LEAST_COUNT = 3
+#: Characters of a word of the lexicon, at most, which bounds what comes to the driver; longer words are merged each time.
+WORD_CHARS = 64
 #: Words whose ids a worker keeps at hand.
 KEPT_WORDS = 60_000
 #: Pairs of a pre-token from which on equal pairs are merged together.
@@ -46,12 +54,29 @@ def vocabulary_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+@cache
+def unsettled() -> re.Pattern[str]:
+    """Finds a character that Unicode 3.2 had not."""
+    old = unicodedata.ucd_3_2_0.category
+    runs: list[list[int]] = []
+    for c in range(0x10000):
+        if old(chr(c)) not in ("Cn", "Cs"):
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return re.compile("[^" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs) + "]")
+
+
 class Vocabulary:
     """A word-level BPE vocabulary file: pre-tokens, exact merges, and token strings by id."""
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import Tokenizer
 
+        library = Tokenizer.from_file(path)
+        self.normalised, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         spec = json.loads(Path(path).read_text())
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
@@ -65,6 +90,7 @@ class Vocabulary:
         prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in prints]
         self.stand_in = {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.byte_of = {c: b for b, c in self.stand_in.items()}
 
     def words(self, text: str | None) -> list[str]:
         """The text's pre-tokens; an added token is one of its own."""
@@ -74,9 +100,11 @@ class Vocabulary:
         for part in self.split_added.split(text) if "<|" in text else (text,):
             if part in self.added:
                 out.append(part)
-            else:
+            elif part.isascii() or not unsettled().search(part):
                 part = part if unicodedata.is_normalized("NFC", part) else unicodedata.normalize("NFC", part)
                 out += self.pieces(part.replace("Σ", "σ").lower())
+            else:
+                out += (bytes(map(self.byte_of.__getitem__, piece)).decode() for piece, _ in self.split(self.normalised(part)))
         return out
 
     def merge(self, word: str) -> list[int]:
@@ -217,16 +245,12 @@ def mapped(name: str) -> Lexicon:
 def frequent_words(df: DataFrame, text: str = "text", words: int = LEXICON_WORDS) -> list[str]:
     """The most frequent runs of letters in all texts, lower-cased; at most `words`."""
     every = df.select(F.explode(F.expr(f"regexp_extract_all(lower(`{text}`), '\\\\p{{L}}+', 0)")).alias("word"))
-    counted = every.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    counted = every.where(F.length("word") <= WORD_CHARS).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT)
     return [r.word for r in most_frequent(staged(counted, "words"), "n", words).collect()]  # at most `words`
 
 
-def build_lexicon(df: DataFrame, text: str = "text", path: str | None = None) -> str:
-    """Compile the frequent words of df, put the file where all nodes can fetch it, and return its name."""
-    spark = df.sparkSession
-    vocab = vocabulary(path or vocabulary_path())
-    data = pack(compile_lexicon({w: vocab.merge(w) for w in frequent_words(df, text)}))
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
+def _put(spark: SparkSession, data: bytes, name: str) -> str:
+    """Write data to the shared folder, have Spark hand the file to every worker, and return its name."""
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
     out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place)
@@ -236,6 +260,25 @@ def build_lexicon(df: DataFrame, text: str = "text", path: str | None = None) ->
     return name
 
 
+_shipped: dict[tuple[str, str], str] = {}
+
+
+def shipped(spark: SparkSession, path: str | None) -> str:
+    """The vocabulary file, read on the driver, under the name by which workers get it (once an application)."""
+    path = path or vocabulary_path()
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _shipped:
+        _shipped[key] = _put(spark, Path(path).read_bytes(), f"vocabulary-{uuid.uuid4().hex}.json")
+    return _shipped[key]
+
+
+def build_lexicon(df: DataFrame, text: str = "text", path: str | None = None) -> str:
+    """Compile the frequent words of df, put the file where all nodes can fetch it, and return its name."""
+    vocab = vocabulary(path or vocabulary_path())
+    data = pack(compile_lexicon({w: vocab.merge(w) for w in frequent_words(df, text)}))
+    return _put(df.sparkSession, data, f"lexicon-{uuid.uuid4().hex}.bin")
+
+
 def _added(df: DataFrame, source: str, added: list[T.StructField], maker) -> DataFrame:
     """df with more columns, made of the source column by maker()'s function from a list of values to a list a column."""
     keep = [f for f in df.schema.fields if f.name not in {a.name for a in added}]
@@ -262,47 +305,56 @@ def _decoder(vocab: Vocabulary):
     return lambda values: [" ".join(map(token, np.frombuffer(v or b"", np.uint32).tolist())) for v in values]
 
 
-def encode(df: DataFrame, lexicon: str, text: str = "text", path: str | None = None, decoded: str | None = None) -> DataFrame:
-    """df with `ids`: the text's token ids as little-endian unsigned 32-bit integers. With the name of a column for it, the
-    ids are decoded again in the same pass, which spares a second worker with a vocabulary of its own."""
-    path = path or vocabulary_path()
-    added = [T.StructField("ids", T.BinaryType()), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+# What `encode` can make of a text, with the type of each.
+MADE = {"ids": T.BinaryType(), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded": T.StringType(), "decoded_sha256": T.StringType()}
+
+
+def encode(df: DataFrame, lexicon: str, text: str = "text", path: str | None = None, made: tuple[str, ...] = ("ids",)) -> DataFrame:
+    """df with the columns `made`: `ids` (the text's token ids as little-endian unsigned 32-bit integers), `n_tokens`, `ids_sha256`,
+    `decoded` (the ids decoded again, in the same pass) and `decoded_sha256`. Digests are made by the workers, so that ids
+    and texts that nobody needs are not handed on."""
+    vocabulary_name = shipped(df.sparkSession, path)
 
     def maker():
-        vocab, known = vocabulary(path), mapped(lexicon)
-        ids: dict[str, bytes] = {}
+        vocab, known = vocabulary(SparkFiles.get(vocabulary_name)), mapped(lexicon)
+        kept: dict[str, bytes] = {}
+        decode_all = _decoder(vocab)
 
         def encoded(texts: list[str | None]) -> list[list]:
             split = [vocab.words(t) for t in texts]
-            if len(ids) > KEPT_WORDS:
-                ids.clear()
-            new = list(set(chain.from_iterable(split)) - ids.keys())
+            if len(kept) > KEPT_WORDS:
+                kept.clear()
+            new = list(set(chain.from_iterable(split)) - kept.keys())
             for word, found in zip(new, known.find(new), strict=True):
-                ids[word] = np.array(vocab.merge(word), np.uint32).tobytes() if found is None else found
-            out = [b"".join(map(ids.__getitem__, words)) for words in split]
-            return [out, _decoder(vocab)(out)] if decoded else [out]
+                kept[word] = np.array(vocab.merge(word), np.uint32).tobytes() if found is None else found
+            ids = [b"".join(map(kept.__getitem__, words)) for words in split]
+            decoded = decode_all(ids) if {"decoded", "decoded_sha256"} & set(made) else []
+            values = {
+                "ids": lambda: ids,
+                "n_tokens": lambda: [len(i) // 4 for i in ids],
+                "ids_sha256": lambda: [hashlib.sha256(i).hexdigest() for i in ids],
+                "decoded": lambda: decoded,
+                "decoded_sha256": lambda: [hashlib.sha256(d.encode()).hexdigest() for d in decoded],
+            }
+            return [values[m]() for m in made]
 
         return encoded
 
-    return _added(df, text, added, maker)
+    return _added(df, text, [T.StructField(m, MADE[m]) for m in made], maker)
 
 
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
     """df with `decoded`: the ids' token strings, joined by a space (the vocabulary names no decoder)."""
-    path = path or vocabulary_path()
+    vocabulary_name = shipped(df.sparkSession, path)
 
     def maker():
-        decoded = _decoder(vocabulary(path))
+        decoded = _decoder(vocabulary(SparkFiles.get(vocabulary_name)))
         return lambda values: [decoded(values)]
 
     return _added(df, ids, [T.StructField("decoded", T.StringType())], maker)
 
 
-def n_tokens(ids: str = "ids"):
-    return (F.octet_length(ids) / 4).cast("long")
-
-
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = encode(docs, build_lexicon(docs), decoded="decoded")
-    return out.select("doc_id", n_tokens().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = encode(docs, build_lexicon(docs), made=("n_tokens", "ids_sha256", "decoded_sha256"))
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
