@@ -8,17 +8,18 @@ documents as long as they fit, and the rest goes to documents in the order of a
 
 Defined results: a null source is a source of its own, ordered last; null and empty texts have size 0 and give nothing;
 with no words at all every target is 0; ties of the seeded hash go by doc_id, then by the text's hash; nothing tells rows
-apart that repeat a doc_id and text, so they are taken together; extra columns pass through `mix`.
+apart that repeat a doc_id and text, so they are taken together; extra columns pass through `mix`, but those that have
+the names of results are replaced. More than MOST_PATTERNS patterns are an error.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, deque
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import NULL_ID, documents, staged
+from ._base import BROADCAST_ROWS, NULL_ID, documents, small, staged
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -26,6 +27,8 @@ SEED = 17
 #: Hex digits of the hash that make a bucket: the last copy's documents are found in two steps, so that no window holds a
 #: whole source.
 BUCKET_DIGITS = 3
+#: Patterns of sources whose sums the driver can hold. They are counted first.
+MOST_PATTERNS = 1_000_000
 
 
 def size_of(text: Column) -> Column:
@@ -73,9 +76,9 @@ def min_cost_flow(arcs: list[tuple[object, object, int, int]], start: object, en
             room.append(k)
             cost.append(p)
     while True:
-        dist, by, queue, waiting = {start: 0}, {}, [start], {start}
+        dist, by, queue, waiting = {start: 0}, {}, deque([start]), {start}
         while queue:
-            x = queue.pop(0)
+            x = queue.popleft()
             waiting.discard(x)
             for e in out[x]:
                 d = dist[x] + cost[e]
@@ -96,22 +99,48 @@ def min_cost_flow(arcs: list[tuple[object, object, int, int]], start: object, en
             room[e ^ 1] += least
 
 
+def linked_sources(patterns: list[tuple]) -> dict[object, object]:
+    """One source for each source: the same for those that patterns link."""
+    up: dict[object, object] = {s: s for p in patterns for s in p}
+
+    def top(s):
+        while up[s] != s:
+            up[s] = s = up[up[s]]
+        return s
+
+    for p in patterns:
+        for s in p[1:]:
+            up[top(s)] = top(p[0])
+    return {s: top(s) for s in up}
+
+
 def route(patterns: list[tuple[tuple, int]], quotas: dict[str | None, float], most: int = MOST_COPIES) -> dict[tuple[tuple, str | None], int]:
-    """Words that each (pattern, source) pair passes: from (pattern, size) pairs to the sources' quotas."""
-    arcs: list[tuple[object, object, int, int]] = []
+    """Words that each (pattern, source) pair passes: from (pattern, size) pairs to the sources' quotas. Sources that no
+    pattern links have nothing to do with each other, so each linked group has a flow of its own."""
+    group = linked_sources([p for p, _ in patterns])
+    arcs: dict[object, list[tuple[object, object, int, int]]] = defaultdict(list)
     for p, size in patterns:
-        arcs += [("start", ("p", p), size, copy * copy) for copy in range(most)]
-        arcs += [(("p", p), ("s", s), most * size, 0) for s in p]
-    arcs += [(("s", s), "end", round(q), 0) for s, q in quotas.items()]
-    flows = min_cost_flow(arcs, "start", "end")
-    return {(a[1], b[1]): f for (a, b, _, _), f in zip(arcs, flows, strict=True) if f and isinstance(a, tuple) and isinstance(b, tuple)}
+        if p:
+            mine = arcs[group[p[0]]]
+            mine += [("start", ("p", p), size, copy * copy) for copy in range(most)]
+            mine += [(("p", p), ("s", s), most * size, 0) for s in p]
+    for s, q in quotas.items():
+        arcs[group[s]].append((("s", s), "end", round(q), 0))
+    out = {}
+    for mine in arcs.values():
+        flows = min_cost_flow(mine, "start", "end")
+        out |= {(a[1], b[1]): f for (a, b, _, _), f in zip(mine, flows, strict=True) if f and isinstance(a, tuple) and isinstance(b, tuple)}
+    return out
 
 
 def plan_of(buckets: DataFrame, kind: str, weights: tuple[float, ...], most: int) -> DataFrame:
     """One row a pattern: its sources' size and target, and how many whole copies and further words it gives.
 
     Only one row for each pattern of sources comes to the driver, where the flow is solved."""
-    patterns = [(tuple(r["_pattern"]), r.words) for r in buckets.groupBy("_pattern").agg(F.sum("words").alias("words")).collect()]
+    by_pattern = staged(buckets.groupBy("_pattern").agg(F.sum("words").alias("words")), "mix-patterns")
+    if (n := by_pattern.count()) > MOST_PATTERNS:
+        raise ValueError(f"{n} patterns of sources, more than {MOST_PATTERNS}: name fewer sources")
+    patterns = [(tuple(r["_pattern"]), r.words) for r in by_pattern.collect()]
     patterns.sort(key=lambda x: [(s is None, s or "") for s in x[0]])
     sizes: dict[str | None, int] = defaultdict(int)
     for p, n in patterns:
@@ -124,7 +153,8 @@ def plan_of(buckets: DataFrame, kind: str, weights: tuple[float, ...], most: int
     for (p, _), words in route(patterns, goals, most).items():
         passed[p] += words
     rows = [(list(p), sum(sizes[s] for s in p), sum(goals[s] for s in p), *(divmod(passed[p], n) if n else (0, 0))) for p, n in patterns]
-    return buckets.sparkSession.createDataFrame(rows, f"_p {kind}, source_size long, target double, _copies long, _rest long")
+    plan = buckets.sparkSession.createDataFrame(rows, f"_p {kind}, source_size long, target double, _copies long, _rest long")
+    return F.broadcast(plan) if len(rows) <= BROADCAST_ROWS else plan
 
 
 def mix(sized: DataFrame, source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
@@ -141,17 +171,17 @@ def mix(sized: DataFrame, source: str = "source", weights: tuple[float, ...] = W
     # The bucket in which a pattern's last words lie, and how many of them.
     below = Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     at = buckets.withColumn("_below", F.coalesce(F.sum("words").over(below), F.lit(0)))  # at most 16 ** BUCKET_DIGITS rows a pattern
-    cuts = at.join(F.broadcast(plan), same).where("_below < _rest and _rest <= _below + words")
+    cuts = at.join(plan, same).where("_below < _rest and _rest <= _below + words")
     cuts = staged(cuts.select("_p", F.col("_bucket").alias("_cut"), (F.col("_rest") - F.col("_below")).alias("_into")), "mix-cut")
     # Within that bucket, the last document taken: the one after it would miss the target by more than it helps.
-    mine = keyed.join(F.broadcast(cuts), same & (F.col("_bucket") == F.col("_cut"))).select("_pattern", "_order", "size", "_into")
+    mine = keyed.join(small(cuts), same & (F.col("_bucket") == F.col("_cut"))).select("_pattern", "_order", "size", "_into")
     inside = Window.partitionBy("_pattern").orderBy("_order")
     last = mine.withColumn("_before", F.sum("size").over(inside) - F.col("size")).where("2 * _before + size < 2 * _into")
     last = staged(last.groupBy("_pattern").agg(F.max("_order").alias("_last")).withColumnRenamed("_pattern", "_lp"), "mix-last")
     ends = plan.join(cuts.withColumnRenamed("_p", "_cp"), F.col("_p").eqNullSafe(F.col("_cp")), "left").drop("_cp", "_into")
-    ends = ends.join(F.broadcast(last), F.col("_p").eqNullSafe(F.col("_lp")), "left").drop("_lp")
+    ends = ends.join(small(last), F.col("_p").eqNullSafe(F.col("_lp")), "left").drop("_lp")
     more = F.coalesce((F.col("_bucket") < F.col("_cut")) | (F.col("_bucket") == F.col("_cut")) & (F.col("_order") <= F.col("_last")), F.lit(False)).cast("int")
-    out = keyed.join(F.broadcast(ends), same)  # ends has one row a pattern
+    out = keyed.join(small(staged(ends, "mix-ends")), same)  # ends has one row a pattern
     taken = F.col("size") * (F.col("_copies") + F.when(F.col("_copies") < most, more).otherwise(0))
     return out.withColumn("taken", taken).select(*sized.columns, "source_size", F.round("target", 6).alias("target"), "taken")
 
