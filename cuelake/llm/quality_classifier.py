@@ -6,8 +6,8 @@ vector in blocks, and lets the K nearest vote with their similarity as weight.
 
 Defined results: null and empty texts have no trigrams and get the share of good labels in the sample, as does a text
 without a neighbour of positive similarity; with no labelled rows every score is 0.5; rows with a null label teach
-nothing; equal similarities are settled by the sample's order (a hash of doc_id, then doc_id); repeated rows get
-repeated results; extra columns pass through `score`.
+nothing; equal similarities are settled by the sample's order (a hash of doc_id, then doc_id, label and trigrams);
+repeated rows get repeated results; extra columns pass through `score`, but one of that name is replaced.
 """
 
 from __future__ import annotations
@@ -91,7 +91,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
                 yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("label"), pa.array(rows_of, pa.binary())], ["doc_id", "label", "counts"])
 
     chosen = sample(docs, labels, label, rows).select("doc_id", F.col("label").cast("int").alias("label"), "text")
-    got = chosen.mapInArrow(count, "doc_id long, label int, counts binary").orderBy("doc_id").limit(rows).collect()
+    counted = chosen.mapInArrow(count, "doc_id long, label int, counts binary")
+    got = counted.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "counts").limit(rows).collect()  # a doc_id may have several rows
     if not got:
         return Model(np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0.5)
     x = np.stack([np.frombuffer(r.counts, np.float16) for r in got]).astype(np.float32)
@@ -102,6 +103,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     return Model(idf[:, None] * directions, unit(x @ directions), y, float(y.mean()))
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The k largest of each row, of equal ones those that come first."""
+    bits = (cosine.astype(np.float32) + np.float32(0)).view(np.int32).astype(np.int64)
+    rank = np.where(bits < 0, -(2**31) - bits, bits)  # in the order of the numbers
+    width = cosine.shape[1]
+    key = rank * width + (width - 1 - np.arange(width))
+    return np.argpartition(-key, k - 1, axis=1)[:, :k]
+
+
 def vote(model: Model, counts: np.ndarray) -> np.ndarray:
     """The score of each row of trigram counts."""
     if not len(model.labels):
@@ -110,7 +120,7 @@ def vote(model: Model, counts: np.ndarray) -> np.ndarray:
     out = np.full(len(counts), model.prior)
     for at in range(0, len(counts), BLOCK):
         cosine = unit(counts[at : at + BLOCK] @ model.projection) @ model.vectors.T
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        near = nearest(cosine, k)
         weight = np.maximum(np.take_along_axis(cosine, near, 1), 0)
         total = weight.sum(1)
         good = (weight * model.labels[near]).sum(1)
