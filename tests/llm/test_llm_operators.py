@@ -2,12 +2,16 @@ from __future__ import annotations
 
 import struct
 import zlib
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_contracts import removed, similar_by_pairs
 
-from cuelake.llm import bpe, language, license_scan, media, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, toxicity
+from cuelake.llm import _base, bpe, language, license_scan, media, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -36,17 +40,55 @@ def test_media_round_trip(kind):
         assert media.type_of(blob, media.media_in(blob)) == kind and media.samples(blob, kind) == payload
 
 
+def places_by_search(blob: bytes) -> list[tuple[int, int, str, int]]:
+    """Every place and format tried."""
+    out, around = [], []
+    for at in range(len(blob)):
+        for kind, magic in media.MAGIC.items():
+            if blob.startswith(magic, at) and (n := media.VALIDATORS[kind](blob, at)):
+                around = [e for e in around if e > at]
+                if not around or at + n <= around[-1]:
+                    out.append((at, n, kind, len(around)))
+                    around.append(at + n)
+    return out
+
+
+def test_media_are_found_wherever_they_are():
+    rng = np.random.default_rng(11)
+    parts = [w(bytes(rng.integers(0, 256, 64, dtype=np.uint8))) for w in media.WRITERS.values()] + [gif(), jpeg(), b"BM", b"RIFF", b"GIF8", b"\xff\xd8\xff", b"junk"]
+    for _ in range(60):
+        inside = b"".join(parts[i] for i in rng.integers(0, len(parts), 4))
+        blob = media._write_wav(inside) + b"".join(parts[i] for i in rng.integers(0, len(parts), 3)) + media._write_wav(bytes(3), gif())
+        assert media.media_in(blob) == places_by_search(blob)
+    assert [(k, d) for _, _, k, d in media.media_in(media.WRITERS["pictured"](bytes(64)))] == [("wav", 0), ("bmp", 1)]
+
+
 def test_carving_and_broken_media(spark):
     png, wav = media.WRITERS["png"](bytes(64)), media.WRITERS["wav"](bytes(64))
     mixed = b"junk BM RIFF" + png + b"GIF8" + gif() + jpeg() + wav + b"\x89PNG"
-    assert [(k, n) for _, n, k in media.media_in(mixed)] == [("png", len(png)), ("gif", len(gif())), ("jpeg", len(jpeg())), ("wav", len(wav))]
+    assert [(k, n) for _, n, k, _ in media.media_in(mixed)] == [("png", len(png)), ("gif", len(gif())), ("jpeg", len(jpeg())), ("wav", len(wav))]
     broken = bytearray(png)
     broken[40] ^= 1
     assert media.media_in(bytes(broken)) == [] and media.media_in(None) == [] and media.media_in(wav[:-1]) == []
-    df = spark.createDataFrame([(1, mixed, "image/png", "a"), (2, png, "image/png", "b"), (3, None, None, "c"), (4, wav, "image/png", "d")], "id long, media binary, declared_type string, found string")
+    around = media._write_wav(gif() + b"x")
+    rows = [(1, mixed, "image/png", "a"), (2, png, "image/png", "b"), (3, None, None, "c"), (4, wav, "image/png", "d"), (5, around, "audio/wav", "e"), (6, gif(), None, "f"), (7, jpeg(), None, "g"), (8, b"", None, "h")]
+    df = spark.createDataFrame(rows, "id long, media binary, declared_type string, found string")
     sniffed = media.sniff(df)
-    assert {r.id: (r.media_type, r.type_wrong) for r in sniffed.collect()} == {1: ("mixed", True), 2: ("png", False), 3: ("unknown", False), 4: ("wav", True)}
-    assert [(bytes(r.carved), r.carved_type) for r in media.carve(sniffed).collect()][0] == (png, "png") and media.carve(sniffed).count() == 4
+    kinds = {r.id: (r.media_type, r.type_wrong) for r in sniffed.collect()}
+    assert kinds == {1: ("mixed", True), 2: ("png", False), 3: ("unknown", False), 4: ("wav", True), 5: ("wav", False), 6: ("gif", True), 7: ("jpeg", True), 8: ("unknown", False)}
+    cut = [(r.id, bytes(r.carved), r.carved_type) for r in media.carve(sniffed).collect()]
+    assert cut[0] == (1, png, "png") and len(cut) == 5 and (5, gif(), "gif") in cut
+    read = {r.id: (r.payload_bytes, r.media_bytes) for r in media.features(sniffed).collect()}
+    assert read[2] == (64, len(png)) and read[3] == (None, None) and read[6] == (None, len(gif())) and read[1][0] == 64 and read[8] == (None, 0)
+
+
+def test_one_pass_equals_the_steps(spark):
+    df = docs(spark, [(i, "word " * i) for i in range(40)] + [(99, None)])
+    steps = {r.doc_id: r for r in media.features(media.sniff(media.store(df))).collect()}
+    at_once = media.stored_and_read(df).collect()
+    for r in at_once:
+        assert all(r[c] == steps[r.doc_id][c] for c in r.asDict() if c not in ("n_carved", "carved_crc32"))
+    assert {r.media_type for r in at_once} == {"wav", "bmp", "png", "mixed"} and {r.n_carved for r in at_once} == {0, 1}
 
 
 # Language
@@ -71,6 +113,16 @@ def test_copies_train_once_and_lose_no_language(spark):
     assert got["c"].decode() == "longer " * 200
 
 
+def test_whole_texts_train(spark):
+    rng = np.random.default_rng(12)
+    same = " ".join(f"s{i}" for i in rng.integers(0, 50, 2000))
+    rows = [(x, f"{same} {i} " + " ".join(f"{x}{j}" for j in rng.integers(0, 30, 400))) for x in ("ka", "lo") for i in range(12)]
+    content = language.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert all(len(c) <= 1.1 * language.DICTIONARY_BYTES for c in content.values())
+    got = language.identify(docs(spark, [(1, "ka3 ka17 ka9 ka22 ka1 ka25 ka13"), (2, "lo3 lo17 lo9 lo22 lo1 lo25 lo13")]), content)
+    assert {r.doc_id: (r.lang_pred, r.rejected) for r in got.collect()} == {1: ("ka", False), 2: ("lo", False)}  # these words come last
+
+
 # Quality rules
 
 
@@ -117,6 +169,83 @@ def test_families_of_disguise_reach_the_search(hidden):
     assert s.restore(plain) == plain
 
 
+def paths(token: str, trigrams) -> dict[str, float]:
+    """The least cost of every word that the channel can make a token of, by enumeration."""
+    kinds = {c: i + 1 for i, c in enumerate(toxicity.ALPHABET)}
+    ends = {"": 0.0}
+    for c, long in zip(token, toxicity.drawn_out(token), strict=True):
+        moves, drop = toxicity.channel(c)
+        step: dict[str, float] = {}
+        for word, cost in ends.items():
+            told = [(word + x, price) for x, price in moves]
+            told += [(word, price + toxicity.REPEAT_COST) for x, price in moves if long and word.endswith(x)]
+            told += [(word, drop)] if drop is not None else []
+            for w, price in told:
+                step[w] = min(step.get(w, 1e9), cost + price)
+        ends = step
+    out = {}
+    for word, cost in ends.items():
+        k = [0, 0, *(kinds.get(x, toxicity.OTHER) if x.isalpha() else 0 for x in word), 0]
+        out[word] = cost - sum(float(trigrams[k[i], k[i + 1], k[i + 2]]) for i in range(len(k) - 2))
+    return out
+
+
+def test_search_equals_enumeration():
+    rng = np.random.default_rng(13)
+    trigrams = toxicity._log_probabilities(rng.integers(0, 40, (toxicity.CLASSES,) * 3).astype(float), ["idiot", "moron", "loser"])
+    for _ in range(150):
+        token = "".join(rng.choice(list("abidot01!|.-$*o"), rng.integers(1, 7)))
+        token = token.replace("*", "x", max(token.count("*") - 1, 0)) + ("ooo" if rng.random() < 0.3 else "")
+        costs = paths(token, trigrams)
+        assert costs[toxicity.restore_word(token, trigrams)] == pytest.approx(min(costs.values()), abs=1e-4), token
+
+
+def leet(rng, word: str) -> str:
+    """A word in one of the usual disguises."""
+    swap = {"a": "@4", "e": "3", "i": "1!", "o": "0", "s": "$5", "t": "7+", "l": "1", "b": "8", "g": "9"}
+    way = rng.integers(0, 4)
+    if way == 0 and any(c in swap for c in word):
+        return "".join(rng.choice(list(swap[c])) if c in swap else c for c in word)
+    if way == 1:
+        return " ".join(word)
+    if way == 2:
+        return word[0] * 4 + word[1:]
+    return word[0] + "*" + word[2:] if way == 3 else ".".join(word)
+
+
+def test_disguised_words_of_held_out_rows_are_caught(spark):
+    """Toxic words that training shows plainly are disguised in rows that it has not seen."""
+    rng = np.random.default_rng(14)
+    bad, plain = ["idiot", "moron", "loser", "stupid", "pathetic", "worthless"], [f"{a}{b}{c}" for a in "bcdfg" for b in ("amo", "ile", "unt") for c in "nrs"]
+    rows, toxic = [], {}
+    for i in range(600):
+        words, toxic[i] = list(rng.choice(plain, 30)), int(i % 3 == 0)
+        if toxic[i]:
+            for word in rng.choice(bad, 2, replace=False):
+                words.insert(int(rng.integers(0, 30)), leet(rng, word) if i >= 300 else word)
+        rows.append((i, " ".join(words)))
+    labels = spark.createDataFrame([(i, toxic[i]) for i in range(300)], "doc_id long, toxic int")
+    out = toxicity.score(docs(spark, rows), toxicity.fit(docs(spark, rows), labels)).where("doc_id >= 300").collect()
+    caught = [r.score >= toxicity.THRESHOLD for r in out if toxic[r.doc_id]]
+    clean = [r.score < toxicity.THRESHOLD for r in out if not toxic[r.doc_id]]
+    assert np.mean(caught) >= 0.9 and np.mean(clean) >= 0.99
+    assert sum(r.n_restored for r in out if toxic[r.doc_id]) > 150 and not any(r.n_restored for r in out if not toxic[r.doc_id])
+
+
+def test_rows_of_one_text_teach_once(spark):
+    d = docs(spark, [(1, "same"), (2, "same"), (3, "same"), (4, "other"), (5, "other"), (6, None)])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0), (5, 0), (6, 1)], "doc_id long, toxic int")
+    curve = {toxicity.fit(d.repartition(n), labels).curve for n in (1, 3, 7)}
+    assert len(curve) == 1
+
+
+def test_more_bad_words_never_lower_the_score():
+    x = np.random.default_rng(1).random((200, 3))
+    x[:, 1] = x[:, 0] * 2 + 0.01
+    c = toxicity._logistic(x, (x[:, 0] - x[:, 2] > 0).astype(float))
+    assert all(v >= 0 for v in c[1:]) and c[1] + c[2] > 0
+
+
 def test_one_kind_of_labels(spark):
     d = docs(spark, [(i, f"text number {i}") for i in range(5)])
     labels = spark.createDataFrame([(i, 0) for i in range(5)], "doc_id long, toxic int")
@@ -144,9 +273,40 @@ def test_votes_equal_brute_force():
         assert got == pytest.approx((w * m.labels[near]).sum() / w.sum(), abs=1e-5)
 
 
+def test_equal_similarities_go_by_order():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        cosine = rng.integers(-3, 4, (7, 30)).astype(np.float32) / 4
+        for k in (1, 5, 30):
+            want = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+            assert (np.sort(quality_classifier.nearest(cosine, k), axis=1) == np.sort(want, axis=1)).all()
+
+
+def test_repeated_ids_fit_alike(spark):
+    rows = [(i % 5, f"text {i} " * (i + 1)) for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    models = [quality_classifier.fit(docs(spark, rows).repartition(n), labels, rows=12) for n in (1, 4)]
+    assert np.allclose(models[0].vectors, models[1].vectors) and (models[0].labels == models[1].labels).all() and len(models[0].labels) == 12
+
+
 # BPE
 
 
+def test_every_settled_character_is_split_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary_path()
+    library, v = Tokenizer.from_file(path), bpe.vocabulary(path)
+    new = 0
+    for c in [*range(0xD800), *range(0xE000, 0x10000), *range(0x10000, 0x110000, 37)]:
+        text = f"a{chr(c)}b {chr(c)}{chr(c)}\u0301"
+        settled = not bpe.unsettled().search(text)
+        new += not settled
+        if settled or c % 16 == 0:
+            assert [i for w in v.words(text) for i in v.merge(w)] == library.encode(text, add_special_tokens=False).ids, hex(c)
+    assert new > 10_000
+
+
 def test_transducer_finds_its_words_and_no_other(tmp_path):
     rng = np.random.default_rng(1)
     words = {"".join(rng.choice(list("abcé"), rng.integers(1, 7))): [int(i) for i in rng.integers(0, 9, rng.integers(1, 4))] for _ in range(400)}
@@ -211,6 +371,43 @@ def test_one_of_each_keeps_all_columns(spark):
     rows = [(3, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "other words are in here", None), (4, None, "z"), (1, "a b c d e f", "y")]
     out = ngram_join.one_of_each(docs(spark, rows, "doc_id long, text string, label string"), 5, 80)
     assert sorted((r.doc_id, r.label) for r in out.collect()) == [(1, "y"), (2, None), (4, "z")]
+    rows = [(1, "a b c d e f", x) for x in ("q", "p", "s")] + [(1, "a b c d e f", None)] * 2
+    for n in (1, 4):
+        assert [r.label for r in ngram_join.one_of_each(docs(spark, rows[:3], "doc_id long, text string, label string").repartition(n)).collect()] == ["p"]
+        assert [r.label for r in ngram_join.one_of_each(docs(spark, rows, "doc_id long, text string, label string").repartition(n)).collect()] == [None]
+
+
+@pytest.mark.parametrize(("block", "share"), [(3, 0.001), (256, 0.02), (2, 0.05)])
+def test_similar_with_tiles_in_blocks_and_hot_keys(spark, monkeypatch, block, share):
+    monkeypatch.setattr(ngram_join, "TILE_BLOCK", block)
+    monkeypatch.setattr(_base, "HOT_SHARE", share)
+    rows = near_copies(6, 5, 16)
+    rows += [(1000 + i, rows[3][1]) for i in range(40)] + [(2000, None), (2001, ""), (2002, "a b")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar(docs(spark, rows), 4, 85).collect()}
+    assert got == similar_by_pairs(dict(rows), 4, 85)
+
+
+def test_hot_keys_are_joined_like_others(spark, monkeypatch):
+    monkeypatch.setattr(_base, "HOT_SHARE", 0.1)
+    left = spark.createDataFrame([(i % 7 if i % 2 else 1, i, str(i)) for i in range(100)], "a long, b long, c string")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(6)], "a long, r string")
+    counts = left.groupBy("a").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        want, got = (sorted(map(str, x.select("a", "b", "c", "r").collect())) for x in (left.join(right, "a", how), _base.join_hot(left, right, "a", counts, how)))
+        assert got == want
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    df = docs(spark, [(1, "a")])
+    with _base.scratch(spark):
+        inner = _base.staged(df, "inner").inputFiles()[0]
+        with _base.scratch(spark):
+            late = _base.staged(df, "late", outlives=True)
+        kept = _base.staged(df, "kept", outlives=True)
+        assert late.count() == 1
+    assert not Path(unquote(urlparse(inner).path)).exists() and kept.count() == 1
+    _base.discard(kept)
+    assert not Path(unquote(urlparse(kept.inputFiles()[0]).path)).exists()
 
 
 def test_signature_bound_is_safe():
@@ -235,8 +432,37 @@ def test_substrings_equal_brute_force(spark, seed, monkeypatch):
     out = {r.doc_id: r for r in substring_dedup.remove(docs(spark, rows).repartition(4)).collect()}
     for d, (w, kept) in removed(dict(rows)).items():
         assert (out[d].n_words, out[d].n_removed) == (len(w), len(w) - len(kept))
-        if out[d].n_removed:
-            assert out[d].text == " ".join(kept)
+        assert out[d].text.split() == kept
+
+
+def test_lines_and_spaces_stay_around_cuts():
+    text = "a  b\n\tc d e\n\nf g \n"
+    assert substring_dedup.without(text, [(2, 2, 0, 0)]) == ("a  b\n\te\n\nf g \n", 7, 2)
+    assert substring_dedup.without(text, [(0, 2, 0, 0), (1, 2, 9, 0), (5, 2, 0, 0)]) == ("d e\n\n \n", 7, 5)
+    assert substring_dedup.without(text, []) == (text, 7, 0) and substring_dedup.without("", []) == ("", 0, 0)
+
+
+def test_seals_are_checked_against_the_text():
+    text = " ".join(f"w{i}" for i in range(30))
+    hashes = substring_dedup.sealed(substring_dedup._hashed(pa.record_batch({"text": [text]}))[0])
+    seal = substring_dedup.span_hashes(hashes, np.array([2]), np.array([24])).view(np.int64)[0]
+    for value, want in ((seal, [(2, 22, 7, 5)]), (seal + 1, [])):
+        run = {"pos": 2, "len": 3, "seal": int(value), "ref_id": 7, "ref_tx": 1, "ref_pos": 5}
+        batch = pa.record_batch({"text": [text, None], "_runs": pa.array([[run], None])})
+        assert substring_dedup.parsed(batch) == [want, []]
+
+
+@pytest.mark.parametrize("rows", [1, 3, 500])
+def test_keys_that_span_batches(spark, rows, monkeypatch):
+    """The same results, however the sorted rows are cut into batches."""
+    monkeypatch.setattr(substring_dedup, "SEGMENT", 200)
+    monkeypatch.setattr(substring_dedup, "small_batches", lambda s: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)))
+    rng = np.random.default_rng(3)
+    passage = words(rng, 60, 10_000)
+    data = [(d, f"{words(rng, int(rng.integers(0, 12)), 10_000)} {passage} {words(rng, 5, 10_000)}") for d in range(40)]
+    out = {r.doc_id: r for r in substring_dedup.remove(docs(spark, data).repartition(3)).collect()}
+    for d, (w, kept) in removed(dict(data)).items():
+        assert (out[d].n_words, out[d].text.split()) == (len(w), kept)
 
 
 def test_factors_point_at_equal_words(spark):
@@ -292,5 +518,5 @@ def test_checksums_of_payload():
 def test_decode_equals_decoding_while_encoding(spark):
     df = docs(spark, [(1, "Hello, the world's 42 <|endoftext|>"), (2, None), (3, "naïve café")])
     name = bpe.build_lexicon(df)
-    both = bpe.encode(df, name, decoded="again")
-    assert {r.doc_id: r.again for r in both.collect()} == {r.doc_id: r.decoded for r in bpe.decode(bpe.encode(df, name)).collect()}
+    both = bpe.encode(df, name, made=("ids", "decoded"))
+    assert {r.doc_id: r.decoded for r in both.collect()} == {r.doc_id: r.decoded for r in bpe.decode(bpe.encode(df, name)).collect()}

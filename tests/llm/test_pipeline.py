@@ -63,7 +63,7 @@ def test_repeated_passages_are_cut(stages):
     _, rows, _ = stages
     before, after = texts(rows[2]), texts(rows[3])
     for d, (w, kept) in removed(before).items():
-        assert after[d] == (" ".join(kept) if len(kept) < len(w) else before[d] or "")
+        assert after[d].split() == kept and (len(kept) < len(w) or after[d] == (before[d] or ""))
     assert all(r.n_chars == len(r.text) for r in rows[3])
 
 
@@ -93,3 +93,18 @@ def test_tokens_equal_the_library(stages):
 def test_run_gives_the_last_stage(spark, stages):
     folder, rows, _ = stages
     assert sorted((r.doc_id, r.n_tokens) for r in cp.run(spark, folder).collect()) == sorted((r.doc_id, r.n_tokens) for r in rows[5])
+
+
+def test_empty_and_repeated_tables(spark, tmp_path):
+    docs, labels = pq.read_table(f"{SF}/documents.parquet"), pq.read_table(f"{SF}/labels.parquet")
+    for name, rows in (("empty", docs.slice(0, 0)), ("repeated", pa.concat_tables([docs.slice(0, 20), docs.slice(0, 20), docs.slice(5, 1)]))):
+        folder = tmp_path / name
+        folder.mkdir()
+        pq.write_table(rows, folder / "documents.parquet")
+        pq.write_table(labels, folder / "labels.parquet")
+        got = cp.run(spark, str(folder)).collect()
+        assert (len(got) == 0) == (name == "empty")
+        ids = {r.doc_id for r in got}
+        assert ids <= set(docs["doc_id"].to_pylist()[:20])
+        for d in ids:
+            assert len({(r.n_tokens, bytes(r.ids)) for r in got if r.doc_id == d}) == 1
