@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm import bpe, mixing, ngram_join, substring_dedup, toxicity
-from cuelake.llm._base import crc_mod, documents, staged
+from cuelake.llm._base import crc_mod, discard, documents, scratch, staged
 
 ORACLE_SQL = None
 
@@ -23,6 +23,8 @@ SHINGLE_WORDS, NEAR_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those that score as toxic. A null or empty text has no bad word and stays; repeated rows go or stay
+    together; an empty table gives an empty table; columns that begin with an underscore are reserved."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels.where(crc_mod(4) != 2))
     scored = toxicity.score(docs, model, names=("_score", "_restored"))
@@ -30,15 +32,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest doc_id (a null one first). Null, empty and blank texts
+    are in no group and stay; of rows that repeat a doc_id and text one stays, by its other columns."""
     return ngram_join.one_of_each(docs, SHINGLE_WORDS, NEAR_PERCENT)
 
 
 def cut_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without the passages that stand earlier too; other words, lines and spaces stay, and n_chars follows. Every document
+    stays, even with nothing left; a null text becomes empty."""
     out = substring_dedup.remove(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it. A document without words gives nothing to the mix, so it goes; a null
+    source is a source; repeated rows are taken alike; other columns may have any names."""
     rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))  # other columns can't clash
     mixed = mixing.mix(mixing.with_size(rows)).where("taken > 0")
     copies = (F.col("taken") / F.col("size")).cast("int")
@@ -46,8 +54,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.build_lexicon(docs), decoded="_decoded")
-    return out.select("doc_id", "lang", "source", bpe.n_tokens().alias("n_tokens"), "ids", F.sha2("_decoded", 256).alias("decoded_sha256"))
+    """The ids of each row's text, their number, and the digest of the text that they decode to. Null and empty texts have no
+    ids; repeated rows have equal ones; an empty table gives an empty table."""
+    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe.build_lexicon(docs), made=("n_tokens", "ids", "decoded_sha256"))
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [
@@ -60,7 +70,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The rows of the last stage. What stages write on their way is deleted as soon as nothing reads it."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = staged(stage(spark, docs, sf_dir), name, outlives=True)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
