@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license": license_scan.OP1_SQL,
+        "op5_rules": quality_rules.OP5_SQL,
         "op6_substring_dedup": substring_dedup.OP6_SQL,
         "op7_ngram_join": ngram_join.OP7_SQL,
         "op9_mixing": mixing.OP9_SQL,

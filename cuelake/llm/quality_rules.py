@@ -8,7 +8,7 @@ unsteady histograms, so a text is judged only from a minimum length on.
 Defined results: null and empty texts have no words, so they fail the base rules; a text under the minimum length is
 not judged by distance (both distances are null); rows with a null lang belong to no reference; with no references no
 text is judged; equal distances go to the first language by code point; a repeated row counts each time; extra
-columns pass through.
+columns pass through, but those that have the names of results are replaced by them.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._base import documents, lean, small_batches, staged
+from ._words import chunks
 
 WINDOW = 5
 LEAST_WORDS = 10
@@ -34,6 +35,8 @@ JUDGED_CHARS = 200
 MOST_CHAR_DISTANCE = 0.32
 MOST_WORD_DISTANCE = 0.45
 SYMBOLS = "#*$%&|<>"
+#: What may stand around a word of the histogram.
+AROUND = ".,;:!?\"'()|%&*$#"
 
 # Frequent words of some languages; the bins of the word histogram, beside one for all other words.
 COMMON_WORDS = (
@@ -59,7 +62,7 @@ def _char_classes() -> np.ndarray:
         elif 0xD800 <= c < 0xE000:
             k = 11
         else:
-            k = 8 if x.isalpha() and c < 0x250 else 9 if x.isalpha() else 2 if x.isdigit() else 4 if x.isspace() else 11
+            k = 8 if x.isalpha() and c < 0x250 else 9 if x.isalpha() else 2 if x.isdecimal() else 4 if x.isspace() else 11
         out[c] = k
     return out
 
@@ -78,7 +81,7 @@ def word_histogram(words: list[bytes]) -> np.ndarray:
     out = np.zeros(N_WORD_BINS, np.int64)
     seen = Counter(words)
     for w, n in seen.items():
-        out[WORD_BINS.get(w.decode("utf-8", "replace").lower().strip(".,;:!?\"'()|%&*$#"), 0)] += n
+        out[WORD_BINS.get(w.decode("utf-8", "replace").lower().strip(AROUND), 0)] += n
     return out
 
 
@@ -126,7 +129,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for b in batches:
+        for b in (c for batch in batches for c in chunks(batch, text)):
             rows = [signs(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             columns = [b.column(b.schema.get_field_index(f.name)) for f in keep]
             columns += [pa.array([r[f.name] for r in rows], arrow.field(f.name).type) for f in added.fields]
@@ -196,3 +199,47 @@ def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = staged(measure(docs).drop("text"), "rules")
     out = judge(measured, references(measured))
     return out.select("doc_id", *COUNTS, "base_failed", "kept", "nearest", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
+# Character classes in the order of their bins, as SQL knows them; the last is what is left.
+_SQL_CLASSES = (
+    "a-z", "A-Z", r"0-9\p{Nd}", r"\x0A", r"\x09\x0B-\x0D\x1C-\x20\x{85}\p{Z}", ".,;:!?", r"\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F",
+    SYMBOLS, r"\x{80}-\x{24F}", r"\p{L}", r"\x00-\x08\x0E-\x1B",
+)
+
+
+def _sql_counts() -> str:
+    """A list of the counts of t's characters by class. `s` has none of the marks and symbols, `l` is t's letters beyond ASCII."""
+    size = lambda text, keep: f"length(regexp_replace({text}, '[^{keep}]', '', 'g'))"
+    marks, symbols = size("t", _SQL_CLASSES[5]), size("t", _SQL_CLASSES[7])
+    counts = [size("t", c) for c in _SQL_CLASSES]
+    counts[6] = f"({counts[6]} - {marks} - {symbols})"
+    counts[8], counts[9] = size("l", _SQL_CLASSES[8]), f"(length(l) - {size('l', _SQL_CLASSES[8])})"
+    return f"[{', '.join(counts)}]"
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, regexp_replace(coalesce(text, ''), '[\\x{{10000}}-\\x{{10FFFF}}]', chr(9731), 'g') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+             regexp_replace(regexp_replace(t, '[\\x00-\\x7F]', '', 'g'), '[^\\p{{L}}]', '', 'g') AS l FROM d),
+g AS (SELECT rid, p, array_to_string(w[p + 1:p + {WINDOW}], ' ') AS k FROM w, unnest(range(len(w) - {WINDOW - 1})) AS r(p)),
+r AS (SELECT rid, len(list_distinct(flatten(list(range(p, p + {WINDOW}))))) AS n FROM (SELECT *, count(*) OVER (PARTITION BY rid, k) AS c FROM g) WHERE c > 1 GROUP BY rid),
+m AS (SELECT rid, doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^{SYMBOLS}]', '', 'g')) AS n_symbols,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, length(t) AS n_chars, {_sql_counts()} AS c
+      FROM w LEFT JOIN r USING (rid)),
+b AS (SELECT word, i FROM (SELECT unnest({list(WORD_BINS)}) AS word, unnest(range(1, {N_WORD_BINS})) AS i)),
+f AS (SELECT rid, coalesce(i, 0) AS bin, count(*) AS n FROM (SELECT rid, trim(lower(unnest(w)), '{AROUND.replace("'", "''")}') AS word FROM w) LEFT JOIN b USING (word) GROUP BY ALL),
+x AS (  -- histograms: every bin of every text
+  SELECT rid, lang, 'char' AS part, bin, CASE WHEN bin < {N_CHAR_BINS - 1} THEN c[bin + 1] ELSE n_chars - list_sum(c) END AS n, n_chars AS total FROM m, unnest(range({N_CHAR_BINS})) AS r(bin)
+  UNION ALL SELECT m.rid, lang, 'word', r.bin, coalesce(n, 0), n_words FROM m CROSS JOIN unnest(range({N_WORD_BINS})) AS r(bin) LEFT JOIN f ON f.rid = m.rid AND f.bin = r.bin),
+q AS (SELECT *, n / greatest(sum(n) OVER (PARTITION BY lang, part), 1) AS q FROM (SELECT lang, part, bin, sum(n) AS n FROM x WHERE lang IS NOT NULL GROUP BY ALL)),
+js AS (SELECT rid, lang, part, sqrt(greatest(least(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 1), 0)) AS js
+       FROM (SELECT rid, q.lang, x.part, x.n / greatest(total, 1) AS p, q FROM x JOIN q ON x.part = q.part AND x.bin = q.bin) GROUP BY ALL),
+n AS (SELECT rid, arg_min(lang, (dc + dw, lang)) AS nearest, arg_min(dc, (dc + dw, lang)) AS dc, arg_min(dw, (dc + dw, lang)) AS dw
+      FROM (SELECT rid, lang, max(js) FILTER (WHERE part = 'char') AS dc, max(js) FILTER (WHERE part = 'word') AS dw FROM js GROUP BY ALL) GROUP BY rid),
+j AS (SELECT m.*, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed, nearest, dc, dw
+      FROM m LEFT JOIN n ON n.rid = m.rid AND n_words >= {JUDGED_WORDS} AND n_chars >= {JUDGED_CHARS})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(dc > {MOST_CHAR_DISTANCE} OR dw > {MOST_WORD_DISTANCE}, false) AS kept, nearest, round(dc, 6) AS char_distance, round(dw, 6) AS word_distance
+FROM j
+"""
