@@ -4,7 +4,7 @@ Every run of k words of every text is hashed and joined to the positions of the
 votes for its diagonal, the offset between text and template; hits of one copy of a template share a diagonal, and where
 words were put in or left out the copy goes on at a neighbouring one. Votes are counted by diagonal, neighbouring
 diagonals are merged to spans, and a span counts if its hits, whose words are compared with the template's, cover
-enough of the template. Phrases are templates of a few words, which must be there as they are.
+enough of the template. Templates of a few words, phrases above all, must be there as they are.
 
 Defined results: a null, empty or wordless text has no spans, score 0 and empty labels; a text of fewer than k words has no
 k-gram; overlapping spans of different templates all count; rows that repeat a doc_id and text give one equal row each;
@@ -23,8 +23,8 @@ from ._base import documents, row_key
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a run for phrases and for longer templates.
 PHRASE_K, TEXT_K = 2, 4
-#: Diagonals that are so near are one copy; share of a longer template that a span must cover.
-NEIGHBOURS, COVER = 3, 0.6
+#: Diagonals that are so near are one copy; share of a template that a span must cover, if it has so many words or more.
+NEIGHBOURS, COVER, LONG_WORDS = 3, 0.6, 10
 
 
 @dataclass(frozen=True)
@@ -54,8 +54,15 @@ TEMPLATES = (
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     Template("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    Template("cc-by", "licensed under cc by 4 0"),
+    Template("cc-by", "licensed under cc by 3 0"),
+    Template("cc-by-sa", "licensed under cc by sa"),
     Template("cc-by-nc", "licensed under cc by nc"),
-    Template("cc-by", "licensed under a creative commons attribution"),
+    Template("cc-by-nd", "licensed under cc by nd"),
+    Template("cc-by", "creative commons attribution 4 0 international"),
+    Template("cc-by", "creative commons attribution 3 0 unported"),
+    Template("cc-by-sa", "creative commons attribution sharealike"),
+    Template("cc-by-nc", "creative commons attribution noncommercial"),
     Template("public-domain", "this is free and unencumbered software released into the public domain"),
 )
 
@@ -110,7 +117,7 @@ def spans(docs: DataFrame, text: str = "text", templates: tuple[Template, ...] =
     covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda t: F.sequence(t, t + F.col("k") - 1)))))
     cover = covered / F.col("t_words")
     told = merged.withColumn("cover", F.when(F.col("tid").isNotNull(), cover))
-    enough = F.col("cover") >= F.when(F.col("base"), 1.0).otherwise(COVER)
+    enough = F.col("cover") >= F.when(F.col("t_words") < LONG_WORDS, 1.0).otherwise(COVER)
     return told.where(F.col("tid").isNull() | enough).select(*key, "label", "base", "first", (F.col("last") + F.col("k") - 1).alias("last"), "cover", "votes")
 
 
@@ -152,10 +159,10 @@ hits AS (SELECT dg.doc_id, dg.pos, tg.*, dg.pos - tg.t_pos AS diagonal FROM dg J
 s1 AS (SELECT *, CASE WHEN base OR lag(diagonal) OVER q IS NULL OR diagonal - lag(diagonal) OVER q > {NEIGHBOURS} THEN 1 ELSE 0 END AS apart
        FROM (SELECT DISTINCT doc_id, tid, base, diagonal FROM hits) WINDOW q AS (PARTITION BY doc_id, tid ORDER BY diagonal)),
 s2 AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, tid ORDER BY diagonal) AS span FROM s1),
-m AS (SELECT h.doc_id, h.tid, any_value(h.label) AS label, any_value(h.base) AS base, min(h.pos) AS first,
+m AS (SELECT h.doc_id, h.tid, any_value(h.label) AS label, any_value(h.base) AS base, any_value(h.t_words) AS t_words, min(h.pos) AS first,
              len(list_distinct(flatten(list(range(h.t_pos, h.t_pos + h.k))))) / any_value(h.t_words) AS cover
       FROM hits h JOIN s2 ON h.doc_id = s2.doc_id AND h.tid = s2.tid AND h.diagonal = s2.diagonal GROUP BY h.doc_id, h.tid, s2.span),
-v AS (SELECT * FROM m WHERE cover >= CASE WHEN base THEN 1.0 ELSE {COVER} END)
+v AS (SELECT * FROM m WHERE cover >= CASE WHEN t_words < {LONG_WORDS} THEN 1.0 ELSE {COVER} END)
 SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words, count(*) FILTER (WHERE base) AS n_base,
        CAST(min(first) FILTER (WHERE base) AS BIGINT) AS first_word, CAST(max(first) FILTER (WHERE base) AS BIGINT) AS last_word,
        coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE base))), ','), '') AS base_labels,
