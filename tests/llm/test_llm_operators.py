@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import math
 import struct
 import zlib
+from collections import Counter
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
@@ -511,6 +513,42 @@ def test_license_with_words_put_in_and_left_out(spark):
     assert got[3].labels == "" and (got[4].n_base, got[4].first_word, got[4].last_word) == (2, 1, 3) and got[5].n_words == 0
 
 
+def test_short_licenses_must_be_there_as_they_are(spark):
+    rows = [(1, "Licensed under CC BY 4.0."), (2, "licensed under CC BY-SA 4.0"), (3, "Licensed under CC BY-NC 4.0"), (4, "licensed under cc by"), (5, "Creative Commons Attribution-ShareAlike"), (6, "licensed under a creative")]
+    got = {r.doc_id: r.labels for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert got == {1: "cc-by", 2: "cc-by-sa", 3: "cc-by-nc", 4: "", 5: "cc-by-sa", 6: ""}
+
+
+def test_verdict_by_brute_force(spark):
+    """Distances and verdicts of the quality rules, from counts of characters and words in plain Python."""
+    rng = np.random.default_rng(8)
+    frequent = {"en": ["the", "and", "of", "was", "with"], "de": ["der", "und", "nicht", "ist", "die"]}
+    rows = [(i, lang := ["en", "de"][i % 2], " ".join(rng.choice([*frequent[lang], "Some", "words,", "42"], 60))) for i in range(20)]
+    rows += [(50, "en", " ".join(f"x{i}%" for i in range(60))), (51, None, rows[0][2].upper()), (52, "en", "short text")]
+    text = {i: t for i, _, t in rows}
+
+    def class_of(c: str) -> int:
+        return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if c in "0123456789" else 4 if c == " " else 5 if c in ".,;:!?" else 7 if c in quality_rules.SYMBOLS else 6
+
+    chars = {i: Counter(map(class_of, t)) for i, t in text.items()}
+    words = {i: Counter(w if (w := x.lower().strip(quality_rules.AROUND)) in quality_rules.COMMON_WORDS else "" for x in t.split()) for i, t in text.items()}
+
+    def apart(a: Counter, b: Counter) -> float:
+        p, q = ({k: n / x.total() for k, n in x.items()} for x in (a, b))
+        part = sum(v * math.log2(2 * v / (v + q.get(k, 0))) for k, v in p.items() if v) + sum(v * math.log2(2 * v / (v + p.get(k, 0))) for k, v in q.items() if v)
+        return math.sqrt(max(part / 2, 0))
+
+    sums = {x: [sum((h[i] for i, lang, _ in rows if lang == x), Counter()) for h in (chars, words)] for x in ("de", "en")}
+    measured = quality_rules.measure(docs(spark, rows, "doc_id long, lang string, text string"))
+    for r in quality_rules.judge(measured, quality_rules.references(measured)).collect():
+        if len(text[r.doc_id].split()) < quality_rules.JUDGED_WORDS or len(text[r.doc_id]) < quality_rules.JUDGED_CHARS:
+            assert r.nearest is None and r.char_distance is None
+            continue
+        near = min(((apart(chars[r.doc_id], c), apart(words[r.doc_id], w), x) for x, (c, w) in sums.items()), key=lambda v: (v[0] + v[1], v[2]))
+        assert (r.char_distance, r.word_distance) == pytest.approx(near[:2]) and r.nearest == near[2]
+        assert r.kept == (not r.base_failed and near[0] <= quality_rules.MOST_CHAR_DISTANCE and near[1] <= quality_rules.MOST_WORD_DISTANCE)
+
+
 def test_checksums_of_payload():
     assert zlib.crc32(media.payload_of(None)[1]) == zlib.crc32(bytes(64))
 
