@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cuelake import config as C
 from cuelake.functions import text as X
 from cuelake import providers
 from cuelake.operators import clean, identity, intervals, playback, quality, review, scenes, sinks, targets, terms
@@ -239,8 +240,8 @@ def repair_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _responses(spark: SparkSession, d: str) -> DataFrame:
-    """A review response a turn, with missing, empty and uncertain parts by its number. Both columns make its key, as from 100
-    turns on numbers meet."""
+    """A review response a turn, with missing, empty and uncertain parts, a flag that is no boolean and prose around the object
+    by its number. Both columns make its key, as from 100 turns on numbers meet."""
     turns = fx.table(spark, d, "conversations")
     number = F.col("conv_id") * 100 + F.col("turn")
     kind = number % 6
@@ -249,8 +250,10 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
         F.when(kind == 0, "").otherwise(F.substring("text", 1, 40)).alias("suggestion"), F.when(kind == 2, F.lit(None)).when(kind == 3, True).otherwise(False).alias("needs_source_check"),
     )
     body = F.to_json(F.struct(F.array(issue).alias("issues")))
+    body = F.when(kind == 5, F.replace(body, F.lit('"needs_source_check":false'), F.lit('"needs_source_check":"false"'))).otherwise(body)
+    fenced, prose = F.concat(F.lit("```json\n"), body, F.lit("\n```")), F.concat(F.lit("I looked at it: "), body, F.lit(" That is all {so far}."))
     key = F.when(number.isNotNull(), F.struct("conv_id", "turn"))
-    return turns.select(key.alias("response_id"), F.col("conv_id").alias("media_id"), F.col("turn").cast("int").alias("cue_id"), F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("content"))
+    return turns.select(key.alias("response_id"), F.col("conv_id").alias("media_id"), F.col("turn").cast("int").alias("cue_id"), F.when(number % 2 == 0, fenced).otherwise(prose).alias("content"))
 
 
 @query
@@ -260,6 +263,38 @@ def review_parse(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("response_id", F.col("response_id.conv_id") * 100 + F.col("response_id.turn"))
 
 
+def _answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A translation response a conversation, and the cues of its window. By its number it lacks a cue, has a foreign one, or
+    gives cues twice."""
+    turns = fx.table(spark, d, "conversations")
+    row = lambda n, to: F.struct(F.col("turn").cast("string").alias("id"), F.substring("text", 1, to).alias("zh"), F.lit(n).alias("n"))
+    once, twice = F.array(row(0, 20)), F.array(row(0, 20), row(1, 10))
+    rows = F.when((F.col("conv_id") % 4 == 0) & (F.col("turn") == 0), F.array().cast("array<struct<id:string,zh:string,n:int>>")).when(F.col("turn") % 2 == 0, twice).otherwise(once)
+    given = turns.select("conv_id", "turn", F.explode(rows).alias("r")).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("r.n", "turn", "r.id", "r.zh"))).alias("rows"))
+    pairs = F.transform("rows", lambda r: F.struct(r["id"].alias("id"), r["zh"].alias("zh")))
+    foreign = F.array(F.struct(F.lit("9999").alias("id"), F.lit("foreign").alias("zh")))
+    listed = F.when(F.col("conv_id") % 4 == 1, F.concat(pairs, foreign)).otherwise(pairs)
+    glossary = F.create_map(F.concat(F.lit("term"), F.col("conv_id").cast("string")), F.lit(" kept "), F.lit("none"), F.lit(" "))
+    body = F.to_json(F.struct(listed.alias("translations"), glossary.alias("glossary_updates")))
+    return given.select(F.col("conv_id").alias("response_id"), F.concat(F.lit("Done. "), body).alias("content")), turns.select(F.col("conv_id").alias("response_id"), F.col("turn").cast("int").alias("cue_id"))
+
+
+@query
+def translation_parse(spark: SparkSession, d: str) -> DataFrame:
+    return review.translation_rows(*_answers(spark, d))
+
+
+@query
+def glossary_updates(spark: SparkSession, d: str) -> DataFrame:
+    return review.glossary_updates(*_answers(spark, d))
+
+
+@query
+def repair_parse(spark: SparkSession, d: str) -> DataFrame:
+    answers, window = _answers(spark, d)
+    return review.repair_rows(answers, window.where("cue_id % 3 <> 1"))
+
+
 @query
 def suggestion_first(spark: SparkSession, d: str) -> DataFrame:
     r = _responses(spark, d)
@@ -293,16 +328,24 @@ def journal_undo(spark: SparkSession, d: str) -> DataFrame:
 @query
 def review_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = _ledger(spark, d)
-    status = F.when(F.col("failed"), "failed").when(F.col("event_type").isin("view", "click"), "succeeded").otherwise("skipped")
-    unchanged = F.col("seq") % 3 == 0
-    changes = rows.select("run_id", (~F.col("failed") & ~unchanged).alias("accepted"), F.when(unchanged, "unchanged").when(F.col("failed"), "deterministic-defect").alias("reason"))
-    return review.summary(rows.select("run_id", status.alias("status")), changes)
+    seq, kind = F.col("seq"), F.col("event_type")
+    status = F.when(F.col("failed"), "failed").when(kind.isin("view", "click"), "succeeded").otherwise("skipped")
+    windows = rows.select("run_id", seq.alias("scene_idx"), status.alias("status"))
+    issues = rows.where(seq % 4 == 0).select("run_id", seq.alias("scene_idx"), (seq % 7).alias("cue_id"), (seq % 8 == 0).alias("needs_source_check"))
+    unchanged = seq % 3 == 0
+    changes = rows.select("run_id", (seq % 5).alias("cue_id"), (~F.col("failed") & ~unchanged).alias("accepted"), F.when(unchanged, "unchanged").when(F.col("failed"), "deterministic-defect").alias("reason"))
+    repairs = rows.where(seq % 10 == 0).select("run_id", F.when(F.col("failed"), "failed").otherwise("succeeded").alias("status"))
+    remaining = rows.groupBy("run_id").agg(F.count_if(F.col("failed") & (seq % 11 == 0)).alias("defects"), F.count_if((kind == "purchase") & (seq % 13 == 0)).alias("conflicts"))
+    return review.summary(windows, issues, changes, repairs, remaining, rows.where("run_id % 3 = 0").select("run_id"))
 
 
 @query
 def usage_totals(spark: SparkSession, d: str) -> DataFrame:
-    tokens = F.when(F.col("event_type") == "error", "unknown").otherwise(F.round(F.col("value") * 100).cast("long").cast("string"))
-    return review.usage(_ledger(spark, d).select("run_id", tokens.alias("tokens")))
+    tokens = F.round(F.col("value") * 100).cast("long")
+    details = F.when(F.col("seq") % 3 == 0, F.struct((tokens - 50).alias("reasoning_tokens")))
+    usage = F.struct(tokens.alias("prompt_tokens"), F.when(F.col("event_type") != "error", tokens + 1).alias("completion_tokens"), details.alias("completion_tokens_details"))
+    body = F.when(F.col("event_type") == "purchase", "{}").otherwise(F.to_json(F.struct(usage.alias("usage"))))
+    return review.usage(_ledger(spark, d).select("run_id", body.alias("body")))
 
 
 @query
@@ -383,15 +426,21 @@ def launch_policy(spark: SparkSession, d: str) -> DataFrame:
     return live.launches(snapshots)
 
 
+def _proposals(pairs: DataFrame) -> DataFrame:
+    """A table of proposals: the source between brackets, none for sources with `fail`."""
+    return pairs.where(~F.contains("source", F.lit("fail"))).select("media_id", "cue_id", F.concat(F.lit("["), "source", F.lit("]")).alias("proposed"))
+
+
 @query
 def repair_ledger(spark: SparkSession, d: str) -> DataFrame:
-    return translation.repair(fx.targets(spark, d), providers.Echo()).select("media_id", "cue_id", "seq", "after", "accepted", "reason")
+    pairs = fx.targets(spark, d)
+    return translation.repair(pairs, _proposals(pairs)).select("media_id", "cue_id", "seq", "after", "accepted", "reason")
 
 
 @query
 def repaired_targets(spark: SparkSession, d: str) -> DataFrame:
     pairs = fx.targets(spark, d)
-    return translation.apply(pairs, translation.repair(pairs, providers.Echo())).select("media_id", "cue_id", "target")
+    return translation.apply(pairs, translation.repair(pairs, _proposals(pairs))).select("media_id", "cue_id", "target")
 
 
 @query
@@ -450,3 +499,136 @@ def clip_cues(spark: SparkSession, d: str) -> DataFrame:
     found = ranges.select("media_id", "piece", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
     found = found.select("media_id", "piece", (F.col("i").cast("long") * 9000 - 2000).alias("start_ms"), (F.col("i").cast("long") * 9000 + 3000).alias("end_ms"))
     return intervals.recognized_in(ranges, found)
+
+
+@query
+def japanese_lines(spark: SparkSession, d: str) -> DataFrame:
+    part = F.col("cue_id") % 4
+    text = F.concat("text", F.when(part == 0, "漢字仮名文").when(part == 1, " 12, 漢字!").when(part == 2, "東京の空は青い and more words").otherwise(""))
+    return fx.event_cues(spark, d).select("media_id", "cue_id", X.looks_japanese(text).alias("japanese"))
+
+
+@query
+def glossary_variants(spark: SparkSession, d: str) -> DataFrame:
+    listed = _terms(spark, d).select("term", F.upper("term").alias("rendering"), F.array(F.lower(F.substring("term", 1, 3)), F.lit("and"), F.lit(" ")).alias("variants"))
+    return terms.glossary_defects(fx.targets(spark, d), listed)
+
+
+@query
+def term_pass(spark: SparkSession, d: str) -> DataFrame:
+    lines = fx.conversation_lines(spark, d).withColumn("media_id", F.col("conv_id"))
+    media = lines.where("conv_id % 2 = 0").select("media_id").distinct()
+    entries = media.join(_terms(spark, d).select(F.upper("term").alias("source"), F.array("term").alias("variants"), F.col("rank").alias("ord")))
+    return recognition.term_pass(lines, entries, "[A-Za-z]").select("conv_id", "turn", "text")
+
+
+@query
+def scene_frames(spark: SparkSession, d: str) -> DataFrame:
+    return scenes.frames(fx.event_cues(spark, d), _scenes(spark, d), 4)
+
+
+@query
+def repair_frames(spark: SparkSession, d: str) -> DataFrame:
+    cues = fx.line_cues(spark, d)
+    rows = scenes.repair_frames(cues, cues.where("cue_id % 9 = 0"), 4)
+    return rows.select("media_id", "cue_id", F.array_join("ctx_before", "\n").alias("ctx_before"), F.array_join("ctx_after", "\n").alias("ctx_after"))
+
+
+def _previous(cues: DataFrame) -> DataFrame:
+    """Earlier reports: gated for even media, with nothing counted at first for a third of them."""
+    counted = cues.groupBy("media_id").agg(F.count("*").alias("n"))
+    m = F.col("media_id")
+    return counted.select("media_id", (m % 2 == 0).alias("gated"), F.when(m % 3 == 0, F.lit(0)).otherwise(F.col("n") + 9).alias("initial_count"), (m % 5).alias("removed"), (m % 4).alias("compacted"))
+
+
+@query
+def recovered(spark: SparkSession, d: str) -> DataFrame:
+    cues = fx.event_cues(spark, d)
+    return recognition.recovered(cues, _previous(cues)).select("media_id", "initial_count", "cue_count", "removed", "compacted", "disposition")
+
+
+@query
+def source_preparation(spark: SparkSession, d: str) -> DataFrame:
+    cues = fx.event_cues(spark, d)
+    new = recognition.clean_and_gate(cues).select("media_id", "disposition", (F.col("media_id") % 3 > 0).alias("gated"))
+    return recognition.prepared(cues.where("media_id % 7 = 0").select("media_id").distinct(), recognition.recovered(cues, _previous(cues)), new)
+
+
+@query
+def pass_totals(spark: SparkSession, d: str) -> DataFrame:
+    rows = _ledger(spark, d)
+    n = F.round("value").cast("long")
+    return recognition.passes(rows.select(F.col("run_id").alias("media_id"), (F.col("seq") % 2).alias("pass"), n.alias("removed"), (n % 7).alias("compacted"), (n % 5).alias("retried"), (n % 3).alias("regions")))
+
+
+@query
+def publish_files(spark: SparkSession, d: str) -> DataFrame:
+    docs = fx.table(spark, d, "documents").select("doc_id", "text")
+    part = F.col("doc_id") % 5
+    hashed = lambda tail: identity.text_hash(F.concat("text", F.lit(tail)))
+    existing = F.when(part == 0, F.lit(None)).when(part == 1, hashed("|b")).when(part == 2, hashed("|s")).when(part == 3, hashed("|old")).otherwise(F.sha2(F.lit("foreign"), 256))
+    media = docs.select(
+        F.col("doc_id").alias("media_id"), F.concat(F.lit("a:b "), "doc_id").alias("stem"), (F.col("doc_id") % 11 > 0).alias("present"), (F.col("doc_id") % 3 > 0).alias("beside"),
+        existing.alias("existing"), F.when(F.col("doc_id") % 2 == 0, hashed("|t")).alias("legacy_target"), F.sha2(F.lit("foreign"), 256).alias("legacy_bilingual"),
+        hashed("|s").alias("source"), hashed("|t").alias("target"), hashed("|b").alias("bilingual"), F.array(hashed("|old")).alias("own"),
+    )
+    return sinks.publish_files(media)
+
+
+@query
+def sidecar_choice(spark: SparkSession, d: str) -> DataFrame:
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("media_id"), F.concat(F.lit("v"), "doc_id").alias("stem"), "text")
+    part = F.col("media_id") % 6
+    names = F.when(part == 0, F.array(F.lit(".jp.srt"), F.lit(".jpn.srt"))).when(part == 1, F.array(F.lit(".en.srt"), F.lit(".srt"))).otherwise(F.array(F.lit(".srt")))
+    content = F.when(part >= 3, F.concat(F.lit("漢字仮名交じりの文"), F.substring("text", 1, 9))).otherwise(F.substring("text", 1, 50))
+    files_ = docs.select("stem", F.explode(names).alias("end"), content.alias("content")).select("stem", F.concat("stem", "end").alias("name"), "content")
+    wanted = docs.select("media_id", "stem", F.when(F.col("media_id") % 4 == 1, "en").otherwise("ja").alias("language"))
+    own = docs.where(part == 4).select("media_id", identity.text_hash(content).alias("hash"))
+    return identity.sidecar_source(files_, wanted, own)
+
+
+@query
+def state_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return identity.state_hash(fx.targets(spark, d).where("target is not null").select("media_id", "cue_id", "target"))
+
+
+def _receipts(spark: SparkSession, d: str) -> DataFrame:
+    return fx.table(spark, d, "documents").select(F.col("doc_id").alias("media_id"), identity.text_hash(F.col("text")).alias("signature"))
+
+
+@query
+def receipts(spark: SparkSession, d: str) -> DataFrame:
+    """A third of all media begin work and half of these complete it."""
+    old = _receipts(spark, d)
+    force, aside = identity.begin(old, old.where("media_id % 3 = 0").select("media_id"))
+    done = aside.where("media_id % 2 = 0").withColumn("signature", F.concat(F.lit("new-"), "signature"))
+    return identity.complete(force, done)
+
+
+@query
+def segment_reuse(spark: SparkSession, d: str) -> DataFrame:
+    cues = fx.event_cues(spark, d)
+    media = cues.select("media_id").distinct()
+    file = identity.describe_file(F.lit("a.wav"), F.when(F.col("media_id") % 5 > 0, F.col("media_id")), F.lit(7))
+    signed = lambda version: media.select("media_id", identity.segment_signature(version, C.SEGMENT_MS, C.SEGMENT_OVERLAP_MS, "ja", file).alias("signature"))
+    stored = signed("v2").where("media_id % 2 = 0").unionByName(signed("v1").where("media_id % 2 = 1"))
+    return identity.reusable(stored, signed("v2"), cues).groupBy("media_id").agg(F.max(file).alias("file"), F.count("*").alias("n"))
+
+
+@query
+def queue_complete(spark: SparkSession, d: str) -> DataFrame:
+    queued = queue_upsert(spark, d)
+    return live.complete(queued, queued.where("seq % 2 = 0").select("key"))
+
+
+@query
+def players_active(spark: SparkSession, d: str) -> DataFrame:
+    rows = _ledger(spark, d)
+    seen = lambda r: r.groupBy(F.col("run_id").alias("key")).agg(F.array_sort(F.collect_set("event_type")).alias("players"))
+    left = live.still_active(seen(rows.where("seq <= 9")), seen(rows.where("seq > 9 and run_id % 2 = 0")))
+    return left.select("key", F.array_join("players", ",").alias("players"))
+
+
+@query
+def file_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return fx.table(spark, d, "documents").select("doc_id", X.file_size(F.col("n_chars") * (F.col("doc_id") + 1) * 64).alias("size"))

@@ -20,7 +20,7 @@ class Config:
         base = Config()
         return Config(
             (self.source_language or "").strip().lower() or base.source_language,
-            self.quality_tier if self.quality_tier in ("fast", "quality") else base.quality_tier,
+            tier if (tier := (self.quality_tier or "").strip().lower()) in ("fast", "quality") else base.quality_tier,
             self.scene_max_cues if self.scene_max_cues >= 10 else base.scene_max_cues,
             self.scene_max_seconds if self.scene_max_seconds >= 30 else base.scene_max_seconds,
             self.context_cues if self.context_cues >= 0 else base.context_cues,
@@ -43,5 +43,6 @@ TERM_LIMIT, LINES_PER_TERM, CONTEXT_LINES, LINE_CHARS, PROMPT_CHARS = 30, 3, 80,
 # Review
 REVIEW_SCENES, REPAIR_BATCH = 6, 24
 REQUEST_LIMIT, TOKEN_LIMIT, REQUEST_CHARS, TOTAL_CHARS, TIME_LIMIT_MS = 10, 49152, 60_000, 480_000, 180_000
+THINKING_TOKEN_LIMIT, THINKING_TIME_LIMIT_MS = 131_072, 480_000
 # Live sessions
 INACTIVE_MS, INBOX_TTL_MS, COOLDOWN_MS, LAUNCH_ATTEMPTS, RECENT_PATHS, LIBRARY_ROWS = 2000, 120_000, 5000, 3, 30, 100

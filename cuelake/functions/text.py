@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x09-\x0D\x20\x{85}\p{Z}]"
 NOISE = r"[\x09-\x0D\x20\x{85}\p{Z}\p{P}\p{S}]"
 MARKS = r"[^\p{P}\p{S}]"
+# Ranges of kana, kanji and hangul.
+JAPANESE = r"[^\x{3040}-\x{30ff}\x{4e00}-\x{9fff}]"
 LEAK = r"[\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]"
 KANA = r"[\x{30a1}-\x{30f6}]"
 
@@ -81,9 +83,10 @@ def excessive_repetition(text: Column) -> Column:
 
 
 def looks_japanese(text: Column) -> Column:
+    """Whether five characters or more, and a quarter of all letters and symbols, are kana or kanji."""
     letters = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D\x20\x{85}\p{Z}\p{P}\p{Nd}]", "")
-    kana = F.regexp_replace(letters, r"[^\x{3040}-\x{30ff}]", "")
-    return (F.length(kana) >= 5) & (F.length(kana) * 4 >= F.length(letters))
+    japanese = F.regexp_replace(F.coalesce(text, F.lit("")), JAPANESE, "")
+    return (F.length(japanese) >= 5) & (F.length(japanese) * 4 >= F.length(letters))
 
 
 def compact_cue(text: Column) -> Column:
@@ -106,6 +109,20 @@ def strip_fence(text: Column) -> Column:
     return F.when(fenced, F.regexp_replace(inside, rf"^{SPACE}+|{SPACE}+$", "")).otherwise(text)
 
 
+def json_object(text: Column) -> Column:
+    """What from_json is to read of an answer: the text without a fence, from its first brace on. What follows the object that
+    begins there, such as more prose, is not read by from_json; there is no object without a brace."""
+    bare = strip_fence(F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE}+|{SPACE}+$", ""))
+    at = F.instr(bare, "{")
+    return F.when(at > 0, F.substring(bare, at, F.length(bare)))
+
+
+def file_size(n: Column) -> Column:
+    """A number of bytes in GB (two decimals), MB (one) or KB."""
+    shown = lambda form, k: F.format_string(f"{form} {'KMG'[k - 1]}B", n / 1024**k)
+    return F.when(n >= 1024**3, shown("%.2f", 3)).when(n >= 1024**2, shown("%.1f", 2)).otherwise(shown("%.0f", 1))
+
+
 def preview(text: Column) -> Column:
     flat = clean_spaces(text)
     return F.when(F.length(flat) <= 160, flat).otherwise(F.concat(F.substring(flat, 1, 160), F.lit("…")))

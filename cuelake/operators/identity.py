@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.functions import text as X
+
 SEGMENT, SEGMENTS, SMALL = 256 * 1024, 9, 16 * 1024 * 1024
 
 
@@ -76,11 +78,60 @@ def language(code: Column) -> Column:
     return F.when(clean.isin(*LANGUAGES), clean).otherwise(F.lit(next(iter(LANGUAGES))))
 
 
-def sidecar_source(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The subtitle beside each medium: `<stem>.<tag>.srt` by the language's tags in order. files: stem, name; wanted:
-    media_id, stem, language."""
+#: Characters at the beginning of an untagged file that tell whether it is Japanese.
+SAMPLE_CHARS = 16_000
+
+
+def sidecar_source(files: DataFrame, wanted: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """The subtitle beside each medium: `<stem>.<tag>.srt` by the language's tags in order; for Japanese also `<stem>.srt`, if it
+    looks Japanese and is not among our own outputs. files: stem, name, content (optional: without it no untagged file is
+    taken); wanted: media_id, stem, language; own: media_id and hash of all texts that we made for a medium."""
     spark = files.sparkSession
     tags = [(c, t, i) for c, named in LANGUAGES.items() for i, t in enumerate(dict.fromkeys((c, *named)))]
     ranked = wanted.join(F.broadcast(spark.createDataFrame(tags, "language string, tag string, rank int")), "language")  # fixed size
-    ranked = ranked.withColumn("name", F.concat("stem", F.lit("."), "tag", F.lit(".srt")))
-    return ranked.join(files.select("stem", "name"), ["stem", "name"]).groupBy("media_id").agg(F.min_by("name", "rank").alias("name"))
+    ranked = ranked.withColumn("name", F.concat("stem", F.lit("."), "tag", F.lit(".srt"))).select("media_id", "stem", "name", "rank")
+    found = ranked.join(files.select("stem", "name"), ["stem", "name"]).select("media_id", "name", "rank")
+    if "content" in files.columns:
+        last = max(r for _, _, r in tags) + 1
+        plain = wanted.where("language = 'ja'").select("media_id", "stem", F.concat("stem", F.lit(".srt")).alias("name"))
+        untagged = plain.join(files.select("stem", "name", "content"), ["stem", "name"]).where(X.looks_japanese(F.substring("content", 1, SAMPLE_CHARS)))
+        if own is not None:
+            untagged = untagged.withColumn("hash", text_hash(F.col("content"))).join(own.select("media_id", "hash"), ["media_id", "hash"], "left_anti")
+        found = found.unionByName(untagged.select("media_id", "name", F.lit(last).alias("rank")))
+    return found.groupBy("media_id").agg(F.min_by("name", "rank").alias("name"))
+
+
+def state_hash(translations: DataFrame) -> DataFrame:
+    """(media_id, hash) of all translations of a medium, as JSON pairs in the order of their ids as texts."""
+    pair = F.struct(F.col("cue_id").cast("string").alias("id"), F.to_json(F.array(F.col("cue_id").cast("string"), "target")).alias("pair"))
+    rows = translations.groupBy("media_id").agg(F.array_sort(F.collect_list(pair)).alias("rows"))  # one medium's
+    listed = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["pair"]), ","), F.lit("]"))
+    return rows.select("media_id", F.sha2(listed, 256).alias("hash"))
+
+
+def begin(receipts: DataFrame, work: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(receipts still in force, receipts set aside) as work on media begins: a commit marker goes before its outputs change."""
+    media = work.select("media_id").distinct()
+    return receipts.join(media, "media_id", "left_anti"), receipts.join(media, "media_id", "left_semi")
+
+
+def complete(receipts: DataFrame, done: DataFrame) -> DataFrame:
+    """receipts with those of finished media (same columns) in the place of older ones."""
+    return receipts.join(done.select("media_id").distinct(), "media_id", "left_anti").unionByName(done)
+
+
+def segment_signature(version: str, segment_ms: int, overlap_ms: int, language: str, *inputs: Column) -> Column:
+    """What recognised segments depend on: its settings and a description of each input file."""
+    return F.concat_ws("|", F.lit(version), F.lit(str(segment_ms)), F.lit(str(overlap_ms)), F.lit(language), *inputs)
+
+
+def describe_file(name: Column, size: Column, modified: Column) -> Column:
+    """A file by name, size and time; one without a size is missing."""
+    return F.when(size.isNull(), F.concat(F.lit("missing:"), name)).otherwise(F.concat_ws(":", name, size.cast("string"), modified.cast("string")))
+
+
+def reusable(stored: DataFrame, current: DataFrame, cues: DataFrame) -> DataFrame:
+    """The stored cues that can be used again: their medium's stored signature is exactly the current one. stored, current:
+    media_id, signature; cues: media_id and more. A medium without cues has nothing to use."""
+    same = current.select("media_id", "signature").join(stored.select("media_id", F.trim("signature").alias("signature")), ["media_id", "signature"], "left_semi")
+    return cues.join(same.select("media_id").distinct(), "media_id", "left_semi")

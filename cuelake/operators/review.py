@@ -12,7 +12,8 @@ from cuelake.functions import text as X
 UNCERTAIN = "疑为|疑似|误听|核对原文|核对音频|语义不明|意思不完整|可能为|识别错误|transcription|misheard|uncertain"
 
 ENVELOPE = "struct<choices:array<struct<finish_reason:string,message:struct<content:string>>>>"
-ISSUES = "struct<issues:array<struct<id:string,kind:string,suggestion:string,needs_source_check:string>>>"
+ISSUES = "struct<issues:array<struct<id:string,kind:string,suggestion:string,needs_source_check:boolean>>>"
+PAIRS = "struct<translations:array<struct<id:string,zh:string>>,glossary_updates:map<string,string>>"
 
 
 def envelope(body: Column) -> tuple[Column, Column]:
@@ -30,14 +31,20 @@ def envelope(body: Column) -> tuple[Column, Column]:
     return status, F.when(status == "ok", content)
 
 
+def _object(content: Column, schema: str) -> Column:
+    """The JSON object of an answer, also with prose around it; null where there is none."""
+    return F.from_json(X.json_object(content), schema)
+
+
 def review_rows(responses: DataFrame, windows: DataFrame) -> DataFrame:
     """Issues of review responses: (response_id, cue_id, kind, suggestion, needs_source_check). One bad row (no id, a foreign
-    id, no suggestion) fails its whole response. responses: response_id, content; windows: response_id, cue_id."""
-    parsed = responses.withColumn("p", F.from_json(X.strip_fence(F.trim("content")), ISSUES)).where("p.issues is not null")
+    id, no suggestion) fails its whole response. Only a flag that is the JSON value false says that the source needs no
+    check. responses: response_id, content; windows: response_id, cue_id."""
+    parsed = responses.withColumn("p", _object(F.col("content"), ISSUES)).where("p.issues is not null")
     rows = parsed.select("response_id", F.posexplode("p.issues").alias("ord", "i"))
     kind = F.coalesce(F.col("i.kind"), F.lit(""))
     suggestion = F.trim(F.coalesce(F.col("i.suggestion"), F.lit("")))
-    flag = F.coalesce(F.col("i.needs_source_check"), F.lit("missing")) != "false"
+    flag = F.coalesce(F.col("i.needs_source_check"), F.lit(True))
     doubt = F.concat_ws(" ", kind, suggestion).rlike(f"(?i){UNCERTAIN}")
     told = rows.select("response_id", "ord", F.expr("try_cast(trim(i.id) as int)").alias("cue_id"), kind.alias("kind"), suggestion.alias("suggestion"), (flag | doubt).alias("needs_source_check"))
     inside = windows.select("response_id", "cue_id").distinct().withColumn("inside", F.lit(True))
@@ -47,23 +54,49 @@ def review_rows(responses: DataFrame, windows: DataFrame) -> DataFrame:
     return joined.withColumn("all_good", all_good).where("all_good").select("response_id", "ord", "cue_id", "kind", "suggestion", "needs_source_check")
 
 
+def _targets(parsed: DataFrame) -> DataFrame:
+    """(response_id, id, target) of all pairs with an id and a text; the last one of an id counts."""
+    rows = parsed.select("response_id", F.posexplode("p.translations").alias("ord", "t"))
+    rows = rows.select("response_id", "ord", F.col("t.id").alias("id"), F.trim("t.zh").alias("target")).where("length(id) > 0 and length(target) > 0")
+    return rows.groupBy("response_id", "id").agg(F.max_by("target", "ord").alias("target"))
+
+
+def _complete(responses: DataFrame, windows: DataFrame) -> DataFrame:
+    """(response_id, p, rows): the responses that give each cue of their window and no other; rows: cue_id and target."""
+    parsed = responses.select("response_id", _object(F.col("content"), PAIRS).alias("p")).where("p.translations is not null")
+    want = windows.select("response_id", "cue_id", F.col("cue_id").cast("string").alias("id")).distinct()
+    rows = _targets(parsed).join(want, ["response_id", "id"], "left")
+    got = rows.groupBy("response_id").agg(F.count("*").alias("n"), F.count("cue_id").alias("hits"), F.collect_list(F.struct("cue_id", "target")).alias("rows"))  # one answer's
+    full = want.groupBy("response_id").agg(F.count("*").alias("want")).join(got, "response_id").where("n = want and hits = want")
+    return parsed.join(full, "response_id").select("response_id", "p", "rows")
+
+
 def translation_rows(responses: DataFrame, windows: DataFrame) -> DataFrame:
-    """(response_id, cue_id, target) of the responses that give each cue of their window once and no other."""
-    shape = "struct<translations:array<struct<id:string,zh:string>>>"
-    parsed = responses.withColumn("p", F.from_json(X.strip_fence(F.trim("content")), shape)).where("p.translations is not null")
-    rows = parsed.select("response_id", F.explode("p.translations").alias("t")).where("t.id is not null and t.zh is not null")
-    rows = rows.select("response_id", F.expr("try_cast(trim(t.id) as int)").alias("cue_id"), F.col("t.zh").alias("target"))
-    want = windows.groupBy("response_id").agg(F.count_distinct("cue_id").alias("want"))
-    hit = rows.join(windows.select("response_id", "cue_id").distinct().withColumn("hit", F.lit(1)), ["response_id", "cue_id"], "left")
-    got = hit.groupBy("response_id").agg(F.count("*").alias("n"), F.sum(F.coalesce("hit", F.lit(0))).alias("hits"), F.count_distinct("cue_id").alias("ids"))
-    full = got.join(want, "response_id").where("n = want and hits = want and ids = want").select("response_id")
-    return rows.join(full, "response_id", "left_semi")
+    """(response_id, cue_id, target) of the responses that give each cue of their window and no other; the last target of an id
+    counts. responses: response_id, content; windows: response_id, cue_id."""
+    return _complete(responses, windows).select("response_id", F.inline("rows"))
+
+
+def glossary_updates(responses: DataFrame, windows: DataFrame) -> DataFrame:
+    """(response_id, source, target): what complete translation responses add to the glossary."""
+    found = _complete(responses, windows).select("response_id", F.explode("p.glossary_updates").alias("source", "target"))
+    return found.withColumn("target", F.trim("target")).where("length(trim(source)) > 0 and length(target) > 0")
+
+
+def repair_rows(responses: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(response_id, cue_id, target) of repair responses: a part of the wanted cues is enough, other cues are ignored, and the
+    last target of a cue counts. wanted: response_id, cue_id."""
+    parsed = responses.select("response_id", _object(F.col("content"), PAIRS).alias("p")).where("p.translations is not null")
+    rows = parsed.select("response_id", F.posexplode("p.translations").alias("ord", "t"))
+    rows = rows.select("response_id", "ord", F.expr("try_cast(trim(t.id) as int)").alias("cue_id"), F.trim("t.zh").alias("target")).where("cue_id is not null and length(target) > 0")
+    last = rows.groupBy("response_id", "cue_id").agg(F.max_by("target", "ord").alias("target"))
+    return last.join(wanted.select("response_id", "cue_id").distinct(), ["response_id", "cue_id"], "left_semi")
 
 
 def term_rows(responses: DataFrame) -> DataFrame:
     """(response_id, source, target, variants) of term responses: incomplete rows are skipped, the first of a source wins."""
     shape = "struct<terms:array<struct<source:string,target:string,variants:array<string>>>>"
-    rows = responses.select("response_id", F.posexplode(F.from_json(X.strip_fence(F.trim("content")), shape)["terms"]).alias("ord", "t"))
+    rows = responses.select("response_id", F.posexplode(_object(F.col("content"), shape)["terms"]).alias("ord", "t"))
     full = rows.where("length(trim(t.source)) > 0 and length(trim(t.target)) > 0").select("response_id", "ord", "t.*")
     first = F.row_number().over(Window.partitionBy("response_id", "source").orderBy("ord"))
     return full.withColumn("r", first).where("r = 1").select("response_id", "source", "target", F.array_distinct(F.coalesce("variants", F.array().cast("array<string>"))).alias("variants"))
@@ -75,15 +108,17 @@ def suggestions(issues: DataFrame) -> DataFrame:
     return sure.where(~F.col("unsure")).drop("unsure")
 
 
-def admit(requests: DataFrame) -> DataFrame:
-    """requests (run_id, seq, tokens, chars, at_ms) with `admitted`: the longest prefix of each run within its limits."""
+def admit(requests: DataFrame, thinking: bool = False) -> DataFrame:
+    """requests (run_id, seq, tokens, chars, at_ms) with `admitted`: the longest prefix of each run within its limits. Time is up
+    when the limit is reached."""
+    tokens, time_ms = (C.THINKING_TOKEN_LIMIT, C.THINKING_TIME_LIMIT_MS) if thinking else (C.TOKEN_LIMIT, C.TIME_LIMIT_MS)
     w = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     over = (
         (F.count("*").over(w) > C.REQUEST_LIMIT)
-        | (F.sum("tokens").over(w) > C.TOKEN_LIMIT)
+        | (F.sum("tokens").over(w) > tokens)
         | (F.col("chars") > C.REQUEST_CHARS)
         | (F.sum("chars").over(w) > C.TOTAL_CHARS)
-        | (F.col("at_ms") - F.min("at_ms").over(w) > C.TIME_LIMIT_MS)
+        | (F.col("at_ms") - F.min("at_ms").over(w) >= time_ms)
     )
     return requests.withColumn("over", over).withColumn("admitted", ~F.max("over").over(w)).drop("over")
 
@@ -106,14 +141,27 @@ def undo(changes: DataFrame) -> DataFrame:
     return changes.where("accepted").groupBy("media_id", "cue_id").agg(F.min_by(F.struct("before"), "seq")["before"].alias("value"))
 
 
+USAGE = "struct<usage:struct<prompt_tokens:string,completion_tokens:string,completion_tokens_details:struct<reasoning_tokens:string>>>"
+
+
 def usage(responses: DataFrame) -> DataFrame:
-    """Token totals by run: known ones are added up, others counted. responses: run_id, tokens (text)."""
-    known = F.expr("try_cast(tokens as bigint)")
-    return responses.groupBy("run_id").agg(F.sum(F.greatest(known, F.lit(0))).alias("known_tokens"), F.count_if(known.isNull()).alias("unknown"))
+    """Token totals by run: prompt, completion and reasoning tokens, how many responses told the last, and how many told no
+    prompt or no completion tokens, whose tokens are unknown. responses: run_id, body (JSON)."""
+    told = F.from_json("body", USAGE)["usage"]
+    number = lambda c: c.try_cast("bigint")
+    rows = responses.select("run_id", number(told["prompt_tokens"]).alias("p"), number(told["completion_tokens"]).alias("c"), number(told["completion_tokens_details"]["reasoning_tokens"]).alias("r"))
+    known = F.col("p").isNotNull() & F.col("c").isNotNull()
+    total = lambda c: F.coalesce(F.sum(F.when(known, F.greatest(F.col(c), F.lit(0)))), F.lit(0))
+    return rows.groupBy("run_id").agg(
+        F.count("*").alias("responses"), F.count_if(~known).alias("unknown"), total("p").alias("prompt_tokens"), total("c").alias("completion_tokens"),
+        total("r").alias("reasoning_tokens"), F.count_if(known & F.col("r").isNotNull()).alias("with_reasoning"),
+    )
 
 
-def summary(windows: DataFrame, changes: DataFrame) -> DataFrame:
-    """One row a run. windows: run_id, status; changes: run_id, accepted, reason."""
+def summary(windows: DataFrame, issues: DataFrame, changes: DataFrame, repairs: DataFrame, remaining: DataFrame, exhausted: DataFrame) -> DataFrame:
+    """One row a run, with its counts, status and warnings. windows: run_id, scene_idx, status; issues: run_id, scene_idx, cue_id,
+    needs_source_check; changes: run_id, cue_id, accepted, reason; repairs: run_id, status; remaining: run_id, defects,
+    conflicts (what rules and glossary still find); exhausted: run_id of the runs that reached a limit."""
     w = windows.groupBy("run_id").agg(
         F.count("*").alias("selected"), F.count_if(F.col("status") == "succeeded").alias("reviewed"), F.count_if(F.col("status").isin("failed", "interrupted")).alias("failed")
     )
@@ -121,11 +169,29 @@ def summary(windows: DataFrame, changes: DataFrame) -> DataFrame:
         F.count_if("accepted").alias("fixed"), F.count_if(F.col("reason") == "unchanged").alias("unchanged"),
         F.count_if(~F.col("accepted") & (F.coalesce("reason", F.lit("")) != "unchanged")).alias("rejected"),
     )
-    out = w.join(c, "run_id", "left").fillna(0, ["fixed", "unchanged", "rejected"]).withColumn("skipped", F.expr("selected - reviewed - failed"))
-    status = F.when(F.col("reviewed") != F.col("selected"), "partial").otherwise("limited-review-complete")
-    short = F.when(F.col("reviewed") != F.col("selected"), F.concat(F.lit("reviewed "), "reviewed", F.lit("/"), "selected"))
-    turned = F.when(F.col("rejected") > 0, F.concat(F.lit("rejected "), "rejected"))
-    return out.withColumn("status", status).withColumn("warning", F.concat_ws("; ", short, turned))
+    repaired = changes.where("accepted").select("run_id", "cue_id").distinct().withColumn("repaired", F.lit(True))
+    done = windows.where("status = 'succeeded'").select("run_id", "scene_idx").distinct().withColumn("done", F.lit(True))
+    by_cue = issues.join(done, ["run_id", "scene_idx"], "left").groupBy("run_id", "cue_id").agg(F.bool_or("needs_source_check").alias("unsure"), F.bool_or(F.coalesce("done", F.lit(False))).alias("suggested"))
+    i = by_cue.join(repaired, ["run_id", "cue_id"], "left").groupBy("run_id").agg(
+        F.count_if("suggested").alias("issues"), F.count_if("unsure").alias("source_checks"),
+        F.count_if(F.col("suggested") & F.col("repaired").isNull()).alias("unresolved"),
+    )
+    r = repairs.groupBy("run_id").agg(F.count_if(F.col("status") != "succeeded").alias("open_repairs"))
+    out = w
+    for part in (c, i, r, remaining, exhausted.select("run_id").distinct().withColumn("over", F.lit(1))):
+        out = out.join(part, "run_id", "left")
+    out = out.na.fill(0).withColumn("skipped", F.expr("selected - reviewed - failed"))
+    partial = F.expr("reviewed <> selected or open_repairs > 0 or defects > 0 or unresolved > 0")
+    warnings = (
+        ("reviewed <> selected", "concat('reviewed ', reviewed, '/', selected)"), ("over > 0", "'limit reached'"), ("open_repairs > 0", "'repairs not finished'"),
+        ("defects > 0", "concat('defects ', defects)"), ("source_checks > 0", "concat('source checks ', source_checks)"),
+        ("unresolved > 0", "concat('unresolved ', unresolved)"), ("conflicts > 0", "concat('term conflicts ', conflicts)"),
+    )
+    warning = F.concat_ws("; ", *(F.when(F.expr(when), F.expr(text)) for when, text in warnings))
+    return out.select(
+        "run_id", "selected", "reviewed", "failed", "skipped", "issues", "source_checks", "fixed", "unchanged", "rejected", "unresolved", "open_repairs", "defects", "conflicts",
+        (F.col("defects") == 0).alias("readable"), F.when(partial, "partial").otherwise("limited-review-complete").alias("status"), warning.alias("warning"),
+    )
 
 
 def can_resume(runs: DataFrame) -> DataFrame:

@@ -2,42 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake import config as C
+from cuelake.functions.fold import fold
 
 
 def build(cues: DataFrame, max_cues: int = 35, max_seconds: int = 150, order: tuple[str, ...] = ("pos",)) -> DataFrame:
     """(media_id, scene_idx, start_pos, end_pos). A scene ends before a pause of four seconds once it has twelve cues, or
-    with the cue that fills it. Each end depends on the one before, so a medium's cues are folded in order; the fold
-    holds one medium's cues."""
-    row = F.struct(*order, F.col("pos").alias("p"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
-    folded = cues.groupBy("media_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    ranged = F.transform("rows", lambda r, i: F.struct(i.alias("i"), r["s"].alias("s"), r["e"].alias("e")))
-    pair = "struct<a:int,b:int>"
-    start = F.struct(F.lit(0).alias("from"), F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("e"), F.array().cast(f"array<{pair}>").alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        scene = lambda x, y: F.array(F.struct(x.cast("int").alias("a"), y.cast("int").alias("b")))
-        begin = F.coalesce(a["s"], r["s"])
-        count = r["i"] - a["from"]
-        pause = (count >= C.PAUSE_CUES) & (a["s"].isNotNull()) & (r["s"] - a["e"] >= C.PAUSE_MS)
-        full = (count + 1 >= max_cues) | (r["e"] - begin >= max_seconds * 1000)
-        new = lambda f, s, out: F.struct(f.cast("int").alias("from"), s.alias("s"), r["e"].alias("e"), out.alias("out"))
-        none = F.lit(None).cast("long")
-        return (
-            F.when(pause, new(r["i"], r["s"], F.concat(a["out"], scene(a["from"], r["i"] - 1))))
-            .when(full, new(r["i"] + 1, none, F.concat(a["out"], scene(a["from"], r["i"]))))
-            .otherwise(new(a["from"], begin, a["out"]))
-        )
-
-    def finish(a: Column) -> Column:
-        rest = F.when(a["from"] < F.size("rows"), F.array(F.struct(a["from"].cast("int").alias("a"), (F.size("rows") - 1).cast("int").alias("b"))))
-        return F.concat(a["out"], F.coalesce(rest, F.array().cast(f"array<{pair}>")))
-
-    scenes = folded.select("media_id", F.posexplode(F.aggregate(ranged, start, step, finish)).alias("scene_idx", "r"))
-    return scenes.select("media_id", "scene_idx", F.col("r.a").alias("start_pos"), F.col("r.b").alias("end_pos"))
+    with the cue that fills it. Each end depends on the one before, so a medium's cues are folded in order, as a stream."""
+
+    def start() -> tuple:
+        return 0, 0, 0, None, None  # cues so far, scenes so far, first cue of the open scene, its start, end of the cue before
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        (i, scene, first, began, before), (media, at, until) = state, row[:3]
+        count = i - first
+        if count >= C.PAUSE_CUES and began is not None and at - before >= C.PAUSE_MS:
+            return (i + 1, scene + 1, i, at, until), [(media, scene, first, i - 1)]
+        began = at if began is None else began
+        if count + 1 >= max_cues or until - began >= max_seconds * 1000:
+            return (i + 1, scene + 1, i + 1, None, until), [(media, scene, first, i)]
+        return (i + 1, scene, first, began, until), []
+
+    def finish(state: tuple, media: int) -> list[tuple]:
+        i, scene, first, _, _ = state
+        return [(media, scene, first, i - 1)] if first < i else []
+
+    rows = cues.select("media_id", "start_ms", "end_ms", *(c for c in (*order, "pos") if c not in ("start_ms", "end_ms")))
+    return fold(rows, "media_id", [*order], start, step, finish, "media_id long, scene_idx int, start_pos int, end_pos int")
 
 
 def assign(cues: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -54,6 +48,22 @@ def context(cues: DataFrame, before: int, after: int, column: str = "text") -> D
     )
 
 
+def frames(cues: DataFrame, scenes: DataFrame, n: int) -> DataFrame:
+    """The cues around each scene: (media_id, scene_idx, part, pos), part being `before` (n cues), `target` or `after` (n cues).
+    Positions are joined, so no medium's cues are gathered."""
+    part = lambda name, a, b: F.when(a <= b, F.transform(F.sequence(a, b), lambda p: F.struct(F.lit(name).alias("part"), p.cast("int").alias("pos"))))
+    start, end = F.col("start_pos"), F.col("end_pos")
+    parts = [part("before", F.greatest(start - n, F.lit(0)), start - 1), part("target", start, end), part("after", end + 1, end + n)]
+    none = F.array().cast("array<struct<part:string,pos:int>>")
+    places = scenes.select("media_id", "scene_idx", F.explode(F.concat(*(F.coalesce(p, none) for p in parts))).alias("p")).select("media_id", "scene_idx", "p.*")
+    return places.join(cues.select("media_id", "pos"), ["media_id", "pos"]).select("media_id", "scene_idx", "part", "pos")
+
+
+def repair_frames(cues: DataFrame, wanted: DataFrame, n: int, column: str = "text") -> DataFrame:
+    """The wanted cues (media_id, cue_id) with the texts of up to two neighbours on each side, or of n if that is less."""
+    return context(cues, min(2, n), min(2, n), column).join(wanted.select("media_id", "cue_id").distinct(), ["media_id", "cue_id"])
+
+
 def sample(cues: DataFrame, lines: int = C.CONTEXT_LINES) -> DataFrame:
     """Evenly sampled lines of each medium, blank ones left out, at most `lines`."""
     n = F.count("*").over(Window.partitionBy("media_id"))

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cuelake.functions.text import clock
+from cuelake.functions.text import SPACE, clock, safe_file_name
+
+_FILE = T.StructType([T.StructField(c, T.StringType()) for c in ("place", "name", "text", "action")])
 
 
 def render(cues: DataFrame, body: str = "text") -> DataFrame:
     """One SRT text a medium, its cues by id."""
-    block = F.concat_ws("\r\n", F.col("cue_id").cast("string"), F.concat(clock(F.col("start_ms")), F.lit(" --> "), clock(F.col("end_ms"))), F.coalesce(body, F.lit("")), F.lit(""))
+    time = F.concat(clock(F.col("start_ms")), F.lit(" --> "), clock(F.col("end_ms")))
+    text = F.regexp_replace(F.coalesce(body, F.lit("")), rf"^{SPACE}+|{SPACE}+$", "")
+    block = F.concat_ws("\r\n", F.col("cue_id").cast("string"), time, text, F.lit(""))
     rows = cues.select("media_id", F.struct("cue_id", block.alias("block")).alias("b"))
     ordered = rows.groupBy("media_id").agg(F.array_sort(F.collect_list("b")).alias("b"))  # one medium's cues
     return ordered.select("media_id", F.array_join(F.col("b.block"), "\r\n").alias("content"))
@@ -22,6 +27,42 @@ def bilingual(cues: DataFrame, translations: DataFrame) -> DataFrame:
     return joined.withColumn("text", F.concat_ws("\r\n", "text", F.coalesce("target", F.lit("")))).drop("target")
 
 
+def translated(cues: DataFrame, translations: DataFrame) -> DataFrame:
+    """Cues with the translation as their `text` (empty where missing)."""
+    joined = cues.drop("text").join(translations.select("media_id", "cue_id", "target"), ["media_id", "cue_id"], "left")
+    return joined.withColumn("text", F.coalesce("target", F.lit(""))).drop("target")
+
+
+def publish_files(media: DataFrame) -> DataFrame:
+    """Every file that publishing a medium touches: (media_id, place, name, text, action), text being one of source, target and
+    bilingual. media: media_id, stem, present (whether the medium is still there), beside (whether a sidecar is wanted),
+    existing, legacy_target, legacy_bilingual (hashes of files that are there, or null), source, target, bilingual (hashes of
+    our texts), own (hashes of all that we ever made for it).
+
+    A medium that is gone has no rows. A foreign sidecar stays; one that has our text already is not written again, as
+    players watch it. Copies under older names go only if they are ours to the byte."""
+    old, mine = F.col("existing"), F.array("source", "target", "bilingual")
+    ours = F.array_contains(mine, old) | F.array_contains(F.coalesce("own", F.array().cast("array<string>")), old)
+    sidecar = F.when(old.isNull(), "write").when(old == F.col("bilingual"), "keep").when(ours, "replace").otherwise("foreign")
+    safe = safe_file_name(F.col("stem"))
+    row = lambda place, name, text, action: F.struct(F.lit(place).alias("place"), name.alias("name"), F.lit(text).alias("text"), action.alias("action"))
+    named = lambda end: F.concat("stem", F.lit(end))
+    gone = lambda here, text: F.when(F.col(here) == F.col(text), "delete")
+    beside = [
+        row("beside", named(".srt"), "bilingual", sidecar), row("beside", named(".zh-CN.srt"), "target", gone("legacy_target", "target")),
+        row("beside", named(".ja-zh-CN.srt"), "bilingual", gone("legacy_bilingual", "bilingual")),
+    ]
+    archive = [row("archive", F.concat(safe, F.lit(f"-{text}.srt")), text, F.lit("write")) for text in ("bilingual", "source", "target")]
+    rows = F.concat(F.when(F.col("beside"), F.array(*beside)).otherwise(F.array().cast(T.ArrayType(_FILE))), F.array(*archive))
+    return media.where("present").select("media_id", F.explode(rows).alias("f")).select("media_id", "f.*").where("action is not null")
+
+
+def publish_warnings(media: DataFrame, files: DataFrame) -> DataFrame:
+    """(media_id, warning): media that are gone, and sidecars that stay because they are foreign."""
+    foreign = files.where("action = 'foreign'").select("media_id", F.lit("foreign sidecar: archived only").alias("warning"))
+    return media.where("not present").select("media_id", F.lit("medium is gone: kept in the cache only").alias("warning")).unionByName(foreign)
+
+
 def publish_plan(files: DataFrame, generated: DataFrame) -> DataFrame:
     """What to do with each file beside a medium. files: (media_id, existing: hash or null, bilingual: hash);
     generated: (media_id, hash) of all texts that we made for the medium."""

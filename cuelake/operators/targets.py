@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuelake import config as C
 from cuelake.functions import text as X
-from cuelake.operators.terms import _small
+from cuelake.operators.terms import hits, with_variants
 
 
 def defect(target: Column) -> Column:
@@ -45,10 +45,12 @@ def accept_repairs(proposals: DataFrame, conflicts: DataFrame) -> DataFrame:
 
 
 def new_conflicts(proposals: DataFrame, terms: DataFrame) -> DataFrame:
-    """(media_id, cue_id) where some term in the source is rendered by the original and not by the proposal."""
-    here = X.contains_term(F.col("source"), F.col("term"))
-    lost = ~F.contains("proposed", "rendering") & (F.contains(F.coalesce("original", F.lit("")), "rendering") | (F.length(F.trim(F.coalesce("original", F.lit("")))) == 0))
-    return proposals.join(_small(terms), here & lost, "left_semi").select("media_id", "cue_id")
+    """(media_id, cue_id) where some term in the source (or a variant of it) is rendered by the original and not by the
+    proposal. An original that is blank breaks no term."""
+    usable = proposals.where(F.length(F.trim(F.coalesce("proposed", F.lit("")))) > 0).select("media_id", "cue_id", "source", "original", "proposed")
+    original = F.coalesce("original", F.lit(""))
+    lost = ~F.contains("proposed", "rendering") & (F.contains(original, F.col("rendering")) | (F.length(F.trim(original)) == 0))
+    return hits(usable, "source", with_variants(terms), "form").where(lost).select("media_id", "cue_id").distinct()
 
 
 def completeness(pairs: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from cuelake.functions import text as X
 # The patterns of katakana names and of names with an honorific.
 KATAKANA_NAME = r"[\x{30a1}-\x{30f6}]{2,}"
 HONORIFIC = r"[\x{3040}-\x{30ff}\x{4e00}-\x{9fff}]{1,8}(?:さん|ちゃん|くん|さま|様|先生|先輩|お姉ちゃん)"
-#: Term lists are broadcast up to this many rows; longer ones are left to the planner.
-BROADCAST_TERMS = 10_000
+#: Spellings that fit into one row; longer lists are joined by run.
+FORMS_IN_A_ROW = 10_000
 
 
 def candidates(cues: DataFrame, patterns: tuple[str, ...] = (KATAKANA_NAME, HONORIFIC), limit: int = C.TERM_LIMIT, keys: tuple[str, ...] = ("media_id",)) -> DataFrame:
@@ -23,19 +23,51 @@ def candidates(cues: DataFrame, patterns: tuple[str, ...] = (KATAKANA_NAME, HONO
     return counted.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-def _small(terms: DataFrame) -> DataFrame:
-    """terms with a broadcast hint if they are few (counted, not guessed)."""
-    return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+WORD = r"[\p{L}\p{N}_]+"
+
+
+def _folded(word: Column) -> Column:
+    """Words that differ in case only fold alike."""
+    return F.lower(F.upper(word))
+
+
+def keyed(terms: DataFrame, term: str = "term") -> DataFrame:
+    """terms, blank ones left out, with `_key`: what a text must have to contain the term. Of a term with an ASCII letter that is
+    its first word, as it matches whole words only; of another its first two characters, or its only one."""
+    latin = F.col(term).rlike("[A-Za-z]")
+    key = F.when(latin, F.concat(F.lit("w"), _folded(F.regexp_extract(term, WORD, 0)))).otherwise(F.concat(F.lit("c"), F.substring(term, 1, 2)))
+    return terms.where(F.length(F.trim(term)) > 0).withColumn("_key", key)
+
+
+def keys_of(text: Column, words_only: Column) -> Column:
+    """All keys of a text: its words, and its characters alone and in pairs unless only words are asked for."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.concat(F.lit("w"), _folded(w)))
+    n = F.length(text)
+    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    pieces = F.flatten(F.transform(at, lambda i: F.array(*(F.concat(F.lit("c"), F.substring(text, i, F.lit(k))) for k in (1, 2)))))
+    return F.array_distinct(F.when(words_only, words).otherwise(F.concat(words, pieces)))
+
+
+def hits(rows: DataFrame, text: str, terms: DataFrame, term: str = "term") -> DataFrame:
+    """rows joined with each term that their text contains: by key, so that a text meets the terms only that share one with it,
+    then by the exact rule."""
+    none = terms.where(~F.col(term).rlike("[A-Za-z]") & (F.length(F.trim(term)) > 0)).agg((F.count("*") == 0).alias("_words_only"))
+    exploded = rows.where(F.col(text).isNotNull()).crossJoin(F.broadcast(none))  # one row
+    exploded = exploded.withColumn("_key", F.explode(keys_of(F.col(text), F.col("_words_only"))))
+    found = exploded.join(keyed(terms, term), "_key").where(X.contains_term(F.col(text), F.col(term)))
+    return found.drop("_key", "_words_only")
 
 
 def context_lines(cues: DataFrame, terms: DataFrame, order: tuple[str, ...], lines: int = C.CONTEXT_LINES) -> DataFrame:
     """Lines that are among the first three of some term, in order, at most `lines`, cut to 120 characters. The counters of
-    the terms are independent, so a rank by term is enough."""
-    met = cues.join(_small(terms.select("term")), F.contains("text", "term"))
+    the terms are independent, so a rank by term is enough. A line holds a term wherever its characters stand."""
+    pieces = terms.select("term").where(F.length("term") > 0).withColumn("_key", F.substring("term", 1, 2))
+    n = F.length("text")
+    keys = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.array(F.substring(F.col("text"), i, F.lit(1)), F.substring(F.col("text"), i, F.lit(2))))))
+    met = cues.where(n > 0).withColumn("_key", F.explode(keys)).join(pieces, "_key").where(F.contains("text", "term"))
     rank = F.row_number().over(Window.partitionBy("term").orderBy(*order))
     first = met.withColumn("r", rank).where(F.col("r") <= C.LINES_PER_TERM).select(*order, "text").distinct()
-    place = F.row_number().over(Window.orderBy(*order))  # at most three rows a term
-    return first.withColumn("place", place).where(F.col("place") <= lines).select(*order, F.substring("text", 1, C.LINE_CHARS).alias("line"))
+    return first.orderBy(*order).limit(lines).select(*order, F.substring("text", 1, C.LINE_CHARS).alias("line"))
 
 
 def build_context(cues: DataFrame, terms: DataFrame, sampled: DataFrame, order: tuple[str, ...]) -> DataFrame:
@@ -47,16 +79,24 @@ def build_context(cues: DataFrame, terms: DataFrame, sampled: DataFrame, order:
 
 def matches(cues: DataFrame, terms: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """(key, term) for each term that a text contains."""
-    return cues.join(_small(terms), X.contains_term(F.col("text"), F.col("term"))).select(*key, "term")
+    return hits(cues.select(*key, "text"), "text", terms.select("term")).select(*key, "term")
+
+
+def with_variants(terms: DataFrame) -> DataFrame:
+    """(form, rendering): each term and its variants (array `variants`, if there is one), blank ones left out."""
+    none = F.array().cast("array<string>")
+    variants = F.coalesce("variants", none) if "variants" in terms.columns else none
+    forms = terms.where(F.length(F.trim("rendering")) > 0).select(F.explode(F.concat(F.array("term"), variants)).alias("form"), "term", "rendering")
+    return forms.where((F.length(F.trim("form")) > 0) & (F.length(F.trim("term")) > 0))
 
 
 def glossary_defects(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     """Pairs whose source holds a term (or a variant of it) while the target lacks its rendering: (media_id, cue_id).
-    pairs: media_id, cue_id, source, target; terms: term, rendering."""
+    pairs: media_id, cue_id, source, target; terms: term, rendering, variants (optional)."""
     blank = lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) == 0
-    usable = pairs.where(~blank("source") & ~blank("target"))
-    wrong = X.contains_term(F.col("source"), F.col("term")) & ~F.contains("target", "rendering")
-    return usable.join(_small(terms), wrong, "left_semi").select("media_id", "cue_id")
+    usable = pairs.where(~blank("source") & ~blank("target")).select("media_id", "cue_id", "source", "target")
+    wrong = hits(usable, "source", with_variants(terms), "form").where(~F.contains("target", "rendering"))
+    return wrong.select("media_id", "cue_id").distinct()
 
 
 def seed_glossary(entries: DataFrame) -> DataFrame:
@@ -70,12 +110,18 @@ def seed_glossary(entries: DataFrame) -> DataFrame:
 
 def correct_spelling(cues: DataFrame, forms: DataFrame, pattern: str) -> DataFrame:
     """cues with whole runs of `pattern` replaced by their canonical form; other text stays. forms: variant, canonical, ord
-    (the first entry wins)."""
+    (the first entry wins). Few forms, as counted, go to every row as a map; of many, each run of a text is joined."""
     first = forms.groupBy("variant").agg(F.min_by("canonical", "ord").alias("canonical"))
-    table = first.agg(F.map_from_entries(F.collect_list(F.struct("variant", "canonical"))).alias("forms"))  # a term list
     runs = F.regexp_extract_all("text", F.lit(f"(?:{pattern})+|(?:(?!{pattern})(?s:.))+"), F.lit(0))
-    fixed = F.array_join(F.transform(runs, lambda r: F.coalesce(F.try_element_at("forms", r), r)), "")
-    return cues.crossJoin(F.broadcast(table)).withColumn("text", fixed).drop("forms")
+    if first.limit(FORMS_IN_A_ROW + 1).count() <= FORMS_IN_A_ROW:
+        table = first.agg(F.map_from_entries(F.collect_list(F.struct("variant", "canonical"))).alias("forms"))
+        fixed = F.array_join(F.transform(runs, lambda r: F.coalesce(F.try_element_at("forms", r), r)), "")
+        return cues.crossJoin(F.broadcast(table)).withColumn("text", fixed).drop("forms")
+    pieces = cues.select("text").distinct().select("text", F.posexplode(runs).alias("i", "variant")).join(first, "variant", "left")
+    row = F.struct("i", F.coalesce("canonical", "variant").alias("run"))
+    fixed = F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["run"]), "")
+    mended = pieces.groupBy("text").agg(fixed.alias("_fixed"))  # one text's runs
+    return cues.join(mended, "text", "left").withColumn("text", F.coalesce("_fixed", "text")).select(*cues.columns)
 
 
 def prompt(terms: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -65,6 +65,12 @@ def has_term(text: str, term: str) -> str:
     )
 
 
+def japanese(x: str) -> str:
+    ours = rf"length(regexp_replace({x}, '[^\x{{3040}}-\x{{30ff}}\x{{4e00}}-\x{{9fff}}]', '', 'g'))"
+    letters = rf"length(regexp_replace({x}, '[\x09-\x0D\x20\x{{85}}\p{{Z}}\p{{P}}\p{{Nd}}]', '', 'g'))"
+    return f"({ours} >= 5 AND {ours} * 4 >= {letters})"
+
+
 def clock(ms: str) -> str:
     two = lambda v: f"CASE WHEN {v} < 10 THEN lpad(CAST({v} AS VARCHAR), 2, '0') ELSE CAST({v} AS VARCHAR) END"
     return f"({two(f'({ms} // 3600000)')}) || ':' || ({two(f'({ms} // 60000 % 60)')}) || ':' || ({two(f'({ms} // 1000 % 60)')}) || ',' || lpad(CAST({ms} % 1000 AS VARCHAR), 3, '0')"
@@ -221,7 +227,7 @@ CHANGES = """changes AS (
 REVIEWS = f"""raw AS (
   SELECT conv_id * 100 + turn AS response_id, conv_id AS media_id, CAST(turn AS INT) AS cue_id, role, text FROM conversations),
 reviewed AS (SELECT *, CASE WHEN turn_kind = 0 THEN '' ELSE left(text, 40) END AS suggestion, CASE WHEN turn_kind = 1 THEN 'misheard' ELSE 'style' END AS kind,
-  CASE WHEN turn_kind = 2 THEN NULL WHEN turn_kind = 3 THEN 'true' ELSE 'false' END AS flag FROM (SELECT *, response_id % 6 AS turn_kind FROM raw)),
+  CASE WHEN turn_kind = 2 THEN NULL WHEN turn_kind IN (3, 5) THEN 'no JSON false' ELSE 'false' END AS flag FROM (SELECT *, response_id % 6 AS turn_kind FROM raw)),
 parsed AS (SELECT response_id, media_id, cue_id, kind, trim(suggestion) AS suggestion,
   coalesce(flag, 'missing') <> 'false' OR regexp_matches(kind || ' ' || trim(suggestion), '(?i){UNCERTAIN}') AS needs_source_check
   FROM reviewed WHERE length(trim(suggestion)) > 0)"""
@@ -232,7 +238,7 @@ SQL: dict[str, str] = {
     "srt_parse": f"WITH {CUES} SELECT media_id, cue_id, start_ms, end_ms, text FROM cues",
     "srt_render": f"""WITH {CUES} SELECT media_id, string_agg(CAST(cue_id AS VARCHAR) || chr(13) || chr(10) || {clock("start_ms")} || ' --> ' || {clock("end_ms")} || chr(13) || chr(10) || text
       || chr(13) || chr(10), chr(13) || chr(10) ORDER BY cue_id) AS content FROM cues GROUP BY media_id""",
-    "text_normalize": f"WITH {LINES} SELECT media_id, pos, {clean('text')} AS clean, lower({clean('text')}) AS norm, {spaces('text')} AS spaced, false AS japanese FROM lines",
+    "text_normalize": f"WITH {LINES} SELECT media_id, pos, {clean('text')} AS clean, lower({clean('text')}) AS norm, {spaces('text')} AS spaced, {japanese('text')} AS japanese FROM lines",
     "text_compact_repetition": f"WITH {CUES}, m AS (SELECT *, {clean('text')} AS m FROM cues) SELECT media_id, cue_id, {compact('text', 'm')} AS short, {low('m')} AS low FROM m",
     "vocalization_flag": f"WITH {CUES}, m AS (SELECT *, lower({clean('text')}) AS norm FROM cues) SELECT media_id, cue_id, {vocal('norm')} AS vocal FROM m",
     "cue_issues": f"WITH {CUES}, {ISSUES} SELECT media_id, cue_id, kind, severity, greatest(start_ms, 0) AS start_ms, greatest(end_ms, 0) AS end_ms, text AS preview FROM single",
@@ -289,18 +295,26 @@ SQL: dict[str, str] = {
     "review_parse": f"WITH {REVIEWS} SELECT response_id, cue_id, kind, suggestion, needs_source_check FROM parsed",
     "suggestion_first": f"WITH {REVIEWS}, s AS (SELECT media_id, cue_id, bool_or(needs_source_check) AS unsure, arg_min(suggestion, response_id) AS suggestion FROM parsed GROUP BY 1, 2) SELECT media_id, cue_id, suggestion FROM s WHERE NOT unsure",
     "budget_admission": f"""WITH {LEDGER}, r AS (SELECT run_id, seq, CAST(round(value * 100) AS BIGINT) AS tokens, CAST(round(value * 700) AS BIGINT) AS chars, at_ms // 100000 AS at_ms FROM ledger),
-      o AS (SELECT *, count(*) OVER w > {C.REQUEST_LIMIT} OR sum(tokens) OVER w > {C.TOKEN_LIMIT} OR chars > {C.REQUEST_CHARS} OR sum(chars) OVER w > {C.TOTAL_CHARS} OR at_ms - min(at_ms) OVER w > {C.TIME_LIMIT_MS} AS over_
+      o AS (SELECT *, count(*) OVER w > {C.REQUEST_LIMIT} OR sum(tokens) OVER w > {C.TOKEN_LIMIT} OR chars > {C.REQUEST_CHARS} OR sum(chars) OVER w > {C.TOTAL_CHARS} OR at_ms - min(at_ms) OVER w >= {C.TIME_LIMIT_MS} AS over_
         FROM r WINDOW w AS (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING)) SELECT run_id, seq, NOT max(over_) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS admitted FROM o""",
     "circuit_breaker": f"""WITH {LEDGER}, t AS (SELECT *, coalesce(failed AND lag(failed) OVER (PARTITION BY run_id ORDER BY seq), false) AS trip FROM ledger)
       SELECT run_id, seq, failed, coalesce(max(trip) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS skipped FROM t""",
     "journal_replay": f"WITH {LEDGER}, {CHANGES} SELECT media_id, cue_id, arg_max(after, seq) AS value FROM changes WHERE accepted GROUP BY media_id, cue_id",
     "journal_undo": f"WITH {LEDGER}, {CHANGES} SELECT media_id, cue_id, before AS value FROM (SELECT *, row_number() OVER (PARTITION BY media_id, cue_id ORDER BY seq) AS r FROM changes WHERE accepted) WHERE r = 1",
-    "review_summary": f"""WITH {LEDGER}, w AS (SELECT run_id, count(*) AS selected, count(*) FILTER (event_type IN ('view', 'click')) AS reviewed, count(*) FILTER (failed) AS failed FROM ledger GROUP BY 1),
-      c AS (SELECT run_id, count(*) FILTER (NOT failed AND seq % 3 > 0) AS fixed, count(*) FILTER (NOT (NOT failed AND seq % 3 > 0) AND seq % 3 = 0) AS unchanged, count(*) FILTER (failed AND seq % 3 > 0) AS rejected FROM ledger GROUP BY 1)
-      SELECT run_id, selected, reviewed, failed, fixed, unchanged, rejected, selected - reviewed - failed AS skipped, CASE WHEN reviewed <> selected THEN 'partial' ELSE 'limited-review-complete' END AS status,
-        concat_ws('; ', CASE WHEN reviewed <> selected THEN 'reviewed ' || reviewed || '/' || selected END, CASE WHEN rejected > 0 THEN 'rejected ' || rejected END) AS warning FROM w JOIN c USING (run_id)""",
-    "usage_totals": f"""WITH {LEDGER}, u AS (SELECT run_id, CASE WHEN event_type = 'error' THEN 'unknown' ELSE CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) END AS tokens FROM ledger)
-      SELECT run_id, CAST(sum(greatest(TRY_CAST(tokens AS BIGINT), 0)) AS BIGINT) AS known_tokens, count(*) FILTER (TRY_CAST(tokens AS BIGINT) IS NULL) AS unknown FROM u GROUP BY run_id""",
+    "review_summary": f"""WITH {LEDGER}, w AS (SELECT run_id, count(*) AS selected, count(*) FILTER (event_type IN ('view', 'click')) AS reviewed, count(*) FILTER (failed) AS failed,
+        count(*) FILTER (failed AND seq % 11 = 0) AS defects, count(*) FILTER (event_type = 'purchase' AND seq % 13 = 0) AS conflicts, count(*) FILTER (failed AND seq % 10 = 0) AS open_repairs FROM ledger GROUP BY 1),
+      c AS (SELECT run_id, count(*) FILTER (NOT failed AND seq % 3 > 0) AS fixed, count(*) FILTER (NOT (NOT failed AND seq % 3 > 0) AND seq % 3 = 0) AS unchanged, count(*) FILTER (failed AND seq % 3 > 0) AS rejected FROM ledger GROUP BY 1),
+      r AS (SELECT DISTINCT run_id, seq % 5 AS cue_id FROM ledger WHERE NOT failed AND seq % 3 > 0),
+      k AS (SELECT run_id, seq % 7 AS cue_id, bool_or(seq % 8 = 0) AS unsure, bool_or(event_type IN ('view', 'click')) AS suggested FROM ledger WHERE seq % 4 = 0 GROUP BY 1, 2),
+      i AS (SELECT k.run_id, count(*) FILTER (suggested) AS issues, count(*) FILTER (unsure) AS source_checks, count(*) FILTER (suggested AND r.run_id IS NULL) AS unresolved FROM k LEFT JOIN r ON r.run_id = k.run_id AND r.cue_id = k.cue_id GROUP BY 1),
+      a AS (SELECT w.*, c.* EXCLUDE (run_id), coalesce(issues, 0) AS issues, coalesce(source_checks, 0) AS source_checks, coalesce(unresolved, 0) AS unresolved FROM w JOIN c USING (run_id) LEFT JOIN i USING (run_id))
+      SELECT *, selected - reviewed - failed AS skipped, defects = 0 AS readable, CASE WHEN reviewed <> selected OR open_repairs > 0 OR defects > 0 OR unresolved > 0 THEN 'partial' ELSE 'limited-review-complete' END AS status,
+        concat_ws('; ', CASE WHEN reviewed <> selected THEN 'reviewed ' || reviewed || '/' || selected END, CASE WHEN run_id % 3 = 0 THEN 'limit reached' END, CASE WHEN open_repairs > 0 THEN 'repairs not finished' END,
+          CASE WHEN defects > 0 THEN 'defects ' || defects END, CASE WHEN source_checks > 0 THEN 'source checks ' || source_checks END, CASE WHEN unresolved > 0 THEN 'unresolved ' || unresolved END,
+          CASE WHEN conflicts > 0 THEN 'term conflicts ' || conflicts END) AS warning FROM a""",
+    "usage_totals": f"""WITH {LEDGER}, u AS (SELECT run_id, CAST(round(value * 100) AS BIGINT) AS t, event_type NOT IN ('error', 'purchase') AS known, seq % 3 = 0 AS told FROM ledger)
+      SELECT run_id, count(*) AS responses, count(*) FILTER (NOT known) AS unknown, CAST(coalesce(sum(greatest(t, 0)) FILTER (known), 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(greatest(t + 1, 0)) FILTER (known), 0) AS BIGINT) AS completion_tokens,
+        CAST(coalesce(sum(greatest(t - 50, 0)) FILTER (known AND told), 0) AS BIGINT) AS reasoning_tokens, count(*) FILTER (known AND told) AS with_reasoning FROM u GROUP BY run_id""",
     "text_hashes": "SELECT doc_id, sha256(text) AS hash FROM documents",
     "variant_keys": f"""WITH {CUES}, d AS (SELECT media_id, sha256(string_agg(concat_ws('|', cue_id, start_ms, end_ms, text), chr(10) ORDER BY cue_id)) AS digest FROM cues GROUP BY media_id),
       b AS (SELECT *, sha256('p1|model|ja|4|' || digest) AS base_key FROM d) SELECT *, sha256(base_key || '|quality') AS variant_key, left(sha256(base_key || '|quality'), 24) AS folder FROM b""",
@@ -355,3 +369,62 @@ SQL["launch_policy"] = f"""WITH RECURSIVE {LEDGER},
       SELECT l.*, s.later, list_distinct(list_concat(list_filter(s.pending, lambda x: list_contains(l.players, x)), list_filter(l.players, lambda x: NOT list_contains(s.known, x)))) AS pend,
         CASE WHEN len(list_filter(l.players, lambda x: NOT list_contains(s.known, x))) > 0 THEN 0 ELSE s.attempts END AS tries FROM s JOIN l ON l.key = s.key AND l.i = s.i + 1)))
   SELECT key, at_ms, launched, CAST(len(pending) AS INT) AS pending, CAST(attempts AS INT) AS attempts FROM s WHERE i > 0"""
+
+ANSWERS = """a AS (SELECT conv_id AS response_id, CAST(turn AS INT) AS cue_id, trim(CASE WHEN turn % 2 = 0 THEN left(text, 10) ELSE left(text, 20) END) AS target FROM conversations),
+given AS (SELECT * FROM a WHERE NOT (response_id % 4 = 0 AND cue_id = 0) AND target <> '')"""
+
+FULL = f"""{ANSWERS}, full_ AS (SELECT response_id FROM a GROUP BY 1 HAVING response_id % 4 <> 1 AND count(*) = (SELECT count(*) FROM given g WHERE g.response_id = a.response_id))"""
+
+RECOVERED = f"""WITH {CUES.replace("cues AS", "all_cues AS").replace("FROM events", "FROM events WHERE user_id % 2 = 0")}, {SANITIZED.replace("FROM cues", "FROM all_cues")},
+  cues AS (SELECT media_id, cue_id, cue_id - 1 AS pos, start_ms, end_ms, text FROM c9), {REPORT},
+  tally AS (SELECT a.media_id, CASE WHEN a.media_id % 3 = 0 THEN a.n ELSE a.n + 9 END AS initial_n, a.media_id % 5 + a.n - coalesce(b.n, 0) AS removed_n, a.media_id % 4 + coalesce(b.k, 0) AS compacted_n
+    FROM (SELECT media_id, count(*) AS n FROM all_cues GROUP BY 1) a LEFT JOIN (SELECT media_id, count(*) AS n, count(*) FILTER (compacted) AS k FROM c9 GROUP BY 1) b USING (media_id)),
+  {gate("(SELECT removed_n FROM tally t WHERE t.media_id = report.media_id)", "(SELECT compacted_n FROM tally t WHERE t.media_id = report.media_id)", "(SELECT initial_n FROM tally t WHERE t.media_id = report.media_id)")}
+  SELECT media_id, (SELECT initial_n FROM tally t WHERE t.media_id = decided.media_id) AS initial_count, cue_count, removed, compacted, disposition FROM decided"""
+
+
+def measures(body: str, name: str) -> str:
+    kept = "cue_count, suspicious, removed, over_10, over_20, over_30, longest_ms"
+    return f"""SELECT measure, {name} FROM (UNPIVOT (SELECT CAST(coalesce(sum(cue_count), 0) AS BIGINT) AS cue_count, CAST(coalesce(sum(suspicious), 0) AS BIGINT) AS suspicious,
+      CAST((SELECT count(*) FROM events) - coalesce(sum(cue_count), 0) AS BIGINT) AS removed, CAST(coalesce(sum(over_10), 0) AS BIGINT) AS over_10, CAST(coalesce(sum(over_20), 0) AS BIGINT) AS over_20,
+      CAST(coalesce(sum(over_30), 0) AS BIGINT) AS over_30, CAST(coalesce(max(longest_ms), 0) AS BIGINT) AS longest_ms FROM ({body})) ON {kept} INTO NAME measure VALUE {name})"""
+
+
+_CLEANED = f"""WITH {CUES.replace("cues AS", "all_cues AS")}, {SANITIZED.replace("FROM cues", "FROM all_cues")}, cues AS (SELECT media_id, cue_id, cue_id - 1 AS pos, start_ms, end_ms, text FROM c9), {REPORT} SELECT * FROM report"""
+
+SQL |= {
+    "tier_summary": f"""SELECT f.measure, fast, quality FROM ({measures(f"WITH {CUES}, {REPORT} SELECT * FROM report", "fast")}) f JOIN ({measures(_CLEANED, "quality")}) q ON f.measure = q.measure""",
+    "japanese_lines": f"""WITH {CUES}, t AS (SELECT media_id, cue_id, text || CASE cue_id % 4 WHEN 0 THEN '漢字仮名文' WHEN 1 THEN ' 12, 漢字!' WHEN 2 THEN '東京の空は青い and more words' ELSE '' END AS text FROM cues)
+      SELECT media_id, cue_id, {japanese('text')} AS japanese FROM t""",
+    "translation_parse": f"WITH {FULL} SELECT response_id, cue_id, target FROM given WHERE response_id IN (SELECT response_id FROM full_)",
+    "glossary_updates": f"WITH {FULL} SELECT response_id, 'term' || response_id AS source, 'kept' AS target FROM full_",
+    "repair_parse": f"WITH {ANSWERS} SELECT response_id, cue_id, target FROM given WHERE cue_id % 3 <> 1",
+    "glossary_variants": f"""WITH {TERMS}, {PAIRS}, f AS (SELECT unnest([term, lower(left(term, 3)), 'and']) AS form, upper(term) AS rendering FROM terms)
+      SELECT media_id, cue_id FROM pairs p WHERE trim(source) <> '' AND trim(coalesce(target, '')) <> '' AND EXISTS (SELECT 1 FROM f WHERE {has_term('p.source', 'form')} AND NOT contains(p.target, rendering))""",
+    "term_pass": f"""WITH {TERMS}, m AS (SELECT map(list(term), list(upper(term))) AS forms FROM terms)
+      SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+'), lambda r: coalesce(forms[r], r)), '') ELSE text END AS text FROM conversations, m""",
+    "scene_frames": f"""WITH RECURSIVE {CUES}, {scenes('cues')} SELECT s.media_id, s.scene_idx, CASE WHEN pos < start_pos THEN 'before' WHEN pos > end_pos THEN 'after' ELSE 'target' END AS part, c.pos
+      FROM scenes s JOIN cues c ON c.media_id = s.media_id AND c.pos BETWEEN start_pos - 4 AND end_pos + 4""",
+    "repair_frames": f"""WITH {LINES}, w AS (SELECT media_id, cue_id, coalesce(array_to_string(list(text) OVER (PARTITION BY media_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), chr(10)), '') AS ctx_before,
+      coalesce(array_to_string(list(text) OVER (PARTITION BY media_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), chr(10)), '') AS ctx_after FROM lines) SELECT * FROM w WHERE cue_id % 9 = 0""",
+    "recovered": RECOVERED,
+    "source_preparation": f"""WITH r AS ({RECOVERED}), n AS ({SQL["clean_and_gate"]}), m AS (SELECT DISTINCT user_id AS media_id FROM events)
+      SELECT media_id, CASE WHEN media_id % 7 = 0 THEN 'accepted' WHEN r.disposition <> 'blocked' THEN 'recovered' ELSE 'recognised' END AS origin,
+        media_id % 7 = 0 OR coalesce(r.disposition <> 'blocked', false) OR n.disposition <> 'blocked' OR media_id % 3 = 0 AS can_continue
+      FROM m LEFT JOIN r USING (media_id) LEFT JOIN n USING (media_id) WHERE media_id % 7 = 0 OR n.media_id IS NOT NULL""",
+    "pass_totals": f"""WITH {LEDGER}, p AS (SELECT run_id AS media_id, CAST(round(value) AS BIGINT) AS n FROM ledger)
+      SELECT media_id, CAST(sum(n) AS BIGINT) AS removed, CAST(sum(n % 7) AS BIGINT) AS compacted, CAST(sum(n % 5) AS BIGINT) AS retried, CAST(sum(n % 3) AS BIGINT) AS regions, count(*) AS passes FROM p GROUP BY 1""",
+    "publish_files": """WITH f AS (SELECT doc_id, 'a:b ' || doc_id AS stem, doc_id % 5 AS p FROM documents WHERE doc_id % 11 > 0)
+      SELECT doc_id AS media_id, 'beside' AS place, stem || '.srt' AS name, 'bilingual' AS text, CASE p WHEN 0 THEN 'write' WHEN 1 THEN 'keep' WHEN 4 THEN 'foreign' ELSE 'replace' END AS action FROM f WHERE doc_id % 3 > 0
+      UNION ALL SELECT doc_id, 'beside', stem || '.zh-CN.srt', 'target', 'delete' FROM f WHERE doc_id % 3 > 0 AND doc_id % 2 = 0
+      UNION ALL SELECT doc_id, 'archive', replace(stem, ':', '_') || '-' || x || '.srt', x, 'write' FROM f, (VALUES ('bilingual'), ('source'), ('target')) AS v(x)""",
+    "sidecar_choice": """SELECT doc_id AS media_id, 'v' || doc_id || CASE WHEN doc_id % 4 = 1 THEN '.en.srt' WHEN doc_id % 6 = 0 THEN '.jpn.srt' ELSE '.srt' END AS name FROM documents
+      WHERE CASE WHEN doc_id % 4 = 1 THEN doc_id % 6 = 1 ELSE doc_id % 6 IN (0, 3, 5) END""",
+    "state_hashes": f"""WITH {PAIRS} SELECT media_id, sha256('[' || string_agg(to_json([CAST(cue_id AS VARCHAR), target]), ',' ORDER BY CAST(cue_id AS VARCHAR)) || ']') AS hash FROM pairs WHERE target IS NOT NULL GROUP BY 1""",
+    "receipts": "SELECT doc_id AS media_id, CASE WHEN doc_id % 3 = 0 THEN 'new-' ELSE '' END || sha256(text) AS signature FROM documents WHERE doc_id % 3 > 0 OR doc_id % 2 = 0",
+    "segment_reuse": f"""WITH {CUES} SELECT media_id, CASE WHEN media_id % 5 > 0 THEN 'a.wav:' || media_id || ':7' ELSE 'missing:a.wav' END AS file, count(*) AS n FROM cues WHERE media_id % 2 = 0 GROUP BY 1""",
+    "queue_complete": f"SELECT * FROM ({SQL['queue_upsert']}) WHERE seq % 2 <> 0",
+    "players_active": f"""WITH {LEDGER}, k AS (SELECT run_id AS key, list_sort(list(DISTINCT event_type)) AS p FROM ledger WHERE seq <= 9 GROUP BY 1), n AS (SELECT run_id AS key, list(DISTINCT event_type) AS p FROM ledger WHERE seq > 9 AND run_id % 2 = 0 GROUP BY 1)
+      SELECT key, coalesce(array_to_string(list_filter(k.p, lambda x: list_contains(n.p, x)), ','), '') AS players FROM k LEFT JOIN n USING (key)""",
+    "file_sizes": """WITH d AS (SELECT doc_id, n_chars * (doc_id + 1) * 64 AS n FROM documents) SELECT doc_id, CASE WHEN n >= 1073741824 THEN printf('%.2f GB', n / 1073741824) WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.0f KB', n / 1024) END AS size FROM d""",
+}

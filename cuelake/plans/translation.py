@@ -9,18 +9,22 @@ from cuelake import providers
 from cuelake.operators import review, targets
 
 
+def wanted(pairs: DataFrame) -> DataFrame:
+    """The pairs (media_id, cue_id, source, target) whose target has a defect: what a repair asks for."""
+    return pairs.join(targets.defects(pairs).select("media_id", "cue_id"), ["media_id", "cue_id"], "left_semi")
+
+
 def propose(pairs: DataFrame, provider: providers.Provider) -> DataFrame:
-    """(media_id, cue_id, source, original, proposed, status) for the pairs whose target has a defect."""
-    bad = targets.defects(pairs).select("media_id", "cue_id")
-    work = pairs.join(bad, ["media_id", "cue_id"], "left_semi").withColumn("request_id", F.xxhash64("media_id", "cue_id"))
+    """(media_id, cue_id, proposed, status): a service's answers for the wanted pairs."""
+    work = wanted(pairs).withColumn("request_id", F.xxhash64("media_id", "cue_id"))
     answers = providers.call(work.select("request_id", F.col("source").alias("body")), provider)
-    joined = work.join(answers, "request_id", "left")
-    return joined.select("media_id", "cue_id", "source", F.col("target").alias("original"), F.col("answer").alias("proposed"), "status")
+    return work.join(answers, "request_id", "left").select("media_id", "cue_id", F.col("answer").alias("proposed"), "status")
 
 
-def repair(pairs: DataFrame, provider: providers.Provider, terms: DataFrame | None = None) -> DataFrame:
-    """The ledger of a repair: (media_id, cue_id, seq, before, after, accepted, reason). Without an answer the original stays."""
-    asked = propose(pairs, provider)
+def repair(pairs: DataFrame, proposals: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """The ledger of a repair: (media_id, cue_id, seq, before, after, accepted, reason). proposals: media_id, cue_id, proposed.
+    Where a wanted pair has no proposal, the original stays."""
+    asked = wanted(pairs).withColumnRenamed("target", "original").join(proposals.select("media_id", "cue_id", "proposed"), ["media_id", "cue_id"], "left")
     found = asked.where("proposed is not null")
     none = found.select("media_id", "cue_id").where(F.lit(False))
     judged = targets.accept_repairs(found, targets.new_conflicts(found, terms) if terms is not None else none)

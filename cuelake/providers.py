@@ -1,6 +1,4 @@
-"""External services behind an interface, and deterministic stand-ins for tests.
-
-Recognition and translation are not part of this library. The stand-ins' output says nothing about their quality."""
+"""External services behind an interface. Recognition and translation are not part of this library."""
 
 from __future__ import annotations
 
@@ -11,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelake.functions.text import compact_cue
+
 RETRIES = 3
 TOKENS, MORE_TOKENS = 4096, 8192
 
@@ -25,17 +25,6 @@ class OutputLimit(Exception):
     """The answer was cut at max_tokens."""
 
 
-class Echo:
-    """Translates a text to itself between brackets, and fails on texts that hold `fail`, cuts those that hold `long`."""
-
-    def __call__(self, body: str, max_tokens: int) -> str:
-        if "fail" in body:
-            raise ValueError("the service failed")
-        if "long" in body and max_tokens < MORE_TOKENS:
-            raise OutputLimit
-        return f"[{body}]"
-
-
 def ask(provider: Provider, body: str, retries: int = RETRIES) -> tuple[str | None, str, int]:
     """(answer, status, tries). A cut answer is asked for once more with twice the tokens; other failures up to `retries`
     times. Waiting between tries (1 s times the square of the try) is left to the provider."""
@@ -70,7 +59,10 @@ def unfinished(work: DataFrame, done: DataFrame, *key: str) -> DataFrame:
 
 
 def request_bodies(lines: DataFrame) -> DataFrame:
-    """(request_id, body): a JSON request of each group of cues. lines: request_id, pos, cue_id, text."""
-    row = F.struct("pos", F.struct(F.col("cue_id").alias("id"), "text").alias("cue"))
-    grouped = lines.groupBy("request_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))  # one request's cues
-    return grouped.select("request_id", F.to_json(F.struct(F.col("rows.cue").alias("cues"))).alias("body"))
+    """(request_id, body): a JSON request of each group of cues, their texts made short. lines: request_id, part (before, target
+    or after), pos, cue_id, text."""
+    row = F.struct("pos", F.struct(F.col("cue_id").alias("id"), compact_cue(F.col("text")).alias("text")).alias("cue"))
+    cues = lambda part: F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == part, row))), lambda r: r["cue"]).alias(part)
+    grouped = lines.groupBy("request_id").agg(cues("before"), cues("target"), cues("after"))  # one request's cues
+    named = F.struct(F.col("before").alias("context_before"), F.col("target").alias("target_cues"), F.col("after").alias("context_after"))
+    return grouped.select("request_id", F.to_json(named).alias("body"))

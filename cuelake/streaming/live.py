@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cuelake import config as C
+from cuelake.functions.fold import fold
 
 
 def media_changes(events: DataFrame) -> DataFrame:
@@ -48,6 +49,18 @@ def upsert_queue(requests: DataFrame) -> DataFrame:
     return requests.withColumn("key", key).groupBy("key").agg(F.max_by(F.struct("path", "language", "seq"), "seq").alias("r")).select("key", "r.*")
 
 
+def complete(requests: DataFrame, ended: DataFrame) -> DataFrame:
+    """The requests whose work has not ended: success, failure and cancelling all take a request away. ended: key."""
+    return requests.join(ended.select("key").distinct(), "key", "left_anti")
+
+
+def still_active(known: DataFrame, active: DataFrame) -> DataFrame:
+    """The known players (key, players) without those that are no longer active (key, players)."""
+    now = active.select("key", F.col("players").alias("now"))
+    none = F.array().cast("array<string>")
+    return known.join(now, "key", "left").withColumn("players", F.array_intersect("players", F.coalesce("now", none))).drop("now")
+
+
 # The launch policy, a fold over snapshots of players: its state is (pending, known, attempts, next_ms).
 
 
@@ -69,34 +82,39 @@ def observe(state: tuple, players: set[str], running: bool, now: int, starts: bo
 LAUNCHES = "key long, at_ms long, launched boolean, pending int, attempts int"
 
 
-def _fold(key: int, state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-    out = []
-    for r in rows.sort_values(["at_ms", "seq"]).itertuples():
-        state, launched = observe(state, set(r.players), bool(r.running), int(r.at_ms), bool(r.starts))
-        out.append((key, int(r.at_ms), launched, len(state[0]), state[2]))
-    return state, pd.DataFrame(out, columns=["key", "at_ms", "launched", "pending", "attempts"])
-
-
 def launches(snapshots: DataFrame) -> DataFrame:
-    """The launch policy over snapshots (key, at_ms, seq, players, running, starts); a key is one machine."""
+    """The launch policy over snapshots (key, at_ms, seq, players, running, starts); a key is one machine, whose snapshots
+    are folded in order, as a stream."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _fold(key[0], (set(), set(), 0, 0), rows)[1]
+    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        key, at, _, players, running, starts = row
+        state, launched = observe(state, set(players), running, at, starts)
+        return state, [(key, at, launched, len(state[0]), state[2])]
 
-    return snapshots.groupBy("key").applyInPandas(run, LAUNCHES)
+    rows = snapshots.select("key", "at_ms", "seq", "players", "running", "starts")
+    return fold(rows, "key", ["at_ms", "seq"], lambda: (set(), set(), 0, 0), step, None, LAUNCHES)
 
 
-def launch_stream(snapshots: DataFrame) -> DataFrame:
-    """The same over a stream; the state is kept by key."""
+def launch_stream(snapshots: DataFrame, forget: str | None = None) -> DataFrame:
+    """The same over a stream; the state is kept by key. With `forget`, a machine that sends nothing for so long is new again."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         pending, known, attempts, later = held.get if held.exists else ([], [], 0, 0)
-        state, out = _fold(key[0], (set(pending), set(known), attempts, later), pd.concat(list(batches)))
+        state, out = (set(pending), set(known), attempts, later), []
+        for r in pd.concat(list(batches)).sort_values(["at_ms", "seq"]).itertuples():
+            state, launched = observe(state, set(r.players), bool(r.running), int(r.at_ms), bool(r.starts))
+            out.append((key[0], int(r.at_ms), launched, len(state[0]), state[2]))
         held.update((sorted(state[0]), sorted(state[1]), state[2], state[3]))
-        yield out
+        if forget:
+            held.setTimeoutDuration(forget)
+        yield pd.DataFrame(out, columns=["key", "at_ms", "launched", "pending", "attempts"])
 
     kept = "pending array<string>, known array<string>, attempts int, later long"
-    return snapshots.groupBy("key").applyInPandasWithState(run, LAUNCHES, kept, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
+    return snapshots.groupBy("key").applyInPandasWithState(run, LAUNCHES, kept, "append", timeout)
 
 
 def change_stream(events: DataFrame) -> DataFrame:

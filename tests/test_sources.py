@@ -6,7 +6,7 @@ import struct
 from pyspark.sql import functions as F
 
 from cuelake import providers
-from cuelake.functions.json_text import json_object
+from cuelake.functions.text import json_object
 from cuelake.operators import playback
 from cuelake.plans import translation
 from cuelake.sources import files, srt
@@ -48,15 +48,29 @@ def test_titles_and_arguments(spark):
     assert [r.c for r in args.select(playback.candidate(F.col("a")).alias("c")).collect()] == ["C:/a b.mkv", None, None, "D:/c.mp4", None, None]
 
 
+def echo():
+    """A service that translates a text to itself between brackets, fails on texts that hold `fail`, and cuts those that hold
+    `long`. A local function, so that it is sent to the workers by value."""
+
+    def answer(body: str, max_tokens: int) -> str:
+        if "fail" in body:
+            raise ValueError("the service failed")
+        if "long" in body and max_tokens < providers.MORE_TOKENS:
+            raise providers.OutputLimit
+        return f"[{body}]"
+
+    return answer
+
+
 def test_provider_retries():
-    assert providers.ask(providers.Echo(), "x") == ("[x]", "ok", 1)
-    assert providers.ask(providers.Echo(), "long x") == ("[long x]", "ok", 2)
-    assert providers.ask(providers.Echo(), "fail") == (None, "failed", 3)
+    assert providers.ask(echo(), "x") == ("[x]", "ok", 1)
+    assert providers.ask(echo(), "long x") == ("[long x]", "ok", 2)
+    assert providers.ask(echo(), "fail") == (None, "failed", 3)
 
 
 def test_repair_and_revert(spark):
     pairs = spark.createDataFrame([(1, 1, "a", None), (1, 2, "fail", " "), (1, 3, "ok", "好")], "media_id long, cue_id int, source string, target string")
-    ledger = translation.repair(pairs, providers.Echo())
+    ledger = translation.repair(pairs, translation.propose(pairs, echo()))
     assert {r.cue_id: r.reason for r in ledger.collect()} == {1: "rule-repair", 2: "missing-candidate"}
     new = translation.apply(pairs, ledger)
     assert {r.cue_id: r.target for r in new.collect()} == {1: "[a]", 2: " ", 3: "好"}
@@ -64,7 +78,22 @@ def test_repair_and_revert(spark):
 
 
 def test_objects_in_prose(spark):
-    rows = [('{"a": 1}', '{"a": 1}'), ('```json\n{"a": "}"}\n```', '{"a": "}"}'), ('so: {"a": {"b": "{\\""}} and {more', '{"a": {"b": "{\\""}}'), ("[1]", None), ("{broken", None), (None, None)]
+    rows = [('{"a": "1"}', "1"), ('```json\n{"a": "}"}\n```', "}"), ('so: {"a": "{\\""} and {more', '{"'), ("[1]", None), ("{broken", None), (None, None), ('{"a": "x"', None), ('{no} {"a": "x"}', None), ("  none ", None)]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
-    got = [r.o for r in df.select("i", json_object("t").alias("o")).orderBy("i").collect()]
+    parsed = F.from_json(json_object(F.col("t")), "struct<a:string>")
+    got = [r.o for r in df.select("i", parsed["a"].alias("o")).orderBy("i").collect()]
     assert got == [o for _, o in rows]
+
+
+def test_request_bodies(spark):
+    rows = [(1, "target", 3, 4, "x"), (1, "before", 2, 3, "b"), (1, "before", 1, 2, "a"), (2, "target", 0, 1, "あ" * 100)]
+    got = {r.request_id: json.loads(r.body) for r in providers.request_bodies(spark.createDataFrame(rows, "request_id int, part string, pos int, cue_id int, text string")).collect()}
+    assert got[1] == {"context_before": [{"id": 2, "text": "a"}, {"id": 3, "text": "b"}], "target_cues": [{"id": 4, "text": "x"}], "context_after": []}
+    assert got[2]["target_cues"] == [{"id": 1, "text": "ああああああ（原文为大量重复拟声）"}]
+
+
+def test_recent_links(spark):
+    links = spark.createDataFrame([("k", "t", "old", 0), ("k", "t", "new", 900), ("k", "t", "newest", 950), ("k", "u", "other", 990)], "key string, title string, path string, at_s long")
+    wanted = spark.createDataFrame([("k", "t")], "key string, title string")
+    assert [tuple(r) for r in files.recent_link(links, wanted, 1000).collect()] == [("k", "newest")]
+    assert files.recent_link(links, wanted, 1551, keep=1).collect() == []

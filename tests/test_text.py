@@ -58,7 +58,7 @@ def test_excessive_repetition(spark, text, expected):
     assert value(spark, lambda t, u: X.excessive_repetition(t), t=text) is expected
 
 
-@pytest.mark.parametrize(("text", "expected"), [("こんにちは", True), ("こんに", False), ("abcdefghijklmnopqrstuvwこんにちは", False)])
+@pytest.mark.parametrize(("text", "expected"), [("こんにちは", True), ("こんに", False), ("abcdefghijklmnopqrstuvwこんにちは", False), ("東京都庁舎", True), ("東京 abc 12, 都庁舎", True), ("漢字", False), ("漢字かな交 a", True)])
 def test_looks_japanese(spark, text, expected):
     assert value(spark, lambda t, u: X.looks_japanese(t), t=text) is expected
 
