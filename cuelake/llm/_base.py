@@ -108,24 +108,6 @@ def small(counted: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(counted) if counted.count() <= rows else counted
 
 
-#: A key with more than this share of a table's rows is joined by itself.
-HOT_SHARE = 1 / 1000
-
-
-def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
-    """left join right, which has one row a key, without any task that gets all of a hot key's rows. `counts` (key, n) has the
-    left rows of each key. Fewer than 1 / HOT_SHARE keys are hot, so their rows of right are broadcast."""
-    keys = [key] if isinstance(key, str) else key
-    total, most = counts.agg(F.sum("n"), F.max("n")).first()
-    least = max((total or 0) * HOT_SHARE, 2)
-    rows = counts.where(F.col("n") > least).select(*keys).collect() if (most or 0) > least else []
-    if not rows:
-        return left.join(right, keys, how)
-    hot = F.broadcast(left.sparkSession.createDataFrame(rows, counts.select(*keys).schema))
-    apart = left.join(hot, keys, "left_semi").join(F.broadcast(right.join(hot, keys, "left_semi")), keys, how)
-    return left.join(hot, keys, "left_anti").join(right, keys, how).unionByName(apart)
-
-
 def row_key() -> list[Column]:
     """Identity of a row of documents: its doc_id (null: NULL_ID) and the hash of its whole text.
 

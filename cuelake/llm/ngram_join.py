@@ -9,7 +9,8 @@ intersection of their sorted arrays.
 Two rounds keep pairs few where a group has many members: the first tests each node of a tile with the tile's hub and
 joins what it finds into components; the second tests every pair of a tile whose nodes lie in different components
 still. No pair that could join two components is left out. A tile of many nodes is cut into blocks, and each pair of
-blocks is a task's group of its own. Nodes, tiles and components with many rows are joined by themselves.
+blocks is a task's group of its own. Tables are written between an aggregation and a join by the same key, so that Spark
+can split the join of a node, tile or component with many rows.
 
 Defined results: a text with fewer words than a shingle has one shingle, its whole sequence; a null, empty or blank text
 has none and links with nothing; a null doc_id ranks before all others, and a component led by it has a null
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import NULL_ID, documents, join_hot, lean, most_frequent, row_key, scratch, small_batches, staged
+from ._base import NULL_ID, documents, lean, most_frequent, row_key, scratch, small_batches, staged
 from ._graph import components
 from ._packed import packed, unpacked
 from ._words import ascii_lower, chunks, gram_hashes, row_bounds, spans, utf8, word_hashes
@@ -258,11 +259,8 @@ def _ends(what: DataFrame, end: str) -> DataFrame:
 
 
 def _both_ends(pairs: DataFrame, what: DataFrame) -> DataFrame:
-    """The written pairs (u, v) with the columns of `what` for both nodes; a hub has many pairs."""
-    for end in ("u", "v"):
-        counts = pairs.groupBy(end).agg(F.count("*").alias("n"))
-        pairs = join_hot(pairs, _ends(what, end), end, counts)
-    return pairs
+    """The written pairs (u, v) with the columns of the written `what` for both nodes. A hub's many pairs can be split."""
+    return pairs.join(_ends(what, "u"), "u").join(_ends(what, "v"), "v")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -370,9 +368,8 @@ def _similar(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # The first round: in each tile, each node with the hub, the node of whose prefix the largest share lies in tiles (an
     # original has more in common with its copies than they have with each other).
     share = tiles.groupBy("node", "n").agg(F.count("*").alias("met")).select("node", (F.col("met") / F.col("n")).alias("share"))
-    hub = staged(tiles.join(share, "node").groupBy("shingle").agg(F.max(F.struct("share", "node", "n")).alias("h"), F.count("*").alias("n")), "hubs")
-    starred = join_hot(tiles, hub.select("shingle", "h"), "shingle", hub.select("shingle", "n"))
-    starred = starred.select(F.col("h.node").alias("u"), F.col("h.n").alias("nu"), F.col("node").alias("v"), F.col("n").alias("nv"))
+    hub = staged(tiles.join(share, "node").groupBy("shingle").agg(F.max(F.struct("share", "node", "n")).alias("h")), "hubs")
+    starred = tiles.join(hub, "shingle").select(F.col("h.node").alias("u"), F.col("h.n").alias("nu"), F.col("node").alias("v"), F.col("n").alias("nv"))
     fit = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
     pairs = starred.where((F.col("u") != F.col("v")) & fit).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     first = _links(_likely(pairs, nodes, percent), nodes, docs, k, percent)
@@ -385,7 +382,7 @@ def _similar(docs: DataFrame, k: int, percent: int) -> DataFrame:
     banded = banded.select("shingle", "node", "n", "root", "b.band", "b.home")
     several = (F.min("root") != F.max("root")) & F.bool_or("home")
     open_tiles = staged(banded.groupBy("shingle", "band").agg(several.alias("open"), F.count("*").alias("members")).where("open").drop("open"), "open")
-    rows = join_hot(banded, open_tiles, ["shingle", "band"], open_tiles.withColumnRenamed("members", "n"))
+    rows = banded.join(open_tiles, ["shingle", "band"])
     blocks = F.ceil(F.col("members") / TILE_BLOCK).cast("int")
     rows = rows.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node", "shingle"), blocks).cast("int")})
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -395,14 +392,12 @@ def _similar(docs: DataFrame, k: int, percent: int) -> DataFrame:
     if second.head(1):
         roots = components(first.unionAll(second))
 
-    # Leads are found by nodes, then handed to their documents; only nodes that have company need one.
-    own = sketch.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_tx")).alias("own"))
+    # Leads are found by nodes, then handed to their documents.
+    own = sketch.groupBy("node").agg(F.min(F.struct("_id", "_tx")).alias("own"))
     counted = staged(own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "counted")
-    leader = counted.groupBy("root").agg(F.min("own").alias("lead"), F.count("*").alias("members"), F.sum("n").alias("rows")).where("rows > 1")
-    leader = staged(leader, "leaders")
-    led = join_hot(counted.select("node", "root"), leader.select("root", "lead"), "root", leader.select("root", F.col("members").alias("n")))
-    led = staged(led.select("node", "lead"), "led")
-    out = join_hot(sketch.select("_id", "_tx", "n", "node"), led, "node", counted.select("node", "n"), "left")
+    leader = staged(counted.groupBy("root").agg(F.min("own").alias("lead")), "leaders")
+    led = staged(counted.select("node", "root").join(leader, "root").select("node", "lead"), "led")
+    out = sketch.select("_id", "_tx", "n", "node").join(led, "node", "left")
     own_key = F.struct("_id", "_tx")
     lead = F.when(F.col("n") > 0, F.coalesce("lead", own_key)).otherwise(own_key)
     out = staged(out.select("_id", "_tx", "n", lead.alias("lead")), "placed", outlives=True)

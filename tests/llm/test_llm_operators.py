@@ -10,7 +10,6 @@ from urllib.parse import unquote, urlparse
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 from test_contracts import removed, similar_by_pairs
 
 from cuelake.llm import _base, bpe, language, license_scan, media, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, toxicity
@@ -379,26 +378,15 @@ def test_one_of_each_keeps_all_columns(spark):
         assert [r.label for r in ngram_join.one_of_each(docs(spark, rows, "doc_id long, text string, label string").repartition(n)).collect()] == [None]
 
 
-@pytest.mark.parametrize(("block", "share"), [(3, 0.001), (256, 0.02), (2, 0.05)])
-def test_similar_with_tiles_in_blocks_and_hot_keys(spark, monkeypatch, block, share):
+@pytest.mark.parametrize("block", [2, 3, 256])
+def test_similar_with_tiles_in_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "TILE_BLOCK", block)
-    monkeypatch.setattr(_base, "HOT_SHARE", share)
     rows = near_copies(6, 5, 16)
     rows += [(1000 + i, rows[3][1]) for i in range(40)] + [(2000, None), (2001, ""), (2002, "a b")]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar(docs(spark, rows), 4, 85).collect()}
     assert got == similar_by_pairs(dict(rows), 4, 85)
 
 
-def test_hot_keys_are_joined_like_others(spark, monkeypatch):
-    monkeypatch.setattr(_base, "HOT_SHARE", 0.1)
-    left = spark.createDataFrame([(i % 7 if i % 2 else 1, i, str(i)) for i in range(100)], "a long, b long, c string")
-    right = spark.createDataFrame([(k, f"r{k}") for k in range(6)], "a long, r string")
-    counts = left.groupBy("a").agg(F.count("*").alias("n"))
-    for how in ("inner", "left"):
-        want, got = (sorted(map(str, x.select("a", "b", "c", "r").collect())) for x in (left.join(right, "a", how), _base.join_hot(left, right, "a", counts, how)))
-        assert got == want
-
-
 def test_scratch_tables_go(spark, tmp_path):
     df = docs(spark, [(1, "a")])
     with _base.scratch(spark):
