@@ -632,3 +632,11 @@ def players_active(spark: SparkSession, d: str) -> DataFrame:
 @query
 def file_sizes(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "documents").select("doc_id", X.file_size(F.col("n_chars") * (F.col("doc_id") + 1) * 64).alias("size"))
+
+
+@query
+def library(spark: SparkSession, d: str) -> DataFrame:
+    docs = fx.table(spark, d, "documents")
+    folder = F.concat("source", F.lit("-"), (F.col("doc_id") % 9).cast("string"))
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".txt").when(F.col("doc_id") % 3 == 1, ".SRT").otherwise(".srt"))
+    return files.library(docs.select(folder.alias("folder"), name.alias("name"), F.col("doc_id").alias("modified"), (F.col("doc_id") % 9 == 4).alias("linked")))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cuelake import config as C
+
 SECONDS_KEPT = 600
 
 
@@ -57,6 +59,17 @@ def next_request(queue: DataFrame) -> DataFrame:
     return usable.withColumn("r", first).where("r = 1").drop("r")
 
 
+def library(listing: DataFrame, keep: int = C.LIBRARY_ROWS) -> DataFrame:
+    """The `keep` folders that changed last: (folder, modified, srt_files, more), `more` telling whether there are others. listing:
+    folder, name, modified, linked (folders behind links are left out); a folder without files has a row with a null name."""
+    srt = F.coalesce(F.lower("name").endswith(".srt"), F.lit(False))
+    folders = listing.where(~F.col("linked")).groupBy("folder").agg(F.max("modified").alias("modified"), F.count_if(srt).alias("srt_files"))
+    first = folders.orderBy(F.desc("modified"), "folder").limit(keep + 1)
+    place = Window.orderBy(F.desc("modified"), "folder")  # keep + 1 rows
+    placed = first.select("*", F.row_number().over(place).alias("place"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("n"))
+    return placed.where(F.col("place") <= keep).select("folder", "modified", "srt_files", (F.col("n") > keep).alias("more"))
+
+
 def recent_link(links: DataFrame, wanted: DataFrame, now_s: int, keep: int = 30) -> DataFrame:
     """The newest of the `keep` latest links, not older than ten minutes, whose title matches: (key, path). links: key,
     title, path, at_s; wanted: key, title."""

@@ -117,18 +117,24 @@ def launch_stream(snapshots: DataFrame, forget: str | None = None) -> DataFrame:
     return snapshots.groupBy("key").applyInPandasWithState(run, LAUNCHES, kept, "append", timeout)
 
 
-def change_stream(events: DataFrame) -> DataFrame:
-    """media_changes over a stream: (session, seq, path)."""
+def change_stream(events: DataFrame, forget: str | None = None) -> DataFrame:
+    """media_changes over a stream: (session, seq, path). With `forget`, a session that is silent for so long begins anew."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         (last,) = held.get if held.exists else (None,)
         rows = pd.concat(list(batches)).sort_values("seq")
         folded = rows["path"].str.lower()
         before = folded.shift(fill_value=last) if last is not None else folded.shift()
         held.update((folded.iloc[-1],))
+        if forget:
+            held.setTimeoutDuration(forget)
         yield rows.loc[(before != folded).values, ["session", "seq", "path"]]
 
-    return events.groupBy("session").applyInPandasWithState(run, "session long, seq long, path string", "last string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
+    return events.groupBy("session").applyInPandasWithState(run, "session long, seq long, path string", "last string", "append", timeout)
 
 
 def session_stream(events: DataFrame, gap: str = "2 seconds", late: str = "10 seconds") -> DataFrame:

@@ -54,3 +54,22 @@ def test_change_stream_equals_batch(spark, tmp_path):
     run.awaitTermination(120)
     batch = live.media_changes(spark.createDataFrame(data, "session long, seq long, path string"))
     assert sorted(map(tuple, spark.table("changes").collect())) == sorted(map(tuple, batch.select("session", "seq", "path").collect()))
+
+
+def test_session_stream_counts_runs(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    at = [0, 1, 1.5, 9, 10, 400]  # the last one moves the watermark beyond the others
+    (source / "0.json").write_text("\n".join(json.dumps({"key": 1, "ts": f"2024-01-01T00:{int(t // 60):02d}:{t % 60:06.3f}Z"}) for t in at))
+    stream = spark.readStream.schema("key long, ts timestamp").json(str(source))
+    run = live.session_stream(stream).writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert sorted(r.n for r in spark.table("sessions").collect()) == [2, 3]
+
+
+def test_requests_end_and_players_leave(spark):
+    queued = spark.createDataFrame([("a", 1), ("b", 2)], "key string, seq long")
+    assert [r.key for r in live.complete(queued, spark.createDataFrame([("a",)], "key string")).collect()] == ["b"]
+    known = spark.createDataFrame([(1, ["p", "q"]), (2, ["p"])], "key long, players array<string>")
+    now = spark.createDataFrame([(1, ["q", "r"])], "key long, players array<string>")
+    assert {r.key: r.players for r in live.still_active(known, now).collect()} == {1: ["q"], 2: []}

@@ -214,3 +214,121 @@ def test_conflicts_with_a_long_term_list(spark):
     wanted = [*range(60), *range(9_990, 10_050)]
     pairs = spark.createDataFrame([(1, i, f"a t{i:05d} b", f"r{i:05d}", "none") for i in wanted], "media_id long, cue_id int, source string, original string, proposed string")
     assert sorted(r.cue_id for r in targets.new_conflicts(pairs, listed).collect()) == wanted
+
+
+def test_texts_of_both_languages_are_written(spark, tmp_path):
+    two = cues(spark, [(0, 2000, " one "), (3000, 5000, "two")])
+    told = spark.createDataFrame([(1, 1, "一")], "media_id long, cue_id int, target string")
+    assert [r.text for r in sinks.translated(two, told).orderBy("cue_id").collect()] == ["一", ""]
+    both = sinks.render(sinks.bilingual(two, told))
+    assert both.first().content == "1\r\n00:00:00,000 --> 00:00:02,000\r\none \r\n一\r\n\r\n2\r\n00:00:03,000 --> 00:00:05,000\r\ntwo\r\n"
+    sinks.write(both, str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out"), wholetext=True).where("value like '%two%'").select("media_id").first().media_id == 1
+
+
+def test_published_files(spark):
+    row = {"media_id": 1, "stem": "a:b", "present": True, "beside": True, "existing": None, "legacy_target": "t", "legacy_bilingual": "x", "source": "s", "target": "t", "bilingual": "b", "own": None}
+    kinds = ", ".join(f"{k} {'long' if k == 'media_id' else 'boolean' if k in ('present', 'beside') else 'array<string>' if k == 'own' else 'string'}" for k in row)
+    cases = {None: "write", "b": "keep", "s": "replace", "t": "replace", "old": "replace", "f": "foreign"}
+    media = spark.createDataFrame([tuple((row | {"media_id": i, "existing": e, "own": ["old"]}).values()) for i, e in enumerate(cases)] + [tuple((row | {"media_id": 50, "present": False}).values()), tuple((row | {"media_id": 51, "beside": False}).values())], kinds)
+    files = sinks.publish_files(media)
+    got = {(r.media_id, r.name): r.action for r in files.collect()}
+    assert [got[i, "a:b.srt"] for i in range(len(cases))] == list(cases.values())
+    assert got[0, "a:b.zh-CN.srt"] == "delete" and (0, "a:b.ja-zh-CN.srt") not in got and got[0, "a_b-bilingual.srt"] == "write"
+    assert not any(m == 50 for m, _ in got) and sum(m == 51 for m, _ in got) == 3
+    assert sorted(r.media_id for r in sinks.publish_warnings(media, files).collect()) == [5, 50]
+
+
+def test_untagged_sidecars_only_for_japanese(spark):
+    files = spark.createDataFrame([("v", "v.srt", "これは日本語の字幕です"), ("w", "w.srt", "plain english"), ("x", "x.srt", "これは日本語の字幕です"), ("x", "x.jpn.srt", "x")], "stem string, name string, content string")
+    wanted = spark.createDataFrame([(1, "v", "ja"), (2, "w", "ja"), (3, "x", "ja"), (4, "v", "en"), (5, "v", "ja")], "media_id long, stem string, language string")
+    own = spark.createDataFrame([(5, "これは日本語の字幕です")], "media_id long, t string").select("media_id", identity.text_hash(F.col("t")).alias("hash"))
+    assert {r.media_id: r.name for r in identity.sidecar_source(files, wanted, own).collect()} == {1: "v.srt", 3: "x.jpn.srt"}
+
+
+def test_flags_that_are_no_booleans_need_a_check(spark):
+    flags = {"false": False, "true": True, '"false"': True, "0": True, "null": True}
+    responses = [(i, f'Well: {{"issues":[{{"id":1,"suggestion":"fix","needs_source_check":{f}}}]}} done') for i, f in enumerate(flags)]
+    windows = spark.createDataFrame([(i, 1) for i in range(len(flags))], "response_id long, cue_id int")
+    got = review.review_rows(spark.createDataFrame(responses, "response_id long, content string"), windows)
+    assert {r.response_id: r.needs_source_check for r in got.collect()} == dict(enumerate(flags.values()))
+
+
+def test_repair_answers_may_be_partial(spark):
+    answer = '{"translations":[{"id":"1","zh":"a"},{"id":1,"zh":" b "},{"id":"9","zh":"c"},{"id":"2","zh":" "},{"zh":"d"}]}'
+    got = review.repair_rows(spark.createDataFrame([(1, answer), (2, "none")], "response_id long, content string"), spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "response_id long, cue_id int"))
+    assert [tuple(r) for r in got.collect()] == [(1, 1, "b")]
+
+
+def test_time_is_up_at_the_limit(spark):
+    rows = [(1, 1, 10, 10, 0), (1, 2, 10, 10, C.TIME_LIMIT_MS - 1), (1, 3, 10, 10, C.TIME_LIMIT_MS), (2, 1, C.TOKEN_LIMIT + 1, 10, 0)]
+    df = spark.createDataFrame(rows, "run_id long, seq long, tokens long, chars long, at_ms long")
+    assert [r.admitted for r in review.admit(df).orderBy("run_id", "seq").collect()] == [True, True, False, False]
+    assert all(r.admitted for r in review.admit(df, thinking=True).collect())
+
+
+def test_usage_is_known_only_with_both_counts(spark):
+    bodies = ['{"usage":{"prompt_tokens":5,"completion_tokens":7,"completion_tokens_details":{"reasoning_tokens":3}}}', '{"usage":{"prompt_tokens":5}}', "{}", "nonsense", '{"usage":{"prompt_tokens":-1,"completion_tokens":2}}']
+    r = review.usage(spark.createDataFrame([(1, b) for b in bodies], "run_id long, body string")).first()
+    assert (r.responses, r.unknown, r.prompt_tokens, r.completion_tokens, r.reasoning_tokens, r.with_reasoning) == (5, 3, 5, 9, 3, 1)
+
+
+def test_summary_of_a_run_with_everything_open(spark):
+    frame = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    windows = frame([(1, 0, "succeeded"), (1, 1, "failed"), (2, 0, "succeeded")], "run_id long, scene_idx long, status string")
+    issues = frame([(1, 0, 3, False), (1, 0, 4, True), (1, 1, 5, False), (2, 0, 1, False)], "run_id long, scene_idx long, cue_id long, needs_source_check boolean")
+    changes = frame([(1, 3, False, "deterministic-defect"), (2, 1, True, "fix")], "run_id long, cue_id long, accepted boolean, reason string")
+    repairs = frame([(1, "failed"), (2, "succeeded")], "run_id long, status string")
+    remaining = frame([(1, 2, 1), (2, 0, 0)], "run_id long, defects long, conflicts long")
+    got = {r.run_id: r for r in review.summary(windows, issues, changes, repairs, remaining, frame([(1,)], "run_id long")).collect()}
+    assert got[1].warning == "reviewed 1/2; limit reached; repairs not finished; defects 2; source checks 1; unresolved 2; term conflicts 1"
+    assert (got[1].status, got[1].readable, got[2].status, got[2].warning, got[2].fixed) == ("partial", False, "limited-review-complete", "", 1)
+
+
+def test_variants_and_words_of_terms(spark):
+    pairs = spark.createDataFrame([(1, 1, "Annie's annual O'Neil", "x"), (1, 2, "the neil", "x"), (1, 3, "東京へ", "y"), (1, 4, "Ann", "A"), (1, 5, "kanji 山", "z"), (1, 6, "New  York", "z"), (1, 7, "in NEW YORK.", "z")], "media_id long, cue_id int, source string, target string")
+    listed = spark.createDataFrame([("Ann", "A", None), ("O'Neil", "N", [" ", "neil"]), ("東京", "T", []), ("山", "Y", None), ("New York", "NY", None), (" ", "?", ["the"])], "term string, rendering string, variants array<string>")
+    assert sorted(r.cue_id for r in terms.glossary_defects(pairs, listed).collect()) == [1, 2, 3, 5, 7]
+    lines = pairs.select("cue_id", F.col("source").alias("text"))
+    assert {(r.cue_id, r.term) for r in terms.matches(lines, listed, ("cue_id",)).collect()} == {(1, "O'Neil"), (3, "東京"), (4, "Ann"), (5, "山"), (7, "New York")}
+
+
+def test_many_spellings_are_joined_by_run(spark, monkeypatch):
+    lines = spark.createDataFrame([(1, "ab cd, ab"), (2, ""), (3, "ab cd, ab"), (4, None)], "media_id long, text string")
+    forms = spark.createDataFrame([("ab", "AB", 1), ("cd", "X", 2), ("cd", "Y", 1)], "variant string, canonical string, ord int")
+    few = sorted(map(str, terms.correct_spelling(lines, forms, "[a-z]").collect()))
+    monkeypatch.setattr(terms, "FORMS_IN_A_ROW", 0)
+    assert sorted(map(str, terms.correct_spelling(lines, forms, "[a-z]").collect())) == few
+    assert "AB Y, AB" in few[0]
+
+
+def test_context_falls_back_to_sampled_lines(spark):
+    lines = spark.createDataFrame([(0, "a x"), (1, "b"), (2, "x x")], "pos int, text string")
+    none = spark.createDataFrame([], "term string")
+    sampled = lines.where("pos = 1").select("pos", F.col("text").alias("line"))
+    assert [r.pos for r in terms.build_context(lines, none, sampled, ("pos",)).collect()] == [1]
+    assert [r.pos for r in terms.build_context(lines, spark.createDataFrame([("x",)], "term string"), sampled, ("pos",)).orderBy("pos").collect()] == [0, 2]
+
+
+def test_term_answers_and_cache_keys(spark):
+    answer = '{"terms":[{"source":"a","target":"A","variants":["x","x"]},{"source":"a","target":"B"},{"source":" ","target":"C"},{"source":"d"}]}'
+    got = review.term_rows(spark.createDataFrame([(1, "Terms: " + answer)], "response_id long, content string")).collect()
+    assert [(r.source, r.target, r.variants) for r in got] == [("a", "A", ["x"])]
+    keys = spark.createDataFrame([("0123456789abcdef01234567",), ("short",), ("0123456789ABCDEF01234567",)], "k string")
+    assert [r.v for r in keys.select(identity.is_cache_key(F.col("k")).alias("v")).collect()] == [True, False, False]
+
+
+def test_sources_from_files_are_trusted(spark):
+    bad = cues(spark, [(0, 45000, "う?")])
+    assert (r := recognition.trusted(bad).first()).passed and r.disposition == "trusted"
+
+
+def test_large_contents_are_fingerprinted_by_segments(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(identity, "SMALL", 100)
+    monkeypatch.setattr(identity, "SEGMENT", 16)
+    raw = bytes(range(250))
+    parts = b"".join((o := (250 - 16) * i // 8).to_bytes(8, "little") + raw[o : o + 16] for i in range(9))
+    want = hashlib.sha256(b"cue-content-v1" + (250).to_bytes(8, "little") + parts).hexdigest()
+    assert spark.createDataFrame([(bytearray(raw),)], "c binary").select(identity.fingerprint(F.col("c")).alias("f")).first().f == want
