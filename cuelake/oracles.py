@@ -426,7 +426,7 @@ SQL |= {
     "queue_complete": f"SELECT * FROM ({SQL['queue_upsert']}) WHERE seq % 2 <> 0",
     "players_active": f"""WITH {LEDGER}, k AS (SELECT run_id AS key, list_sort(list(DISTINCT event_type)) AS p FROM ledger WHERE seq <= 9 GROUP BY 1), n AS (SELECT run_id AS key, list(DISTINCT event_type) AS p FROM ledger WHERE seq > 9 AND run_id % 2 = 0 GROUP BY 1)
       SELECT key, coalesce(array_to_string(list_filter(k.p, lambda x: list_contains(n.p, x)), ','), '') AS players FROM k LEFT JOIN n USING (key)""",
-    "file_sizes": """WITH d AS (SELECT doc_id, n_chars * (doc_id + 1) * 64 AS n FROM documents) SELECT doc_id, CASE WHEN n >= 1073741824 THEN printf('%.2f GB', n / 1073741824) WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.0f KB', n / 1024) END AS size FROM d""",
+    "file_sizes": """WITH d AS (SELECT doc_id, n_chars * (doc_id + 1) * 64 AS n FROM documents) SELECT doc_id, CASE WHEN n >= 1073741824 THEN printf('%.2f GB', round(n / 1073741824, 2)) WHEN n >= 1048576 THEN printf('%.1f MB', round(n / 1048576, 1)) ELSE printf('%.0f KB', round(n / 1024, 0)) END AS size FROM d""",
 }
 
 SQL["library"] = f"""WITH f AS (SELECT source || '-' || doc_id % 9 AS folder, max(doc_id) AS modified, count(*) FILTER (doc_id % 3 > 0) AS srt_files FROM documents WHERE doc_id % 9 <> 4 GROUP BY 1)
