@@ -222,7 +222,8 @@ OP5_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, regexp_replace(coalesce(text, ''), '[\\x{{10000}}-\\x{{10FFFF}}]', chr(9731), 'g') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
              regexp_replace(regexp_replace(t, '[\\x00-\\x7F]', '', 'g'), '[^\\p{{L}}]', '', 'g') AS l FROM d),
-g AS (SELECT rid, p, array_to_string(w[p + 1:p + {WINDOW}], ' ') AS k FROM w, unnest(range(len(w) - {WINDOW - 1})) AS r(p)),
+u AS (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS p FROM w),
+g AS (SELECT * FROM (SELECT rid, p, word{"".join(f" || ' ' || lead(word, {i}) OVER q" for i in range(1, WINDOW))} AS k FROM u WINDOW q AS (PARTITION BY rid ORDER BY p)) WHERE k IS NOT NULL),
 r AS (SELECT rid, len(list_distinct(flatten(list(range(p, p + {WINDOW}))))) AS n FROM (SELECT *, count(*) OVER (PARTITION BY rid, k) AS c FROM g) WHERE c > 1 GROUP BY rid),
 m AS (SELECT rid, doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^{SYMBOLS}]', '', 'g')) AS n_symbols,
              len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, length(t) AS n_chars, {_sql_counts()} AS c
