@@ -50,8 +50,8 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text", rows: int = TRA
     ranked = few.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("i") <= rows)
     found = labelled.join(F.broadcast(ranked), ["lang", "h"])  # `rows` rows a language
     whole = found.groupBy("lang", "i").agg(F.min("text").alias("text"))
-    at = F.posexplode(F.sequence(F.lit(1), F.greatest(F.char_length("text"), F.lit(1)), F.lit(PIECE_CHARS))).alias("k", "at")
-    pieces = whole.select("lang", "i", "text", at).select("lang", "i", "k", F.lower(F.substring("text", F.col("at"), F.lit(PIECE_CHARS))).alias("piece"))
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))  # one pass, however long the text
+    pieces = whole.select("lang", "i", F.posexplode(cut).alias("k", "piece")).withColumn("piece", F.lower("piece"))
     pieces = staged(pieces.withColumn("bytes", F.octet_length("piece")), "pieces")
     each = min(DICTIONARY_BYTES, ALL_DICTIONARY_BYTES // max(pieces.select("lang").distinct().count(), 1))
     of = Window.partitionBy("lang")  # the pieces of `rows` texts
