@@ -640,3 +640,121 @@ def library(spark: SparkSession, d: str) -> DataFrame:
     folder = F.concat("source", F.lit("-"), (F.col("doc_id") % 9).cast("string"))
     name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".txt").when(F.col("doc_id") % 3 == 1, ".SRT").otherwise(".srt"))
     return files.library(docs.select(folder.alias("folder"), name.alias("name"), F.col("doc_id").alias("modified"), (F.col("doc_id") % 9 == 4).alias("linked")))
+
+
+@query
+def answer_status(spark: SparkSession, d: str) -> DataFrame:
+    """Responses that are cut, empty, blank or not finished, by their number."""
+    turns = fx.table(spark, d, "conversations")
+    kind = (F.col("conv_id") * 100 + F.col("turn")) % 6
+    finish = F.when(kind == 1, "length").when(kind == 3, "tool").when(kind < 5, "stop")
+    choice = F.struct(finish.alias("finish_reason"), F.struct(F.when(kind == 4, " ").otherwise(F.col("text")).alias("content")).alias("message"))
+    body = F.when(kind == 2, '{"choices":[]}').otherwise(F.to_json(F.struct(F.array(choice).alias("choices"))))
+    status, content = review.envelope(F.col("body"))
+    return turns.select("conv_id", "turn", body.alias("body")).select("conv_id", "turn", status.alias("status"), content.alias("content"))
+
+
+@query
+def term_parse(spark: SparkSession, d: str) -> DataFrame:
+    """A term response a conversation; sources come again, some targets are blank, some variants are missing or double."""
+    head = F.substring("text", 1, 3)
+    target = F.when(F.col("turn") % 4 == 1, " ").otherwise(F.substring("text", 1, 10))
+    variants = F.when(F.col("turn") % 2 == 0, F.array(head, head, F.lit("other")))
+    term = F.struct("turn", F.struct(F.concat(F.lit("term"), (F.col("turn") % 3).cast("string")).alias("source"), target.alias("target"), variants.alias("variants")).alias("t"))
+    listed = fx.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("response_id")).agg(F.array_sort(F.collect_list(term)).alias("rows"))
+    answers = listed.select("response_id", F.concat(F.lit("Terms: "), F.to_json(F.struct(F.col("rows.t").alias("terms"))), F.lit(" Done.")).alias("content"))
+    return review.term_rows(answers).withColumn("variants", F.array_join("variants", ","))
+
+
+@query
+def cache_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Receipts of some documents, of which signatures, states, reports or outputs have changed since."""
+    docs, m = _receipts(spark, d), F.col("media_id")
+    kept = docs.where(m % 5 > 0).select("*", F.lit("state").alias("state_hash"), F.lit("report").alias("report_hash"), F.lit("output").alias("output_hash"), (m % 6 == 0).alias("resumable"))
+    now = docs.select(
+        "media_id", F.when(m % 11 == 0, "new").otherwise(F.col("signature")).alias("signature"), F.when(m % 7 > 0, "state").alias("state_hash"),
+        F.when(m % 13 == 0, "other").otherwise("report").alias("report_hash"), F.when(m % 4 == 1, "other").when(m % 4 > 1, "output").alias("output_hash"),
+    )
+    return identity.probe(kept, now)
+
+
+@query
+def cache_keys(spark: SparkSession, d: str) -> DataFrame:
+    m, hash_ = F.col("media_id"), F.col("signature")
+    key = F.when(m % 3 == 0, F.substring(hash_, 1, 24)).when(m % 3 == 1, F.upper(F.substring(hash_, 1, 24))).otherwise(F.substring(hash_, 1, 23))
+    return _receipts(spark, d).select("media_id", identity.is_cache_key(key).alias("valid"))
+
+
+@query
+def resumable(spark: SparkSession, d: str) -> DataFrame:
+    seq = F.col("seq")
+    status = F.when(F.col("failed"), "failed").when(F.col("event_type") == "purchase", "skipped").otherwise("succeeded")
+    window = F.struct(status.alias("status"), (seq % 3).cast("int").alias("attempts"), F.when(seq % 4 == 0, "circuit-open").otherwise("other").alias("reason"))
+    runs = _ledger(spark, d).where(seq <= 5).groupBy("run_id").agg(F.collect_list(window).alias("windows"))
+    return review.can_resume(runs.withColumn("within_budget", F.col("run_id") % 3 > 0)).select("run_id", "can_resume")
+
+
+@query
+def recent_links(spark: SparkSession, d: str) -> DataFrame:
+    rows = _ledger(spark, d)
+    links = rows.select(F.col("run_id").alias("key"), F.col("event_type").alias("title"), F.concat(F.lit("C:/v/"), F.col("event_id").cast("string")).alias("path"), F.floor(F.col("at_ms") / 3_600_000).alias("at_s"))
+    return files.recent_link(links, rows.select(F.col("run_id").alias("key"), F.lit("view").alias("title")).distinct(), 700)
+
+
+@query
+def current_jobs(spark: SparkSession, d: str) -> DataFrame:
+    docs = _receipts(spark, d).groupBy(F.col("signature").alias("fingerprint")).agg(F.min("media_id").alias("n"))
+    named = lambda place: F.concat(F.lit(place), F.col("n").cast("string"))
+    return playback.current_job(docs.where("n % 3 = 0").select("fingerprint", named("new/").alias("path")), docs.select("fingerprint", named("old/").alias("fallback")))
+
+
+@query
+def retried_cues(spark: SparkSession, d: str) -> DataFrame:
+    """Every other range of a medium is recognised anew."""
+    cues = fx.event_cues(spark, d)
+    ranges = intervals.retry_ranges(quality.all_issues(cues), _durations(cues))
+    found = ranges.where("piece % 2 = 0").select("media_id", "piece", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
+    at = F.col("i").cast("long") * 9000
+    new = found.select("media_id", "piece", F.lit(0).alias("cue_id"), (-10 * F.col("piece") - F.col("i") - 1).alias("pos"), (at - 2000).alias("start_ms"), (at + 3000).alias("end_ms"), F.lit("anew").alias("text"))
+    return intervals.retry(cues, ranges, new).select("media_id", "cue_id", "start_ms", "end_ms", "text")
+
+
+def _second(spark: SparkSession, d: str) -> DataFrame:
+    return fx.event_cues(spark, d).where("cue_id % 2 = 0").select("media_id", "cue_id", F.concat(F.lit("T"), F.col("cue_id").cast("string")).alias("target"))
+
+
+@query
+def bilingual_render(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.render(sinks.bilingual(fx.event_cues(spark, d), _second(spark, d)))
+
+
+@query
+def target_render(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.render(sinks.translated(fx.event_cues(spark, d), _second(spark, d)))
+
+
+@query
+def publish_warnings(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("media_id")
+    media = _receipts(spark, d).select("media_id", (m % 11 > 0).alias("present"))
+    files_ = media.where("present and media_id % 3 > 0").select("media_id", F.when(m % 5 == 4, "foreign").otherwise("write").alias("action"))
+    return sinks.publish_warnings(media, files_)
+
+
+@query
+def reverted_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Targets after a repair that was applied and then undone."""
+    pairs = fx.targets(spark, d)
+    ledger = translation.repair(pairs, _proposals(pairs))
+    return translation.revert(translation.apply(pairs, ledger), ledger).select("media_id", "cue_id", "target")
+
+
+@query
+def trusted_report(spark: SparkSession, d: str) -> DataFrame:
+    return recognition.trusted(fx.event_cues(spark, d))
+
+
+@query
+def player_names(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.lit(" "), F.when(F.col("seq") % 3 == 0, F.upper("event_type")).otherwise(F.col("event_type")), F.when(F.col("seq") % 2 == 0, ".EXE").otherwise(""))
+    return _ledger(spark, d).select("event_id", playback.is_player(name, ("View", "click")).alias("player"))

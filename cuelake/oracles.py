@@ -431,3 +431,40 @@ SQL |= {
 
 SQL["library"] = f"""WITH f AS (SELECT source || '-' || doc_id % 9 AS folder, max(doc_id) AS modified, count(*) FILTER (doc_id % 3 > 0) AS srt_files FROM documents WHERE doc_id % 9 <> 4 GROUP BY 1)
   SELECT folder, modified, srt_files, (SELECT count(*) FROM f) > {C.LIBRARY_ROWS} AS more FROM f ORDER BY modified DESC, folder LIMIT {C.LIBRARY_ROWS}"""
+
+_CRLF = "chr(13) || chr(10)"
+
+
+def _rendered(text: str) -> str:
+    return f"""WITH {CUES} SELECT media_id, string_agg(CAST(cue_id AS VARCHAR) || {_CRLF} || {clock("start_ms")} || ' --> ' || {clock("end_ms")} || {_CRLF} || {text} || {_CRLF}, {_CRLF} ORDER BY cue_id) AS content FROM cues GROUP BY media_id"""
+
+
+SQL |= {
+    "answer_status": """WITH k AS (SELECT conv_id, turn, (conv_id * 100 + turn) % 6 AS k, text FROM conversations),
+      s AS (SELECT *, CASE WHEN k = 2 THEN 'no-choices' WHEN k = 1 THEN 'output-limit' WHEN k = 3 THEN 'not-finished' WHEN k = 4 OR trim(coalesce(text, '')) = '' THEN 'blank' ELSE 'ok' END AS status FROM k)
+      SELECT conv_id, turn, status, CASE WHEN status = 'ok' THEN text END AS content FROM s""",
+    "term_parse": """WITH t AS (SELECT conv_id AS response_id, turn, 'term' || turn % 3 AS source, left(text, 10) AS target, CASE WHEN turn % 2 = 0 THEN left(text, 3) || ',other' ELSE '' END AS variants FROM conversations WHERE turn % 4 <> 1 AND trim(left(text, 10)) <> '')
+      SELECT response_id, source, target, variants FROM (SELECT *, row_number() OVER (PARTITION BY response_id, source ORDER BY turn) AS r FROM t) WHERE r = 1""",
+    "cache_probe": """WITH c AS (SELECT doc_id AS m, CASE WHEN doc_id % 11 = 0 THEN 'new' ELSE sha256(text) END AS sig, CASE WHEN doc_id % 7 > 0 THEN 'state' END AS st, CASE WHEN doc_id % 13 = 0 THEN 'other' ELSE 'report' END AS rep,
+        CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'other' ELSE 'output' END AS o FROM documents),
+      r AS (SELECT doc_id AS m, sha256(text) AS sig, doc_id % 6 = 0 AS resumable FROM documents WHERE doc_id % 5 > 0)
+      SELECT c.m AS media_id, CASE WHEN r.m IS NULL OR r.sig <> c.sig THEN 'miss' WHEN st IS DISTINCT FROM 'state' OR rep <> 'report' THEN 'error' WHEN o IS DISTINCT FROM 'output' OR resumable THEN 'miss' ELSE 'hit' END AS result
+      FROM c LEFT JOIN r ON c.m = r.m""",
+    "cache_keys": """SELECT doc_id AS media_id, regexp_full_match(CASE doc_id % 3 WHEN 0 THEN left(sha256(text), 24) WHEN 1 THEN upper(left(sha256(text), 24)) ELSE left(sha256(text), 23) END, '[0-9a-f]{24}') AS valid FROM documents""",
+    "resumable": f"""WITH {LEDGER} SELECT run_id, run_id % 3 > 0 AND bool_or((failed AND seq % 3 < 2) OR (event_type = 'purchase' AND seq % 4 = 0)) AS can_resume FROM ledger WHERE seq <= 5 GROUP BY 1""",
+    "recent_links": f"""WITH {LEDGER}, l AS (SELECT run_id AS key, event_type, 'C:/v/' || event_id AS path, at_ms // 3600000 AS at_s FROM ledger), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY at_s DESC, path) AS r FROM l)
+      SELECT key, arg_min(path, r) AS path FROM r WHERE r <= 30 AND 700 - at_s <= 600 AND event_type = 'view' GROUP BY key""",
+    "current_jobs": "SELECT sha256(text) AS fingerprint, CASE WHEN min(doc_id) % 3 = 0 THEN 'new/' ELSE 'old/' END || min(doc_id) AS path FROM documents GROUP BY 1",
+    "retried_cues": f"""WITH {CUES}, {ISSUES}, {CLUSTERS}, {ALL_ISSUES}, {RANGES}, hit AS (SELECT * FROM ranges WHERE piece % 2 = 0),
+      new_ AS (SELECT media_id, start_ms AS f, end_ms AS t, start_ms + i * 9000 - 2000 AS s, start_ms + i * 9000 + 3000 AS e, -10 * piece - i - 1 AS pos FROM hit, unnest(range(5)) AS u(i)),
+      kept AS (SELECT media_id, start_ms, end_ms, pos, text FROM cues c WHERE NOT EXISTS (SELECT 1 FROM hit r WHERE r.media_id = c.media_id AND c.start_ms + c.end_ms >= 2 * r.start_ms AND c.start_ms + c.end_ms < 2 * r.end_ms)
+        UNION ALL SELECT media_id, s, e, pos, 'anew' FROM new_ WHERE s + e >= 2 * f AND s + e < 2 * t)
+      SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, pos) AS INT) AS cue_id, start_ms, end_ms, text FROM kept""",
+    "bilingual_render": _rendered(f"text || CASE WHEN cue_id % 2 = 0 THEN {_CRLF} || 'T' || cue_id ELSE '' END"),
+    "target_render": _rendered("CASE WHEN cue_id % 2 = 0 THEN 'T' || cue_id ELSE '' END"),
+    "publish_warnings": """SELECT doc_id AS media_id, 'medium is gone: kept in the cache only' AS warning FROM documents WHERE doc_id % 11 = 0
+      UNION ALL SELECT doc_id, 'foreign sidecar: archived only' FROM documents WHERE doc_id % 11 > 0 AND doc_id % 3 > 0 AND doc_id % 5 = 4""",
+    "reverted_targets": f"WITH {PAIRS} SELECT media_id, cue_id, target FROM pairs",
+    "trusted_report": f"WITH {CUES}, {REPORT} SELECT * REPLACE (cue_count > 0 AS passed), 'trusted' AS disposition FROM report",
+    "player_names": f"WITH {LEDGER} SELECT event_id, event_type IN ('view', 'click') AS player FROM ledger",
+}
