@@ -43,11 +43,11 @@ def ascii_lower(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data | 32, data)
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte and row number of every word `[^\\x20\\x09-\\x0D]+`."""
+def spans(data: np.ndarray, offsets: np.ndarray, bytes_of: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte and row number of every word: a longest run of the bytes marked, `[^\\x20\\x09-\\x0D]+` unless told."""
     n = len(data)
     solid = np.zeros(n + 1, bool)
-    solid[:n] = ~_SPACE[data]
+    solid[:n] = bytes_of[data]
     before = np.zeros(n + 1, bool)
     before[1:] = solid[:-1]
     before[offsets] = False

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, license_scan, media, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, toxicity
+from . import bpe, language, lexical_search, license_scan, media, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_mixing": mixing.op9_mixing,
         "op10_quality": quality_classifier.op10_quality,
+        "op11_search": lexical_search.op11_search,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_substring_dedup": substring_dedup.OP6_SQL,
         "op7_ngram_join": ngram_join.OP7_SQL,
         "op9_mixing": mixing.OP9_SQL,
+        "op11_search": lexical_search.OP11_SQL,
     }
