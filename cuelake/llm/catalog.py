@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, lexical_search, license_scan, media, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, toxicity
+from . import bpe, language, lexical_search, license_scan, media, mixing, ngram_join, quality_classifier, quality_rules, spelling, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": mixing.op9_mixing,
         "op10_quality": quality_classifier.op10_quality,
         "op11_search": lexical_search.op11_search,
+        "op12_spelling": spelling.op12_spelling,
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_ngram_join": ngram_join.OP7_SQL,
         "op9_mixing": mixing.OP9_SQL,
         "op11_search": lexical_search.OP11_SQL,
+        "op12_spelling": spelling.OP12_SQL,
     }
