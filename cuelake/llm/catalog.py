@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, lexical_search, license_scan, media, mixing, ngram_join, quality_classifier, quality_rules, spelling, substring_dedup, toxicity
+from . import bpe, language, lexical_search, license_scan, media, mixing, ngram_join, personal_data, quality_classifier, quality_rules, spelling, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality": quality_classifier.op10_quality,
         "op11_search": lexical_search.op11_search,
         "op12_spelling": spelling.op12_spelling,
+        "op13_pii": personal_data.op13_pii,
     }
 
 
@@ -35,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_mixing": mixing.OP9_SQL,
         "op11_search": lexical_search.OP11_SQL,
         "op12_spelling": spelling.OP12_SQL,
+        "op13_pii": personal_data.OP13_SQL,
     }
