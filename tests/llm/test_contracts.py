@@ -33,6 +33,8 @@ def folder(tmp_path_factory):
     pq.write_table(table, out / "documents.parquet")
     labels = pq.read_table(f"{SF}/labels.parquet").to_pylist() + [{"doc_id": 100_000, "quality": None, "toxic": None}, {"doc_id": None, "quality": 1, "toxic": 0}]
     pq.write_table(pa.Table.from_pylist(labels), out / "labels.parquet")
+    items = pq.read_table(f"{SF}/benchmark.parquet").to_pylist() + [{"item_id": 1000 + i, "text": t} for i, t in enumerate([None, "", "MIT license", "é ünïcödé x", docs[3]["text"]])]
+    pq.write_table(pa.Table.from_pylist([*items, items[0], {"item_id": None, "text": "w1 w2"}]), out / "benchmark.parquet")
     return str(out)
 
 
