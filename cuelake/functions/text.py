@@ -11,6 +11,7 @@ MARKS = r"[^\p{P}\p{S}]"
 # Ranges of kana, kanji and hangul.
 JAPANESE = r"[^\x{3040}-\x{30ff}\x{4e00}-\x{9fff}]"
 LEAK = r"[\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]"
+WORD = r"[[\p{L}\p{N}_]&&[\x{0}-\x{ffff}]]"
 KANA = r"[\x{30a1}-\x{30f6}]"
 
 # Utterances without words.
@@ -129,9 +130,9 @@ def preview(text: Column) -> Column:
 
 
 def contains_term(text: Column, term: Column) -> Column:
-    """Terms with an ASCII letter match whole words in any case, others as substrings."""
+    """Terms with an ASCII letter match whole words in any case, others as substrings. Letters beyond 16 bits bound words."""
     blank = (F.length(F.trim(F.coalesce(term, F.lit("")))) == 0) | (F.length(F.trim(F.coalesce(text, F.lit("")))) == 0)
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])\Q"), term, F.lit(r"\E(?![\p{L}\p{N}_])"))
+    pattern = F.concat(F.lit(rf"(?iu)(?<!{WORD})\Q"), term, F.lit(rf"\E(?!{WORD})"))
     found = F.when(term.rlike("[A-Za-z]"), F.regexp_like(text, pattern)).otherwise(F.contains(text, term))
     return F.when(blank, F.lit(False)).otherwise(found)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake import config as C
-from cuelake.functions import text as X
+from cuelake.functions import automaton
 
 # The patterns of katakana names and of names with an honorific.
 KATAKANA_NAME = r"[\x{30a1}-\x{30f6}]{2,}"
@@ -23,51 +23,26 @@ def candidates(cues: DataFrame, patterns: tuple[str, ...] = (KATAKANA_NAME, HONO
     return counted.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-WORD = r"[\p{L}\p{N}_]+"
-
-
-def _folded(word: Column) -> Column:
-    """Words that differ in case only fold alike."""
-    return F.lower(F.upper(word))
-
-
-def keyed(terms: DataFrame, term: str = "term") -> DataFrame:
-    """terms, blank ones left out, with `_key`: what a text must have to contain the term. Of a term with an ASCII letter that is
-    its first word, as it matches whole words only; of another its first two characters, or its only one."""
-    latin = F.col(term).rlike("[A-Za-z]")
-    key = F.when(latin, F.concat(F.lit("w"), _folded(F.regexp_extract(term, WORD, 0)))).otherwise(F.concat(F.lit("c"), F.substring(term, 1, 2)))
-    return terms.where(F.length(F.trim(term)) > 0).withColumn("_key", key)
-
-
-def keys_of(text: Column, words_only: Column) -> Column:
-    """All keys of a text: its words, and its characters alone and in pairs unless only words are asked for."""
-    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.concat(F.lit("w"), _folded(w)))
-    n = F.length(text)
-    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    pieces = F.flatten(F.transform(at, lambda i: F.array(*(F.concat(F.lit("c"), F.substring(text, i, F.lit(k))) for k in (1, 2)))))
-    return F.array_distinct(F.when(words_only, words).otherwise(F.concat(words, pieces)))
+def _not_blank(text: str) -> bool:
+    return bool(text.strip(" "))
 
 
 def hits(rows: DataFrame, text: str, terms: DataFrame, term: str = "term") -> DataFrame:
-    """rows joined with each term that their text contains: by key, so that a text meets the terms only that share one with it,
-    then by the exact rule."""
-    none = terms.where(~F.col(term).rlike("[A-Za-z]") & (F.length(F.trim(term)) > 0)).agg((F.count("*") == 0).alias("_words_only"))
-    exploded = rows.where(F.col(text).isNotNull()).crossJoin(F.broadcast(none))  # one row
-    exploded = exploded.withColumn("_key", F.explode(keys_of(F.col(text), F.col("_words_only"))))
-    found = exploded.join(keyed(terms, term), "_key").where(X.contains_term(F.col(text), F.col(term)))
-    return found.drop("_key", "_words_only")
+    """rows, less their text, joined with each term that the text contains (`text.contains_term`). A row meets the terms that one pass over its
+    text has found, so nothing is tried term by term; a term that stands in a third of all rows is a hot key of a join that
+    Spark can split."""
+    found = automaton.found_terms(rows.where(F.col(text).isNotNull()), text, terms, term, usable=_not_blank)
+    return found.join(terms.withColumn("_term", F.col(term)), "_term").drop("_term")
 
 
 def context_lines(cues: DataFrame, terms: DataFrame, order: tuple[str, ...], lines: int = C.CONTEXT_LINES) -> DataFrame:
     """Lines that are among the first three of some term, in order, at most `lines`, cut to 120 characters. The counters of
     the terms are independent, so a rank by term is enough. A line holds a term wherever its characters stand."""
-    pieces = terms.select("term").where(F.length("term") > 0).withColumn("_key", F.substring("term", 1, 2))
-    n = F.length("text")
-    keys = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.array(F.substring(F.col("text"), i, F.lit(1)), F.substring(F.col("text"), i, F.lit(2))))))
-    met = cues.where(n > 0).withColumn("_key", F.explode(keys)).join(pieces, "_key").where(F.contains("text", "term"))
+    lines_ = cues.where("text is not null").select(*order, "text", F.substring("text", 1, C.LINE_CHARS).alias("line"))
+    met = automaton.found_terms(lines_, "text", terms, "term", words=False).withColumnRenamed("_term", "term")
     rank = F.row_number().over(Window.partitionBy("term").orderBy(*order))
-    first = met.withColumn("r", rank).where(F.col("r") <= C.LINES_PER_TERM).select(*order, "text").distinct()
-    return first.orderBy(*order).limit(lines).select(*order, F.substring("text", 1, C.LINE_CHARS).alias("line"))
+    first = met.withColumn("r", rank).where(F.col("r") <= C.LINES_PER_TERM).select(*order, "line").distinct()
+    return first.orderBy(*order).limit(lines)
 
 
 def build_context(cues: DataFrame, terms: DataFrame, sampled: DataFrame, order: tuple[str, ...]) -> DataFrame:
