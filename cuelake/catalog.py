@@ -725,7 +725,7 @@ def _second(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bilingual_render(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.render(sinks.bilingual(fx.event_cues(spark, d), _second(spark, d)))
+    return sinks.render(sinks.bilingual(fx.event_cues(spark, d), _second(spark, d)), "body")
 
 
 @query

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as X
+from cuelake.functions.fold import fold
 
+TAG = "cue-content-v1"
 SEGMENT, SEGMENTS, SMALL = 256 * 1024, 9, 16 * 1024 * 1024
 
 
-def fingerprint(content: Column, tag: str = "cue-content-v1") -> Column:
+def fingerprint(content: Column, tag: str = TAG) -> Column:
     """SHA-256 over a tag, the length and the bytes; above SMALL bytes over nine evenly spaced segments, each after its
     offset."""
     n = F.octet_length(content)
@@ -26,11 +30,29 @@ def text_hash(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def ordered_digest(rows: DataFrame, order: list[str], value: str, head: str = "", between: str = "", tail: str = "") -> DataFrame:
+    """(media_id, digest): SHA-256 over the values of a medium in order, with texts around and between them. Rows are dealt by
+    medium, sorted and read as a stream, of which a task holds the state of one hash."""
+
+    def step(state: tuple, row: tuple) -> tuple:
+        digest, begun = state
+        digest.update((between if begun else head).encode())
+        digest.update((row[1] or "").encode())
+        return (digest, True), []
+
+    def finish(state: tuple, media_id: object) -> list[tuple]:
+        state[0].update(tail.encode())
+        return [(media_id, state[0].hexdigest())]
+
+    of = rows.schema["media_id"].dataType.simpleString()
+    columns = rows.select("media_id", F.col(value).alias("_value"), *(F.col(o).alias(f"_o{i}") for i, o in enumerate(order)))
+    return fold(columns, "media_id", [f"_o{i}" for i in range(len(order))], lambda: (hashlib.sha256(), False), step, finish, f"media_id {of}, digest string")
+
+
 def cue_digest(cues: DataFrame) -> DataFrame:
     """(media_id, digest) over all cues in order, from one canonical line a cue."""
     line = F.concat_ws("|", F.col("cue_id"), F.col("start_ms"), F.col("end_ms"), "text")
-    rows = cues.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("cue_id", line.alias("line")))).alias("r"))
-    return rows.select("media_id", F.sha2(F.array_join(F.col("r.line"), "\n"), 256).alias("digest"))
+    return ordered_digest(cues.select("media_id", "cue_id", line.alias("line")), ["cue_id", "line"], "line", between="\n")
 
 
 def variant_keys(digests: DataFrame, policy: str, model: str, language: str, tier: str, context: int) -> DataFrame:
@@ -103,10 +125,9 @@ def sidecar_source(files: DataFrame, wanted: DataFrame, own: DataFrame | None =
 
 def state_hash(translations: DataFrame) -> DataFrame:
     """(media_id, hash) of all translations of a medium, as JSON pairs in the order of their ids as texts."""
-    pair = F.struct(F.col("cue_id").cast("string").alias("id"), F.to_json(F.array(F.col("cue_id").cast("string"), "target")).alias("pair"))
-    rows = translations.groupBy("media_id").agg(F.array_sort(F.collect_list(pair)).alias("rows"))  # one medium's
-    listed = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["pair"]), ","), F.lit("]"))
-    return rows.select("media_id", F.sha2(listed, 256).alias("hash"))
+    id_ = F.col("cue_id").cast("string")
+    pairs = translations.select("media_id", id_.alias("id"), F.to_json(F.array(id_, "target")).alias("pair"))
+    return ordered_digest(pairs, ["id", "pair"], "pair", "[", ",", "]").withColumnRenamed("digest", "hash")
 
 
 def begin(receipts: DataFrame, work: DataFrame) -> tuple[DataFrame, DataFrame]:

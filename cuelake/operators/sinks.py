@@ -2,29 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cuelake.functions.fold import fold
 from cuelake.functions.text import SPACE, clock, safe_file_name
+from cuelake.sources import srt_files
 
 _FILE = T.StructType([T.StructField(c, T.StringType()) for c in ("place", "name", "text", "action")])
 
 
-def render(cues: DataFrame, body: str = "text") -> DataFrame:
-    """One SRT text a medium, its cues by id."""
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE}+|{SPACE}+$", "")
+
+
+def render(cues: DataFrame, body: str | None = None) -> DataFrame:
+    """(media_id, content): one SRT text a medium, its cues by id. A cue shows its trimmed text, or the column `body` as it is.
+    Cues are sorted and read as a stream; a task holds the text of the medium that it is at. `publish` holds one cue."""
     time = F.concat(clock(F.col("start_ms")), F.lit(" --> "), clock(F.col("end_ms")))
-    text = F.regexp_replace(F.coalesce(body, F.lit("")), rf"^{SPACE}+|{SPACE}+$", "")
-    block = F.concat_ws("\r\n", F.col("cue_id").cast("string"), time, text, F.lit(""))
-    rows = cues.select("media_id", F.struct("cue_id", block.alias("block")).alias("b"))
-    ordered = rows.groupBy("media_id").agg(F.array_sort(F.collect_list("b")).alias("b"))  # one medium's cues
-    return ordered.select("media_id", F.array_join(F.col("b.block"), "\r\n").alias("content"))
+    text = F.coalesce(body, F.lit("")) if body else _trimmed(F.col("text"))
+    block = F.concat_ws("\r\n", F.col("cue_id").cast("string"), time, text, F.lit(""), F.lit(""))
+
+    def step(parts: list[str], row: tuple) -> tuple:
+        parts.append(row[1])
+        return parts, []
+
+    of = cues.schema["media_id"].dataType.simpleString()
+    rows = cues.select("media_id", block.alias("block"), "cue_id")
+    return fold(rows, "media_id", ["cue_id", "block"], list, step, lambda parts, media_id: [(media_id, "".join(parts))], f"media_id {of}, content string")
+
+
+def publish(cues: DataFrame, path: str, overwrite: bool = False) -> None:
+    """One SRT file a medium in the folder: all files appear when every task has ended, none if one fails. Files of other media
+    stay, unless they are to be overwritten."""
+    srt_files.register(cues.sparkSession)
+    rows = cues.select(F.col("media_id").cast("string"), F.col("cue_id").cast("int"), F.col("start_ms").cast("long"), F.col("end_ms").cast("long"), "text")
+    dealt = rows.repartition("media_id").sortWithinPartitions("media_id", "cue_id")
+    dealt.write.format("srt").mode("overwrite" if overwrite else "append").save(path)
 
 
 def bilingual(cues: DataFrame, translations: DataFrame) -> DataFrame:
-    """Cues with `text` followed by the translation on a line of its own (empty where missing)."""
+    """Cues with `body`: their text, followed by the translation on a line of its own (empty where missing)."""
     joined = cues.join(translations.select("media_id", "cue_id", "target"), ["media_id", "cue_id"], "left")
-    return joined.withColumn("text", F.concat_ws("\r\n", "text", F.coalesce("target", F.lit("")))).drop("target")
+    return joined.withColumn("body", F.concat_ws("\r\n", _trimmed(F.col("text")), _trimmed(F.col("target")))).drop("target")
 
 
 def translated(cues: DataFrame, translations: DataFrame) -> DataFrame:

@@ -236,8 +236,6 @@ TAGS = ", ".join(f"'{x}'" for x in LANGUAGES)
 
 SQL: dict[str, str] = {
     "srt_parse": f"WITH {CUES} SELECT media_id, cue_id, start_ms, end_ms, text FROM cues",
-    "srt_render": f"""WITH {CUES} SELECT media_id, string_agg(CAST(cue_id AS VARCHAR) || chr(13) || chr(10) || {clock("start_ms")} || ' --> ' || {clock("end_ms")} || chr(13) || chr(10) || text
-      || chr(13) || chr(10), chr(13) || chr(10) ORDER BY cue_id) AS content FROM cues GROUP BY media_id""",
     "text_normalize": f"WITH {LINES} SELECT media_id, pos, {clean('text')} AS clean, lower({clean('text')}) AS norm, {spaces('text')} AS spaced, {japanese('text')} AS japanese FROM lines",
     "text_compact_repetition": f"WITH {CUES}, m AS (SELECT *, {clean('text')} AS m FROM cues) SELECT media_id, cue_id, {compact('text', 'm')} AS short, {low('m')} AS low FROM m",
     "vocalization_flag": f"WITH {CUES}, m AS (SELECT *, lower({clean('text')}) AS norm FROM cues) SELECT media_id, cue_id, {vocal('norm')} AS vocal FROM m",
@@ -436,7 +434,7 @@ _CRLF = "chr(13) || chr(10)"
 
 
 def _rendered(text: str) -> str:
-    return f"""WITH {CUES} SELECT media_id, string_agg(CAST(cue_id AS VARCHAR) || {_CRLF} || {clock("start_ms")} || ' --> ' || {clock("end_ms")} || {_CRLF} || {text} || {_CRLF}, {_CRLF} ORDER BY cue_id) AS content FROM cues GROUP BY media_id"""
+    return f"""WITH {CUES} SELECT media_id, string_agg(CAST(cue_id AS VARCHAR) || {_CRLF} || {clock("start_ms")} || ' --> ' || {clock("end_ms")} || {_CRLF} || {text} || {_CRLF} || {_CRLF}, '' ORDER BY cue_id) AS content FROM cues GROUP BY media_id"""
 
 
 SQL |= {
@@ -460,7 +458,8 @@ SQL |= {
       kept AS (SELECT media_id, start_ms, end_ms, pos, text FROM cues c WHERE NOT EXISTS (SELECT 1 FROM hit r WHERE r.media_id = c.media_id AND c.start_ms + c.end_ms >= 2 * r.start_ms AND c.start_ms + c.end_ms < 2 * r.end_ms)
         UNION ALL SELECT media_id, s, e, pos, 'anew' FROM new_ WHERE s + e >= 2 * f AND s + e < 2 * t)
       SELECT media_id, CAST(row_number() OVER (PARTITION BY media_id ORDER BY start_ms, end_ms, pos) AS INT) AS cue_id, start_ms, end_ms, text FROM kept""",
-    "bilingual_render": _rendered(f"text || CASE WHEN cue_id % 2 = 0 THEN {_CRLF} || 'T' || cue_id ELSE '' END"),
+    "srt_render": _rendered("text"),
+    "bilingual_render": _rendered(f"text || {_CRLF} || CASE WHEN cue_id % 2 = 0 THEN 'T' || cue_id ELSE '' END"),
     "target_render": _rendered("CASE WHEN cue_id % 2 = 0 THEN 'T' || cue_id ELSE '' END"),
     "publish_warnings": """SELECT doc_id AS media_id, 'medium is gone: kept in the cache only' AS warning FROM documents WHERE doc_id % 11 = 0
       UNION ALL SELECT doc_id, 'foreign sidecar: archived only' FROM documents WHERE doc_id % 11 > 0 AND doc_id % 3 > 0 AND doc_id % 5 = 4""",

@@ -1,13 +1,9 @@
-"""Files other than SRT: JSON documents, WAV headers, queues and recent links."""
+"""JSON documents, queues, recent links and folders."""
 
 from __future__ import annotations
 
-import struct
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cuelake import config as C
 
@@ -27,31 +23,6 @@ def read_json(spark: SparkSession, paths: str | list[str], schema: str, fallback
     return files.select("path", parse_json(F.col("value"), schema, fallback).alias("document"))
 
 
-def wav_length(raw: bytes | None) -> float | None:
-    """Seconds of a RIFF WAVE file: bytes of its data chunk by its byte rate; chunks are padded to even sizes."""
-    if not raw or raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
-        return None
-    at, rate = 12, 0
-    while at + 8 <= len(raw):
-        kind, size = raw[at : at + 4], int.from_bytes(raw[at + 4 : at + 8], "little")
-        if kind == b"fmt " and at + 20 <= len(raw):
-            rate = struct.unpack_from("<I", raw, at + 16)[0]
-        elif kind == b"data":
-            return size / rate if rate else None
-        at += 8 + size + size % 2
-    return None
-
-
-@F.pandas_udf(T.DoubleType())
-def wav_seconds(content: pd.Series) -> pd.Series:
-    return content.map(wav_length)
-
-
-def read_wav(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, seconds) of WAV files."""
-    return spark.read.format("binaryFile").load(paths).select("path", wav_seconds("content").alias("seconds"))
-
-
 def next_request(queue: DataFrame) -> DataFrame:
     """The oldest request whose path is not blank, by key: (key, name, modified_ms, path)."""
     first = F.row_number().over(Window.partitionBy("key").orderBy("modified_ms", "name"))

@@ -220,8 +220,8 @@ def test_texts_of_both_languages_are_written(spark, tmp_path):
     two = cues(spark, [(0, 2000, " one "), (3000, 5000, "two")])
     told = spark.createDataFrame([(1, 1, "一")], "media_id long, cue_id int, target string")
     assert [r.text for r in sinks.translated(two, told).orderBy("cue_id").collect()] == ["一", ""]
-    both = sinks.render(sinks.bilingual(two, told))
-    assert both.first().content == "1\r\n00:00:00,000 --> 00:00:02,000\r\none \r\n一\r\n\r\n2\r\n00:00:03,000 --> 00:00:05,000\r\ntwo\r\n"
+    both = sinks.render(sinks.bilingual(two, told), "body")
+    assert both.first().content == "1\r\n00:00:00,000 --> 00:00:02,000\r\none\r\n一\r\n\r\n2\r\n00:00:03,000 --> 00:00:05,000\r\ntwo\r\n\r\n\r\n"
     sinks.write(both, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out"), wholetext=True).where("value like '%two%'").select("media_id").first().media_id == 1
 
