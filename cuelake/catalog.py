@@ -449,22 +449,52 @@ def pending_scenes(spark: SparkSession, d: str) -> DataFrame:
     return providers.unfinished(work, work.where("scene_idx % 3 = 0"), "media_id", "scene_idx").select("media_id", "scene_idx")
 
 
+def _played(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger with the path of a file that an event is about: four folders, three names an event type, one of them no video."""
+    e = F.col("event_id")
+    ending = F.when(e % 5 == 0, ".txt").when(e % 2 == 0, ".MKV").otherwise(".mp4")
+    path = F.concat(F.lit("C:/v"), (e % 4).cast("string"), F.lit("/"), "event_type", (e % 3).cast("string"), ending)
+    return _ledger(spark, d).withColumn("path", path)
+
+
+def _present(spark: SparkSession, d: str) -> DataFrame:
+    return _played(spark, d).where("event_id % 7 > 0").select("path").distinct()
+
+
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    """Window titles: files, stems, files with more behind, in other case, the player alone, and names of nothing."""
+    e, name = F.col("event_id"), playback.file_name(F.col("path"))
+    shown = (
+        F.when(e % 6 == 0, name).when(e % 6 == 1, playback.stem(F.col("path"))).when(e % 6 == 2, F.concat(name, F.lit(" 1080p")))
+        .when(e % 6 == 3, F.upper(name)).when(e % 6 == 4, F.lit("PLAYER")).otherwise(F.concat(F.lit("no "), name))
+    )
+    title = F.concat(shown, F.when(e % 11 > 0, " - Player").otherwise(""))
+    return _played(spark, d).select(F.col("run_id").alias("key"), playback.display_name(title, "Player").alias("shown"))
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    rows = _played(spark, d).where("event_type <> 'view'")
+    return rows.select(F.col("run_id").alias("key"), "path", F.floor(F.col("at_ms") / 3_600_000).alias("at_s"))
+
+
 @query
 def title_resolution(spark: SparkSession, d: str) -> DataFrame:
-    rows = _ledger(spark, d)
-    path = F.concat(F.lit("C:/v/"), "event_type", F.lit(".mkv"))
-    known = rows.where("event_type in ('view', 'click')").groupBy(F.col("run_id").alias("key"), path.alias("path")).agg(F.max("seq").alias("last_seq"))
-    current = rows.select(F.col("run_id").alias("key")).distinct().withColumn("path", F.lit("C:/v/purchase.mkv"))
-    links = rows.where("event_type = 'error'").select(F.col("run_id").alias("key"), F.lit("C:/v/link.mkv").alias("path")).distinct()
-    titles = rows.select(F.col("run_id").alias("key"), playback.display_name(F.concat(F.upper("event_type"), F.lit(".mkv 1080p - Player")), " - Player").alias("shown")).distinct()
-    return playback.resolve(titles, known, current, links)
+    rows = _played(spark, d)
+    known = rows.where("event_type in ('view', 'click') and seq % 3 = 0").groupBy(F.col("run_id").alias("key"), "path").agg(F.max("seq").alias("last_seq"))
+    current = rows.where("seq > 4").groupBy(F.col("run_id").alias("key")).agg(F.min_by("path", "seq").alias("path"))
+    return playback.resolve(_titles(spark, d), known, current, _links(spark, d), _present(spark, d), 700)
 
 
 @query
 def command_line_media(spark: SparkSession, d: str) -> DataFrame:
-    rows = _ledger(spark, d)
-    line = F.concat(F.lit('player.exe /new "C:/my v/'), "event_type", F.lit('.MKV" -x file:///D:/'), "event_type", F.lit(".mp4 notes.txt"))
-    return playback.command_line_media(rows.select(F.col("run_id").alias("pid"), "seq", line.alias("line")))
+    rows = _played(spark, d)
+    name = playback.file_name(F.col("path"))
+    line = F.concat(
+        F.lit('player.exe /new "'), "path", F.lit('" -x file:///D:/a%20b+'), name, F.lit(" "), name, F.lit(' "\\\\host\\v\\'), name, F.lit('" /C:/x.mkv --in=C:/x.mkv "'),
+        F.replace("path", F.lit("/v"), F.lit("/V")), F.lit('" file://host/v/'), name, F.lit(" ../"), name,
+    )
+    there = _present(spark, d).select("path").unionByName(rows.where("event_id % 3 > 0").select(F.explode(F.array(F.concat(F.lit("d:/A b+"), name), F.concat(F.lit("\\\\HOST\\v\\"), name))).alias("path")))
+    return playback.command_line_media(rows.select(F.col("run_id").alias("pid"), "seq", line.alias("line")), there)
 
 
 @query
@@ -696,9 +726,7 @@ def resumable(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def recent_links(spark: SparkSession, d: str) -> DataFrame:
-    rows = _ledger(spark, d)
-    links = rows.select(F.col("run_id").alias("key"), F.col("event_type").alias("title"), F.concat(F.lit("C:/v/"), F.col("event_id").cast("string")).alias("path"), F.floor(F.col("at_ms") / 3_600_000).alias("at_s"))
-    return files.recent_link(links, rows.select(F.col("run_id").alias("key"), F.lit("view").alias("title")).distinct(), 700)
+    return playback.recent_link(_links(spark, d), _titles(spark, d).where("shown is not null"), 700, _present(spark, d))
 
 
 @query

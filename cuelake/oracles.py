@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cuelake import config as C
-from cuelake.functions.text import VOCALIZATIONS
+from cuelake.functions.text import MEDIA_EXTENSIONS, VOCALIZATIONS
 from cuelake.operators.identity import LANGUAGES
 from cuelake.operators.review import UNCERTAIN
 
@@ -341,9 +341,6 @@ SQL |= {
     "repair_ledger": f"""WITH {PAIRS}, {REPAIRS} SELECT media_id, cue_id, row_number() OVER (PARTITION BY media_id ORDER BY cue_id) AS seq, after, why IS NULL AS accepted, coalesce(why, 'rule-repair') AS reason FROM judged""",
     "repaired_targets": f"WITH {PAIRS}, {REPAIRS} SELECT p.media_id, p.cue_id, CASE WHEN j.media_id IS NOT NULL THEN j.after ELSE p.target END AS target FROM pairs p LEFT JOIN judged j ON j.media_id = p.media_id AND j.cue_id = p.cue_id AND j.why IS NULL",
     "pending_scenes": f"WITH RECURSIVE {CUES}, {scenes('cues')} SELECT media_id, scene_idx FROM scenes WHERE scene_idx % 3 <> 0",
-    "title_resolution": f"""WITH {LEDGER}, t AS (SELECT DISTINCT run_id AS key, event_type, upper(event_type) || '.mkv 1080p' AS shown FROM ledger), e AS (SELECT DISTINCT run_id FROM ledger WHERE failed)
-      SELECT key, shown, CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'C:/v/' || event_type || '.mkv' WHEN e.run_id IS NOT NULL THEN 'C:/v/link.mkv' END AS path FROM t LEFT JOIN e ON e.run_id = t.key""",
-    "command_line_media": f"""WITH {LEDGER}, f AS (SELECT run_id AS pid, arg_min(event_type, seq) AS x FROM ledger GROUP BY 1) SELECT pid, 'C:/my v/' || x || '.MKV' AS path FROM f UNION ALL SELECT pid, 'D:/' || x || '.mp4' FROM f""",
     "next_request": f"""WITH {LEDGER} SELECT key, name, modified_ms, path FROM (SELECT run_id AS key, CAST(event_id AS VARCHAR) AS name, at_ms AS modified_ms, 'C:/v/' || event_type AS path,
       row_number() OVER (PARTITION BY run_id ORDER BY at_ms, CAST(event_id AS VARCHAR)) AS r FROM ledger WHERE seq % 3 <> 1) WHERE r = 1""",
     "inbox": f"WITH {LEDGER}, s AS (SELECT run_id, max(at_ms) // 1000 AS at_ms FROM ledger GROUP BY 1) SELECT run_id, at_ms FROM s WHERE 2500000 - at_ms <= {C.INBOX_TTL_MS}",
@@ -450,8 +447,6 @@ SQL |= {
       FROM c LEFT JOIN r ON c.m = r.m""",
     "cache_keys": """SELECT doc_id AS media_id, regexp_full_match(CASE doc_id % 3 WHEN 0 THEN left(sha256(text), 24) WHEN 1 THEN upper(left(sha256(text), 24)) ELSE left(sha256(text), 23) END, '[0-9a-f]{24}') AS valid FROM documents""",
     "resumable": f"""WITH {LEDGER} SELECT run_id, run_id % 3 > 0 AND bool_or((failed AND seq % 3 < 2) OR (event_type = 'purchase' AND seq % 4 = 0)) AS can_resume FROM ledger WHERE seq <= 5 GROUP BY 1""",
-    "recent_links": f"""WITH {LEDGER}, l AS (SELECT run_id AS key, event_type, 'C:/v/' || event_id AS path, at_ms // 3600000 AS at_s FROM ledger), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY at_s DESC, path) AS r FROM l)
-      SELECT key, arg_min(path, r) AS path FROM r WHERE r <= 30 AND 700 - at_s <= 600 AND event_type = 'view' GROUP BY key""",
     "current_jobs": "SELECT sha256(text) AS fingerprint, CASE WHEN min(doc_id) % 3 = 0 THEN 'new/' ELSE 'old/' END || min(doc_id) AS path FROM documents GROUP BY 1",
     "retried_cues": f"""WITH {CUES}, {ISSUES}, {CLUSTERS}, {ALL_ISSUES}, {RANGES}, hit AS (SELECT * FROM ranges WHERE piece % 2 = 0),
       new_ AS (SELECT media_id, start_ms AS f, end_ms AS t, start_ms + i * 9000 - 2000 AS s, start_ms + i * 9000 + 3000 AS e, -10 * piece - i - 1 AS pos FROM hit, unnest(range(5)) AS u(i)),
@@ -467,3 +462,46 @@ SQL |= {
     "trusted_report": f"WITH {CUES}, {REPORT} SELECT * REPLACE (cue_count > 0 AS passed), 'trusted' AS disposition FROM report",
     "player_names": f"WITH {LEDGER} SELECT event_id, event_type IN ('view', 'click') AS player FROM ledger",
 }
+
+_ENDINGS = ", ".join(f"'.{e}'" for e in MEDIA_EXTENSIONS)
+
+
+def _name(path: str) -> str:
+    return f"regexp_extract({path}, '[^/\\\\]*$')"
+
+
+def _video(path: str) -> str:
+    return f"lower(regexp_extract({path}, '[.][^./\\\\]+$')) IN ({_ENDINGS})"
+
+
+def _titled(shown: str, path: str) -> str:
+    name = f"lower({_name(path)})"
+    return f"(lower({shown}) = {name} OR lower({shown}) = regexp_replace({name}, '[.][^.]*$', '') OR starts_with(lower({shown}), {name} || ' '))"
+
+
+PLAYED = f"""{LEDGER}, played AS (SELECT *, 'C:/v' || event_id % 4 || '/' || event_type || event_id % 3 || CASE WHEN event_id % 5 = 0 THEN '.txt' WHEN event_id % 2 = 0 THEN '.MKV' ELSE '.mp4' END AS path FROM ledger),
+  there AS (SELECT DISTINCT lower(path) AS f FROM played WHERE event_id % 7 > 0),
+  raw AS (SELECT run_id AS key, CASE event_id % 6 WHEN 0 THEN n WHEN 1 THEN regexp_replace(n, '[.][^.]*$', '') WHEN 2 THEN n || ' 1080p' WHEN 3 THEN upper(n) WHEN 4 THEN 'PLAYER' ELSE 'no ' || n END AS shown
+    FROM (SELECT *, {_name("path")} AS n FROM played)),
+  titles AS (SELECT DISTINCT * FROM raw WHERE lower(shown) <> 'player'),
+  links AS (SELECT run_id AS key, path, at_ms // 3600000 AS at_s FROM played WHERE event_type <> 'view'),
+  fresh AS (SELECT key, path, r FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY at_s DESC, path) AS r FROM links)
+    WHERE r <= 30 AND 700 - at_s <= 600 AND {_video("path")} AND lower(path) IN (SELECT f FROM there)),
+  linked AS (SELECT t.key, t.shown, arg_min(path, r) AS path FROM titles t JOIN fresh l ON t.key = l.key AND {_titled("shown", "path")} GROUP BY ALL)"""
+
+SQL |= {
+    "recent_links": f"WITH {PLAYED} SELECT * FROM linked",
+    "title_resolution": f"""WITH {PLAYED}, known AS (SELECT run_id AS key, path, max(seq) AS last_seq FROM played WHERE event_type IN ('view', 'click') AND seq % 3 = 0 GROUP BY ALL HAVING lower(path) IN (SELECT f FROM there)),
+      pairs AS (SELECT t.key, t.shown, last_seq, CASE WHEN {_titled("shown", "path")} THEN path
+          WHEN {_video("shown")} AND lower(left(path, length(path) - length({_name("path")})) || shown) IN (SELECT f FROM there) THEN left(path, length(path) - length({_name("path")})) || shown END AS path
+        FROM titles t JOIN known k ON t.key = k.key),
+      a AS (SELECT key, shown, arg_max(path, last_seq) AS path FROM pairs WHERE path IS NOT NULL GROUP BY ALL),
+      now_ AS (SELECT run_id AS key, arg_min(path, seq) AS path FROM played WHERE seq > 4 GROUP BY 1),
+      b AS (SELECT t.key, t.shown, path FROM titles t JOIN now_ n ON t.key = n.key AND {_titled("shown", "path")} AND lower(path) IN (SELECT f FROM there))
+      SELECT t.key, t.shown, coalesce(a.path, b.path, c.path) AS path FROM titles t LEFT JOIN a ON t.key = a.key AND t.shown = a.shown LEFT JOIN b ON t.key = b.key AND t.shown = b.shown LEFT JOIN linked c ON t.key = c.key AND t.shown = c.shown""",
+    "command_line_media": f"""WITH {PLAYED}, m AS (SELECT *, {_name("path")} AS n FROM played),
+      also AS (SELECT f FROM there UNION SELECT lower('d:/A b+' || n) FROM m WHERE event_id % 3 > 0 UNION SELECT lower('\\\\HOST\\v\\' || n) FROM m WHERE event_id % 3 > 0),
+      first AS (SELECT run_id AS pid, arg_min(path, seq) AS path, arg_min(n, seq) AS n FROM m GROUP BY 1),
+      args AS (SELECT pid, unnest([path, 'D:/a b+' || n, n, '\\\\host\\v\\' || n, replace(path, '/v', '/V'), '../' || n]) AS path FROM first)
+      SELECT DISTINCT pid, path FROM args WHERE regexp_matches(path, '^([A-Za-z]:|\\\\)') AND {_video("path")} AND lower(path) IN (SELECT f FROM also)""",
+}

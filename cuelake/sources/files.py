@@ -1,4 +1,4 @@
-"""JSON documents, queues, recent links and folders."""
+"""JSON documents, queues and folders."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from cuelake import config as C
 
-SECONDS_KEPT = 600
-
 
 def parse_json(text: Column, schema: str, fallback: Column) -> Column:
     """The document (a struct by DDL), or the fallback where the text is missing or malformed."""
@@ -39,11 +37,3 @@ def library(listing: DataFrame, keep: int = C.LIBRARY_ROWS) -> DataFrame:
     place = Window.orderBy(F.desc("modified"), "folder")  # keep + 1 rows
     placed = first.select("*", F.row_number().over(place).alias("place"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("n"))
     return placed.where(F.col("place") <= keep).select("folder", "modified", "srt_files", (F.col("n") > keep).alias("more"))
-
-
-def recent_link(links: DataFrame, wanted: DataFrame, now_s: int, keep: int = 30) -> DataFrame:
-    """The newest of the `keep` latest links, not older than ten minutes, whose title matches: (key, path). links: key,
-    title, path, at_s; wanted: key, title."""
-    newest = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("at_s"), "path"))
-    fresh = links.withColumn("r", newest).where((F.col("r") <= keep) & (now_s - F.col("at_s") <= SECONDS_KEPT))
-    return fresh.join(wanted, ["key", "title"], "left_semi").groupBy("key").agg(F.min_by("path", "r").alias("path"))

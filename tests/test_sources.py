@@ -20,7 +20,7 @@ def test_json_files_fall_back(spark, tmp_path):
 
 def test_titles_and_arguments(spark):
     row = spark.createDataFrame([("Film.mkv 1080p - Player", r"C:\v\film.MKV", "Player64.EXE")], "t string, p string, n string")
-    shown = playback.display_name(F.col("t"), " - Player")
+    shown = playback.display_name(F.col("t"), "Player")
     out = row.select(shown.alias("s"), playback.title_matches(shown, F.col("p")).alias("m"), playback.is_player(F.col("n"), ("player", "player64")).alias("k")).first()
     assert (out.s, out.m, out.k) == ("Film.mkv 1080p", True, True)
     args = spark.createDataFrame([('"C:/a b.mkv"',), ("/full",), ("-x",), ("file:///D:/c.mp4",), ("notes.txt",), ("",)], "a string")
@@ -72,7 +72,33 @@ def test_request_bodies(spark):
 
 
 def test_recent_links(spark):
-    links = spark.createDataFrame([("k", "t", "old", 0), ("k", "t", "new", 900), ("k", "t", "newest", 950), ("k", "u", "other", 990)], "key string, title string, path string, at_s long")
-    wanted = spark.createDataFrame([("k", "t")], "key string, title string")
-    assert [tuple(r) for r in files.recent_link(links, wanted, 1000).collect()] == [("k", "newest")]
-    assert files.recent_link(links, wanted, 1551, keep=1).collect() == []
+    links = spark.createDataFrame([("k", "C:/a/film.mkv", 100), ("k", "C:/b/Film.MKV", 950), ("k", "C:/c/film.mkv", 990), ("k", "C:/c/other.mkv", 999), ("k", "C:/c/film.txt", 999), ("j", "C:/a/film.mkv", 399)], "key string, path string, at_s long")
+    titles = spark.createDataFrame([("k", "FILM"), ("k", "film.mkv 2/3"), ("k", "nothing"), ("j", "film")], "key string, shown string")
+    there = spark.createDataFrame([("c:/B/film.mkv",), ("C:/a/film.mkv",)], "path string")
+    assert {tuple(r) for r in playback.recent_link(links, titles, 1000).collect()} == {("k", "FILM", "C:/c/film.mkv"), ("k", "film.mkv 2/3", "C:/c/film.mkv")}
+    assert {r.path for r in playback.recent_link(links, titles, 1000, there).collect()} == {"C:/b/Film.MKV"}
+    many = spark.createDataFrame([("k", f"C:/x/{i}.mkv", 1000 + i) for i in range(30)] + [("k", "C:/a/film.mkv", 999)], "key string, path string, at_s long")
+    assert playback.recent_link(many, titles, 1100).count() == 0
+
+
+def test_titles_without_a_name(spark):
+    titles = ["Film.mkv - Player", "film - PLAYER", "Player", " player ", "", "  ", " - Player", "a - Player - Player", "x - Player ", None]
+    shown = spark.createDataFrame([(t,) for t in titles], "t string").select(playback.display_name(F.col("t"), "Player").alias("s")).collect()
+    assert [r.s for r in shown] == ["Film.mkv", "film", None, None, None, None, None, "a - Player", "x - Player", None]
+
+
+def test_paths_are_rooted(spark):
+    given = ["notes.mp4", "..\\a.mp4", "C:a.mp4", "\\\\h\\v\\a.MP4", "file:///C:/a%20b+c.mkv", "FILE://h/v/a.mkv", "file:///home/a.mkv", "/a.mkv", "-a.mkv", "C:/a.srt", '"D:/q.avi"', "file:///C:/%zz.mkv"]
+    got = spark.createDataFrame([(g,) for g in given], "a string").select(playback.candidate(F.col("a")).alias("c")).collect()
+    assert [r.c for r in got] == [None, None, "C:a.mp4", "\\\\h\\v\\a.MP4", "C:/a b+c.mkv", "\\\\h\\v\\a.mkv", None, None, None, None, "D:/q.avi", "C:/%zz.mkv"]
+
+
+def test_a_title_has_one_row(spark):
+    there = spark.createDataFrame([("C:/v/a.mkv",), ("C:/v/b.mkv",), ("C:/w/c.mp4",), ("C:/w/d.mkv",), ("C:/n/now.mkv",)], "path string")
+    titles = spark.createDataFrame([(1, t) for t in ("a.mkv", "A", "b.mkv", "c.mp4", "now.mkv", "d", "e", None, "a.mkv", "gone.mkv")], "key int, shown string")
+    known = spark.createDataFrame([(1, "C:/v/a.mkv", 5), (1, "C:/v/gone.mkv", 9), (1, "C:/w/x.mkv", 7)], "key int, path string, last_seq long")
+    current = spark.createDataFrame([(1, "C:/n/now.mkv")], "key int, path string")
+    links = spark.createDataFrame([(1, "C:/w/c.mp4", 10), (1, "C:/w/d.mkv", 10), (1, "C:/v/a.mkv", 10)], "key int, path string, at_s long")
+    rows = playback.resolve(titles, known, current, links, there, 20).collect()
+    got = {r.shown: r.path for r in rows}
+    assert len(rows) == 8 and got == {"a.mkv": "C:/v/a.mkv", "A": "C:/v/a.mkv", "b.mkv": "C:/v/b.mkv", "c.mp4": "C:/w/c.mp4", "now.mkv": "C:/n/now.mkv", "d": "C:/w/d.mkv", "e": None, "gone.mkv": None}
