@@ -1,11 +1,13 @@
 """Toxicity after noisy-channel deobfuscation.
 
 A disguised word ("1d10t", "i d i o t", "idiooot", "id*ot") is a word sent through a noisy channel. Its characters span a
-lattice: a character may stand for itself, for a letter that it resembles, be a separator that was put in, or (in a
-run of three or more) repeat the letter before. A Viterbi search finds the cheapest path under a character trigram
-model. The restored words are written into the text, and the restored text is split into words and scored. The trigram
-model counts the characters of all documents, with the words of the lexicon mixed in; the lexicon (words that mark toxic
-rows) and the final logistic curve come from a bounded sample of labelled rows.
+lattice: a character may stand for itself, for a letter that it resembles, be a separator that was put in, or repeat the
+letter before. A Viterbi search finds the cheapest path under a character trigram model. The restored words are written
+into the text, and the restored text is split into words and scored. The trigram model counts the characters of all
+documents, with the words of the lexicon mixed in; the lexicon (words that mark toxic rows) and the final logistic curve
+come from a bounded sample of labelled rows. Only words of which chance alone would hardly have made one are restored;
+the others of the lexicon add to a score where they stand plainly. Asterisks at the ends of a token are decoration and
+stand for no letter. Letters of other styles (mathematical, full width, circled) are read as the plain ones.
 
 Defined results: null and empty texts hold no words and get the curve's value at zero; with labels of one kind only, the
 score is the share of toxic rows in the sample (0 with no labels); rows with a null label teach nothing; rows of one text
@@ -18,8 +20,9 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import groupby
@@ -42,7 +45,9 @@ LEAST_WEIGHT = 2.0
 #: Share of the trigram model's counts that the lexicon's words make up.
 LEXICON_SHARE = 0.5
 #: Costs (in nats) of the channel's moves.
-LOOKALIKE_COST, WILDCARD_COST, SEPARATOR_COST, REPEAT_COST = 1.0, 1.5, 0.5, 0.5
+LOOKALIKE_COST, WILDCARD_COST, SEPARATOR_COST, REPEAT_COST, PAIR_COST = 1.0, 1.5, 0.5, 0.5, 3.8
+#: Words that chance may put into those that are restored, expected.
+BY_CHANCE = 0.05
 THRESHOLD = 0.3
 
 # Letters that a character may stand for.
@@ -51,7 +56,13 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "#": "h", "€": "e",
 }
 WILDCARDS = "*"
-SEPARATORS = " .-_*~'"
+BLANKS = " \t\n\r\v\f"
+SEPARATORS = BLANKS + ".-_*~'"
+#: Stands between texts that are looked at together; no word reaches over it.
+BETWEEN = "\x1e"
+
+# Ranges of letters and digits in other styles.
+STYLED = re.compile("[\U0001d400-\U0001d7ff\uff01-\uff5e\u24b6-\u24e9]")
 
 # Letters with a class of their own in the trigram model; all other letters share the last class.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
@@ -68,7 +79,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i, c in enumerate(ALPHABET):
         kind[ord(c)] = i + 1
     odd = np.zeros(65536, bool)
-    odd[[ord(c) for c in {*LOOKALIKES, *WILDCARDS, *SEPARATORS} - {" "}]] = True
+    odd[[ord(c) for c in {*LOOKALIKES, *WILDCARDS, *SEPARATORS} - {*BLANKS}]] = True
     space = np.array([chr(c).isspace() if not 0xD800 <= c < 0xE000 else False for c in range(65536)])
     return kind, odd, space
 
@@ -82,15 +93,32 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _KIND[0], _KIND[1], _KIND[2]
 
 
+@lru_cache(maxsize=4096)
+def _plain(c: str) -> str:
+    low = unicodedata.normalize("NFKC", c).lower()
+    return low if len(low) == 1 else c
+
+
+def lowered(text: str | None) -> str:
+    """The text in lower case, with letters and digits of other styles as the plain ones."""
+    low = (text or "").lower()
+    return low if low.isascii() else STYLED.sub(lambda m: _plain(m[0]), low)
+
+
 def points_of(text: str) -> np.ndarray:
-    """Code points (above 65535: 65535)."""
-    return np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 65535)
+    """Code points; those above 65535 are 65535 if they are no letters, and else some letter of the last class."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(points) and points.max() > 65535:
+        found, at = np.unique(points, return_inverse=True)
+        low = [c if c <= 65535 else 0x4E00 + c % 20_000 if chr(c).isalpha() else 65535 for c in found.tolist()]
+        points = np.array(low, np.uint32)[at]
+    return points
 
 
 def code_points(texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray]:
-    """The lower-cased texts joined by line feeds, their code points, and each text's start."""
-    low = [(t or "").lower() for t in texts]
-    joined = "\n".join(low) + "\n"
+    """The lower-cased texts joined by BETWEEN, their code points, and each text's start."""
+    low = [lowered(t) for t in texts]
+    joined = BETWEEN.join(low) + BETWEEN
     points = points_of(joined)
     starts = np.zeros(len(low), np.int64)
     np.cumsum([len(t) + 1 for t in low[:-1]], out=starts[1:])
@@ -113,21 +141,21 @@ def hash_word(word: str) -> int:
 def disguised(joined: str, points: np.ndarray, kinds: np.ndarray) -> tuple[list[tuple[int, int]], list[list[tuple[int, int]]]]:
     """What may hide words: tokens (start and end in the joined text), and chains of tokens of one character each.
 
-    A token is flagged that holds a letter and a lookalike or wildcard anywhere, a separator inside, or a letter three times
-    in a row. A chain is three or more tokens with nothing but blanks between them and one letter, with punctuation, or one
-    symbol of the channel each."""
+    A token is flagged that holds a letter and a lookalike or wildcard anywhere, a separator inside, or a letter twice in a
+    row. A chain is three or more tokens with nothing but blanks, tabs or line ends between them and one letter, with
+    punctuation, or one symbol of the channel each."""
     _, odd, space = tables()
     letter, blank = kinds > 0, space[points]
     edges = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True]))))
     starts, ends = edges[::2], edges[1::2]
-    soft = np.isin(points, [ord(c) for c in SEPARATORS if c not in WILDCARDS + " "])
+    soft = np.isin(points, [ord(c) for c in SEPARATORS if c not in WILDCARDS + BLANKS])
     hard = odd[points] & ~soft
 
     def before(mask: np.ndarray) -> np.ndarray:
         return np.concatenate(([0], np.cumsum(mask)))
 
     body, letters, drawn = before(letter | hard), before(letter), np.zeros(len(points), bool)
-    drawn[1:-1] = letter[1:-1] & (points[1:-1] == points[:-2]) & (points[1:-1] == points[2:])
+    drawn[1:] = letter[1:] & (points[1:] == points[:-1])
     at = np.flatnonzero(soft)
     token = np.searchsorted(starts, at, "right") - 1
     inside = np.bincount(token[(body[at] > body[starts[token]]) & (body[ends[token]] > body[at])], minlength=len(starts))
@@ -137,7 +165,7 @@ def disguised(joined: str, points: np.ndarray, kinds: np.ndarray) -> tuple[list[
 
     told = before(letter | ((points >= 48) & (points <= 57)))
     single = ((n_letters == 1) & (told[ends] - told[starts] == 1)) | ((ends - starts == 1) & odd[points[starts]])
-    breaks = before(blank & (points != 32))
+    breaks = before(blank & ~np.isin(points, [ord(c) for c in BLANKS]))
     linked = single[1:] & single[:-1] & (breaks[starts[1:]] == breaks[ends[:-1]])
     edges = np.flatnonzero(np.diff(np.concatenate(([False], linked, [False]))))
     chains = []
@@ -167,12 +195,13 @@ def _edge(chars: str, usual: str) -> int:
 
 
 def cores(token: str) -> list[str]:
-    """The token without what may be mere punctuation at its ends, shortest first; the last keeps all that may be a letter."""
-    bare = [i for i, c in enumerate(token) if c.isalpha() or c in LOOKALIKES or c in WILDCARDS]
+    """The token without what may be mere punctuation at its ends, shortest first; the last keeps all that may be a letter, but
+    for wildcards at the ends."""
+    bare = [i for i, c in enumerate(token) if c.isalpha() or c in LOOKALIKES]
     if not bare:
         return []
-    lefts = {_edge(token, LEADING), bare[0]}
-    rights = {len(token) - _edge(token[::-1], TRAILING), len(token.rstrip(LEADING + "!")), bare[-1] + 1}
+    lefts = {max(bare[0], _edge(token, LEADING)), bare[0]}
+    rights = {min(bare[-1] + 1, j) for j in (len(token) - _edge(token[::-1], TRAILING), len(token.rstrip(LEADING + "!")))} | {bare[-1] + 1}
     spans = sorted({(i, j) for i in lefts for j in rights if i < j}, key=lambda x: (x[1] - x[0], x))
     return [token[i:j] for i, j in spans]
 
@@ -187,11 +216,13 @@ class Model:
     names: tuple[str, ...] = field(default=())
 
 
-def drawn_out(token: str) -> list[bool]:
-    """Whether each character is inside a run of three or more of one letter. Wildcards hide a letter each."""
-    drawn = [False] * len(token)
-    for run in re.finditer(r"(.)\1{2,}", token):
-        drawn[run.start() : run.end()] = [run[1] not in WILDCARDS] * (run.end() - run.start())
+def drawn_out(token: str) -> list[float]:
+    """What it costs that a character repeats the one before: little in a run of three or more, more in a pair, as many words
+    have pairs; 0 where it can't. Wildcards hide a letter each."""
+    drawn = [0.0] * len(token)
+    for run in re.finditer(r"(.)\1+", token):
+        if run[1] not in WILDCARDS:
+            drawn[run.start() : run.end()] = [PAIR_COST if len(run[0]) == 2 else REPEAT_COST] * len(run[0])
     return drawn
 
 
@@ -225,7 +256,7 @@ def restore_word(token: str, trigrams: np.ndarray) -> str:
                 k = _CLASS.get(x, OTHER) if x.isalpha() else 0
                 offer((b, k), cost + price - float(trigrams[a, b, k]), x, (a, b), x)
                 if long and last == x:
-                    offer((a, b), cost + price + REPEAT_COST, last, (a, b), "")
+                    offer((a, b), cost + price + long, last, (a, b), "")
             if drop is not None:
                 offer((a, b), cost + drop, last, (a, b), "")
         layers.append(step)
@@ -255,7 +286,7 @@ class Lexicon:
             c = text[i]
             moves = (c if c.isalpha() else "") + LOOKALIKES.get(c, "") + (ALPHABET[:26] if c in WILDCARDS else "")
             step = set(states) if c in SEPARATORS else set()
-            long = c not in WILDCARDS and c * 3 in text[max(start, i - 2) : min(stop, i + 3)]
+            long = c not in WILDCARDS and c * 2 in text[max(start, i - 1) : min(stop, i + 2)]
             for s in states:
                 if after := self.next.get(s):
                     step.update(s + x for x in moves if x in after)
@@ -326,6 +357,8 @@ class Scorer:
         if joined[first] in SEPARATORS and joined[first] not in WILDCARDS:
             return 0, ""
         for end in reversed(self.lexicon.ends(joined, first, chain[-1][1])):
+            if joined[end - 1] in WILDCARDS or joined[first] in WILDCARDS:
+                continue
             n = bisect_right(chain, end - 1, key=lambda x: x[0]) - k
             if n >= 3 and any(c.isalpha() for c in joined[first:end]) and (word := self.search(joined[first:end])):
                 return n, word
@@ -370,7 +403,7 @@ class Scorer:
             return text
         joined, points, _ = code_points([text])
         if len(joined) != len(text) + 1:  # lower-casing has changed lengths, so places differ
-            text = text.lower()
+            text = lowered(text)
         return written(text, self.mended(joined, points, tables()[0][points]))
 
 
@@ -442,6 +475,14 @@ def _lexicon(counted: list, toxic: int, clean: int) -> dict[str, float]:
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_WORDS])
 
 
+def _by_chance(a: int, b: int, share: float) -> float:
+    """Logarithm of a bound of the chance that `a` or more of b rows are toxic, if a share of all rows is."""
+    if a <= share * b:
+        return 0.0
+    same = lambda k, p: k * math.log(k / b / p) if k else 0.0
+    return -same(a, share) - same(b - a, 1 - share)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS, corpus: DataFrame | None = None) -> Model:
     """docs: doc_id, text; labels: doc_id and a 0/1 label, of which at most `rows` are used. The trigram model counts
     all of `corpus` (default: docs). The sample is dealt into two halves by a hash of the text: the curve is fitted on
@@ -469,10 +510,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
             .limit(20 * LEXICON_WORDS)
             .collect()
         )
+        tried = max(1, words.groupBy("word").agg(F.count("*").alias("b")).where(f"b >= {LEAST_ROWS}").count())
+        sure = {r.word for r in counted if _by_chance(r.a, r.b, toxic / (toxic + clean)) + math.log(tried) < math.log(BY_CHANCE)}
         both = _lexicon([(r.word, r.a, r.b) for r in counted], toxic, clean)
         half = _lexicon([(r.word, r.a1, r.b1) for r in counted if r.a1 >= max(1, LEAST_ROWS // 2)], n.get((False, 1), 0), n.get((False, 0), 0))
-        trigrams = _log_probabilities(character_trigrams(corpus or docs), list(both))
-        trial = spark.sparkContext.broadcast(_model(trigrams, half or both, ()))
+        trigrams = _log_probabilities(character_trigrams(corpus or docs), sorted(sure & both.keys()))
+        trial = spark.sparkContext.broadcast(_model(trigrams, half or both, (), sure))
 
         @lean
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -486,13 +529,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
         got = second.select("label", "text").mapInArrow(measure, "label int, a double, b double, c double").collect()
         got.sort()  # sums of floats depend on their order
         curve = _logistic(np.array([r[1:] for r in got]), np.array([r[0] for r in got], float))
-        return _model(trigrams, both, curve)
+        return _model(trigrams, both, curve, sure)
 
 
-def _model(trigrams: np.ndarray, lexicon: dict[str, float], curve: tuple[float, ...]) -> Model:
+def _model(trigrams: np.ndarray, lexicon: dict[str, float], curve: tuple[float, ...], restorable: Collection[str] | None = None) -> Model:
+    """A model that restores the words of the lexicon that are restorable (default: all)."""
     by_hash = sorted((hash_word(w), v, w) for w, v in lexicon.items())
     return Model(
-        trigrams, np.array([h for h, _, _ in by_hash], np.uint64), np.array([v for _, v, _ in by_hash]), curve, 0.0, tuple(w for _, _, w in by_hash)
+        trigrams, np.array([h for h, _, _ in by_hash], np.uint64), np.array([v for _, v, _ in by_hash]), curve, 0.0, tuple(w for _, _, w in by_hash if restorable is None or w in restorable)
     )
 
 

@@ -157,8 +157,9 @@ def test_hidden_words_are_restored(hidden):
 
 @pytest.mark.parametrize(
     "hidden",
-    ["a$$|ass", "(a$$!)|ass", "idi07|idiot", "idi0+|idiot", "idio+|idiot", "idio*|idiot", "$#!t|shit", "455wipe|asswipe", "i***t|idiot", "as***pe|asswipe", "b1663r|bigger", "i  d  i  o  t|idiot",
-     "a i d i o t|idiot", "y o u  i d i o t|idiot", "i d i o t s o|idiot", "i d 1 0 t|idiot", "i. d. i. o. t.|idiot", "i d i o t!|idiot", "iiidiot|idiot", "1diot|idiot"],
+    ["a$$|ass", "(a$$!)|ass", "idi07|idiot", "idi0+|idiot", "idio+|idiot", "$#!t|shit", "455wipe|asswipe", "i***t|idiot", "as***pe|asswipe", "b1663r|bigger", "i  d  i  o  t|idiot",
+     "a i d i o t|idiot", "y o u  i d i o t|idiot", "i d i o t s o|idiot", "i d 1 0 t|idiot", "i. d. i. o. t.|idiot", "i d i o t!|idiot", "iiidiot|idiot", "1diot|idiot", "idiott|idiot", "iddiot|idiot", "i\td\ti\to\tt|idiot", "i\nd\ni\no\nt|idiot",
+     "i\r\nd\r\ni\r\no\r\nt|idiot", "i\t d\ni o t|idiot"],
 )
 def test_families_of_disguise_reach_the_search(hidden):
     hidden, word = hidden.split("|")
@@ -170,6 +171,44 @@ def test_families_of_disguise_reach_the_search(hidden):
     assert s.restore(plain) == plain
 
 
+def test_decoration_and_other_styles():
+    s = toxicity.Scorer(model(["idiot", "thingon", "inining"]))
+    for text in ("thin*** and inin*** of idio* or *diot **diot", "th** i*", "a**", "idiot", "i d i o *", "* d i o t"):
+        assert s.restore(text) == text and s.score([text])[1].tolist() == [0]
+    styled = "".join(chr(0x1D41A + ord(c) - 97) for c in "idiot")
+    wide = "".join(chr(0xFF41 + ord(c) - 97) for c in "idiot")
+    scores, found = s.score([f"an {styled}!", f"an {wide}!", "an idiot!", "an " + chr(0x10330) * 5 + "!", "an abcde!", f"{styled[:2]}1{styled[3:]}"[:2] + "!ot"])
+    assert scores[0] == scores[1] == scores[2] > scores[3] == scores[4] and found[:5].tolist() == [0] * 5
+    letters = "i\nd\ni".split("\n")
+    assert s.score(["\n".join(letters), "o\nt"])[1].tolist() == [0, 0]  # no word reaches from one text into the next
+
+
+def test_chance_makes_no_lexicon():
+    assert toxicity._by_chance(3, 3, 0.12) > math.log(0.05 / 4000) > toxicity._by_chance(15, 15, 0.12)
+    assert toxicity._by_chance(1, 10, 0.12) == 0.0
+    for a, b, p in ((5, 9, 0.2), (12, 12, 0.4), (7, 30, 0.1)):
+        tail = sum(math.comb(b, k) * p**k * (1 - p) ** (b - k) for k in range(a, b + 1))
+        assert math.exp(toxicity._by_chance(a, b, p)) >= tail - 1e-12
+
+
+@pytest.mark.parametrize(
+    "disguise",
+    [lambda w: w.replace("o", "0").replace("i", "1").replace("e", "3").replace("s", "5"), " ".join, ".".join, "-".join, "  ".join, "\n".join, "\t".join,
+     lambda w: w.replace(w[2], w[2] * 4, 1), lambda w: w[:2] + w[1] + w[2:], lambda w: w[:2] + "." + w[2:], lambda w: w[:1] + w[1:-1].replace(w[2], "*", 1) + w[-1:],
+     lambda w: " ".join(w.replace("o", "0").replace("i", "!"))],
+)
+def test_families_with_a_lexicon_of_words(disguise):
+    words = ["trash", "pathetic", "idiot", "disgusting", "worthless", "stupid", "clown", "loser", "scum", "moron"]
+    counts = np.zeros((toxicity.CLASSES,) * 3)
+    for w in "the and that with from this thing another house street people loose classes moose trust scale cloud".split():
+        k = [0, 0, *(toxicity._CLASS[c] for c in w), 0]
+        for i in range(len(k) - 2):
+            counts[k[i], k[i + 1], k[i + 2]] += 100
+    s = toxicity.Scorer(toxicity._model(toxicity._log_probabilities(counts, words), dict.fromkeys(words, 3.0), (-3.0, 1.0, 1.0, 1.0)))
+    found = [w in s.restore(f"so the {disguise(w)} was there") for w in words if disguise(w) != w]
+    assert sum(found) >= len(found) - 1
+
+
 def paths(token: str, trigrams) -> dict[str, float]:
     """The least cost of every word that the channel can make a token of, by enumeration."""
     kinds = {c: i + 1 for i, c in enumerate(toxicity.ALPHABET)}
@@ -179,7 +218,7 @@ def paths(token: str, trigrams) -> dict[str, float]:
         step: dict[str, float] = {}
         for word, cost in ends.items():
             told = [(word + x, price) for x, price in moves]
-            told += [(word, price + toxicity.REPEAT_COST) for x, price in moves if long and word.endswith(x)]
+            told += [(word, price + long) for x, price in moves if long and word.endswith(x)]
             told += [(word, drop)] if drop is not None else []
             for w, price in told:
                 step[w] = min(step.get(w, 1e9), cost + price)
