@@ -61,6 +61,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Names of the folders that `staged` has made: nothing else is deleted.
+_staged: set[str] = set()
+
 _scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
@@ -69,6 +72,7 @@ def staged(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     `scratch`, the table goes with its block, or with the block around that if it outlives its own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.add(path.rsplit("/", 1)[1])
     if scopes := _scopes.get()[: -1 if outlives else None]:
         scopes[-1].append(path)
     df.write.parquet(path)
@@ -94,9 +98,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 def discard(table: DataFrame) -> None:
-    """Delete a staged table that nothing reads any more."""
+    """Delete a staged table that nothing reads any more. Other tables are left alone, which is an error."""
     for file in table.inputFiles()[:1]:
-        _delete(table.sparkSession, file.rsplit("/", 1)[0])
+        folder = file.rsplit("/", 1)[0]
+        if folder.rsplit("/", 1)[1] not in _staged:
+            raise ValueError(f"{folder} was not staged here")
+        _delete(table.sparkSession, folder)
 
 
 #: Rows that are broadcast, at most; they are counted first.

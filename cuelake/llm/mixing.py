@@ -14,12 +14,12 @@ the names of results are replaced. More than MOST_PATTERNS patterns are an error
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import BROADCAST_ROWS, NULL_ID, documents, small, staged
+from ._base import BROADCAST_ROWS, NULL_ID, documents, scratch, small, staged
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -27,8 +27,8 @@ SEED = 17
 #: Hex digits of the hash that make a bucket: the last copy's documents are found in two steps, so that no window holds a
 #: whole source.
 BUCKET_DIGITS = 3
-#: Patterns of sources whose sums the driver can hold. They are counted first.
-MOST_PATTERNS = 1_000_000
+#: Patterns of sources whose flow the driver can solve (measured: README). They are counted first.
+MOST_PATTERNS = 200_000
 
 
 def size_of(text: Column) -> Column:
@@ -65,38 +65,84 @@ def targets_of(sizes: dict[str | None, int], weights: dict[str | None, float], m
     return out
 
 
-def min_cost_flow(arcs: list[tuple[object, object, int, int]], start: object, end: object) -> list[int]:
-    """Integer flows of (from, to, capacity, cost) arcs that send the most from start to end at the least cost:
-    successive cheapest augmenting paths."""
-    to, room, cost, out = [], [], [], defaultdict(list)
-    for a, b, cap, c in arcs:
-        for x, y, k, p in ((a, b, cap, c), (b, a, 0, -c)):
-            out[x].append(len(to))
-            to.append(y)
-            room.append(k)
-            cost.append(p)
-    while True:
-        dist, by, queue, waiting = {start: 0}, {}, deque([start]), {start}
-        while queue:
-            x = queue.popleft()
-            waiting.discard(x)
-            for e in out[x]:
-                d = dist[x] + cost[e]
-                if room[e] and d < dist.get(to[e], d + 1):
-                    dist[to[e]], by[to[e]] = d, (x, e)
-                    if to[e] not in waiting:
-                        queue.append(to[e])
-                        waiting.add(to[e])
-        if end not in by:
-            return [room[2 * i + 1] for i in range(len(arcs))]
-        path, x = [], end
-        while x != start:
-            x, e = by[x]
-            path.append(e)
-        least = min(room[e] for e in path)
-        for e in path:
-            room[e] -= least
-            room[e ^ 1] += least
+class Network:
+    """A flow from `start` through patterns and sources to `end`, on arrays: arc e leads to `to[e]` and has room for `room[e]`,
+    arc e ^ 1 leads back."""
+
+    def __init__(self, nodes: int, start: int, end: int):
+        self.start, self.end = start, end
+        self.to: list[int] = []
+        self.room: list[int] = []
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+
+    def arc(self, a: int, b: int, room: int) -> int:
+        e = len(self.to)
+        self.to += (b, a)
+        self.room += (room, 0)
+        self.out[a].append(e)
+        self.out[b].append(e + 1)
+        return e
+
+    def levels(self) -> list[int]:
+        """Steps from the start to each node over arcs with room (-1: not reached), up to those of the end."""
+        level = [-1] * len(self.out)
+        level[self.start], front = 0, [self.start]
+        while front and level[self.end] < 0:
+            reached = []
+            for x in front:
+                for e in self.out[x]:
+                    if self.room[e] and level[self.to[e]] < 0:
+                        level[self.to[e]] = level[x] + 1
+                        reached.append(self.to[e])
+            front = reached
+        return level
+
+    def fill(self) -> None:
+        """Send as much as there is room for: along all shortest ways at once, as long as there are any."""
+        to, room, out = self.to, self.room, self.out
+        while (level := self.levels())[self.end] >= 0:
+            at, path, x = [0] * len(out), [], self.start
+            while True:
+                if x == self.end:
+                    least = min(room[e] for e in path)
+                    for e in path:
+                        room[e] -= least
+                        room[e ^ 1] += least
+                    full = next(i for i, e in enumerate(path) if not room[e])
+                    x = to[path[full] ^ 1]
+                    del path[full:]
+                elif at[x] < len(out[x]):
+                    e = out[x][at[x]]
+                    if room[e] and level[to[e]] == level[x] + 1:
+                        path.append(e)
+                        x = to[e]
+                    else:
+                        at[x] += 1
+                elif path:
+                    x = to[path.pop() ^ 1]
+                    at[x] += 1
+                else:
+                    break
+
+
+def min_cost_flow(patterns: list[tuple[tuple, int]], quotas: dict[str | None, int], most: int) -> dict[tuple[tuple, str | None], int]:
+    """Words that each (pattern, source) pair passes, as many as the quotas take, at the least cost, where the words of each
+    further copy of a pattern cost more than those of the one before.
+
+    The costs of a copy are the same for all patterns and rise from copy to copy, and what patterns can pass together is a
+    polymatroid; so copies may be let in one after the other: what a fuller flow sends of a pattern never gets less."""
+    sources = {s: i for i, s in enumerate(quotas)}
+    start, end = 0, 1 + len(patterns) + len(sources)
+    net = Network(end + 1, start, end)
+    into = [net.arc(start, 1 + i, 0) for i in range(len(patterns))]
+    pairs = [(net.arc(1 + i, 1 + len(patterns) + sources[s], most * size), p, s) for i, (p, size) in enumerate(patterns) for s in p]
+    for s, i in sources.items():
+        net.arc(1 + len(patterns) + i, end, quotas[s])
+    for _ in range(most):
+        for e, (_, size) in zip(into, patterns, strict=True):
+            net.room[e] += size
+        net.fill()
+    return {(p, s): net.room[e ^ 1] for e, p, s in pairs if net.room[e ^ 1]}
 
 
 def linked_sources(patterns: list[tuple]) -> dict[object, object]:
@@ -118,18 +164,17 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict[str | None, float], mo
     """Words that each (pattern, source) pair passes: from (pattern, size) pairs to the sources' quotas. Sources that no
     pattern links have nothing to do with each other, so each linked group has a flow of its own."""
     group = linked_sources([p for p, _ in patterns])
-    arcs: dict[object, list[tuple[object, object, int, int]]] = defaultdict(list)
+    mine: dict[object, list[tuple[tuple, int]]] = defaultdict(list)
     for p, size in patterns:
         if p:
-            mine = arcs[group[p[0]]]
-            mine += [("start", ("p", p), size, copy * copy) for copy in range(most)]
-            mine += [(("p", p), ("s", s), most * size, 0) for s in p]
+            mine[group[p[0]]].append((p, size))
+    wanted: dict[object, dict[str | None, int]] = defaultdict(dict)
     for s, q in quotas.items():
-        arcs[group[s]].append((("s", s), "end", round(q), 0))
-    out = {}
-    for mine in arcs.values():
-        flows = min_cost_flow(mine, "start", "end")
-        out |= {(a[1], b[1]): f for (a, b, _, _), f in zip(mine, flows, strict=True) if f and isinstance(a, tuple) and isinstance(b, tuple)}
+        if s in group:
+            wanted[group[s]][s] = round(q)
+    out: dict[tuple[tuple, str | None], int] = {}
+    for g, some in mine.items():
+        out |= min_cost_flow(some, wanted[g], most)
     return out
 
 
@@ -165,23 +210,25 @@ def mix(sized: DataFrame, source: str = "source", weights: tuple[float, ...] = W
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     keyed = sized.withColumns({"_pattern": pattern, "_order": F.struct(order.alias("h"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("i"), F.col("_tx").alias("t"))})
     keyed = keyed.withColumn("_bucket", F.conv(F.substring("_order.h", 1, BUCKET_DIGITS), 16, 10).cast("int"))
-    buckets = staged(keyed.groupBy("_pattern", "_bucket").agg(F.sum("size").alias("words")), "mix")
-    plan = plan_of(buckets, plain if plain.startswith("array") else f"array<{plain}>", weights, most)
-    same = F.col("_pattern").eqNullSafe(F.col("_p"))
-    # The bucket in which a pattern's last words lie, and how many of them.
-    below = Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    at = buckets.withColumn("_below", F.coalesce(F.sum("words").over(below), F.lit(0)))  # at most 16 ** BUCKET_DIGITS rows a pattern
-    cuts = at.join(plan, same).where("_below < _rest and _rest <= _below + words")
-    cuts = staged(cuts.select("_p", F.col("_bucket").alias("_cut"), (F.col("_rest") - F.col("_below")).alias("_into")), "mix-cut")
-    # Within that bucket, the last document taken: the one after it would miss the target by more than it helps.
-    mine = keyed.join(small(cuts), same & (F.col("_bucket") == F.col("_cut"))).select("_pattern", "_order", "size", "_into")
-    inside = Window.partitionBy("_pattern").orderBy("_order")
-    last = mine.withColumn("_before", F.sum("size").over(inside) - F.col("size")).where("2 * _before + size < 2 * _into")
-    last = staged(last.groupBy("_pattern").agg(F.max("_order").alias("_last")).withColumnRenamed("_pattern", "_lp"), "mix-last")
-    ends = plan.join(cuts.withColumnRenamed("_p", "_cp"), F.col("_p").eqNullSafe(F.col("_cp")), "left").drop("_cp", "_into")
-    ends = ends.join(small(last), F.col("_p").eqNullSafe(F.col("_lp")), "left").drop("_lp")
-    more = F.coalesce((F.col("_bucket") < F.col("_cut")) | (F.col("_bucket") == F.col("_cut")) & (F.col("_order") <= F.col("_last")), F.lit(False)).cast("int")
-    out = keyed.join(small(staged(ends, "mix-ends")), same)  # ends has one row a pattern
+    with scratch(sized.sparkSession):
+        buckets = staged(keyed.groupBy("_pattern", "_bucket").agg(F.sum("size").alias("words")), "mix")
+        plan = plan_of(buckets, plain if plain.startswith("array") else f"array<{plain}>", weights, most)
+        same = F.col("_pattern").eqNullSafe(F.col("_p"))
+        # The bucket in which a pattern's last words lie, and how many of them.
+        below = Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        at = buckets.withColumn("_below", F.coalesce(F.sum("words").over(below), F.lit(0)))  # at most 16 ** BUCKET_DIGITS rows a pattern
+        cuts = at.join(plan, same).where("_below < _rest and _rest <= _below + words")
+        cuts = staged(cuts.select("_p", F.col("_bucket").alias("_cut"), (F.col("_rest") - F.col("_below")).alias("_into")), "mix-cut")
+        # Within that bucket, the last document taken: the one after it would miss the target by more than it helps.
+        mine = keyed.join(small(cuts), same & (F.col("_bucket") == F.col("_cut"))).select("_pattern", "_order", "size", "_into")
+        inside = Window.partitionBy("_pattern").orderBy("_order")
+        last = mine.withColumn("_before", F.sum("size").over(inside) - F.col("size")).where("2 * _before + size < 2 * _into")
+        last = staged(last.groupBy("_pattern").agg(F.max("_order").alias("_last")).withColumnRenamed("_pattern", "_lp"), "mix-last")
+        ends = plan.join(cuts.withColumnRenamed("_p", "_cp"), F.col("_p").eqNullSafe(F.col("_cp")), "left").drop("_cp", "_into")
+        ends = ends.join(small(last), F.col("_p").eqNullSafe(F.col("_lp")), "left").drop("_lp")
+        more = F.coalesce((F.col("_bucket") < F.col("_cut")) | (F.col("_bucket") == F.col("_cut")) & (F.col("_order") <= F.col("_last")), F.lit(False)).cast("int")
+        ends = small(staged(ends, "mix-ends", outlives=True))
+    out = keyed.join(ends, same)  # ends has one row a pattern
     taken = F.col("size") * (F.col("_copies") + F.when(F.col("_copies") < most, more).otherwise(0))
     return out.withColumn("taken", taken).select(*sized.columns, "source_size", F.round("target", 6).alias("target"), "taken")
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import struct
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -519,6 +520,74 @@ def test_flow_prefers_first_copies():
     assert passed == {("a",): 10, ("a", "b"): 10, ("b",): 10}
 
 
+def cheapest(patterns, quotas, most):
+    """Words passed and their cost by successive cheapest paths, word by word."""
+    copies = {p: 0 for p, _ in patterns}
+    size, held = dict(patterns), {(p, s): 0 for p, _ in patterns for s in p}
+    room, passed, cost = dict(quotas), 0, 0
+    while True:
+        for _, p in sorted((copies[p] // size[p], p) for p in copies if size[p] and copies[p] < most * size[p]):
+            way, seen = [[(p, s)] for s in p], set(p)
+            while way:
+                path = way.pop(0)
+                s = path[-1][1]
+                if room[s]:
+                    break
+                for q in copies:
+                    if s in q and held[q, s]:
+                        for t in q:
+                            if t not in seen:
+                                seen.add(t)
+                                way.append([*path, (q, t, s)])
+            else:
+                continue
+            cost += (copies[p] // size[p]) ** 2
+            copies[p] += 1
+            for q, t, *was in path:
+                held[q, t] += 1
+                for u in was:
+                    held[q, u] -= 1
+            room[path[-1][1]] -= 1
+            passed += 1
+            break
+        else:
+            return passed, cost
+
+
+def test_flow_is_the_cheapest():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        sources = "abcd"[: rng.integers(1, 5)]
+        made = {tuple(sorted(set(rng.choice(list(sources), rng.integers(1, 4))))): int(rng.integers(0, 7)) for _ in range(5)}
+        patterns, quotas = sorted(made.items()), {s: int(rng.integers(0, 15)) for s in sources}
+        flow = mixing.route(patterns, quotas)
+        given = {p: sum(f for (q, _), f in flow.items() if q == p) for p, _ in patterns}
+        assert all(sum(f for (_, s), f in flow.items() if s == t) <= quotas[t] for t in sources) and all(s in p for p, s in flow)
+        assert all(given[p] <= 3 * n for p, n in patterns)
+        cost = sum(sum(k * k * min(n, max(0, given[p] - k * n)) for k in range(3)) for p, n in patterns)
+        assert (sum(given.values()), cost) == cheapest(patterns, quotas, 3)
+
+
+def test_flow_of_many_linked_patterns():
+    rng = np.random.default_rng(6)
+    patterns = sorted({tuple(sorted(set(rng.integers(0, 200, 4).tolist()))): int(rng.integers(1, 10_000)) for _ in range(100_000)}.items())
+    quotas = dict.fromkeys(range(200), sum(n for _, n in patterns) / 200)
+    began = time.process_time()
+    flow = mixing.route(patterns, quotas)
+    assert time.process_time() - began < 60
+    assert sum(flow.values()) == pytest.approx(sum(n for _, n in patterns), rel=1e-4) and len(patterns) > 99_000
+
+
+def test_only_staged_tables_are_discarded(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "mine"))
+    with pytest.raises(ValueError, match="not staged"):
+        _base.discard(spark.read.parquet(str(tmp_path / "mine")))
+    assert spark.read.parquet(str(tmp_path / "mine")).count() == 5
+    table = _base.staged(spark.range(5), "short")
+    _base.discard(table)
+    assert not Path(urlparse(table.inputFiles()[0]).path).exists()
+
+
 def test_mix_overlapping_sources(spark):
     rows = [(i, "w " * (5 + i % 3), [["a"], ["a", "b"], ["b", None]][i % 3]) for i in range(60)]
     df = docs(spark, rows, "doc_id long, text string, tags array<string>")
