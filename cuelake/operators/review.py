@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from cuelake import config as C
 from cuelake.functions import text as X
+from cuelake.functions.tree import entries, field, is_false, items, text_of, tree
 
 # Wording that calls for a look at the source.
 UNCERTAIN = "疑为|疑似|误听|核对原文|核对音频|语义不明|意思不完整|可能为|识别错误|transcription|misheard|uncertain"
 
 ENVELOPE = "struct<choices:array<struct<finish_reason:string,message:struct<content:string>>>>"
-ISSUES = "struct<issues:array<struct<id:string,kind:string,suggestion:string,needs_source_check:boolean>>>"
-PAIRS = "struct<translations:array<struct<id:string,zh:string>>,glossary_updates:map<string,string>>"
 
 
 def envelope(body: Column) -> tuple[Column, Column]:
@@ -31,22 +30,30 @@ def envelope(body: Column) -> tuple[Column, Column]:
     return status, F.when(status == "ok", content)
 
 
-def _object(content: Column, schema: str) -> Column:
-    """The JSON object of an answer, also with prose around it; null where there is none."""
-    return F.from_json(X.json_object(content), schema)
+def _trim(text: Column) -> Column:
+    return F.regexp_replace(text, rf"^{X.SPACE}+|{X.SPACE}+$", "")
+
+
+def _rows(responses: DataFrame, name: str) -> DataFrame:
+    """(response_id, ord, row) of the array `name` of each answer's JSON object, also with prose around the object. Rows are of any
+    type."""
+    parsed = responses.select("response_id", tree(X.json_object(F.col("content"))).alias("p"))
+    return parsed.select("response_id", F.posexplode(items(field(F.col("p"), name))).alias("ord", "row"))
+
+
+def _int(text: Column) -> Column:
+    """A text as a whole number, with white space around it, or null."""
+    return F.regexp_extract(_trim(text), r"^[+-]?\d+$", 0).try_cast("int")
 
 
 def review_rows(responses: DataFrame, windows: DataFrame) -> DataFrame:
-    """Issues of review responses: (response_id, cue_id, kind, suggestion, needs_source_check). One bad row (no id, a foreign
-    id, no suggestion) fails its whole response. Only a flag that is the JSON value false says that the source needs no
+    """Issues of review responses: (response_id, cue_id, kind, suggestion, needs_source_check). One bad row (no object, no id, a
+    foreign id, no suggestion) fails its whole response. Only a flag that is the JSON value false says that the source needs no
     check. responses: response_id, content; windows: response_id, cue_id."""
-    parsed = responses.withColumn("p", _object(F.col("content"), ISSUES)).where("p.issues is not null")
-    rows = parsed.select("response_id", F.posexplode("p.issues").alias("ord", "i"))
-    kind = F.coalesce(F.col("i.kind"), F.lit(""))
-    suggestion = F.trim(F.coalesce(F.col("i.suggestion"), F.lit("")))
-    flag = F.coalesce(F.col("i.needs_source_check"), F.lit(True))
+    row = F.col("row")
+    kind, suggestion = text_of(field(row, "kind")), _trim(text_of(field(row, "suggestion")))
     doubt = F.concat_ws(" ", kind, suggestion).rlike(f"(?i){UNCERTAIN}")
-    told = rows.select("response_id", "ord", F.expr("try_cast(trim(i.id) as int)").alias("cue_id"), kind.alias("kind"), suggestion.alias("suggestion"), (flag | doubt).alias("needs_source_check"))
+    told = _rows(responses, "issues").select("response_id", "ord", _int(text_of(field(row, "id"))).alias("cue_id"), kind.alias("kind"), suggestion.alias("suggestion"), (~is_false(field(row, "needs_source_check")) | doubt).alias("needs_source_check"))
     inside = windows.select("response_id", "cue_id").distinct().withColumn("inside", F.lit(True))
     joined = told.join(inside, ["response_id", "cue_id"], "left")
     good = F.col("cue_id").isNotNull() & F.coalesce("inside", F.lit(False)) & (F.length("suggestion") > 0)
@@ -54,21 +61,23 @@ def review_rows(responses: DataFrame, windows: DataFrame) -> DataFrame:
     return joined.withColumn("all_good", all_good).where("all_good").select("response_id", "ord", "cue_id", "kind", "suggestion", "needs_source_check")
 
 
-def _targets(parsed: DataFrame) -> DataFrame:
-    """(response_id, id, target) of all pairs with an id and a text; the last one of an id counts."""
-    rows = parsed.select("response_id", F.posexplode("p.translations").alias("ord", "t"))
-    rows = rows.select("response_id", "ord", F.col("t.id").alias("id"), F.trim("t.zh").alias("target")).where("length(id) > 0 and length(target) > 0")
-    return rows.groupBy("response_id", "id").agg(F.max_by("target", "ord").alias("target"))
+def _pairs(responses: DataFrame) -> DataFrame:
+    """(response_id, ord, id, target) of the translations that have an id and a text; other rows are skipped."""
+    rows = _rows(responses, "translations")
+    told = rows.select("response_id", "ord", text_of(field(F.col("row"), "id")).alias("id"), _trim(text_of(field(F.col("row"), "zh"))).alias("target"))
+    return told.where((F.length("id") > 0) & (F.length("target") > 0))
 
 
 def _complete(responses: DataFrame, windows: DataFrame) -> DataFrame:
-    """(response_id, p, rows): the responses that give each cue of their window and no other; rows: cue_id and target."""
-    parsed = responses.select("response_id", _object(F.col("content"), PAIRS).alias("p")).where("p.translations is not null")
+    """(response_id, rows): the responses that give each cue of their window and no other; rows: cue_id and target, the last one
+    of a cue."""
     want = windows.select("response_id", "cue_id", F.col("cue_id").cast("string").alias("id")).distinct()
-    rows = _targets(parsed).join(want, ["response_id", "id"], "left")
-    got = rows.groupBy("response_id").agg(F.count("*").alias("n"), F.count("cue_id").alias("hits"), F.collect_list(F.struct("cue_id", "target")).alias("rows"))  # one answer's
+    last = _pairs(responses).groupBy("response_id", "id").agg(F.max_by("target", "ord").alias("target"))
+    got = last.join(want, ["response_id", "id"], "left").groupBy("response_id").agg(
+        F.count("*").alias("n"), F.count("cue_id").alias("hits"), F.collect_list(F.struct("cue_id", "target")).alias("rows")
+    )  # one answer's
     full = want.groupBy("response_id").agg(F.count("*").alias("want")).join(got, "response_id").where("n = want and hits = want")
-    return parsed.join(full, "response_id").select("response_id", "p", "rows")
+    return full.select("response_id", "rows")
 
 
 def translation_rows(responses: DataFrame, windows: DataFrame) -> DataFrame:
@@ -79,27 +88,28 @@ def translation_rows(responses: DataFrame, windows: DataFrame) -> DataFrame:
 
 def glossary_updates(responses: DataFrame, windows: DataFrame) -> DataFrame:
     """(response_id, source, target): what complete translation responses add to the glossary."""
-    found = _complete(responses, windows).select("response_id", F.explode("p.glossary_updates").alias("source", "target"))
-    return found.withColumn("target", F.trim("target")).where("length(trim(source)) > 0 and length(target) > 0")
+    added = entries(field(tree(X.json_object(F.col("content"))), "glossary_updates"))
+    found = responses.select("response_id", F.explode(added).alias("source", "value")).select("response_id", "source", _trim(text_of(F.col("value"))).alias("target"))
+    return found.where((F.length(_trim(F.col("source"))) > 0) & (F.length("target") > 0)).join(_complete(responses, windows).select("response_id"), "response_id", "left_semi")
 
 
 def repair_rows(responses: DataFrame, wanted: DataFrame) -> DataFrame:
     """(response_id, cue_id, target) of repair responses: a part of the wanted cues is enough, other cues are ignored, and the
     last target of a cue counts. wanted: response_id, cue_id."""
-    parsed = responses.select("response_id", _object(F.col("content"), PAIRS).alias("p")).where("p.translations is not null")
-    rows = parsed.select("response_id", F.posexplode("p.translations").alias("ord", "t"))
-    rows = rows.select("response_id", "ord", F.expr("try_cast(trim(t.id) as int)").alias("cue_id"), F.trim("t.zh").alias("target")).where("cue_id is not null and length(target) > 0")
+    rows = _pairs(responses).withColumn("cue_id", _int(F.col("id"))).where("cue_id is not null")
     last = rows.groupBy("response_id", "cue_id").agg(F.max_by("target", "ord").alias("target"))
     return last.join(wanted.select("response_id", "cue_id").distinct(), ["response_id", "cue_id"], "left_semi")
 
 
 def term_rows(responses: DataFrame) -> DataFrame:
     """(response_id, source, target, variants) of term responses: incomplete rows are skipped, the first of a source wins."""
-    shape = "struct<terms:array<struct<source:string,target:string,variants:array<string>>>>"
-    rows = responses.select("response_id", F.posexplode(_object(F.col("content"), shape)["terms"]).alias("ord", "t"))
-    full = rows.where("length(trim(t.source)) > 0 and length(trim(t.target)) > 0").select("response_id", "ord", "t.*")
+    row = F.col("row")
+    said = lambda name: _trim(text_of(field(row, name))).alias(name)
+    variants = F.filter(F.transform(F.coalesce(items(field(row, "variants")), F.array().cast("array<variant>")), lambda v: _trim(text_of(v))), lambda v: F.length(v) > 0)
+    full = _rows(responses, "terms").select("response_id", "ord", said("source"), said("target"), F.array_distinct(variants).alias("variants"))
+    full = full.where((F.length("source") > 0) & (F.length("target") > 0))
     first = F.row_number().over(Window.partitionBy("response_id", "source").orderBy("ord"))
-    return full.withColumn("r", first).where("r = 1").select("response_id", "source", "target", F.array_distinct(F.coalesce("variants", F.array().cast("array<string>"))).alias("variants"))
+    return full.withColumn("r", first).where("r = 1").select("response_id", "source", "target", "variants")
 
 
 def suggestions(issues: DataFrame) -> DataFrame:

@@ -228,9 +228,9 @@ REVIEWS = f"""raw AS (
   SELECT conv_id * 100 + turn AS response_id, conv_id AS media_id, CAST(turn AS INT) AS cue_id, role, text FROM conversations),
 reviewed AS (SELECT *, CASE WHEN turn_kind = 0 THEN '' ELSE left(text, 40) END AS suggestion, CASE WHEN turn_kind = 1 THEN 'misheard' ELSE 'style' END AS kind,
   CASE WHEN turn_kind = 2 THEN NULL WHEN turn_kind IN (3, 5) THEN 'no JSON false' ELSE 'false' END AS flag FROM (SELECT *, response_id % 6 AS turn_kind FROM raw)),
-parsed AS (SELECT response_id, media_id, cue_id, kind, trim(suggestion) AS suggestion,
-  coalesce(flag, 'missing') <> 'false' OR regexp_matches(kind || ' ' || trim(suggestion), '(?i){UNCERTAIN}') AS needs_source_check
-  FROM reviewed WHERE length(trim(suggestion)) > 0)"""
+parsed AS (SELECT response_id, media_id, cue_id, kind, {trimmed('suggestion')} AS suggestion,
+  coalesce(flag, 'missing') <> 'false' OR regexp_matches(kind || ' ' || {trimmed('suggestion')}, '(?i){UNCERTAIN}') AS needs_source_check
+  FROM reviewed WHERE length({trimmed('suggestion')}) > 0)"""
 
 TAGS = ", ".join(f"'{x}'" for x in LANGUAGES)
 
@@ -365,7 +365,7 @@ SQL["launch_policy"] = f"""WITH RECURSIVE {LEDGER},
         CASE WHEN len(list_filter(l.players, lambda x: NOT list_contains(s.known, x))) > 0 THEN 0 ELSE s.attempts END AS tries FROM s JOIN l ON l.key = s.key AND l.i = s.i + 1)))
   SELECT key, at_ms, launched, CAST(len(pending) AS INT) AS pending, CAST(attempts AS INT) AS attempts FROM s WHERE i > 0"""
 
-ANSWERS = """a AS (SELECT conv_id AS response_id, CAST(turn AS INT) AS cue_id, trim(CASE WHEN turn % 2 = 0 THEN left(text, 10) ELSE left(text, 20) END) AS target FROM conversations),
+ANSWERS = f"""a AS (SELECT conv_id AS response_id, CAST(turn AS INT) AS cue_id, {trimmed("CASE WHEN turn % 2 = 0 THEN left(text, 10) ELSE left(text, 20) END")} AS target FROM conversations),
 given AS (SELECT * FROM a WHERE NOT (response_id % 4 = 0 AND cue_id = 0) AND target <> '')"""
 
 FULL = f"""{ANSWERS}, full_ AS (SELECT response_id FROM a GROUP BY 1 HAVING response_id % 4 <> 1 AND count(*) = (SELECT count(*) FROM given g WHERE g.response_id = a.response_id))"""
@@ -438,7 +438,7 @@ SQL |= {
     "answer_status": """WITH k AS (SELECT conv_id, turn, (conv_id * 100 + turn) % 6 AS k, text FROM conversations),
       s AS (SELECT *, CASE WHEN k = 2 THEN 'no-choices' WHEN k = 1 THEN 'output-limit' WHEN k = 3 THEN 'not-finished' WHEN k = 4 OR trim(coalesce(text, '')) = '' THEN 'blank' ELSE 'ok' END AS status FROM k)
       SELECT conv_id, turn, status, CASE WHEN status = 'ok' THEN text END AS content FROM s""",
-    "term_parse": """WITH t AS (SELECT conv_id AS response_id, turn, 'term' || turn % 3 AS source, left(text, 10) AS target, CASE WHEN turn % 2 = 0 THEN left(text, 3) || ',other' ELSE '' END AS variants FROM conversations WHERE turn % 4 <> 1 AND trim(left(text, 10)) <> '')
+    "term_parse": f"""WITH t AS (SELECT conv_id AS response_id, turn, 'term' || turn % 3 AS source, {trimmed("left(text, 10)")} AS target, CASE WHEN turn % 2 = 0 THEN {trimmed("left(text, 3)")} || ',other' ELSE '' END AS variants FROM conversations WHERE turn % 4 <> 1 AND {trimmed("left(text, 10)")} <> '')
       SELECT response_id, source, target, variants FROM (SELECT *, row_number() OVER (PARTITION BY response_id, source ORDER BY turn) AS r FROM t) WHERE r = 1""",
     "cache_probe": """WITH c AS (SELECT doc_id AS m, CASE WHEN doc_id % 11 = 0 THEN 'new' ELSE sha256(text) END AS sig, CASE WHEN doc_id % 7 > 0 THEN 'state' END AS st, CASE WHEN doc_id % 13 = 0 THEN 'other' ELSE 'report' END AS rep,
         CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'other' ELSE 'output' END AS o FROM documents),

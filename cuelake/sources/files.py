@@ -21,6 +21,12 @@ def read_json(spark: SparkSession, paths: str | list[str], schema: str, fallback
     return files.select("path", parse_json(F.col("value"), schema, fallback).alias("document"))
 
 
+def read_tree(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, document) of whole-file JSON documents of any shape, as VARIANT; null where a file is no JSON."""
+    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
+    return files.select("path", F.try_parse_json("value").alias("document"))
+
+
 def next_request(queue: DataFrame) -> DataFrame:
     """The oldest request whose path is not blank, by key: (key, name, modified_ms, path)."""
     first = F.row_number().over(Window.partitionBy("key").orderBy("modified_ms", "name"))
