@@ -407,6 +407,15 @@ def media_changes(spark: SparkSession, d: str) -> DataFrame:
     return live.media_changes(_ledger(spark, d).select(F.col("run_id").alias("session"), "seq", path.alias("path")))
 
 
+@query
+def played_media(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of an event's type in either case, none for errors; quiet for an hour and more ends a session."""
+    kind = F.col("event_type")
+    path = F.when(kind != "error", F.concat(F.when(F.col("seq") % 2 == 0, F.upper(kind)).otherwise(kind), F.lit(".mkv")))
+    rows = _ledger(spark, d).select(F.col("run_id").alias("session"), F.floor(F.col("at_ms") / 60_000).alias("at_ms"), "seq", path.alias("path"))
+    return live.played(rows, 720)
+
+
 @query
 def activity_sessions(spark: SparkSession, d: str) -> DataFrame:
     return live.sessions(_ledger(spark, d).select(F.col("run_id").alias("key"), F.floor(F.col("at_ms") / 3600).alias("at_ms")))

@@ -505,3 +505,11 @@ SQL |= {
       args AS (SELECT pid, unnest([path, 'D:/a b+' || n, n, '\\\\host\\v\\' || n, replace(path, '/v', '/V'), '../' || n]) AS path FROM first)
       SELECT DISTINCT pid, path FROM args WHERE regexp_matches(path, '^([A-Za-z]:|\\\\)') AND {_video("path")} AND lower(path) IN (SELECT f FROM also)""",
 }
+
+SQL["played_media"] = f"""WITH {LEDGER}, e AS (SELECT run_id AS session, at_ms // 60000 AS at_ms, seq, CASE WHEN event_type <> 'error' THEN CASE WHEN seq % 2 = 0 THEN upper(event_type) ELSE event_type END || '.mkv' END AS path FROM ledger),
+  g AS (SELECT *, coalesce(at_ms - lag(at_ms) OVER w >= 720, true) AS fresh, coalesce(lead(at_ms) OVER w - at_ms >= 720, true) AS last_one FROM e WINDOW w AS (PARTITION BY session ORDER BY at_ms, seq)),
+  i AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY session ORDER BY at_ms, seq) AS island FROM g),
+  c AS (SELECT *, lag(lower(path)) OVER (PARTITION BY session, island ORDER BY at_ms, seq) AS before FROM i WHERE path IS NOT NULL),
+  q AS (SELECT session, island, at_ms + 720 AS at_ms FROM i WHERE last_one)
+  SELECT session, at_ms, path FROM c WHERE before IS NULL OR before <> lower(path)
+  UNION ALL SELECT session, at_ms, NULL FROM q WHERE EXISTS (SELECT 1 FROM c WHERE c.session = q.session AND c.island = q.island)"""

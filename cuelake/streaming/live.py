@@ -4,15 +4,11 @@ Streaming forms take the same columns and keep state by key; on a bounded source
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cuelake import config as C
-from cuelake.functions.fold import fold
+from cuelake.streaming import ordered
 
 
 def media_changes(events: DataFrame) -> DataFrame:
@@ -82,59 +78,51 @@ def observe(state: tuple, players: set[str], running: bool, now: int, starts: bo
 LAUNCHES = "key long, at_ms long, launched boolean, pending int, attempts int"
 
 
-def launches(snapshots: DataFrame) -> DataFrame:
-    """The launch policy over snapshots (key, at_ms, seq, players, running, starts); a key is one machine, whose snapshots
-    are folded in order, as a stream."""
-
+def _launcher(forget_ms: int | None) -> ordered.Machine:
     def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
         key, at, _, players, running, starts = row
         state, launched = observe(state, set(players), running, at, starts)
         return state, [(key, at, launched, len(state[0]), state[2])]
 
-    rows = snapshots.select("key", "at_ms", "seq", "players", "running", "starts")
-    return fold(rows, "key", ["at_ms", "seq"], lambda: (set(), set(), 0, 0), step, None, LAUNCHES)
-
-
-def launch_stream(snapshots: DataFrame, forget: str | None = None) -> DataFrame:
-    """The same over a stream; the state is kept by key. With `forget`, a machine that sends nothing for so long is new again."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        pending, known, attempts, later = held.get if held.exists else ([], [], 0, 0)
-        state, out = (set(pending), set(known), attempts, later), []
-        for r in pd.concat(list(batches)).sort_values(["at_ms", "seq"]).itertuples():
-            state, launched = observe(state, set(r.players), bool(r.running), int(r.at_ms), bool(r.starts))
-            out.append((key[0], int(r.at_ms), launched, len(state[0]), state[2]))
-        held.update((sorted(state[0]), sorted(state[1]), state[2], state[3]))
-        if forget:
-            held.setTimeoutDuration(forget)
-        yield pd.DataFrame(out, columns=["key", "at_ms", "launched", "pending", "attempts"])
-
-    kept = "pending array<string>, known array<string>, attempts int, later long"
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
-    return snapshots.groupBy("key").applyInPandasWithState(run, LAUNCHES, kept, "append", timeout)
-
-
-def change_stream(events: DataFrame, forget: str | None = None) -> DataFrame:
-    """media_changes over a stream: (session, seq, path). With `forget`, a session that is silent for so long begins anew."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        (last,) = held.get if held.exists else (None,)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        folded = rows["path"].str.lower()
-        before = folded.shift(fill_value=last) if last is not None else folded.shift()
-        held.update((folded.iloc[-1],))
-        if forget:
-            held.setTimeoutDuration(forget)
-        yield rows.loc[(before != folded).values, ["session", "seq", "path"]]
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
-    return events.groupBy("session").applyInPandasWithState(run, "session long, seq long, path string", "last string", "append", timeout)
+    return ordered.Machine(
+        lambda: (set(), set(), 0, 0), step, lambda s: (sorted(s[0]), sorted(s[1]), s[2], s[3]), lambda r: (set(r[0]), set(r[1]), r[2], r[3]),
+        "pending array<string>, known array<string>, attempts int, later long", LAUNCHES, forget_ms,
+    )
+
+
+def launches(snapshots: DataFrame, forget_ms: int | None = None) -> DataFrame:
+    """The launch policy over snapshots (key, at_ms, seq, players, running, starts); a key is one machine, whose snapshots are
+    met in order. With `forget_ms`, a machine that sends nothing for so long is new again."""
+    return ordered.over_table(snapshots.select("key", "at_ms", "seq", "players", "running", "starts"), _launcher(forget_ms))
+
+
+def launch_stream(snapshots: DataFrame, forget_ms: int | None = None, late: str = "10 seconds") -> DataFrame:
+    """The same over a stream."""
+    return ordered.over_stream(snapshots.select("key", "at_ms", "seq", "players", "running", "starts"), _launcher(forget_ms), late)
+
+
+PLAYED = "session long, at_ms long, path string"
+
+
+def _player(gap_ms: int) -> ordered.Machine:
+    def step(state: str | None, row: tuple) -> tuple[str | None, list[tuple]]:
+        session, at, _, path = row
+        if path is None or state is not None and path.lower() == state.lower():
+            return state, []
+        return path, [(session, at, path)]
+
+    return ordered.Machine(lambda: None, step, lambda path: (path,), lambda r: r[0], "current string", PLAYED, gap_ms, lambda path, session, at: [(session, at, None)] if path is not None else [])
+
+
+def played(events: DataFrame, gap_ms: int = C.INACTIVE_MS) -> DataFrame:
+    """(session, at_ms, path): each change of the medium that a player shows, in any case, and null where nothing was heard of the
+    player for gap_ms; after that its medium is new again. events: session, at_ms, seq, path (null: playing nothing)."""
+    return ordered.over_table(events.select("session", "at_ms", "seq", "path"), _player(gap_ms))
+
+
+def played_stream(events: DataFrame, gap_ms: int = C.INACTIVE_MS, late: str = "10 seconds") -> DataFrame:
+    """The same over a stream: the null comes when the watermark has passed the gap."""
+    return ordered.over_stream(events.select("session", "at_ms", "seq", "path"), _player(gap_ms), late)
 
 
 def session_stream(events: DataFrame, gap: str = "2 seconds", late: str = "10 seconds") -> DataFrame:
