@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake import config as C
+from cuelake.functions import bins
 from cuelake.functions import text as X
 
-from .quality import by_time, severe, with_islands
+from .quality import ORDER, by_time, severe, with_islands
 
 
 def row_rules(cues: DataFrame) -> DataFrame:
@@ -52,8 +53,8 @@ def repair_overlaps(cues: DataFrame) -> DataFrame:
 
 def renumber(cues: DataFrame) -> DataFrame:
     """Ids from 1 by start, end and position."""
-    number = F.row_number().over(by_time())
-    return cues.withColumn("cue_id", number).withColumn("pos", F.col("cue_id") - 1)
+    placed = bins.numbered(cues, "media_id", ORDER, "_number")
+    return placed.withColumns({"cue_id": F.col("_number"), "pos": F.col("_number") - 1}).drop("_number")
 
 
 def sanitize(cues: DataFrame) -> DataFrame:

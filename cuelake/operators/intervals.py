@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake import config as C
+from cuelake.functions import bins
 
 from .clean import renumber
 
@@ -16,11 +17,7 @@ def retry_ranges(issues: DataFrame, durations: DataFrame, regions: int = C.RETRY
     padded = issues.where("severity = 'error'").join(durations, "media_id").select(
         "media_id", F.greatest(F.col("start_ms") - C.PAD_MS, F.lit(0)).alias("start_ms"), F.least(F.col("end_ms") + C.PAD_MS, F.col("audio_ms")).alias("end_ms")
     ).where("end_ms > start_ms")
-    w = Window.partitionBy("media_id").orderBy("start_ms", "end_ms")
-    reach = F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(reach.isNull() | (F.col("start_ms") > reach + C.MERGE_MS), 1).otherwise(0)
-    groups = padded.withColumn("fresh", fresh).withColumn("g", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    merged = groups.groupBy("media_id", "g").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    merged = bins.merged(padded, "media_id", C.MERGE_MS)
     last = F.floor((F.col("end_ms") - F.col("start_ms") - 1) / C.PIECE_MS).cast("int")
     pieces = merged.select("*", F.explode(F.sequence(F.lit(0), last)).alias("i"))
     begin = F.col("start_ms") + F.col("i") * C.PIECE_MS
@@ -30,14 +27,8 @@ def retry_ranges(issues: DataFrame, durations: DataFrame, regions: int = C.RETRY
 
 
 def replace_ranges(cues: DataFrame, ranges: DataFrame, replacement: DataFrame) -> DataFrame:
-    """Cues whose midpoint lies in a range give way to the replacement; then all are numbered anew. Ranges of one medium do
-    not meet, so each midpoint is looked up at the last range that starts before it."""
-    mid = F.col("start_ms") + F.col("end_ms")
-    points = cues.select("media_id", (2 * F.lit(0) + mid).alias("at"), F.lit(1).alias("rank"), F.lit(None).cast("long").alias("until"), F.struct(*cues.columns).alias("cue"))
-    starts = ranges.select("media_id", (2 * F.col("start_ms")).alias("at"), F.lit(0).alias("rank"), (2 * F.col("end_ms")).alias("until"), F.lit(None).cast(points.schema["cue"].dataType).alias("cue"))
-    w = Window.partitionBy("media_id").orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = points.unionByName(starts).withColumn("in_until", F.last("until", ignorenulls=True).over(w))
-    kept = seen.where(F.col("cue").isNotNull() & (F.col("in_until").isNull() | (F.col("at") >= F.col("in_until")))).select("cue.*")
+    """Cues whose midpoint lies in a range give way to the replacement; then all are numbered anew."""
+    kept = bins.outside(cues, "media_id", F.col("start_ms") + F.col("end_ms"), ranges)
     return renumber(kept.unionByName(replacement.select(*cues.columns)))
 
 

@@ -2,36 +2,116 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuelake import config as C
+from cuelake.functions import bins
 from cuelake.functions.fold import fold
 
 
-def build(cues: DataFrame, max_cues: int = 35, max_seconds: int = 150, order: tuple[str, ...] = ("pos",)) -> DataFrame:
-    """(media_id, scene_idx, start_pos, end_pos). A scene ends before a pause of four seconds once it has twelve cues, or
-    with the cue that fills it. Each end depends on the one before, so a medium's cues are folded in order, as a stream."""
-
-    def start() -> tuple:
-        return 0, 0, 0, None, None  # cues so far, scenes so far, first cue of the open scene, its start, end of the cue before
+class Chunk:
+    """A stretch of a medium's cues, and those behind it that its last scene may reach: starts and ends from row `base` on. A scene
+    begins at a row, with or without that row being tested against the limits (it is not after a pause); such a beginning is
+    coded as twice the row, plus one after a pause. All that follows from a beginning is in the rows after it."""
+
+    def __init__(self, base: int, limit: int, max_cues: int, max_ms: int):
+        self.base, self.limit, self.max_cues, self.max_ms = base, limit, max_cues, max_ms
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def scene(self, code: int) -> tuple[int, int | None]:
+        """The last row of the scene that begins there, and where the next one begins (None: the cues end)."""
+        first, paused = code >> 1, code & 1
+        starts, ends, at = self.starts, self.ends, first - self.base
+        began = starts[at]
+        for i in range(at + paused, len(starts)):
+            count = i - at
+            if count >= C.PAUSE_CUES and starts[i] - ends[i - 1] >= C.PAUSE_MS:
+                return self.base + i - 1, 2 * (self.base + i) + 1
+            if count + 1 >= self.max_cues or ends[i] - began >= self.max_ms:
+                return self.base + i, 2 * (self.base + i + 1) if i + 1 < len(starts) else None
+        return self.base + len(starts) - 1, None
+
+    def leave(self, entries: list[int]) -> list[tuple[int, int | None, int]]:
+        """(entry, beginning behind the chunk, scenes that begin within) for each entry; ways that meet are walked once."""
+        known: dict[int, tuple[int | None, int]] = {}
+        for entry in entries:
+            way, code = [], entry
+            while code is not None and code >> 1 < self.limit and code not in known:
+                way.append(code)
+                code = self.scene(code)[1]
+            out, n = known.get(code, (code, 0))
+            for step in reversed(way):
+                n += 1
+                known[step] = (out, n)
+        return [(e, *known[e]) for e in entries]
 
-    def step(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
-        (i, scene, first, began, before), (media, at, until) = state, row[:3]
-        count = i - first
-        if count >= C.PAUSE_CUES and began is not None and at - before >= C.PAUSE_MS:
-            return (i + 1, scene + 1, i, at, until), [(media, scene, first, i - 1)]
-        began = at if began is None else began
-        if count + 1 >= max_cues or until - began >= max_seconds * 1000:
-            return (i + 1, scene + 1, i + 1, None, until), [(media, scene, first, i)]
-        return (i + 1, scene, first, began, until), []
 
-    def finish(state: tuple, media: int) -> list[tuple]:
-        i, scene, first, _, _ = state
-        return [(media, scene, first, i - 1)] if first < i else []
-
-    rows = cues.select("media_id", "start_ms", "end_ms", *(c for c in (*order, "pos") if c not in ("start_ms", "end_ms")))
-    return fold(rows, "media_id", [*order], start, step, finish, "media_id long, scene_idx int, start_pos int, end_pos int")
+def build(cues: DataFrame, max_cues: int = 35, max_seconds: int = 150, order: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """(media_id, scene_idx, start_pos, end_pos), positions being numbers in the order. A scene ends before a pause of four seconds
+    once it has twelve cues, or with the cue that fills it, so each end depends on the one before.
+
+    Yet many tasks share a medium: a chunk of its cues is entered by one of few beginnings, as a scene has max_cues at most. Each
+    chunk tells for all of them where it is left; a table with one row a chunk tells then which one holds; and each chunk makes
+    its scenes from that."""
+    rows = bins.numbered(cues.select("media_id", "start_ms", "end_ms", *(c for c in order if c not in ("start_ms", "end_ms"))), "media_id", order, "_n", None if order[0].endswith("_ms") else bins.BIN_ROWS)
+    rows = rows.select("media_id", (F.col("_n") - 1).alias("_row"), "start_ms", "end_ms")
+    width = max(bins.BIN_ROWS, 2 * max_cues)
+    dealt = bins.with_halo(rows, "_row", 0, max_cues, width).where("_bin >= 0").drop("_own").repartition("media_id", "_bin")
+    media = cues.schema["media_id"].dataType.simpleString()
+
+    def chunks(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
+        every = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("media_id", "_bin", *more, "_row", "start_ms", "end_ms")), strict=True))
+        for key, mine in groupby(every, key=lambda row: row[: 2 + len(more)]):
+            chunk = Chunk(key[1] * width, (key[1] + 1) * width, max_cues, max_seconds * 1000)
+            for *_, start, end in mine:
+                chunk.starts.append(start)
+                chunk.ends.append(end)
+            yield *key, chunk
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for m, b, chunk in chunks(batches):
+            codes = range(2 * chunk.base, 2 * min(chunk.base + max_cues, chunk.base + len(chunk.starts)))
+            ways = chunk.leave([0] if b == 0 else [*codes])
+            yield pa.RecordBatch.from_pydict({"media_id": [m], "_bin": [b], "ways": [[{"entry": e, "exit": x, "n": n} for e, x, n in ways]]}, schema=_schema(chunk_ddl))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for m, _, entry, scene, chunk in chunks(batches, "_entry", "_scene"):
+            out: list[tuple] = []
+            while entry is not None and entry >> 1 < chunk.limit:
+                last, after = chunk.scene(entry)
+                out.append((m, scene, entry >> 1, last))
+                entry, scene = after, scene + 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _schema(scene_ddl), strict=True)], schema=_schema(scene_ddl))
+
+    def entered(state: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
+        (entry, scene), (m, b, ways) = state, row
+        if entry is None:
+            return state, []
+        after, n = next((w["exit"], w["n"]) for w in ways if w["entry"] == entry)
+        return (after, scene + n), [(m, b, entry, scene)]
+
+    chunk_ddl = f"media_id {media}, _bin long, ways array<struct<entry: long, exit: long, n: int>>"
+    scene_ddl = f"media_id {media}, scene_idx int, start_pos int, end_pos int"
+    chunk_type, scene_type = T.StructType.fromDDL(chunk_ddl), T.StructType.fromDDL(scene_ddl)
+    types = {chunk_ddl: chunk_type, scene_ddl: scene_type}
+
+    def _schema(ddl: str) -> pa.Schema:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        return to_arrow_schema(types[ddl])
+
+    ways = dealt.sortWithinPartitions("media_id", "_bin", "_row").mapInArrow(left, chunk_type)
+    entries = fold(ways, "media_id", ["_bin"], lambda: (0, 0), entered, None, f"media_id {media}, _bin long, _entry long, _scene int")
+    entries = entries.withColumnsRenamed({"media_id": "_m", "_bin": "_b"})
+    met = dealt.join(entries, F.col("media_id").eqNullSafe(F.col("_m")) & (F.col("_bin") == F.col("_b"))).drop("_m", "_b")
+    return met.repartition("media_id", "_bin").sortWithinPartitions("media_id", "_bin", "_row").mapInArrow(made, scene_type)
 
 
 def assign(cues: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -41,11 +121,12 @@ def assign(cues: DataFrame, scenes: DataFrame) -> DataFrame:
 
 
 def context(cues: DataFrame, before: int, after: int, column: str = "text") -> DataFrame:
-    """cues with `ctx_before` and `ctx_after`, the texts of the neighbouring cues of the medium."""
-    w = Window.partitionBy("media_id").orderBy("pos")
-    return cues.select(
-        "*", F.collect_list(column).over(w.rowsBetween(-before, -1)).alias("ctx_before"), F.collect_list(column).over(w.rowsBetween(1, after)).alias("ctx_after")
-    )
+    """cues with `ctx_before` and `ctx_after`, the texts of the neighbouring cues of the medium, whose positions have no gaps."""
+    w = Window.partitionBy("media_id", "_bin").orderBy("pos")
+    told = bins.with_halo(cues, "pos", before, after).withColumns({
+        "ctx_before": F.collect_list(column).over(w.rowsBetween(-before, -1)), "ctx_after": F.collect_list(column).over(w.rowsBetween(1, after)),
+    })
+    return told.where("_own").drop("_bin", "_own")
 
 
 def frames(cues: DataFrame, scenes: DataFrame, n: int) -> DataFrame:
