@@ -310,6 +310,14 @@ def budget_admission(spark: SparkSession, d: str) -> DataFrame:
     return review.admit(requests).select("run_id", "seq", "admitted")
 
 
+@query
+def budget_thinking(spark: SparkSession, d: str) -> DataFrame:
+    """The same requests under the wider limits of thinking."""
+    long = lambda k: F.round(F.col("value") * k).cast("long")
+    requests = _ledger(spark, d).select("run_id", "seq", long(100).alias("tokens"), long(700).alias("chars"), F.floor(F.col("at_ms") / 100000).alias("at_ms"))
+    return review.admit(requests, thinking=True).select("run_id", "seq", "admitted")
+
+
 @query
 def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
     return review.circuit_breaker(_ledger(spark, d).select("run_id", "seq", "failed"))
@@ -566,6 +574,15 @@ def scene_frames(spark: SparkSession, d: str) -> DataFrame:
     return scenes.frames(fx.event_cues(spark, d), _scenes(spark, d), 4)
 
 
+@query
+def review_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Windows over every fourth scene, one of them twice, and one of no scene."""
+    built = _scenes(spark, d)
+    windows = built.where("scene_idx % 4 = 1").select("media_id", "scene_idx")
+    more = windows.where("scene_idx = 1").unionByName(windows.select("media_id", F.lit(9999).alias("scene_idx")))
+    return scenes.review_frames(windows.unionByName(more), built, fx.event_cues(spark, d), C.Config.review_context_cues)
+
+
 @query
 def repair_frames(spark: SparkSession, d: str) -> DataFrame:
     cues = fx.line_cues(spark, d)

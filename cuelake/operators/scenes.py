@@ -140,6 +140,14 @@ def frames(cues: DataFrame, scenes: DataFrame, n: int) -> DataFrame:
     return places.join(cues.select("media_id", "pos"), ["media_id", "pos"]).select("media_id", "scene_idx", "part", "pos")
 
 
+def review_frames(windows: DataFrame, scenes: DataFrame, cues: DataFrame, n: int) -> DataFrame:
+    """What a reviewer of the windows (media_id, scene_idx) is shown: (media_id, scene_idx, part, cue_id, text), the scenes' cues and n
+    on either side. A window of no scene shows nothing."""
+    wanted = scenes.join(windows.select("media_id", "scene_idx").distinct(), ["media_id", "scene_idx"], "left_semi")
+    shown = frames(cues, wanted, n).join(cues.select("media_id", "pos", "cue_id", "text"), ["media_id", "pos"])
+    return shown.select("media_id", "scene_idx", "part", "cue_id", "text")
+
+
 def repair_frames(cues: DataFrame, wanted: DataFrame, n: int, column: str = "text") -> DataFrame:
     """The wanted cues (media_id, cue_id) with the texts of up to two neighbours on each side, or of n if that is less."""
     return context(cues, min(2, n), min(2, n), column).join(wanted.select("media_id", "cue_id").distinct(), ["media_id", "cue_id"])

@@ -310,9 +310,6 @@ SQL: dict[str, str] = {
         concat_ws('; ', CASE WHEN reviewed <> selected THEN 'reviewed ' || reviewed || '/' || selected END, CASE WHEN run_id % 3 = 0 THEN 'limit reached' END, CASE WHEN open_repairs > 0 THEN 'repairs not finished' END,
           CASE WHEN defects > 0 THEN 'defects ' || defects END, CASE WHEN source_checks > 0 THEN 'source checks ' || source_checks END, CASE WHEN unresolved > 0 THEN 'unresolved ' || unresolved END,
           CASE WHEN conflicts > 0 THEN 'term conflicts ' || conflicts END) AS warning FROM a""",
-    "usage_totals": f"""WITH {LEDGER}, u AS (SELECT run_id, CAST(round(value * 100) AS BIGINT) AS t, event_type NOT IN ('error', 'purchase') AS known, seq % 3 = 0 AS told FROM ledger)
-      SELECT run_id, count(*) AS responses, count(*) FILTER (NOT known) AS unknown, CAST(coalesce(sum(greatest(t, 0)) FILTER (known), 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(greatest(t + 1, 0)) FILTER (known), 0) AS BIGINT) AS completion_tokens,
-        CAST(coalesce(sum(greatest(t - 50, 0)) FILTER (known AND told), 0) AS BIGINT) AS reasoning_tokens, count(*) FILTER (known AND told) AS with_reasoning FROM u GROUP BY run_id""",
     "text_hashes": "SELECT doc_id, sha256(text) AS hash FROM documents",
     "variant_keys": f"""WITH {CUES}, d AS (SELECT media_id, sha256(string_agg(concat_ws('|', cue_id, start_ms, end_ms, text), chr(10) ORDER BY cue_id)) AS digest FROM cues GROUP BY media_id),
       b AS (SELECT *, sha256('p1|model|ja|4|' || digest) AS base_key FROM d) SELECT *, sha256(base_key || '|quality') AS variant_key, left(sha256(base_key || '|quality'), 24) AS folder FROM b""",
@@ -413,11 +410,7 @@ SQL |= {
       SELECT doc_id AS media_id, 'beside' AS place, stem || '.srt' AS name, 'bilingual' AS text, CASE p WHEN 0 THEN 'write' WHEN 1 THEN 'keep' WHEN 4 THEN 'foreign' ELSE 'replace' END AS action FROM f WHERE doc_id % 3 > 0
       UNION ALL SELECT doc_id, 'beside', stem || '.zh-CN.srt', 'target', 'delete' FROM f WHERE doc_id % 3 > 0 AND doc_id % 2 = 0
       UNION ALL SELECT doc_id, 'archive', replace(stem, ':', '_') || '-' || x || '.srt', x, 'write' FROM f, (VALUES ('bilingual'), ('source'), ('target')) AS v(x)""",
-    "sidecar_choice": """SELECT doc_id AS media_id, 'v' || doc_id || CASE WHEN doc_id % 4 = 1 THEN '.en.srt' WHEN doc_id % 6 = 0 THEN '.jpn.srt' ELSE '.srt' END AS name FROM documents
-      WHERE CASE WHEN doc_id % 4 = 1 THEN doc_id % 6 = 1 ELSE doc_id % 6 IN (0, 3, 5) END""",
     "state_hashes": f"""WITH {PAIRS} SELECT media_id, sha256('[' || string_agg(to_json([CAST(cue_id AS VARCHAR), target]), ',' ORDER BY CAST(cue_id AS VARCHAR)) || ']') AS hash FROM pairs WHERE target IS NOT NULL GROUP BY 1""",
-    "receipts": "SELECT doc_id AS media_id, CASE WHEN doc_id % 3 = 0 THEN 'new-' ELSE '' END || sha256(text) AS signature FROM documents WHERE doc_id % 3 > 0 OR doc_id % 2 = 0",
-    "segment_reuse": f"""WITH {CUES} SELECT media_id, CASE WHEN media_id % 5 > 0 THEN 'a.wav:' || media_id || ':7' ELSE 'missing:a.wav' END AS file, count(*) AS n FROM cues WHERE media_id % 2 = 0 GROUP BY 1""",
     "queue_complete": f"SELECT * FROM ({SQL['queue_upsert']}) WHERE seq % 2 <> 0",
     "players_active": f"""WITH {LEDGER}, k AS (SELECT run_id AS key, list_sort(list(DISTINCT event_type)) AS p FROM ledger WHERE seq <= 9 GROUP BY 1), n AS (SELECT run_id AS key, list(DISTINCT event_type) AS p FROM ledger WHERE seq > 9 AND run_id % 2 = 0 GROUP BY 1)
       SELECT key, coalesce(array_to_string(list_filter(k.p, lambda x: list_contains(n.p, x)), ','), '') AS players FROM k LEFT JOIN n USING (key)""",
@@ -460,7 +453,6 @@ SQL |= {
       UNION ALL SELECT doc_id, 'foreign sidecar: archived only' FROM documents WHERE doc_id % 11 > 0 AND doc_id % 3 > 0 AND doc_id % 5 = 4""",
     "reverted_targets": f"WITH {PAIRS} SELECT media_id, cue_id, target FROM pairs",
     "trusted_report": f"WITH {CUES}, {REPORT} SELECT * REPLACE (cue_count > 0 AS passed), 'trusted' AS disposition FROM report",
-    "player_names": f"WITH {LEDGER} SELECT event_id, event_type IN ('view', 'click') AS player FROM ledger",
 }
 
 _ENDINGS = ", ".join(f"'.{e}'" for e in MEDIA_EXTENSIONS)
@@ -513,3 +505,37 @@ SQL["played_media"] = f"""WITH {LEDGER}, e AS (SELECT run_id AS session, at_ms /
   q AS (SELECT session, island, at_ms + 720 AS at_ms FROM i WHERE last_one)
   SELECT session, at_ms, path FROM c WHERE before IS NULL OR before <> lower(path)
   UNION ALL SELECT session, at_ms, NULL FROM q WHERE EXISTS (SELECT 1 FROM c WHERE c.session = q.session AND c.island = q.island)"""
+
+# The tags of each language by rank, as the rule of sidecars has them.
+_TAGS = ", ".join(f"('{code}', '{tag}', {i})" for code, named in LANGUAGES.items() for i, tag in enumerate(dict.fromkeys((code, *named))))
+
+SQL |= {
+    "player_names": f"""WITH {LEDGER}, n AS (SELECT event_id, ' ' || CASE WHEN seq % 3 = 0 THEN upper(event_type) ELSE event_type END || CASE WHEN seq % 2 = 0 THEN '.EXE' ELSE '' END AS name FROM ledger)
+      SELECT event_id, regexp_replace(lower(trim(name)), '[.]exe$', '') IN (lower('View'), lower('click')) AS player FROM n""",
+    "receipts": """WITH old AS (SELECT doc_id AS media_id, sha256(text) AS signature FROM documents), work AS (SELECT media_id FROM old WHERE media_id % 3 = 0),
+      aside AS (SELECT * FROM old WHERE media_id IN (SELECT media_id FROM work)), done AS (SELECT media_id, 'new-' || signature AS signature FROM aside WHERE media_id % 2 = 0),
+      force AS (SELECT * FROM old WHERE media_id NOT IN (SELECT media_id FROM work))
+      SELECT * FROM force WHERE media_id NOT IN (SELECT media_id FROM done) UNION ALL SELECT * FROM done""",
+    "segment_reuse": f"""WITH {CUES}, m AS (SELECT media_id, CASE WHEN size IS NULL THEN 'missing:a.wav' ELSE concat_ws(':', 'a.wav', size, 7) END AS file FROM (SELECT DISTINCT media_id, CASE WHEN media_id % 5 > 0 THEN media_id END AS size FROM cues)),
+      signed AS (SELECT media_id, file, v, concat_ws('|', v, {C.SEGMENT_MS}, {C.SEGMENT_OVERLAP_MS}, 'ja', file) AS signature FROM m, (VALUES ('v1'), ('v2')) AS versions(v)),
+      stored AS (SELECT media_id, signature FROM signed WHERE v = CASE WHEN media_id % 2 = 0 THEN 'v2' ELSE 'v1' END)
+      SELECT c.media_id, max(n.file) AS file, count(*) AS n FROM cues c JOIN signed n ON n.media_id = c.media_id AND n.v = 'v2' JOIN stored t ON t.media_id = c.media_id AND trim(t.signature) = n.signature GROUP BY 1""",
+    "sidecar_choice": f"""WITH tags AS (SELECT * FROM (VALUES {_TAGS}) AS v(language, tag, rank)),
+      d AS (SELECT doc_id AS media_id, 'v' || doc_id AS stem, doc_id % 6 AS part, text, CASE WHEN doc_id % 4 = 1 THEN 'en' ELSE 'ja' END AS language, CASE WHEN doc_id % 6 >= 3 THEN '漢字仮名交じりの文' || left(text, 9) ELSE left(text, 50) END AS content FROM documents),
+      f AS (SELECT stem, stem || unnest(CASE part WHEN 0 THEN ['.jp.srt', '.jpn.srt'] WHEN 1 THEN ['.en.srt', '.srt'] ELSE ['.srt'] END) AS name, content FROM d),
+      own AS (SELECT media_id, sha256(content) AS hash FROM d WHERE part = 4),
+      found AS (SELECT d.media_id, f.name, t.rank FROM d JOIN tags t ON t.language = d.language JOIN f ON f.stem = d.stem AND f.name = d.stem || '.' || t.tag || '.srt'
+        UNION ALL SELECT d.media_id, f.name, 1000 FROM d JOIN f ON f.stem = d.stem AND f.name = d.stem || '.srt' WHERE d.language = 'ja' AND {japanese("left(f.content, 16000)")}
+          AND NOT EXISTS (SELECT 1 FROM own WHERE own.media_id = d.media_id AND own.hash = sha256(f.content)))
+      SELECT media_id, arg_min(name, rank) AS name FROM found GROUP BY 1""",
+    "usage_totals": f"""WITH {LEDGER}, b AS (SELECT run_id, CASE WHEN event_type = 'purchase' THEN '{{}}' ELSE '{{"usage":{{"prompt_tokens":' || t || CASE WHEN event_type <> 'error' THEN ',"completion_tokens":' || (t + 1) ELSE '' END
+          || CASE WHEN seq % 3 = 0 THEN ',"completion_tokens_details":{{"reasoning_tokens":' || (t - 50) || '}}' ELSE '' END || '}}}}' END AS body FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS t FROM ledger)),
+      u AS (SELECT run_id, TRY_CAST(json_extract_string(body, '$.usage.prompt_tokens') AS BIGINT) AS p, TRY_CAST(json_extract_string(body, '$.usage.completion_tokens') AS BIGINT) AS c,
+        TRY_CAST(json_extract_string(body, '$.usage.completion_tokens_details.reasoning_tokens') AS BIGINT) AS r FROM b),
+      k AS (SELECT *, p IS NOT NULL AND c IS NOT NULL AS known FROM u)
+      SELECT run_id, count(*) AS responses, count(*) FILTER (NOT known) AS unknown, CAST(coalesce(sum(greatest(p, 0)) FILTER (known), 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(greatest(c, 0)) FILTER (known), 0) AS BIGINT) AS completion_tokens,
+        CAST(coalesce(sum(greatest(r, 0)) FILTER (known), 0) AS BIGINT) AS reasoning_tokens, count(*) FILTER (known AND r IS NOT NULL) AS with_reasoning FROM k GROUP BY run_id""",
+    "budget_thinking": SQL["budget_admission"].replace(str(C.TOKEN_LIMIT), str(C.THINKING_TOKEN_LIMIT)).replace(f">= {C.TIME_LIMIT_MS}", f">= {C.THINKING_TIME_LIMIT_MS}"),
+    "review_frames": f"""WITH RECURSIVE {CUES}, {scenes('cues')} SELECT s.media_id, s.scene_idx, CASE WHEN pos < start_pos THEN 'before' WHEN pos > end_pos THEN 'after' ELSE 'target' END AS part, c.cue_id, c.text
+      FROM scenes s JOIN cues c ON c.media_id = s.media_id AND c.pos BETWEEN start_pos - 8 AND end_pos + 8 WHERE s.scene_idx % 4 = 1""",
+}
