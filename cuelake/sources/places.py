@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,10 +16,12 @@ PART_BYTES, PART_FILES = 32 * 1024 * 1024, 2_000
 
 
 def located(path: str) -> tuple[pafs.FileSystem, str, str]:
-    """The file system of a path or URI, the path in it, and what stands before that in a URI."""
-    uri = path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path)
-    system, inner = pafs.FileSystem.from_uri(uri)
-    return system, inner, uri[: len(uri) - len(inner)] if uri.endswith(inner) else uri.split("://")[0] + "://"
+    """The file system of a path or URI, the path in it, and what stands before that. Names of local files are taken as they are,
+    with or without `file://`; those of other systems are read by their URI's rules."""
+    if path.startswith("file:") or "://" not in path:
+        return pafs.LocalFileSystem(), os.path.abspath(re.sub("^file:(?://)?", "", path)), "file://"
+    system, inner = pafs.FileSystem.from_uri(path)
+    return system, inner, path[: len(path) - len(inner)] if path.endswith(inner) else path.split("://")[0] + "://"
 
 
 def spelled(paths: str | list[str]) -> dict[str, str]:

@@ -1,25 +1,19 @@
 """SRT files as a data source: `spark.read.format("srt")` and `.write.format("srt")`, once `register` was called.
 
-Files are read and written cue by cue. A write stages its files beside their places and moves them when all tasks have ended:
-until then readers see what was there before, and if a task fails nothing is left. `recover` ends what a driver that was lost
-while it moved files has begun, and removes what others have left."""
+Files are read and written cue by cue; a write's files appear all at once (`staged`)."""
 
 from __future__ import annotations
 
 import io
-import json
 import re
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
-import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource
 from pyspark.sql.types import StructType
 
-from cuelake.sources.places import FilesReader, Found, located, opened
+from cuelake.sources.places import FilesReader, Found, opened
+from cuelake.sources.staged import StagedWriter
 
 SCHEMA = "media_id string, cue_id int, start_ms long, end_ms long, text string"
 #: White space by Unicode.
@@ -28,7 +22,6 @@ SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2
 TIME = r"([0-9]{1,2}):([0-9]{2}):([0-9]{2})[,.]([0-9]{3})"
 LINE = re.compile(rf"[{SPACES}]*{TIME}[{SPACES}]*-->[{SPACES}]*{TIME}")
 NUMBER = re.compile("[+-]?[0-9]+")
-STAGED = "_staged"
 
 
 def is_number(line: str) -> bool:
@@ -87,114 +80,27 @@ def shown(cue_id: int, start_ms: int, end_ms: int, text: str | None) -> str:
     return f"{cue_id}\r\n{clock(start_ms)} --> {clock(end_ms)}\r\n{(text or '').strip(SPACES)}\r\n\r\n"
 
 
+def safe_name(key: object) -> str:
+    return re.sub(r'[\x00-\x1f<>:"/\\|?*]', "_", str(key)).rstrip(".").strip() or "video"
+
+
 def file_name(media_id: object) -> str:
-    return (re.sub(r'[\x00-\x1f<>:"/\\|?*]', "_", str(media_id)).rstrip(".").strip() or "video") + ".srt"
-
-
-@dataclass
-class Written(WriterCommitMessage):
-    moves: list[tuple[str, str]]
-
-
-class SrtWriter(DataSourceArrowWriter):
-    """Writes a file for each medium. A medium's rows have to come one after the other, in the order of its cues, in one task."""
-
-    def __init__(self, options: dict, overwrite: bool):
-        self.path, self.overwrite = options["path"], overwrite
-        self.staged = f"{STAGED}/{uuid.uuid4().hex}"
-        system, root = self._at()
-        system.create_dir(f"{root}/{self.staged}", recursive=True)  # here only: a task that is still at work after an abort finds no folder
-
-    def _at(self) -> tuple[pafs.FileSystem, str]:
-        system, inner, _ = located(self.path)
-        return system, inner.rstrip("/")
-
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        system, root = self._at()
-        moves: dict[str, str] = {}
-        name = out = None
-        try:
-            for batch in iterator:
-                rows = batch.select(["media_id", "cue_id", "start_ms", "end_ms", "text"])
-                for media_id, *cue in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                    if out is None or file_name(media_id) != name:
-                        if out is not None:
-                            out.close()
-                        name = file_name(media_id)
-                        if name in moves:
-                            raise ValueError(f"the rows of {name} do not come one after the other")
-                        moves[name] = f"{self.staged}/{uuid.uuid4().hex}"
-                        out = io.BufferedWriter(system.open_output_stream(f"{root}/{moves[name]}"))
-                    out.write(shown(*cue).encode())
-        finally:
-            if out is not None:
-                out.close()
-        return Written([(staged, name) for name, staged in moves.items()])
-
-    def commit(self, messages: list[Written]) -> None:
-        system, root = self._at()
-        moves = [m for message in messages if message is not None for m in message.moves]
-        names = [name for _, name in moves]
-        if len(set(names)) < len(names):
-            self.abort(messages)
-            raise ValueError("several tasks have written the same file")
-        gone = [] if not self.overwrite else sorted({f.path[len(root) + 1 :] for f in _files(system, root) if f.base_name.endswith(".srt")} - set(names))
-        with system.open_output_stream(f"{root}/{self.staged}/moves") as f:
-            f.write(json.dumps({"moves": moves, "gone": gone}).encode())
-        system.move(f"{root}/{self.staged}/moves", f"{root}/{self.staged}/moves.json")  # from here on the write holds
-        _finish(system, root, self.staged, moves, gone)
-
-    def abort(self, messages: list[Written]) -> None:
-        system, root = self._at()
-        for last in (False, False, True):
-            try:
-                if system.get_file_info(f"{root}/{self.staged}").type == pafs.FileType.Directory:
-                    system.delete_dir(f"{root}/{self.staged}")
-                break
-            except OSError:  # a task has begun a file meanwhile
-                if last:
-                    raise
-        _tidy(system, root)
-
-
-def _files(system: pafs.FileSystem, folder: str) -> list[pafs.FileInfo]:
-    return [f for f in system.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if f.type == pafs.FileType.File]
-
-
-def _tidy(system: pafs.FileSystem, root: str) -> None:
-    if not system.get_file_info(pafs.FileSelector(f"{root}/{STAGED}", allow_not_found=True)) and system.get_file_info(f"{root}/{STAGED}").type == pafs.FileType.Directory:
-        system.delete_dir(f"{root}/{STAGED}")
-
-
-def _finish(system: pafs.FileSystem, root: str, staged: str, moves: list, gone: list[str]) -> None:
-    """Move what is not yet in its place. Doing so again changes nothing."""
-    there = {f.path for f in _files(system, f"{root}/{staged}")}
-    for source, name in moves:
-        if f"{root}/{source}" in there:
-            system.move(f"{root}/{source}", f"{root}/{name}")
-    there = {f.path for f in _files(system, root)} if gone else set()
-    for name in gone:
-        if f"{root}/{name}" in there:
-            system.delete_file(f"{root}/{name}")
-    system.delete_dir(f"{root}/{staged}")
-    _tidy(system, root)
-
-
-def recover(path: str) -> int:
-    """End the writes to a folder whose moves have begun, and remove the files of others, which must not be running. The number
-    of writes that were ended."""
-    system, root, _ = located(path)
-    root, n = root.rstrip("/"), 0
-    for folder in system.get_file_info(pafs.FileSelector(f"{root}/{STAGED}", allow_not_found=True)):
-        if system.get_file_info(f"{folder.path}/moves.json").type == pafs.FileType.File:
-            with system.open_input_file(f"{folder.path}/moves.json") as f:
-                todo = json.loads(f.read())
-            _finish(system, root, f"{STAGED}/{folder.base_name}", todo["moves"], todo["gone"])
-            n += 1
-        else:
-            system.delete_dir(folder.path)
-    _tidy(system, root)
-    return n
+    return safe_name(media_id) + ".srt"
+
+
+class SrtWriter(StagedWriter):
+    """Writes a file for each medium."""
+
+    columns = ("media_id", "cue_id", "start_ms", "end_ms", "text")
+
+    def place(self, key: object) -> str:
+        return file_name(key)
+
+    def row(self, values: list, first: bool) -> bytes:
+        return shown(*values).encode()
+
+    def mine(self, name: str) -> bool:
+        return name.endswith(".srt") and "/" not in name
 
 
 class SrtSource(DataSource):

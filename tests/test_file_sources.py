@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import random
 import struct
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuelake.operators import identity, sinks
-from cuelake.sources import binary, places, srt, srt_files
+from cuelake.sources import binary, places, srt, srt_files, staged, term_store
 
 CUES = "media_id string, cue_id int, start_ms long, end_ms long, text string"
 
@@ -124,12 +125,12 @@ def test_a_commit_that_was_cut_off_is_ended(tmp_path, monkeypatch):
     left = srt_files.SrtWriter({"path": str(tmp_path)}, False)
     left.write(iter([batch(("never", 1, 0, 1, "x"))]))
     with monkeypatch.context() as m:
-        m.setattr(srt_files, "_finish", lambda system, root, staged, moves, gone: system.move(f"{root}/{moves[0][0]}", f"{root}/{moves[0][1]}"))
+        m.setattr(staged, "_finish", lambda system, root, staged, moves, gone: system.move(f"{root}/{moves[0][0]}", f"{root}/{moves[0][1]}"))
         writer.commit(messages)  # the driver is lost after one move
     assert {"a.srt", "old.srt"} <= set(names(tmp_path)) and "b.srt" not in names(tmp_path)
-    assert srt_files.recover(str(tmp_path)) == 1
+    assert staged.recover(str(tmp_path)) == 1
     assert sorted(names(tmp_path)) == ["a.srt", "b.srt", "c.srt"]
-    assert srt_files.recover(str(tmp_path)) == 0 and not (tmp_path / "_staged").exists()
+    assert staged.recover(str(tmp_path)) == 0 and not (tmp_path / "_staged").exists()
 
 
 @pytest.mark.parametrize("kind", ["long", "string"])
@@ -141,6 +142,30 @@ def test_digests_are_those_of_whole_arrays(spark, kind):
     assert {str(r.media_id): r.digest for r in identity.cue_digest(cues).collect()} == want
 
 
+# Term lists
+
+TERMS = "media_id string, ord int, source string, target string, variants array<string>"
+
+
+def test_term_lists_are_stored_and_loaded(spark, tmp_path):
+    rows = [("a", 2, "ヨシ", "吉", ["ヨ", "シ"]), ("a", 1, 'Ann "x"', "安", []), ("b/c %2F", 5, "b", "B", None), ("d", 1, None, "y", ["q"])]
+    out = tmp_path / "terms"
+    term_store.save(spark.createDataFrame(rows, TERMS).repartition(3), str(out), "ja")
+    assert sorted(names(out)) == ["a/term-index.json", "b%2Fc %252F/term-index.json", "d/term-index.json"]
+    assert json.loads(names(out)["a/term-index.json"]) == {"Version": "1", "SourceLanguage": "ja", "Entries": [{"Source": 'Ann "x"', "Target": "安", "Variants": []}, {"Source": "ヨシ", "Target": "吉", "Variants": ["ヨ", "シ"]}]}
+    got = sorted(map(tuple, term_store.load(spark, str(out)).collect()))
+    assert got == [("a", 0, 'Ann "x"', "安", []), ("a", 1, "ヨシ", "吉", ["ヨ", "シ"]), ("b/c %2F", 0, "b", "B", []), ("d", 0, None, "y", ["q"])]
+    term_store.save(spark.createDataFrame([("a", 1, "new", "n", [])], TERMS), str(out), "en")
+    (out / "e").mkdir()
+    (out / "e" / "term-index.json").write_text("{broken")
+    (out / "f").mkdir()
+    (out / "f" / "term-index.json").write_text('{"Entries": null}')
+    loaded = term_store.load(spark, str(out))
+    assert sorted((r.media_id, r.source or "") for r in loaded.collect()) == [("a", "new"), ("b/c %2F", "b"), ("d", "")]
+    media = spark.createDataFrame([(m,) for m in ("a", "e", "f", "g")], "media_id string")
+    assert sorted(r.media_id for r in term_store.missing(media, loaded).collect()) == ["e", "f", "g"]
+
+
 # WAV headers and fingerprints
 
 
