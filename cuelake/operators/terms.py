@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake import config as C
@@ -11,8 +11,8 @@ from cuelake.functions import automaton
 # The patterns of katakana names and of names with an honorific.
 KATAKANA_NAME = r"[\x{30a1}-\x{30f6}]{2,}"
 HONORIFIC = r"[\x{3040}-\x{30ff}\x{4e00}-\x{9fff}]{1,8}(?:さん|ちゃん|くん|さま|様|先生|先輩|お姉ちゃん)"
-#: Spellings that fit into one row; longer lists are joined by run.
-FORMS_IN_A_ROW = 10_000
+#: Spellings that go to every row as a map, which is searched entry by entry; longer lists are joined by run.
+FORMS_IN_A_ROW = 200
 
 
 def candidates(cues: DataFrame, patterns: tuple[str, ...] = (KATAKANA_NAME, HONORIFIC), limit: int = C.TERM_LIMIT, keys: tuple[str, ...] = ("media_id",)) -> DataFrame:
