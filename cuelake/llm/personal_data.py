@@ -238,23 +238,27 @@ def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _proposed(kind: Kind, pattern: str) -> str:
-    """SQL for (r, kind, start, stop, found) of the matches of a pattern in the texts of t: matches are put between marks, and
-    the lengths of the pieces between marks give their places."""
+def _proposed(kind: Kind, pattern: str, valid: str, alone: str) -> str:
+    """SQL for (r, kind, start, stop, score) of a kind's spans in the texts of t: matches are put between marks, and the lengths of
+    the pieces between marks give their places. Texts are met again by what is valid only."""
     score = f"{kind.score}" + (f" - CASE WHEN regexp_matches(around, '[^a-z](?:{kind.against})[^a-z]') THEN {NEARBY} ELSE 0 END" if kind.against else "")
+    score += f" + CASE WHEN regexp_matches(around, '[^a-z](?:{kind.words})[^a-z]') THEN {NEARBY} ELSE 0 END"
     return f"""
-  SELECT r, {[k.name for k in KINDS].index(kind.name)} AS kind, start, start + length(found) AS stop, found, around, text,
-         {score} + CASE WHEN regexp_matches(around, '[^a-z](?:{kind.words})[^a-z]') THEN {NEARBY} ELSE 0 END AS score
-  FROM (
-    SELECT r, start, found, text,
+  {kind.name}_pieces AS (
+    SELECT r, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS i
+    FROM (SELECT r, string_split(regexp_replace(text, '({pattern})', chr(57344) || '\\1' || chr(57344), 'g'), chr(57344)) AS p FROM t)),
+  {kind.name}_found AS (
+    SELECT r, start, piece AS found, start + length(piece) AS stop
+    FROM (SELECT *, CAST(coalesce(sum(length(piece)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM {kind.name}_pieces)
+    WHERE i % 2 = 0 AND {valid}),
+  {kind.name}_seen AS (
+    SELECT f.r, start, stop,
            translate(CASE WHEN start < {BEFORE} THEN ' ' ELSE '' END || substr(text, greatest(start - {BEFORE}, 0) + 1, least(start, {BEFORE})) || ' ' || chr(10) || ' '
-                     || substr(text, start + length(found) + 1, {AFTER}) || CASE WHEN start + length(found) + {AFTER} >= length(text) THEN ' ' ELSE '' END,
+                     || substr(text, stop + 1, {AFTER}) || CASE WHEN stop + {AFTER} >= length(text) THEN ' ' ELSE '' END,
                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS around
-    FROM (
-      SELECT r, text, i, p[i] AS found, CAST(coalesce(sum(length(p[i])) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-      FROM (SELECT r, text, p, unnest(range(1, len(p) + 1)) AS i
-            FROM (SELECT r, text, string_split(regexp_replace(text, '({pattern})', chr(57344) || '\\1' || chr(57344), 'g'), chr(57344)) AS p FROM t)))
-    WHERE i % 2 = 0)"""
+    FROM {kind.name}_found f JOIN t ON f.r = t.r WHERE {alone}),
+  {kind.name} AS (
+    SELECT * FROM (SELECT r, {[k.name for k in KINDS].index(kind.name)} AS kind, start, stop, least(100, {score}) AS score FROM {kind.name}_seen){"" if kind.base else f" WHERE score >= {ENOUGH}"})"""
 
 
 _ALONE = "NOT regexp_matches(substr(text, start, CASE WHEN start > 0 THEN 1 ELSE 0 END) || substr(text, stop + 1, 1), '[0-9A-Za-z]')"
@@ -270,16 +274,12 @@ _VALID = {
                               ELSE (2 * CAST(reverse(regexp_replace(found, '[^0-9]', '', 'g'))[j + 1] AS INT)) // 10
                                    + (2 * CAST(reverse(regexp_replace(found, '[^0-9]', '', 'g'))[j + 1] AS INT)) % 10 END)) % 10 = 0""",
     "phone": "length(regexp_replace(found, '[^0-9]', '', 'g')) BETWEEN 9 AND 15",
-    "iban": f"""{_ALONE} AND list_reduce(string_split(replace(found, ' ', '')[5:] || replace(found, ' ', '')[:4], ''),
+    "iban": """list_reduce(string_split(replace(found, ' ', '')[5:] || replace(found, ' ', '')[:4], ''),
                 lambda v, x: CASE WHEN ascii(x) < 65 THEN v * 10 + ascii(x) - 48 ELSE v * 100 + ascii(x) - 55 END % 97, 0) = 1""",
-    "ssn": f"{_ALONE} AND NOT regexp_matches(found, '^(?:000|666|9)|-00-|-0000$')",
-    "tel": _ALONE,
+    "ssn": "NOT regexp_matches(found, '^(?:000|666|9)|-00-|-0000$')",
+    "tel": "true",
 }
-_TABLES = ",\n".join(
-    f"{k.name} AS (SELECT r, kind, start, stop, least(100, score) AS score FROM ({_proposed(k, _PATTERNS[k.name])}) WHERE {_VALID[k.name]}"
-    + ("" if k.base else f" AND score >= {ENOUGH}") + ")"
-    for k in KINDS
-)
+_TABLES = ",".join(_proposed(k, _PATTERNS[k.name], _VALID[k.name], "true" if k.base else _ALONE) for k in KINDS)
 _FREE = "NOT EXISTS (SELECT 1 FROM {taken} o WHERE o.r = x.r AND o.start < x.stop AND o.stop > x.start)"
 OP13_SQL = f"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, replace(coalesce(text, ''), chr(57344), chr(57345)) AS text FROM documents),
