@@ -21,7 +21,7 @@ def rows_of(frame) -> list[str]:
 
 
 def duck(sf_dir: str, sql: str):
-    con = duckdb.connect()
+    con = duckdb.connect(config={"temp_directory": ""})  # a query that does not fit fails, it does not fill the disk
     for name in os.listdir(sf_dir):
         con.execute(f"create view {name.split('.')[0]} as select * from '{sf_dir}/{name}'")
     return con.sql(sql).df()
