@@ -24,13 +24,13 @@ def render(cues: DataFrame, body: str | None = None) -> DataFrame:
     text = F.coalesce(body, F.lit("")) if body else _trimmed(F.col("text"))
     block = F.concat_ws("\r\n", F.col("cue_id").cast("string"), time, text, F.lit(""), F.lit(""))
 
-    def step(parts: list[str], row: tuple) -> tuple:
-        parts.append(row[1])
-        return parts, []
+    def step(content: bytearray, row: tuple) -> tuple:
+        content += row[1].encode()
+        return content, []
 
     of = cues.schema["media_id"].dataType.simpleString()
     rows = cues.select("media_id", block.alias("block"), "cue_id")
-    return fold(rows, "media_id", ["cue_id", "block"], list, step, lambda parts, media_id: [(media_id, "".join(parts))], f"media_id {of}, content string")
+    return fold(rows, "media_id", ["cue_id", "block"], bytearray, step, lambda content, media_id: [(media_id, bytes(content))], f"media_id {of}, content string")
 
 
 def publish(cues: DataFrame, path: str, overwrite: bool = False) -> None:

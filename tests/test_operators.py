@@ -332,3 +332,18 @@ def test_large_contents_are_fingerprinted_by_segments(spark, monkeypatch):
     parts = b"".join((o := (250 - 16) * i // 8).to_bytes(8, "little") + raw[o : o + 16] for i in range(9))
     want = hashlib.sha256(b"cue-content-v1" + (250).to_bytes(8, "little") + parts).hexdigest()
     assert spark.createDataFrame([(bytearray(raw),)], "c binary").select(identity.fingerprint(F.col("c")).alias("f")).first().f == want
+
+
+def test_renderings_are_handed_on_by_their_size(spark, monkeypatch):
+    import pyarrow as pa
+
+    cues = spark.createDataFrame([(1, 1, 0, 1000, "ああ")], "media_id long, cue_id int, start_ms long, end_ms long, text string")
+    kept = []
+    with monkeypatch.context() as m:
+        m.setattr(type(cues), "mapInArrow", lambda self, run, schema: kept.append(run) or self)
+        sinks.render(cues)
+    media, block = [i // 40 for i in range(8000)], "あ" * 1000 + "\r\n"
+    rows = pa.table({"media_id": media, "block": [block] * 8000, "cue_id": pa.array([i % 40 for i in range(8000)], pa.int32())})
+    out = list(kept[0](iter(rows.to_batches(500))))
+    assert pa.Table.from_batches(out).to_pydict() == {"media_id": list(range(200)), "content": [block * 40] * 200}
+    assert sum(b.nbytes for b in out) > 24_000_000 and max(b.nbytes for b in out) < 1_300_000
