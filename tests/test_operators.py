@@ -347,3 +347,17 @@ def test_renderings_are_handed_on_by_their_size(spark, monkeypatch):
     out = list(kept[0](iter(rows.to_batches(500))))
     assert pa.Table.from_batches(out).to_pydict() == {"media_id": list(range(200)), "content": [block * 40] * 200}
     assert sum(b.nbytes for b in out) > 24_000_000 and max(b.nbytes for b in out) < 1_300_000
+
+
+def test_bilingual_renderings_of_long_media_go_one_by_one(spark, monkeypatch):
+    import pyarrow as pa
+
+    cues = spark.createDataFrame([(1, 1, 0, 1000, "ああ")], "media_id long, cue_id int, start_ms long, end_ms long, text string")
+    told = spark.createDataFrame([(1, 1, "A")], "media_id long, cue_id int, target string")
+    kept = []
+    with monkeypatch.context() as m:
+        m.setattr(type(cues), "mapInArrow", lambda self, run, schema: kept.append(run) or self)
+        sinks.render(sinks.bilingual(cues, told), "body")
+    rows = pa.table({"media_id": [i // 400 for i in range(1600)], "block": ["あ\r\n" * 600] * 1600, "cue_id": pa.array([i % 400 for i in range(1600)], pa.int32())})
+    out = [b.to_pydict() for b in kept[0](iter(rows.to_batches(100))) if b.num_rows]
+    assert out == [{"media_id": [i], "content": ["あ\r\n" * 240_000]} for i in range(4)]
