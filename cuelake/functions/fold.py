@@ -18,7 +18,8 @@ def fold(rows: DataFrame, key: str, order: list[str], start: Callable[[], object
 
     Rows are dealt by key and sorted within their partitions; a task reads its sorted rows once and carries one state. `row`
     holds the values of all columns in order, that of the key being the first. Rows are handed on as soon as there are many or
-    their texts are long, so a task holds no more of them however many keys it has; a text may be str or UTF-8 bytes."""
+    their texts are long, so a task holds no more of them however many keys it has; a text may be str or UTF-8 bytes. A state
+    that is a bytearray can be the text itself; a long one is let go before the next key begins."""
     names = [key, *(c for c in rows.columns if c != key)]
     shape = T.StructType.fromDDL(schema)
     texts = [i for i, f in enumerate(shape) if isinstance(f.dataType, T.StringType | T.BinaryType)]
@@ -40,7 +41,10 @@ def fold(rows: DataFrame, key: str, order: list[str], start: Callable[[], object
 
         def handed(out: list[tuple]) -> pa.RecordBatch:
             columns = zip(*out, strict=True) if out else [[] for _ in arrow]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            # As binary first: pa.array decodes the bytes of a string into one more copy, the cast checks them in place.
+            plain = [pa.binary() if pa.types.is_string(f.type) else f.type for f in arrow]
+            arrays = [pa.array(list(c), t).cast(f.type) for c, t, f in zip(columns, plain, arrow, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
         out: list[tuple] = []
         held = 0
@@ -51,6 +55,7 @@ def fold(rows: DataFrame, key: str, order: list[str], start: Callable[[], object
             if len(out) >= ROWS or held >= TEXT:
                 yield handed(out)
                 out, held = [], 0
+            del made
         yield handed(out)
 
     return rows.select(*names).repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)

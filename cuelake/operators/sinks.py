@@ -30,7 +30,7 @@ def render(cues: DataFrame, body: str | None = None) -> DataFrame:
 
     of = cues.schema["media_id"].dataType.simpleString()
     rows = cues.select("media_id", block.alias("block"), "cue_id")
-    return fold(rows, "media_id", ["cue_id", "block"], bytearray, step, lambda content, media_id: [(media_id, bytes(content))], f"media_id {of}, content string")
+    return fold(rows, "media_id", ["cue_id", "block"], bytearray, step, lambda content, media_id: [(media_id, content)], f"media_id {of}, content string")
 
 
 def publish(cues: DataFrame, path: str, overwrite: bool = False) -> None:

@@ -361,3 +361,26 @@ def test_bilingual_renderings_of_long_media_go_one_by_one(spark, monkeypatch):
     rows = pa.table({"media_id": [i // 400 for i in range(1600)], "block": ["あ\r\n" * 600] * 1600, "cue_id": pa.array([i % 400 for i in range(1600)], pa.int32())})
     out = [b.to_pydict() for b in kept[0](iter(rows.to_batches(100))) if b.num_rows]
     assert out == [{"media_id": [i], "content": ["あ\r\n" * 240_000]} for i in range(4)]
+
+
+def test_a_rendering_is_held_once(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    cues = spark.createDataFrame([(1, 1, 0, 1000, "ああ")], "media_id long, cue_id int, start_ms long, end_ms long, text string")
+    told = spark.createDataFrame([(1, 1, "A")], "media_id long, cue_id int, target string")
+    kept = []
+    with monkeypatch.context() as m:
+        m.setattr(type(cues), "mapInArrow", lambda self, run, schema: kept.append(run) or self)
+        sinks.render(sinks.bilingual(cues, told), "body")
+    block = "あ\r\n" * 600
+    rows = (pa.record_batch({"media_id": [i // 40] * 100, "block": [block] * 100, "cue_id": pa.array(range(100), pa.int32())}) for i in range(120))
+    list(kept[0](iter([])))  # modules are loaded
+    tracemalloc.start()
+    try:
+        sizes = [len(b["content"][0].as_buffer()) for b in kept[0](rows) if b.num_rows]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sizes == [4000 * 600 * 5] * 3 and peak < 1.5 * sizes[0]
